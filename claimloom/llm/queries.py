@@ -26,6 +26,23 @@ def op1_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (F.octet_length(data) + 8).cast("long").alias("size"), F.crc32(data).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import crc_mod
+    from .langid import fit_model, identify
+
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = crc_mod(F.col("doc_id"), 4) == 2
+    out = identify(docs.select("doc_id", "text"), fit_model(docs.where(~held_out)))
+    return out.select("doc_id", held_out.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import score_quality
+
+    out = score_quality(_read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "labels"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr")
+
+
 def op5_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .neardup import near_duplicates
 
@@ -44,6 +61,24 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import crc_mod
+    from .toxicity import fit_model, score_toxicity
+
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = crc_mod(F.col("doc_id"), 5) == 0
+    model = fit_model(docs, _read(spark, sf_dir, "labels").where(~held_out))
+    out = score_toxicity(docs, model)
+    return out.select("doc_id", held_out.alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))
+
+
+def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .htmltext import extract_main_text
+
+    out = extract_main_text(_read(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.select("page_id", "url", F.col("main_text").alias("text"), F.char_length("main_text").cast("long").alias("n_chars"))
+
+
 def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -53,9 +88,13 @@ def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_shard": op1_shard,
+    "op2_language": op2_language,
+    "op4_quality": op4_quality,
     "op5_neardup": op5_neardup,
     "op6_decontaminate": op6_decontaminate,
+    "op8_toxicity": op8_toxicity,
     "op9_pack": op9_pack,
+    "op10_main_text": op10_main_text,
 }
 
 ORACLE_SQL: dict[str, str] = {}
