@@ -36,6 +36,17 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
 
 
+PII_KEY = "corpus release 1"
+
+
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import KINDS, pseudonymise
+
+    out = pseudonymise(_read(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+    counts = [F.expr(f"cast(size(filter(pii_kinds, k -> k = '{kind}')) as bigint) as n_{kind}") for kind in KINDS]
+    return out.select("doc_id", "text", *counts)
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import score_quality
 
@@ -61,6 +72,15 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secretscan import BASE, joined_spans, scan_secrets
+
+    out = scan_secrets(_read(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    counts = [F.expr(f"cast(size(filter(base, s -> s.kind = '{kind}')) as bigint) as n_{kind}") for kind in BASE]
+    live = F.size(F.filter("base", lambda s: s["live"])).cast("long").alias("n_live")
+    return out.select("doc_id", *counts, F.sha2(joined_spans(F.col("base")).cast("binary"), 256).alias("base_sha256"), joined_spans(F.col("spans")).alias("spans"), live)
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .common import crc_mod
     from .toxicity import fit_model, score_toxicity
@@ -89,9 +109,11 @@ def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_shard": op1_shard,
     "op2_language": op2_language,
+    "op3_pii": op3_pii,
     "op4_quality": op4_quality,
     "op5_neardup": op5_neardup,
     "op6_decontaminate": op6_decontaminate,
+    "op7_secrets": op7_secrets,
     "op8_toxicity": op8_toxicity,
     "op9_pack": op9_pack,
     "op10_main_text": op10_main_text,

@@ -53,7 +53,7 @@ def learn_lexicon(texts: list[str], y: np.ndarray, least: int = 6, most: int = 2
         if t < least or t / (t + c) < 0.5 + base / 2:
             continue
         test = 2 * (t * math.log(t / ((t + c) * base)) + (c * math.log(c / ((t + c) * (1 - base))) if c else 0))
-        if test > 28:
+        if test > 20:
             scored.append((-test, -len(e), e, t, math.log((t + 0.5) / (n[1] + 1)) - math.log((c + 0.5) / (n[0] + 1))))
     out: dict[str, float] = {}
     longer: dict[str, int] = {}  # texts of the commonest chosen entry that goes on after this beginning
