@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import re
 import unicodedata
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,8 +23,8 @@ from .common import Stash, free_name
 SEQUENCE = 2048
 #: Mean number of pieces in a group: what one task packs at once.
 GROUP_PIECES = 8192
-#: Words whose ids a worker remembers.
-WORDS_KEPT = 300_000
+#: Words whose ids a worker remembers: so many of late, and as many from before that.
+WORDS_KEPT = 250_000
 
 _LOADED: dict[str, Encoder] = {}
 
@@ -36,7 +37,7 @@ class Encoder:
     go through the whole tokenizer.
     """
 
-    SPLIT_ONLY_HERE = re.compile("[\x1c-\x1f]")  #: Python's split divides at these, the tokenizer doesn't
+    SPLIT_ONLY_HERE = "\x1c\x1d\x1e\x1f"  #: Python's split divides at these, the tokenizer doesn't
     PLAIN = re.compile(r"([^\W\d_]+)([.,;:!?*$%&#|]*)")
 
     def __init__(self, path: str):
@@ -49,6 +50,7 @@ class Encoder:
         others = iter(range(256, 512))
         self.byte_text = {b: chr(b) if b in printed else chr(next(others)) for b in range(256)}
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def encode_whole(self, text: str) -> bytes:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -57,26 +59,28 @@ class Encoder:
         m = self.PLAIN.fullmatch(word)
         core = unicodedata.normalize("NFC", m[1]).lower() if m and max(m[1]) < "ɐ" else ""
         if core.isalpha():  # lower case can add a mark, which is no letter
-            out = self.words.get(core)
+            out = self.words.get(core) or self.older.get(core)
             if out is None:
                 text = core if core.isascii() else core.encode().decode("latin-1").translate(self.byte_text)
-                out = self.words[core] = np.array([t.id for t in self.model.tokenize(text)], "<u4").tobytes()
-            return out + (self.words.get(m[2]) or self.words.setdefault(m[2], self.encode_whole(m[2])) if m[2] else b"")
+                out = np.array([t.id for t in self.model.tokenize(text)], "<u4").tobytes()
+            self.words[core] = out
+            if m[2] and m[2] not in self.words:
+                self.words[m[2]] = self.encode_whole(m[2])
+            return out + (self.words[m[2]] if m[2] else b"")
         return self.encode_whole(word)
 
     def encode(self, text: str | None) -> bytes:
         """Little-endian unsigned 32-bit ids."""
         if not text:
             return b""
-        if self.SPLIT_ONLY_HERE.search(text):
+        if any(c in text for c in self.SPLIT_ONLY_HERE):
             return self.encode_whole(text)
         words = text.split()
         if len(self.words) > WORDS_KEPT:
-            self.words.clear()
-        known = self.words
-        for w in words:
-            if w not in known:
-                known[w] = self.encode_word(w)
+            self.older, self.words = self.words, {}
+        known, older = self.words, self.older.get
+        for w in set(words).difference(known):
+            known[w] = older(w) or self.encode_word(w)
         return b"".join(map(known.__getitem__, words))
 
 
@@ -111,27 +115,31 @@ def first_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray
     return bins, offsets
 
 
-def pieces_of(docs: DataFrame, tokenizer: str, end_id: int = 1, sequence: int = SEQUENCE) -> DataFrame:
-    """``docs`` without ``text``, a row for each piece: start, length, ids (little-endian unsigned 32-bit), doc_tokens."""
+def pieces_of(docs: DataFrame, tokenizer: str, end_id: int = 1, sequence: int = SEQUENCE, with_ids: bool = True) -> DataFrame:
+    """``docs`` without ``text``, a row for each piece: start, length, ids_crc32, doc_tokens and, if asked for, ids.
 
-    kind = "array<struct<start:bigint,length:bigint,ids:binary>>"
+    ids: little-endian unsigned 32-bit.
+    """
+    kind = "array<struct<start:bigint,length:bigint,ids_crc32:bigint" + (",ids:binary" if with_ids else "") + ">>"
 
     @F.pandas_udf(kind)
     def cut(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        tool, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        tool, end, step = encoder(tokenizer), np.array([end_id], "<u4").tobytes(), 4 * sequence
         for batch in texts:
             out = []
             for x in batch:
                 ids = tool.encode(x) + end
-                out.append([{"start": i // 4, "length": len(ids[i : i + 4 * sequence]) // 4, "ids": ids[i : i + 4 * sequence]} for i in range(0, len(ids), 4 * sequence)])
+                parts = [(i // 4, ids[i : i + step]) for i in range(0, len(ids), step)]
+                out.append([{"start": i, "length": len(p) // 4, "ids_crc32": zlib.crc32(p)} | ({"ids": p} if with_ids else {}) for i, p in parts])
             yield pd.Series(out)
 
     (made,) = free_name(docs, "made")
-    clash = {"start", "length", "ids", "doc_tokens", "text"}
+    clash = {"start", "length", "ids", "ids_crc32", "doc_tokens", "text"}
     rows = docs.withColumn(made, cut(F.col("text")))
-    keep = [c for c in docs.columns if c.lower() not in clash]
+    keep = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in clash]
     last = F.element_at(F.col(made), -1)
-    return rows.select(*keep, (last["start"] + last["length"]).alias("doc_tokens"), F.explode(made).alias(made)).select(*keep, f"{made}.*", "doc_tokens")
+    # explode_outer: explode would first filter on the array's size, which runs the tokenizer once more
+    return rows.select(*keep, (last["start"] + last["length"]).alias("doc_tokens"), F.explode_outer(made).alias(made)).select(*keep, f"{made}.*", "doc_tokens")
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, sequence: int = SEQUENCE, seed: int = 23, group_pieces: int = GROUP_PIECES, with_ids: bool = True) -> DataFrame:
@@ -143,10 +151,10 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, sequence: int = SEQUE
     """
     spark = docs.sparkSession
     stash = Stash(spark)
-    docs = docs.select(*[c for c in docs.columns if c.lower() not in ("sequence_id", "offset", "ids_crc32")])
-    cut = pieces_of(docs, tokenizer, end_id, sequence).withColumn("ids_crc32", F.crc32("ids"))
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("sequence_id", "offset")])
+    cut = pieces_of(docs, tokenizer, end_id, sequence, with_ids)
     rid, group, b = free_name(cut, "rid", "grp", "bin")
-    made = stash((cut if with_ids else cut.drop("ids")).withColumn(rid, F.monotonically_increasing_id()))
+    made = stash(cut.withColumn(rid, F.monotonically_increasing_id()))
     n = made.where(F.col("length") < sequence).count()
     groups = max(1, -(-n // group_pieces), min(256, n // 512))  # some tasks even for a small table, of pieces enough to fill sequences
     full = F.col("length") == sequence
