@@ -214,11 +214,12 @@ def connected(edges: DataFrame, stash: Stash) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shard_rows: int = SHARD_ROWS, with_text: bool = True) -> DataFrame:
-    """``docs`` with ``fp`` (the fingerprint, signed) and ``component_id``: the smallest doc_id reachable over links.
+    """``docs`` with ``fp`` (the fingerprint, signed), ``component_id``, the smallest doc_id reachable over links, and
+    ``component_root``, the smallest fingerprint of the group.
 
     Documents link if their fingerprints differ in at most 3 bits. Null and empty texts, and texts of white space, have
     fingerprint 0 and link like any other. A group without any non-null doc_id gets null. Equal rows all stay. An empty
-    table gives an empty result. Columns named fp or component_id are replaced. with_text: keep the text column.
+    table gives an empty result. Columns of these names are replaced. with_text: keep the text column.
     """
     spark = docs.sparkSession
     stash = Stash(spark)
@@ -229,6 +230,18 @@ def near_duplicates(docs: DataFrame, shard_rows: int = SHARD_ROWS, with_text: bo
     roots = connected(link_fingerprints(first.select("fp"), stash, shard_rows), stash).select(F.col("a").alias("x"), F.col("b").alias("root"))
     grouped = stash(first.join(roots, F.col("fp") == F.col("x"), "left").select(F.col("fp").alias(key), F.coalesce("root", "fp").alias("root"), "least_id"))
     least = stash(grouped.groupBy("root").agg(F.min("least_id").alias("component_id")).withColumnRenamed("root", "r"))
-    named = stash(grouped.join(least, F.col("root") == F.col("r")).select(key, "component_id"))
-    out = marked.drop(*[c for c in marked.columns if c.lower() == "component_id"])
+    named = stash(grouped.join(least, F.col("root") == F.col("r")).select(key, "component_id", F.col("root").alias("component_root")))
+    out = marked.drop(*[c for c in marked.columns if c.lower() in ("component_id", "component_root")])
     return out.join(named, F.col("fp") == F.col(key), "left").drop(key)
+
+
+def keep_one_of_each(docs: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """``docs`` with one row of each group of near duplicates: the smallest doc_id, nulls last, of equal ones the first.
+
+    The input must be a deterministic scan, as rows are told apart by their place in it.
+    """
+    (rid,) = free_name(docs, "rid")
+    numbered = docs.withColumn(rid, F.monotonically_increasing_id())
+    marked = near_duplicates(numbered.select("doc_id", "text", rid), shard_rows, with_text=False)
+    first = marked.groupBy("component_root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", rid)).alias("s"))
+    return numbered.join(first.select(F.col("s")[rid].alias(rid)), rid, "left_semi").drop(rid)
