@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import corpus
+from . import corpus, graphs, linking
 
-MODULES = [corpus]
+MODULES = [corpus, linking, graphs]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
