@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import corpus, graphs, linking
+from . import corpus, files, graphs, linking
 
-MODULES = [corpus, linking, graphs]
+MODULES = [corpus, linking, graphs, files]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
