@@ -17,7 +17,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
+from pyspark.sql.types import ArrayType, LongType
 
 from .common import Stash, free_name, put
 
@@ -26,25 +26,47 @@ RADIUS = 3
 SHARD_ROWS = 2048
 
 
-def fingerprint(text: bytes | None) -> int:
-    """SimHash of the 3-word shingles, unsigned. A-Z count as lower case; words are divided by ASCII white space."""
+def fingerprints(text: bytes | None, count: int = 1) -> list[int]:
+    """SimHashes of the 3-word shingles, unsigned; the shingles' hashes are mixed anew for those after the first.
+
+    A-Z count as lower case; words are divided by ASCII white space.
+    """
     words = (text or b"").lower().split()
     n = len(words) - 2
     if not words:
-        return 0
-    if n < 1:
-        return xxhash.xxh64_intdigest(b" ".join(words), 42)
+        return [0] * count
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(x, 42) for x in map(b" ".join, zip(words, words[1:], words[2:], strict=False))), np.uint64, n)
-    ones = np.zeros(64, np.int64)
-    for i in range(0, n, 1 << 16):
-        ones += np.unpackbits(hashes[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > n, bitorder="little").view(np.uint64)[0])
+    shingles = map(b" ".join, zip(words, words[1:], words[2:], strict=False)) if n > 0 else [b" ".join(words)]
+    n = max(n, 1)
+    hashes = np.fromiter((digest(x, 42) for x in shingles), np.uint64, n)
+    out = []
+    for k in range(count):
+        ones = np.zeros(64, np.int64)
+        for i in range(0, n, 1 << 16):
+            h = mixed(hashes[i : i + (1 << 16)], k)
+            ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        out.append(int(np.packbits(ones * 2 > n, bitorder="little").view(np.uint64)[0]))
+    return out
+
+
+def mixed(h: np.ndarray, k: int) -> np.ndarray:
+    """The k-th independent hash made of a hash; the hash itself for 0."""
+    if not k:
+        return h
+    x = h ^ np.uint64(0x9E3779B97F4A7C15 * k & (1 << 64) - 1)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return x ^ (x >> np.uint64(31))
 
 
-@F.pandas_udf(LongType())
-def fingerprint_of(texts: pd.Series) -> pd.Series:
-    return pd.Series(np.array([fingerprint(x) for x in texts], np.uint64).view(np.int64))
+def fingerprint_column(text, count: int):
+    """An array of the text's fingerprints, signed."""
+
+    @F.pandas_udf(ArrayType(LongType()))
+    def of(texts: pd.Series) -> pd.Series:
+        return pd.Series([np.array(fingerprints(x, count), np.uint64).view(np.int64) for x in texts])
+
+    return of(text.cast("binary"))
 
 
 class BKForest:
@@ -105,10 +127,10 @@ def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def _links(points: np.ndarray, shard: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each point with a neighbour, the smallest point of its component within the shard."""
+def _links(points: np.ndarray, ids: np.ndarray, shard: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each point with a neighbour but one, its id and that of the first point of its component within the shard."""
     by = np.lexsort((points, shard))
-    points, shard = points[by], shard[by]
+    points, ids, shard = points[by], ids[by], shard[by]
     forest = BKForest(points, shard)
     label = np.arange(len(points))
     for i in range(0, len(points), 4096):
@@ -119,7 +141,7 @@ def _links(points: np.ndarray, shard: np.ndarray, radius: int) -> tuple[np.ndarr
             step = local_roots(len(points), label[q[apart]], label[p[apart]])
             label = step[label]
     linked = label != np.arange(len(points))
-    return points[linked], points[label[linked]]
+    return ids[linked], ids[label[linked]]
 
 
 def _search(radius: int, rows: int):
@@ -129,9 +151,10 @@ def _search(radius: int, rows: int):
         held = 0
 
         def out(df: pd.DataFrame) -> pd.DataFrame:
-            change = (df[["t", "k", "c"]].to_numpy()[1:] != df[["t", "k", "c"]].to_numpy()[:-1]).any(1)
-            a, b = _links(df["fp"].to_numpy(np.int64).view(np.uint64), np.r_[0, np.cumsum(change)], radius)
-            return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
+            keys = df[["t", "k", "c"]].to_numpy()
+            change = (keys[1:] != keys[:-1]).any(1)
+            a, b = _links(df["fp"].to_numpy(np.int64).view(np.uint64), df["node"].to_numpy(np.int64), np.r_[0, np.cumsum(change)], radius)
+            return pd.DataFrame({"a": a, "b": b})
 
         for df in batches:
             if not len(df):
@@ -168,12 +191,15 @@ def _keys(fp, blocks: int):
 
 
 def link_fingerprints(fps: DataFrame, stash: Stash, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """Links (a, b), a > b, that connect the same groups as all pairs of distinct ``fp`` at most RADIUS bits apart.
+    """Links (a, b), a > b, of nodes, that connect the same groups as all pairs of ``fp`` at most RADIUS bits apart.
 
-    Within a shard each fingerprint is linked to the smallest of its group there, so a large group gives as many links
-    as it has fingerprints, and no link between groups is lost.
+    fps: (which, fp, node); only fingerprints of the same ``which`` are compared, each once. Within a shard each is linked
+    to the first of its group there, so a large group gives as many links as it has fingerprints, and no link between
+    groups is lost.
     """
-    keyed = fps.select("fp", F.explode(_keys(F.col("fp"), blocks_for(fps.count()))).alias("s")).select("fp", "s.t", "s.k")
+    most = fps.groupBy("which").agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+    keyed = fps.select("which", "fp", "node", F.explode(_keys(F.col("fp"), blocks_for(most))).alias("s"))
+    keyed = keyed.select("fp", "node", (F.col("which") * 64 + F.col("s.t")).alias("t"), "s.k")
     large = stash(keyed.groupBy("t", "k").agg(F.count("*").alias("n")).where(F.col("n") > shard_rows))
     if large.isEmpty():
         shards = keyed.withColumn("c", F.lit(0).cast("long"))
@@ -182,9 +208,10 @@ def link_fingerprints(fps: DataFrame, stash: Stash, shard_rows: int = SHARD_ROWS
         n = F.coalesce(F.ceil(F.col("n") / (shard_rows // 2)), F.lit(1)).cast("long")
         i = F.pmod(F.xxhash64("fp", F.lit(1)), F.col("chunks"))
         pair = F.transform(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1), lambda j: F.least(i, j) * F.col("chunks") + F.greatest(i, j))
-        shards = keyed.join(large, ["t", "k"], "left").withColumn("chunks", n).select("fp", "t", "k", F.explode(pair).alias("c"))
+        shards = keyed.join(large, ["t", "k"], "left").withColumn("chunks", n).select("fp", "node", "t", "k", F.explode(pair).alias("c"))
     dealt = shards.repartition("t", "k", "c").sortWithinPartitions("t", "k", "c", "fp")
-    return dealt.select("t", "k", "c", "fp").mapInPandas(_search(RADIUS, 50_000), "a bigint, b bigint").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    found = dealt.select("t", "k", "c", "fp", "node").mapInPandas(_search(RADIUS, 50_000), "a bigint, b bigint")
+    return found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
 def connected(edges: DataFrame, stash: Stash) -> DataFrame:
@@ -213,35 +240,45 @@ def connected(edges: DataFrame, stash: Stash) -> DataFrame:
     return e
 
 
-def near_duplicates(docs: DataFrame, shard_rows: int = SHARD_ROWS, with_text: bool = True) -> DataFrame:
-    """``docs`` with ``fp`` (the fingerprint, signed), ``component_id``, the smallest doc_id reachable over links, and
-    ``component_root``, the smallest fingerprint of the group.
+def near_duplicates(docs: DataFrame, count: int = 1, shard_rows: int = SHARD_ROWS, with_text: bool = True) -> DataFrame:
+    """``docs`` with ``fp`` (the first fingerprint, signed), ``component_id``, the smallest doc_id reachable over links, and
+    ``component_root``, which names the group.
 
-    Documents link if their fingerprints differ in at most 3 bits. Null and empty texts, and texts of white space, have
-    fingerprint 0 and link like any other. A group without any non-null doc_id gets null. Equal rows all stay. An empty
-    table gives an empty result. Columns of these names are replaced. with_text: keep the text column.
+    Documents link if any of their ``count`` independent fingerprints differ in at most 3 bits. One alone finds nearly
+    all copies that differ in a word or two; each further one finds more of those that differ in some percent of words.
+    Null and empty texts, and texts of white space, have fingerprint 0 and link like any other. A group without any
+    non-null doc_id gets null. Equal rows all stay. An empty table gives an empty result. Columns of the result's names
+    are replaced. with_text: keep the text column.
     """
-    spark = docs.sparkSession
-    stash = Stash(spark)
-    (key,) = free_name(docs, "node")
-    marked = put(docs, {"fp": fingerprint_of(F.col("text").cast("binary"))})
+    stash = Stash(docs.sparkSession)
+    node, key, fps = free_name(docs, "node_id", "node_key", "fps")
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("fp", "component_id", "component_root")])
+    marked = docs.withColumn(fps, fingerprint_column(F.col("text"), count))
+    marked = marked.withColumns({"fp": F.get(fps, F.lit(0)), node: F.get(fps, F.lit(0)) if count == 1 else F.xxhash64(fps)})
     marked = stash(marked if with_text else marked.drop("text"))
-    first = stash(marked.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
-    roots = connected(link_fingerprints(first.select("fp"), stash, shard_rows), stash).select(F.col("a").alias("x"), F.col("b").alias("root"))
-    grouped = stash(first.join(roots, F.col("fp") == F.col("x"), "left").select(F.col("fp").alias(key), F.coalesce("root", "fp").alias("root"), "least_id"))
+    first = stash(marked.groupBy(node).agg(F.min("doc_id").alias("least_id"), F.min(fps).alias("fps")))
+    each = first.select(F.col(node).alias("node"), F.posexplode("fps").alias("which", "fp"))
+    if count == 1:  # the fingerprint is the node
+        links = link_fingerprints(each, stash, shard_rows)
+    else:
+        held = stash(each.groupBy("which", "fp").agg(F.min("node").alias("rep")))
+        links = link_fingerprints(held.withColumnRenamed("rep", "node"), stash, shard_rows)
+        same = each.join(held, ["which", "fp"]).where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))
+        links = links.unionByName(same).distinct()
+    roots = connected(links, stash).select(F.col("a").alias("x"), F.col("b").alias("root"))
+    grouped = stash(first.join(roots, F.col(node) == F.col("x"), "left").select(F.col(node).alias(key), F.coalesce("root", node).alias("root"), "least_id"))
     least = stash(grouped.groupBy("root").agg(F.min("least_id").alias("component_id")).withColumnRenamed("root", "r"))
     named = stash(grouped.join(least, F.col("root") == F.col("r")).select(key, "component_id", F.col("root").alias("component_root")))
-    out = marked.drop(*[c for c in marked.columns if c.lower() in ("component_id", "component_root")])
-    return out.join(named, F.col("fp") == F.col(key), "left").drop(key)
+    return marked.join(named, F.col(node) == F.col(key), "left").drop(key, node, fps)
 
 
-def keep_one_of_each(docs: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def keep_one_of_each(docs: DataFrame, count: int = 8, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """``docs`` with one row of each group of near duplicates: the smallest doc_id, nulls last, of equal ones the first.
 
     The input must be a deterministic scan, as rows are told apart by their place in it.
     """
     (rid,) = free_name(docs, "rid")
     numbered = docs.withColumn(rid, F.monotonically_increasing_id())
-    marked = near_duplicates(numbered.select("doc_id", "text", rid), shard_rows, with_text=False)
+    marked = near_duplicates(numbered.select("doc_id", "text", rid), count, shard_rows, with_text=False)
     first = marked.groupBy("component_root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", rid)).alias("s"))
     return numbered.join(first.select(F.col("s")[rid].alias(rid)), rid, "left_semi").drop(rid)

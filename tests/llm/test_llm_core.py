@@ -89,7 +89,7 @@ def brute_components(ids, fps):
 @pytest.mark.parametrize("rows", [2048, 4])
 def test_near_duplicates_brute(spark, sf, rows):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
-    got = {r.doc_id: (r.fp % (1 << 64), r.component_id) for r in nd.near_duplicates(docs, rows).collect()}
+    got = {r.doc_id: (r.fp % (1 << 64), r.component_id) for r in nd.near_duplicates(docs, shard_rows=rows).collect()}
     all_ = docs.collect()
     fps = [brute_fp(r.text) for r in all_]
     comp = brute_components([r.doc_id for r in all_], fps)
@@ -104,7 +104,7 @@ def test_bk_forest_finds_all_links(spark):
     q, p = forest.within(pts, forest.root, 3)
     want = {(i, j) for i in range(len(pts)) for j in range(len(pts)) if (int(pts[i]) ^ int(pts[j])).bit_count() <= 3}
     assert set(zip(q.tolist(), p.tolist())) == want
-    df = spark.createDataFrame([(int(np.int64(x.view(np.int64))),) for x in pts], "fp long")
+    df = spark.createDataFrame([(0, int(x.view(np.int64)), int(x.view(np.int64))) for x in pts], "which int, fp long, node long")
     from claimloom.llm.common import Stash
 
     for rows in (2048, 16):
@@ -123,6 +123,29 @@ def test_chain_component(spark):
     assert out == {i: 1 for i in range(2, 60)} | {i: 1000 for i in range(1001, 1400)}
 
 
+def test_more_fingerprints_find_edited_copies(spark):
+    g = np.random.default_rng(1)
+    rows, n = [], 40
+    for i in range(n):
+        w = [f"w{x}" for x in g.integers(0, 3000, 250)]
+        v = list(w)
+        for j in g.integers(0, 250, 3):
+            v[j] = f"new{j}"
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(v))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {k: nd.keep_one_of_each(df, count=k).count() for k in (1, 8)}
+    assert n <= kept[8] < kept[1] and kept[8] <= 1.1 * n
+    got = nd.near_duplicates(df, count=8).collect()
+    assert all(r.component_id // 2 == r.doc_id // 2 for r in got)
+
+
+def test_keep_one_of_each(spark, edge):
+    kept = nd.keep_one_of_each(edge).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept) == [(False, 1), (False, 4), (False, 5), (False, 6), (False, 9), (True, 0)]
+    assert kept[0].asDict().keys() == set(edge.columns)
+    assert nd.keep_one_of_each(edge.limit(0)).count() == 0
+
+
 def test_near_duplicates_edges(spark, edge):
     out = nd.near_duplicates(edge).collect()
     fps = [brute_fp(t) for _, t in ROWS]
