@@ -72,6 +72,13 @@ def put(df: DataFrame, columns: dict) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken], *[v.alias(k) for k, v in columns.items()])
 
 
+def held(value):
+    """The value, computed once for each row: as its expression isn't deterministic in form, the optimizer neither puts it
+    into the lambdas that use it, nor into the input of a Python function, nor moves filters on what comes of it below.
+    """
+    return F.when(F.monotonically_increasing_id() >= 0, value)
+
+
 def crc_mod(doc_id, n: int):
     """crc32 of the id as text, modulo n; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % n

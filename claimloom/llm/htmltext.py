@@ -107,7 +107,7 @@ def attribute_tokens(node: Node) -> list[str]:
     return out
 
 
-FEATURES = ("tag_score", "own_score", "least_above", "best_above", "log_chars", "log_words", "link_share", "tags_per_char", "punctuation", "depth", "place", "siblings", "same_siblings", "sibling_chars", "share_of_parent", "child_elements", "inputs", "own_text", "paragraphs", "capital_start")
+FEATURES = ("parent_tag", "parent_own", "near_above", "grand_above", "tag_score", "own_score", "least_above", "best_above", "log_chars", "log_words", "link_share", "tags_per_char", "punctuation", "depth", "place", "siblings", "same_siblings", "sibling_chars", "share_of_parent", "child_elements", "inputs", "own_text", "paragraphs", "capital_start")
 
 
 class Page:
@@ -148,7 +148,7 @@ class Page:
         for i in range(1, k):
             kids[self.parent[i]].append(i)
         out = np.zeros((k, len(FEATURES)))
-        own, low, high = np.zeros(k), np.zeros(k), np.zeros(k)
+        own, low, high, tag_of, near, far = (np.zeros(k) for _ in range(6))
         tags = [Counter(self.nodes[j].tag for j in ks) for ks in kids]
         place = [0] * k
         for ks in kids:
@@ -160,19 +160,23 @@ class Page:
             own[i] = sum(weights.get(t, 0.0) for t in tokens[1:])
             p = self.parent[i]
             both = tag + own[i]
+            tag_of[i] = tag
+            # the closest and the next element, itself or above, whose tag or names say something
+            tells = abs(both) >= 1 and n.tag not in INLINE and n.tag not in ("p", "li", "ul", "ol", "h1", "h2", "h3", "td", "tr", "table")
+            near[i], far[i] = (both, near[p] if p >= 0 else 0) if tells else (near[p], far[p]) if p >= 0 else (0, 0)
             low[i], high[i] = (min(low[p], both), max(high[p], both)) if p >= 0 else (0, 0)
             chars, words, link, elements, marks, inputs, paragraphs = s[i]
             same = tags[p][n.tag] if p >= 0 else 1
             others = kids[p] if p >= 0 else [i]
             out[i] = (
-                tag, own[i], low[p] if p >= 0 else 0, high[p] if p >= 0 else 0, math.log1p(chars), math.log1p(words), link / max(1, chars), elements / max(1, chars), marks / max(1, words), n.depth,
+                tag_of[p] if p >= 0 else 0, own[p] if p >= 0 else 0, near[i], far[i], tag, own[i], low[p] if p >= 0 else 0, high[p] if p >= 0 else 0, math.log1p(chars), math.log1p(words), link / max(1, chars), elements / max(1, chars), marks / max(1, words), n.depth,
                 place[i] / len(others), math.log1p(len(others)), same / len(others), math.log1p((s[p, 0] - chars) / max(1, len(others) - 1)) if p >= 0 else 0,
                 chars / max(1, s[p, 0]) if p >= 0 else 1, math.log1p(len(kids[i])), inputs / max(1, elements), self.own[i] / max(1, chars), math.log1p(paragraphs), self.starts_upper[i],
             )
         self.kids = kids
         return out
 
-    def decode(self, p: np.ndarray, switch: float = 2.0) -> np.ndarray:
+    def decode(self, p: np.ndarray, switch: float = 1.0) -> np.ndarray:
         """Which elements' own text is kept: the likeliest labelling in which a child may differ only below a mixed element."""
         p = np.clip(p, 1e-4, 1 - 1e-4)
         has = self.sums[:, 0] > 0
@@ -214,10 +218,12 @@ class Page:
                 if keep:
                     blocks[-1].append(n)
                 continue
+            if n.tag in NO_TEXT:
+                continue
             block = n.tag not in INLINE
             if block or leave:
                 blocks.append([])
-            if leave or n.tag in NO_TEXT:
+            if leave:
                 continue
             if n.tag == "br":
                 blocks[-1].append(" ")
@@ -326,8 +332,8 @@ class PageMaker:
     def main(self) -> str:
         r = self.r
         k = " data-main=1"
-        out, n = [], r.choice([1, 1, 2, 3, 5, 8, 14])
-        size = r.choice([(1, 4), (5, 20), (10, 60), (30, 120), (80, 250)])
+        out, n = [], r.choice([1, 1, 1, 2, 3, 5, 8, 14])
+        size = r.choice([(1, 4), (1, 8), (5, 20), (10, 60), (30, 120), (80, 250)])
         if r.random() < 0.8:
             title = f"<h1{k}>{self.words(2, 12)}</h1>"
             out.append(title if r.random() < 0.85 else f"<header{k}>{title}<p{k}>{self.words(2, 10)}</p></header>")
@@ -401,7 +407,7 @@ def true_text(page: str) -> str:
 
 
 @lru_cache(2)
-def fitted(pages: int = 700, seed: int = 7) -> Extractor:
+def fitted(pages: int = 2200, seed: int = 7) -> Extractor:
     """The extractor fitted on generated pages; the same on every machine."""
     made = [Page(PageMaker(seed * 100_003 + i).page()) for i in range(pages)]
     labels = [truth(p) for p in made]
@@ -415,7 +421,7 @@ def fitted(pages: int = 700, seed: int = 7) -> Extractor:
     weights = {t: w for t, w in weights.items() if t not in ("data", "top")}
     x = np.concatenate([p.features(weights) for p in made])
     y = np.concatenate(labels)
-    return Extractor(weights, BoostedTrees(trees=80, depth=4, rate=0.15).fit(x[y >= 0], y[y >= 0]))
+    return Extractor(weights, BoostedTrees(trees=120, depth=5, rate=0.12).fit(x[y >= 0], y[y >= 0]))
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:

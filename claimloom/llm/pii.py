@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import put
+from .common import held, put
 
 ROUNDS = 8
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
@@ -122,30 +122,34 @@ def ssn(key: str, m: Column, undo: bool) -> Column:
     return F.when(valid, let(done, out)).otherwise(m)
 
 
-def by_plan(code: Column, digits: Column) -> Column:
-    return ((code == "1") | (code == "")) & (F.char_length(digits) == 10)
-
-
 def phone(key: str, m: Column, undo: bool) -> Column:
-    """8 to 15 digits, or 10 by the North American plan: area and exchange codes from 200. A country code stays."""
+    """8 to 15 digits; a country code stays. Ten digits of the North American plan are permuted among the numbers with
+    area and exchange codes from 200; those with a lower area code, and those with a lower exchange code, among
+    themselves.
+    """
     digits = only_digits(m)
     country = F.when(m.startswith("+1"), "1").otherwise(F.regexp_extract(m, r"^\+([0-9]{1,3})(?=[ .(-])", 1))
     country = F.when(m.startswith("+") & (country == ""), F.substring(digits, 1, 2)).otherwise(country)
 
     def body(s: Column) -> Column:
         code, d = s["code"], s["rest"]
-        area, exchange = F.substring(d, 1, 3).cast("bigint"), F.substring(d, 4, 3).cast("bigint")
-        plan = by_plan(code, d) & (area >= 200) & (exchange >= 200)
-        done = permute(key, "phone", area - 200, (exchange - 200) * 10000 + F.substring(d, 7, 4).cast("bigint"), F.lit(800), F.lit(8_000_000), undo)
-        north = let(done, lambda x: F.concat(pad(x["h"] + 200, F.lit(3)), pad(F.floor(x["l"] / 10000) + 200, F.lit(3)), pad(x["l"] % 10000, F.lit(4))))
-        return F.concat(code, F.when(plan, north).when(by_plan(code, d), d).otherwise(permute_digits(key, "phone", d, undo)))
+        area, rest, exchange = F.substring(d, 1, 3).cast("bigint"), F.substring(d, 4, 7).cast("bigint"), F.substring(d, 4, 3).cast("bigint")
+        low, cut = F.when(area < 200, 0).otherwise(200), F.when((area >= 200) & (exchange >= 200), 2_000_000).otherwise(0)
+        size = F.when(area < 200, 10_000_000).when(exchange < 200, 2_000_000).otherwise(8_000_000)
+        done = permute(key, "phone", area - low, rest - cut, F.when(area < 200, 200).otherwise(800), size, undo)
+        ten = let(done, lambda x: F.concat(pad(x["h"] + low, F.lit(3)), pad(x["l"] + cut, F.lit(7))))
+        plan = ((code == "1") | (code == "")) & (F.char_length(d) == 10)
+        return F.concat(code, F.when(plan, ten).otherwise(permute_digits(key, "phone", d, undo)))
 
     whole = F.struct(country.alias("code"), F.substring(digits, F.char_length(country) + 1, F.lit(20)).alias("rest"))
     return F.when(F.char_length(digits).between(8, 15), refill(m, let(whole, body))).otherwise(m)
 
 
 def date(key: str, m: Column, undo: bool) -> Column:
-    """Days from 1800-03-01 to 2200-02-28. With slashes the month comes first if such a day exists, else second."""
+    """Days from 1800-03-01 to 2200-02-28. With slashes the month comes first if such a day exists, else second; as the
+    pseudonym may be a date of either reading, day-first dates with slashes can't always be told apart on the way back.
+    A day or month of one digit comes back with two if its pseudonym needs two.
+    """
     sep = F.regexp_extract(m, "[^0-9]", 0)
     p = F.split(m, "[^0-9]")
     q = lambda i: F.element_at(p, i)
@@ -223,7 +227,7 @@ def pseudonymise(docs: DataFrame, key: str, undo: bool = False) -> DataFrame:
     candidate = text.rlike("[0-9@]") & text.rlike(f"(?:{ANY})")
     none = F.array().cast("array<string>")
     kinds = F.when(candidate, F.transform(F.filter(values, lambda v: v["ok"]), lambda v: v["kind"])).otherwise(none)
-    return put(docs, {"pii_kinds": F.coalesce(kinds, none), "text": F.when(candidate, joined).otherwise(text)}).select(*[F.col(f"`{c}`") for c in _order(docs, "pii_kinds")])
+    return put(docs, {"pii_kinds": F.coalesce(kinds, none), "text": held(F.when(candidate, joined).otherwise(text))}).select(*[F.col(f"`{c}`") for c in _order(docs, "pii_kinds")])
 
 
 def _valid(kind: Column, m: Column) -> Column:
@@ -235,9 +239,7 @@ def _valid(kind: Column, m: Column) -> Column:
     least, most = F.lit(FIRST_DAY).cast("date"), F.date_add(F.lit(FIRST_DAY).cast("date"), DAY_HIGH * DAY_LOW - 1)
     is_date = F.coalesce(day("yyyy-M-d").between(least, most), F.lit(False)) | F.coalesce(day("d-M-yyyy").between(least, most), F.lit(False)) | (m.contains("/") & F.coalesce(day("M-d-yyyy").between(least, most), F.lit(False)))
     out = F.when(kind == "card", luhn_sum(digits) % 10 == 0).when(kind == "ssn", is_ssn).when(kind == "date", is_date)
-    ten = F.regexp_replace(digits, "^1(?=[0-9]{10}$)", "")
-    north = (F.char_length(ten) == 10) & (m.startswith("+1") | ~m.startswith("+"))
-    return out.when(kind == "phone", F.char_length(digits).between(8, 15) & (~north | (F.substring(ten, 1, 1) >= "2") & (F.substring(ten, 4, 1) >= "2"))).otherwise(True)
+    return out.when(kind == "phone", F.char_length(digits).between(8, 15)).otherwise(True)
 
 
 def _order(docs: DataFrame, last: str) -> list[str]:
