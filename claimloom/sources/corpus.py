@@ -11,7 +11,10 @@ CLAIM = "struct<claim_id:string,claim_span_text:string,claim_span_start:int,clai
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, text): one document for each file; .txt and .rsd at the end of its name are not part of the id."""
+    """(doc_id, text): one document for each file; .txt and .rsd at the end of its name are not part of the id.
+
+    A file of no bytes gives no document.
+    """
     d = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
     return d.select(T.stem_of_file(F.col("_metadata.file_name")).alias("doc_id"), F.col("value").alias("text"))
 

@@ -133,14 +133,19 @@ def parse(text: str) -> list[tuple[str, str, str, str, str | None]]:
     return out
 
 
+def _decoded(name: Column) -> Column:
+    return F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))
+
+
 def read_turtle(spark: SparkSession, path: str) -> DataFrame:
     """(graph_id, s, p, o, o_kind, o_type) of files; the graph is the folder graph_id=…, or else the file's name.
 
     Blank nodes get the graph as a prefix, so that those of two files differ.
     """
     whole = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
+    # the folder name is escaped once by the writer and once as a path
     name = F.regexp_extract(F.col("_metadata.file_path"), "/graph_id=([^/]+)/", 1)
-    files = whole.select(F.when(name != "", F.url_decode(name)).otherwise(F.regexp_replace(T.last_segment(F.col("_metadata.file_name")), r"\.ttl$", "")).alias("graph_id"), "value")
+    files = whole.select(F.when(name != "", _decoded(_decoded(name))).otherwise(F.regexp_replace(T.last_segment(F.col("_metadata.file_name")), r"\.ttl$", "")).alias("graph_id"), "value")
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
