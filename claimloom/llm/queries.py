@@ -119,4 +119,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_main_text": op10_main_text,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_decontaminate": r"""
+WITH dw AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+),
+bw AS (
+  SELECT coalesce(item_id::VARCHAR, 'null') AS item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE text IS NOT NULL
+),
+bn AS (SELECT item, w, least(10, len(w)) AS n FROM bw WHERE len(w) > 0),
+bi AS (SELECT item, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM bn),
+p AS (SELECT DISTINCT item, n, array_to_string(w[i:i + n - 1], ' ') AS k FROM bi),
+sizes AS (SELECT DISTINCT n FROM p),
+di AS (SELECT rid, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM dw JOIN sizes ON len(w) >= n),
+hit AS (SELECT rid, i, di.n, item FROM di JOIN p ON p.n = di.n AND p.k = array_to_string(w[i:i + di.n - 1], ' ')),
+pos AS (SELECT rid, count(DISTINCT j) AS n_hit FROM (SELECT rid, unnest(range(i, i + n)) AS j FROM hit) GROUP BY 1),
+its AS (SELECT rid, list_sort(list(DISTINCT item)) AS l FROM hit GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(len(l), 0)::BIGINT AS n_items,
+  sha256(coalesce(array_to_string(l, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM dw LEFT JOIN pos USING (rid) LEFT JOIN its USING (rid)
+""",
+}
