@@ -26,6 +26,12 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _OWN[0]
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> SparkSession:
+    """Sets how many rows go to Python at once: texts can be long, and a batch is held in memory several times over."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    return spark
+
+
 class Stash:
     """Tables written to the shared folder: they cut lineage, survive lost executors, and are read again as plain scans.
 
