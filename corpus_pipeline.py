@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.llm.common import Stash, crc_mod
+from claimloom.llm.common import Stash, crc_mod, small_batches
 from claimloom.llm.decontaminate import decontaminate
 from claimloom.llm.neardup import keep_one_of_each
 from claimloom.llm.packing import pack
@@ -23,16 +23,17 @@ ORACLE_SQL = None
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below one half; the model is fitted on labels outside the held-out fifth."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(crc_mod(F.col("doc_id"), 5) != 0)
+    labels = small_batches(spark).read.parquet(f"{sf_dir}/labels.parquet").where(crc_mod(F.col("doc_id"), 5) != 0)
     return score_toxicity(docs, fit_model(docs, labels)).where("toxicity < 0.5").select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return keep_one_of_each(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    found = decontaminate(docs, small_batches(spark).read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.where("found.n_hit = 0").select(docs.columns)
 
 
@@ -45,6 +46,7 @@ def replace_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     out = pack(docs.select("doc_id", "text"), tokenizer_path(), end_id=1, sequence=2048)
     return out.select("doc_id", "start", "length", "ids", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
