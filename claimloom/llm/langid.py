@@ -19,6 +19,8 @@ from .common import put
 
 #: Most rows that are fitted on: for each language, and in all.
 FIT_ROWS, FIT_TOTAL = 400, 8000
+#: Most languages that are learned, the most frequent ones; bounds the model that is broadcast (1 MB for each).
+FIT_LANGS = 64
 LANDMARKS = 256
 RIDGE = 1e-3
 SYMBOLS = 64
@@ -106,14 +108,14 @@ class Model:
         return lang, score
 
 
-def fit_model(docs: DataFrame, per_lang: int = FIT_ROWS, total: int = FIT_TOTAL) -> Model:
+def fit_model(docs: DataFrame, per_lang: int = FIT_ROWS, total: int = FIT_TOTAL, langs: int = FIT_LANGS) -> Model:
     """A model from the (doc_id, text, lang) rows: at most ``per_lang`` different texts of each language, by a hash.
 
-    Rows with a null language and texts without a letter are not fitted on. Where there are more languages than the
-    total allows at one row each, the most frequent are learned. The driver gets n-gram ids of the sample, not its texts.
+    Rows with a null language and texts without a letter are not fitted on. Of more than ``langs`` languages the most
+    frequent are learned. The driver gets n-gram ids of the sample, not its texts.
     """
     usable = docs.where("lang IS NOT NULL AND text IS NOT NULL")
-    n = {r[0]: r[1] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(total).collect()}
+    n = {r[0]: r[1] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(min(langs, total)).collect()}
     if not n:
         return Model.fit([], [])
     each = max(1, min(per_lang, total // len(n)))

@@ -69,7 +69,7 @@ def scan_secrets(docs: DataFrame, few: int = FEW_OWNERS) -> DataFrame:
     """
     stash = Stash(docs.sparkSession)
     keep = [c for c in docs.columns if c.lower() not in ("text", "base", "spans")]
-    rid, base, wide, owner, repo = free_name(docs, "rid", "found", "wider", "owner", "repo")
+    rid, base, wide, owner, repo, found_spans, other = free_name(docs, "rid", "found", "wider", "owner", "repo", "all_spans", "rid_2")
     text = F.coalesce(F.col("text"), F.lit(""))
     b, x = find_candidates(text)
     hashed = lambda a: F.transform(a, lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["stop"].alias("stop"), F.sha2(s["value"].cast("binary"), 256).alias("h")))
@@ -85,12 +85,12 @@ def scan_secrets(docs: DataFrame, few: int = FEW_OWNERS) -> DataFrame:
     told = candidates.join(counts, F.col("h") == F.col("value_hash")).select(
         rid, F.struct("start", "rank", "stop", "owners", "repositories", (F.col("owners") <= few).alias("live")).alias("s"),
     )
-    by_row = told.groupBy(rid).agg(F.array_sort(F.collect_list("s")).alias("s")).withColumnRenamed(rid, f"{rid}_2")
+    by_row = told.groupBy(rid).agg(F.array_sort(F.collect_list("s")).alias(found_spans)).withColumnRenamed(rid, other)
     kinds = F.array(*[F.lit(k) for k in (*BASE, "live")])
     out = lambda a: F.transform(a, lambda s: F.struct(F.get(kinds, s["rank"]).alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"), s["owners"].alias("owners"), s["repositories"].alias("repositories"), s["live"].alias("live")))
-    s = F.coalesce(F.col("s"), F.expr("cast(array() as array<struct<start:int,rank:int,stop:int,owners:bigint,repositories:bigint,live:boolean>>)"))
-    joined = rows.select(rid, *[F.col(f"`{c}`") for c in keep]).join(by_row, F.col(rid) == F.col(f"{rid}_2"), "left").withColumn("s", s)
-    return joined.select(*[F.col(f"`{c}`") for c in keep], out(F.filter("s", lambda v: v["rank"] < len(BASE))).alias("base"), out(F.filter("s", lambda v: (v["rank"] < len(BASE)) | v["live"])).alias("spans"))
+    s = F.coalesce(F.col(found_spans), F.expr("cast(array() as array<struct<start:int,rank:int,stop:int,owners:bigint,repositories:bigint,live:boolean>>)"))
+    joined = rows.select(rid, *[F.col(f"`{c}`") for c in keep]).join(by_row, F.col(rid) == F.col(other), "left").withColumn(found_spans, s)
+    return joined.select(*[F.col(f"`{c}`") for c in keep], out(F.filter(found_spans, lambda v: v["rank"] < len(BASE))).alias("base"), out(F.filter(found_spans, lambda v: (v["rank"] < len(BASE)) | v["live"])).alias("spans"))
 
 
 def joined_spans(spans: Column) -> Column:

@@ -17,8 +17,8 @@ EDGE = [(1, None), (2, ""), (3, " \t\n"), (4, "12 !?"), (5, "word"), (5, "word")
 
 @pytest.fixture(scope="module")
 def edge(spark):
-    rows = [(*r, "src1", "zz", 3, True, [1]) for r in EDGE]
-    return spark.createDataFrame(rows, "doc_id long, text string, source string, LANG_PRED string, Toxicity int, kept boolean, spans array<int>")
+    rows = [(*r, "src1", "zz", 3, True, [1], 5, 6) for r in EDGE]
+    return spark.createDataFrame(rows, "doc_id long, text string, source string, LANG_PRED string, Toxicity int, kept boolean, spans array<int>, s int, trusted_id int")
 
 
 @pytest.fixture(scope="module")
