@@ -384,7 +384,8 @@ def merge_report(spark, sf_dir):
     return analysis.merge_report(m.where("p = 'claimSemantics'").select(F.col("s").alias("claim"), F.regexp_replace("o", "^k/event/", "k/events/").alias("uri")))
 
 
-ORACLE["merge_report"] = "SELECT * FROM (VALUES ('v/c1', 2, 1), ('v/c5', 0, 0)) t(claim, n_events, n_entities)"
+ORACLE["merge_report"] = f"""SELECT s AS claim, count(*) FILTER (WHERE contains(replace(o, 'k/event/', 'k/events/'), 'events')) AS n_events, count(*) FILTER (WHERE contains(o, 'entity')) AS n_entities
+FROM ({ORACLE['graph_merge']}) WHERE p = 'claimSemantics' GROUP BY 1"""
 
 
 def qnode_accuracy(spark, sf_dir):
