@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import free_name, put
+from .common import free_name
 
 #: numpy's generator accepts populations below this size.
 NUMPY_LIMIT = 1_000_000_000
@@ -114,4 +114,4 @@ def assign_shards(docs: DataFrame, shards: int = 24, seed: int = 17, rows_per_bl
     shard, k = F.floor(F.col(block) / per_shard).cast("int"), (F.col(block) % per_shard).cast("long")
     size = F.lit(rows // shards).cast("long") + (shard < rows % shards).cast("long")
     before = k * F.floor(size / per_shard) + F.least(k, size % per_shard)
-    return put(dealt.withColumn("slot", (before + place).cast("long")).withColumn("shard", shard), {}).drop(rid, block, order)
+    return dealt.withColumn("slot", (before + place).cast("long")).withColumn("shard", shard).drop(rid, block, order)

@@ -103,7 +103,7 @@ class Featurizer:
         n = max(1, len(lower))
         if len(self.memo) > 300_000:
             self.memo.clear()
-        memo, hits, near, second = self.memo, [], 0, -9
+        memo, near = self.memo, 0
         for w in set(lower).difference(memo):
             memo[w] = self.find(w)
         at = [i for i, w in enumerate(lower) if memo[w]]

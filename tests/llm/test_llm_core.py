@@ -228,7 +228,6 @@ def check_packing(p, docs, size=2048):
     for i, t in docs:
         ids = tok.encode(t or "", add_special_tokens=False).ids + [1]
         want += [(i, s, len(ids[s : s + size]), zlib.crc32(np.array(ids[s : s + size], "<u4").tobytes()), len(ids)) for s in range(0, len(ids), size)]
-    key = lambda r: (r[0] is None, r)
     got = [(None if r.doc_id != r.doc_id else int(r.doc_id), r.start, r.length, r.ids_crc32, r.doc_tokens) for r in p.itertuples()]
     assert sorted(got, key=lambda r: str(r)) == sorted(want, key=lambda r: str(r))
 
