@@ -174,3 +174,9 @@ def test_permuted_input_gives_the_same_rows(spark):
         got = sorted((r.query, r.qnode, r["rank"]) for r in candidates.top_k(candidates.deduplicated(candidates.filtered(df))).collect())
         want = want or got
         assert got == want
+
+
+def test_graphs_by_tokens(spark):
+    c = spark.createDataFrame([(1, "a b"), (2, "c")], "claim_id int, words string")
+    g = spark.createDataFrame([("g1", "a b"), ("g2", "x")], "graph_id string, token_text string")
+    assert [tuple(r) for r in amr.graphs_by_tokens(c, g, "words").collect()] == [(1, "a b", "g1")]
