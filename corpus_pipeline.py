@@ -14,7 +14,7 @@ from claimloom.llm.decontaminate import decontaminate
 from claimloom.llm.neardup import keep_one_of_each
 from claimloom.llm.packing import pack
 from claimloom.llm.pii import pseudonymise
-from claimloom.llm.queries import PII_KEY, tokenizer_path
+from claimloom.llm.queries import pii_key, tokenizer_path
 from claimloom.llm.toxicity import fit_model, score_toxicity
 
 #: SQL can't express the stages; tests hold them against brute force.
@@ -39,7 +39,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def replace_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with pseudonyms; n_chars follows the text where it changed."""
-    out = pseudonymise(docs, PII_KEY)
+    out = pseudonymise(docs, pii_key(spark))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.size("pii_kinds") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(docs.columns)
