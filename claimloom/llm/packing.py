@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -38,7 +39,8 @@ class Encoder:
     """
 
     SPLIT_ONLY_HERE = "\x1c\x1d\x1e\x1f"  #: Python's split divides at these, the tokenizer doesn't
-    PLAIN = re.compile(r"([^\W\d_]+)([.,;:!?*$%&#|]*)")
+    MARKS = ".,;:!?*$%&#|"
+    PLAIN = re.compile(rf"([^\W\d_]+)([{MARKS}]*)")
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -56,18 +58,25 @@ class Encoder:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode_word(self, word: str) -> bytes:
-        m = self.PLAIN.fullmatch(word)
-        core = unicodedata.normalize("NFC", m[1]).lower() if m and max(m[1]) < "ɐ" else ""
-        if core.isalpha():  # lower case can add a mark, which is no letter
-            out = self.words.get(core) or self.older.get(core)
-            if out is None:
-                text = core if core.isascii() else core.encode().decode("latin-1").translate(self.byte_text)
-                out = np.array([t.id for t in self.model.tokenize(text)], "<u4").tobytes()
-            self.words[core] = out
-            if m[2] and m[2] not in self.words:
-                self.words[m[2]] = self.encode_whole(m[2])
-            return out + (self.words[m[2]] if m[2] else b"")
-        return self.encode_whole(word)
+        if word.isascii():
+            core = word.rstrip(self.MARKS)
+            tail, core = word[len(core) :], core.lower()
+        else:
+            m = self.PLAIN.fullmatch(word)
+            core, tail = (unicodedata.normalize("NFC", m[1]).lower(), m[2]) if m and max(m[1]) < "ɐ" else ("", "")
+        if not core.isalpha():  # lower case can add a mark, which is no letter
+            return self.encode_whole(word)
+        out = self.words.get(core) or self.older.get(core)
+        if out is None:
+            text = core if core.isascii() else core.encode().decode("latin-1").translate(self.byte_text)
+            ids = [t.id for t in self.model.tokenize(text)]
+            out = struct.pack(f"<{len(ids)}I", *ids)
+        self.words[core] = out
+        if not tail:
+            return out
+        if tail not in self.words:
+            self.words[tail] = self.encode_whole(tail)
+        return out + self.words[tail]
 
     def encode(self, text: str | None) -> bytes:
         """Little-endian unsigned 32-bit ids."""
