@@ -91,14 +91,14 @@ def _of(p: Pattern, tokens: Column, cap: int | None) -> Column:
         return F.substring(F.lit(ALPHABET[: 1 << len(p.predicates)]), mask, F.lit(1))
 
     def scan(c: Column) -> Column:
-        n = F.char_length(c)
+        # at each token the longest match that starts there, or nothing; steps are single classes, so the greedy match is the longest
+        at = F.split(F.regexp_replace(c, F.lit(f"(?=({p.regex})|)."), F.lit("$1|")), "[|]")
+        starts = F.filter(F.transform(at, lambda s, i: F.struct(s.alias("s"), i.alias("i"))), lambda x: F.length(x["s"]) > 0)
         bound = p.most if p.most is not None else cap
-        longest = n if bound is None else F.lit(bound)
-        begins = F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.substring(c, i + 1, longest).rlike(f"^(?:{p.regex})"))
-        ends = lambda i: F.filter(F.sequence(F.least(i + p.least, n), F.least(i + longest, n)), lambda j: (j > i) & F.substring(c, i + 1, j - i).rlike(f"^(?:{p.regex})$"))
-        hit = lambda i, j: F.struct(F.lit(p.template).alias("template"), F.lit(p.pattern_id).alias("pattern_id"), i.alias("first"), j.alias("last"))
-        none = F.expr("cast(array() as array<struct<template:string,pattern_id:int,first:int,last:int>>)")
-        return F.when(n > 0, F.flatten(F.transform(begins, lambda i: F.transform(ends(i), lambda j: hit(i, j))))).otherwise(none)
+        longest = lambda s: F.char_length(s) if bound is None else F.least(F.char_length(s), F.lit(bound))
+        lengths = lambda s: F.filter(F.sequence(F.lit(max(p.least, 1)), F.greatest(longest(s), F.lit(max(p.least, 1)))), lambda k: (k <= longest(s)) & F.substring(s, 1, k).rlike(f"^(?:{p.regex})$"))
+        hit = lambda i, k: F.struct(F.lit(p.template).alias("template"), F.lit(p.pattern_id).alias("pattern_id"), i.alias("first"), (i + k).alias("last"))
+        return F.flatten(F.transform(starts, lambda x: F.transform(lengths(x["s"]), lambda k: hit(x["i"], k))))
 
     return _let(F.array_join(F.transform(tokens, char), ""), scan)
 
