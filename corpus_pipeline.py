@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 
 from claimloom.llm.common import Stash, crc_mod, small_batches
 from claimloom.llm.decontaminate import decontaminate
-from claimloom.llm.neardup import keep_one_of_each
 from claimloom.llm.packing import pack
 from claimloom.llm.pii import pseudonymise
 from claimloom.llm.queries import pii_key, tokenizer_path
+from claimloom.llm.similar import keep_one_of_similar
 from claimloom.llm.toxicity import fit_model, score_toxicity
 
 #: SQL can't express the stages; tests hold them against brute force.
@@ -29,7 +29,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    return keep_one_of_each(docs)
+    return keep_one_of_similar(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
