@@ -270,15 +270,3 @@ def near_duplicates(docs: DataFrame, count: int = 1, shard_rows: int = SHARD_ROW
     least = stash(grouped.groupBy("root").agg(F.min("least_id").alias("component_id")).withColumnRenamed("root", "r"))
     named = stash(grouped.join(least, F.col("root") == F.col("r")).select(key, "component_id", F.col("root").alias("component_root")))
     return marked.join(named, F.col(node) == F.col(key), "left").drop(key, node, fps)
-
-
-def keep_one_of_each(docs: DataFrame, count: int = 8, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """``docs`` with one row of each group of near duplicates: the smallest doc_id, nulls last, of equal ones the first.
-
-    The input must be a deterministic scan, as rows are told apart by their place in it.
-    """
-    (rid,) = free_name(docs, "rid")
-    numbered = docs.withColumn(rid, F.monotonically_increasing_id())
-    marked = near_duplicates(numbered.select("doc_id", "text", rid), count, shard_rows, with_text=False)
-    first = marked.groupBy("component_root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", rid)).alias("s"))
-    return numbered.join(first.select(F.col("s")[rid].alias(rid)), rid, "left_semi").drop(rid)

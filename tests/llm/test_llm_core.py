@@ -133,19 +133,12 @@ def test_more_fingerprints_find_edited_copies(spark):
             v[j] = f"new{j}"
         rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(v))]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    kept = {k: nd.keep_one_of_each(df, count=k).count() for k in (1, 8)}
-    assert n <= kept[8] < kept[1] and kept[8] <= 1.1 * n
+    groups = {k: nd.near_duplicates(df, count=k).select("component_root").distinct().count() for k in (1, 8)}
+    assert n <= groups[8] < groups[1] and groups[8] <= 1.1 * n
     got = nd.near_duplicates(df, count=8).collect()
     assert all(r.component_id // 2 == r.doc_id // 2 for r in got)
 
 
-def test_keep_one_of_each(spark, edge):
-    kept = nd.keep_one_of_each(edge).collect()
-    assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept) == [(False, 1), (False, 4), (False, 5), (False, 6), (False, 9), (True, 0)]
-    assert kept[0].asDict().keys() == set(edge.columns)
-    assert nd.keep_one_of_each(edge.limit(0)).count() == 0
-
-
 def test_near_duplicates_edges(spark, edge):
     out = nd.near_duplicates(edge).collect()
     fps = [brute_fp(t) for _, t in ROWS]
