@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _OWN: list[str] = []
+#: Folders of tables that this process has written and not deleted yet.
+_LEFT: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,12 +30,58 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _OWN[0]
 
 
+def _delete(paths: list[str]) -> None:
+    jvm = SparkContext._jvm
+    if jvm is None:
+        return
+    active = SparkSession.getActiveSession()
+    conf = active._jsc.hadoopConfiguration() if active else jvm.org.apache.hadoop.conf.Configuration()
+    for path in paths:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(conf).delete(p, True)
+        _LEFT.discard(path)
+
+
+def drop_written() -> None:
+    """Deletes every table that this process has written to the shared folder and still has there.
+
+    Results that haven't been computed yet may read them: call it when those are done. It also runs as the process ends.
+    """
+    _delete(sorted(_LEFT))
+
+
+@atexit.register
+def _at_exit() -> None:
+    with contextlib.suppress(Exception):  # the JVM may be gone
+        drop_written()
+
+
+class Stash:
+    """Tables written to the shared folder: they cut lineage, survive lost executors, and are read again as plain scans.
+
+    A result that is still to be computed may read them, so they stay until ``drop`` names them, or until ``drop_written``
+    or the end of the process, which delete all.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/stash-{uuid.uuid4().hex}", 0
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        path = f"{self.root}/{self.n}"
+        _LEFT.add(path)
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        out._stash_path = path
+        return out
+
+    def drop(self, *frames: DataFrame) -> None:
+        _delete([df._stash_path for df in frames])
+
+
 def written(df: DataFrame) -> DataFrame:
     """The table, written to the shared folder and read again: nothing above it is computed twice."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return Stash(df.sparkSession)(df)
 
 
 def dense_ids(df: DataFrame, name: str, *order: str | Column, first: int = 1, step: Column | None = None) -> DataFrame:
