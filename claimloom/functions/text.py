@@ -5,18 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: English stop words that clipping drops, and pronouns that it keeps (fixed values).
-STOP_WORDS = (
-    "a about above after again against all am an and any are as at be because been before being below between both but by can could did do does doing down during each few for from further had has have having "
-    "here how if in into is itself just like more most my myself no nor not now of off on once only or other out over own same should so some such than that the their themselves then there these this those "
-    "through to too under until up very was were what when where which while who whom why will with would"
+#: The common English stop-word list, in its own order, and "like" (fixed values).
+STOP_LIST = (
+    "i me my myself we our ours ourselves you you're you've you'll you'd your yours yourself yourselves he him his himself she she's her hers herself it it's its itself they them their theirs themselves "
+    "what which who whom this that that'll these those am is are was were be been being have has had having do does did doing a an the and but if or because as until while of at by for with about against between into through "
+    "during before after above below to from up down in out on off over under again further then once here there when where why how all any both each few more most other some such no nor not only own same so than too very "
+    "s t can will just don don't should should've now d ll m o re ve y ain aren aren't couldn couldn't didn didn't doesn doesn't hadn hadn't hasn hasn't haven haven't isn isn't ma mightn mightn't mustn mustn't needn needn't "
+    "shan shan't shouldn shouldn't wasn wasn't weren weren't won won't wouldn wouldn't like"
 ).split()
-PRONOUNS = "he she it one they them we our you your ours her him me".split()
+#: Pronouns that clipping keeps (fixed values).
+PRONOUNS = "he she it one they them we our you your ours her him I me".split()
+STOP_WORDS = [w for w in STOP_LIST if w not in PRONOUNS]
 #: The characters a token may consist of to count as punctuation (fixed values).
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 WORD = r"[\p{L}\p{N}]+"
+#: What a roleset label begins with (fixed value).
 PROPBANK = r"^[a-z, -]*-[0-9]{2}"
+#: Marks that a long sentence may be cut after (fixed values).
+STOP_MARKS = ["!", "?", ".", ":", ";", "—", ",", "-"]
 
 
 def sentences(text: Column) -> Column:
@@ -35,7 +42,7 @@ def refine_tokens(tokens: Column, most: int = 50) -> Column:
     """
     split = F.flatten(F.transform(tokens, lambda t: F.split(t, r"(?<=[()\[\]\"—])|(?=[()\[\]\"—])")))
     clean = F.filter(F.transform(split, lambda t: F.when(t == '"', "'").otherwise(t)), lambda t: t != "")
-    stops = F.filter(F.transform(clean, lambda t, i: F.when(t.isin("!", "?", ".", ":", ";", "—", ",", "-") & (i >= most), i)), lambda i: i.isNotNull())
+    stops = F.filter(F.transform(clean, lambda t, i: F.when(t.isin(STOP_MARKS) & (i >= most), i)), lambda i: i.isNotNull())
     return F.when(F.size(stops) > 0, F.slice(clean, 1, F.element_at(stops, 1) + 1)).otherwise(clean)
 
 

@@ -23,22 +23,29 @@ def assign_topics(claims: DataFrame, topics: DataFrame) -> DataFrame:
     return claims.join(t, F.lower(F.trim("template")) == F.col("key"), "left").drop("key")
 
 
-#: Templates whose vectors may be broadcast.
-MOST_TEMPLATES = 10_000
+#: Templates whose vectors a task holds at once, and parts that the sentences are dealt to for each such block.
+TEMPLATE_BLOCK, PARTS = 10_000, 64
 
 
-def nearest_template(sentences: DataFrame, templates: DataFrame, n_templates: int | None = None) -> DataFrame:
+def nearest_template(sentences: DataFrame, templates: DataFrame, n_templates: int | None = None, block: int = TEMPLATE_BLOCK) -> DataFrame:
     """(id, template_id, score): of each sentence vector ``v`` the template vector ``t`` of highest cosine, ties by id.
 
-    The templates become one array that every row is compared with, so there is no join of all pairs.
+    Up to ``block`` templates become one array that every row is compared with, so there is no join of all pairs. More are
+    cut into blocks; the sentences meet each block, dealt to PARTS tasks, and the best of all blocks counts.
     """
     n = n_templates if n_templates is not None else templates.count()
-    if n > MOST_TEMPLATES:
-        raise ValueError(f"{n} templates: split them into tables of {MOST_TEMPLATES} and take the best of each")
-    held = templates.agg(F.array_sort(F.collect_list(F.struct("template_id", "t"))).alias("all"))
     scored = F.transform(F.col("all"), lambda x: F.struct((-F.round(T.cosine(F.col("v"), x["t"]), 6)).alias("minus"), x["template_id"].alias("template_id")))
-    best = F.array_min(scored)
-    return sentences.withColumn("all", held.scalar()).select("id", best.alias("b")).select("id", F.col("b.template_id").alias("template_id"), (-F.col("b.minus")).alias("score"))
+    best = F.array_min(scored).alias("b")
+    array = F.array_sort(F.collect_list(F.struct("template_id", "t"))).alias("all")
+    if n <= block:
+        found = sentences.withColumn("all", templates.agg(array).scalar()).select("id", best)
+    else:
+        k = -(-n // block)
+        numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        blocks = templates.withColumn("block", F.pmod(F.xxhash64("template_id"), F.lit(k)).cast("int")).groupBy("block").agg(array).select("*", numbers(PARTS).alias("part"))
+        dealt = sentences.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(PARTS)).cast("int").alias("part"), numbers(k).alias("block"))
+        found = dealt.join(blocks, ["block", "part"]).select("id", best).groupBy("id").agg(F.min("b").alias("b"))
+    return found.select("id", F.col("b.template_id").alias("template_id"), (-F.col("b.minus")).alias("score"))
 
 
 def valid_fraction(claims: DataFrame, *by: str) -> DataFrame:

@@ -1,16 +1,24 @@
 """Token-pattern matching: pattern sequences over token attributes, run as regular expressions over token classes.
 
 Each pattern's distinct predicates give every token a bit mask, and the mask one character; a step of the pattern is then
-a character class with a quantifier. All overlapping matches are returned, as a matcher without a greedy mode does.
+a character class with a quantifier. All overlapping matches are returned, as a matcher without a greedy mode does. The
+tokens of a whole Arrow batch are classed at once, column by column, and searched as one string.
 """
 
 from __future__ import annotations
 
 import json
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from ..functions import text as T
 
@@ -28,10 +36,15 @@ class Pattern:
     pattern_id: int
     #: (attribute, values) of each distinct predicate
     predicates: tuple[tuple[str, tuple[str, ...]], ...]
-    regex: str
+    #: (characters, quantifier) of each step
+    steps: tuple[tuple[str, str], ...]
     least: int
     most: int | None
 
+    def regex(self, backward: bool = False) -> str:
+        steps = self.steps[::-1] if backward else self.steps
+        return "".join(f"[{chars}]{op}" for chars, op in steps)
+
 
 def load_patterns(source: str, names: list[str] | None = None) -> list[Pattern]:
     """Patterns of a JSON text {template: [[{attribute: value or {"IN": [...]}, "OP": quantifier}, ...], ...]}."""
@@ -57,56 +70,129 @@ def compile_pattern(template: str, pattern_id: int, steps: list[dict], names: li
     predicates = list(dict.fromkeys(p for one in wanted for p in one))
     if len(predicates) > 9:
         raise ValueError(f"{template}: more than 9 distinct predicates")
-    regex, least, most = "", 0, 0
+    made, least, most = [], 0, 0
     for step, one in zip(steps, wanted, strict=True):
         bits = sum(1 << predicates.index(p) for p in one)
         chars = "".join(ALPHABET[m] for m in range(1 << len(predicates)) if m & bits == bits)
         op = step.get("OP", "")
-        regex += f"[{chars}]{'' if op == '1' else op}"
-        least += op in ("", "1", "+")
+        op = "" if op == "1" else op
+        made.append((chars, op))
+        least += op in ("", "+")
         most = None if op in ("+", "*") or most is None else most + 1
-    return Pattern(template, pattern_id, tuple(predicates), regex, least, most)
+    return Pattern(template, pattern_id, tuple(predicates), tuple(made), least, most)
 
 
 def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def matches(units: DataFrame, patterns: list[Pattern], tokens: str = "tokens", most_tokens: int | None = None) -> DataFrame:
-    """``units`` with template, pattern_id, first and last (token positions, last exclusive): a row for each match.
-
-    tokens: an array of structs with text, lemma, pos and ent_type. most_tokens bounds the length of matches of patterns
-    with an open quantifier; without it, they may span the unit. Units without a match give no row.
+class Scanner:
+    """All matches of one pattern in a string of token classes, in which a line end parts the units."""
+
+    def __init__(self, pattern: Pattern, cap: int | None):
+        self.p = pattern
+        self.bound = pattern.most if pattern.most is not None else cap
+        self.found = [re.compile(f"(?=({pattern.regex(back)}))") for back in (False, True)]
+        self.steps = [[(frozenset(chars), op) for chars, op in (pattern.steps[::-1] if back else pattern.steps)] for back in (False, True)]
+
+    def backward(self, classes: str) -> bool:
+        """Search from the end if fewer tokens fit the last step that must be there than the first one."""
+        must = [chars for chars, op in self.p.steps if op in ("", "+")]
+        if len(must) < 2:
+            return False
+        counts = [sum(map(classes.count, chars)) for chars in (must[0], must[-1])]
+        return counts[1] < counts[0]
+
+    def closure(self, at: int, steps: list) -> set[int]:
+        """Steps that may come next, at or after this one; the number of steps stands for the end."""
+        out = {at}
+        while at < len(steps) and steps[at][1] in ("?", "*"):
+            at += 1
+            out.add(at)
+        return out
+
+    def ends(self, s: str, start: int, stop: int, steps: list) -> Iterator[int]:
+        """Where matches that begin here end, up to the longest one's end."""
+        states = self.closure(0, steps)
+        for i in range(start, stop):
+            c, after = s[i], set()
+            for k in states:
+                if k < len(steps) and c in steps[k][0]:
+                    after |= self.closure(k + 1, steps)
+                    if steps[k][1] in ("+", "*"):
+                        after.add(k)
+            states = after
+            if len(steps) in states:
+                yield i + 1
+            if not states or (self.bound is not None and i + 1 - start >= self.bound):
+                return
+
+    def __call__(self, classes: str) -> tuple[list[int], list[int]]:
+        """First and last (exclusive) place of each match."""
+        back = self.backward(classes)
+        s = classes[::-1] if back else classes
+        firsts, lasts = [], []
+        for m in self.found[back].finditer(s):
+            for end in self.ends(s, m.start(), m.end(1), self.steps[back]):
+                firsts.append(m.start())
+                lasts.append(end)
+        return ([len(s) - x for x in lasts], [len(s) - x for x in firsts]) if back else (firsts, lasts)
+
+
+def matches(units: DataFrame, patterns: list[Pattern], tokens: str = "tokens", most_tokens: int | None = None, keep: list[str] | None = None) -> DataFrame:
+    """Units with template, pattern_id, first and last (token positions, last exclusive): a row for each match.
+
+    tokens: an array of structs with text, lemma, pos and ent_type. keep: columns of the units that the result has, by
+    default all; fewer are cheaper. most_tokens bounds the length of matches of patterns with an open quantifier; without
+    it, they may span the unit. Units without a match give no row; a null token has none of the attributes.
     """
-    found = [_of(p, F.col(tokens), most_tokens) for p in patterns]
-    return units.withColumn("m", F.explode(F.flatten(F.array(*found)))).select(*units.columns, "m.*")
-
-
-def _of(p: Pattern, tokens: Column, cap: int | None) -> Column:
-    def char(t: Column) -> Column:
-        mask = F.lit(1)
-        for b, (name, values) in enumerate(p.predicates):
-            value = F.lower(t["text"]) if name == "lower" else t[name]
-            mask = mask + F.when(F.coalesce(value.isin(*values), F.lit(False)), 1 << b).otherwise(0)
-        return F.substring(F.lit(ALPHABET[: 1 << len(p.predicates)]), mask, F.lit(1))
-
-    def scan(c: Column) -> Column:
-        # at each token the longest match that starts there, or nothing; steps are single classes, so the greedy match is the longest
-        at = F.split(F.regexp_replace(c, F.lit(f"(?=({p.regex})|)."), F.lit("$1|")), "[|]")
-        starts = F.filter(F.transform(at, lambda s, i: F.struct(s.alias("s"), i.alias("i"))), lambda x: F.length(x["s"]) > 0)
-        bound = p.most if p.most is not None else cap
-        longest = lambda s: F.char_length(s) if bound is None else F.least(F.char_length(s), F.lit(bound))
-        lengths = lambda s: F.filter(F.sequence(F.lit(max(p.least, 1)), F.greatest(longest(s), F.lit(max(p.least, 1)))), lambda k: (k <= longest(s)) & F.substring(s, 1, k).rlike(f"^(?:{p.regex})$"))
-        hit = lambda i, k: F.struct(F.lit(p.template).alias("template"), F.lit(p.pattern_id).alias("pattern_id"), i.alias("first"), (i + k).alias("last"))
-        return F.flatten(F.transform(starts, lambda x: F.transform(lengths(x["s"]), lambda k: hit(x["i"], k))))
+    kept = units.columns if keep is None else keep
+    scanners = [Scanner(p, most_tokens) for p in patterns]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(tokens)
+            n = np.asarray(pc.fill_null(pc.list_value_length(lists), 0))
+            flat, total = lists.flatten(), int(n.sum())
+            # unit u begins at at[u] of the string of classes, where a line end follows each unit
+            at = np.cumsum(n + 1) - n - 1
+            unit = np.repeat(np.arange(len(n)), n)
+            place = np.arange(total) + unit
+            values: dict[str, pa.Array] = {}
+            rows, out = [], {"template": [], "pattern_id": [], "first": [], "last": []}
+            for scanner in scanners:
+                p = scanner.p
+                mask = np.zeros(total, np.uint16)
+                for bit, (name, wanted) in enumerate(p.predicates):
+                    if name not in values:
+                        values[name] = pc.utf8_lower(pc.struct_field(flat, "text")) if name == "lower" else pc.struct_field(flat, name)
+                    hit = pc.fill_null(pc.is_in(values[name], value_set=pa.array(wanted, values[name].type)), False)
+                    mask |= np.asarray(hit).astype(np.uint16) << np.uint16(bit)
+                classes = np.full(total + len(n), ord("\n"), "<u2")
+                classes[place] = mask + np.uint16(ord(ALPHABET[0]))
+                first, last = scanner(classes.tobytes().decode("utf-16-le"))
+                first, last = np.array(first, np.int64), np.array(last, np.int64)
+                u = np.searchsorted(at, first, side="right") - 1
+                rows.append(u)
+                out["template"] += [p.template] * len(u)
+                out["pattern_id"] += [p.pattern_id] * len(u)
+                out["first"].append(first - at[u])
+                out["last"].append(last - at[u])
+            if not rows:
+                continue
+            taken = batch.select(kept).take(pa.array(np.concatenate(rows)))
+            made = [pa.array(out["template"], pa.string()), pa.array(out["pattern_id"], pa.int32()), *[pa.array(np.concatenate(out[c]), pa.int32()) for c in ("first", "last")]]
+            yield pa.RecordBatch.from_arrays([*taken.columns, *made], [*kept, *out])
 
-    return _let(F.array_join(F.transform(tokens, char), ""), scan)
+    fields = [f for f in (units.schema[c] for c in kept)]
+    schema = StructType([*fields, StructField("template", StringType()), StructField("pattern_id", IntegerType()), StructField("first", IntegerType()), StructField("last", IntegerType())])
+    return units.select(*dict.fromkeys([*kept, tokens])).mapInArrow(run, schema)
 
 
 def tokenised(docs: DataFrame, tagger=None) -> DataFrame:
     """(doc_id, sent_id, sentence, tokens): words of each sentence with offsets, lemma, part of speech and entity type.
 
-    tagger: word column to (lemma, pos, ent_type) columns; by default the lower-cased word and nothing else.
+    Further columns of the documents stay. tagger: word column to (lemma, pos, ent_type) columns; by default the lower-cased word and nothing else.
     """
     tagger = tagger or (lambda w: (F.lower(w), F.lit(""), F.lit("")))
 
@@ -114,8 +200,10 @@ def tokenised(docs: DataFrame, tagger=None) -> DataFrame:
         lemma, pos, ent = tagger(w)
         return F.struct(i.alias("i"), w.alias("text"), lemma.alias("lemma"), pos.alias("pos"), ent.alias("ent_type"))
 
-    s = docs.where("text IS NOT NULL").select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("sent_id", "sentence"))
-    return s.withColumn("tokens", F.transform(T.words(F.col("sentence")), token)).where(F.size("tokens") > 0)
+    more = [c for c in docs.columns if c not in ("doc_id", "text")]
+    s = docs.where("text IS NOT NULL").select("doc_id", *more, F.posexplode(T.sentences(F.col("text"))).alias("sent_id", "sentence"))
+    # a test of the sentence rather than of its tokens, which would be made twice
+    return s.where(F.col("sentence").rlike(T.WORD)).withColumn("tokens", F.transform(T.words(F.col("sentence")), token))
 
 
 def running_offsets(tokens: DataFrame) -> DataFrame:
@@ -130,16 +218,23 @@ def running_offsets(tokens: DataFrame) -> DataFrame:
 def search_offsets(text: Column, tokens: Column) -> Column:
     """(token, start, stop inclusive) of each token, each searched for past the summed lengths of those before it.
 
-    A token that isn't found there gets -1 and a stop before 0.
+    A token that isn't found there gets -1 and a stop before 0. A null text or list gives null.
     """
-    begin = F.struct(F.lit(0).alias("low"), F.expr("cast(array() as array<struct<token:string,start:int,stop:int>>)").alias("out"))
 
-    def step(s: Column, t: Column) -> Column:
-        at = F.position(t, text, s["low"] + 1) - 1
-        span = F.struct(t.alias("token"), at.alias("start"), (at + F.char_length(t) - 1).alias("stop"))
-        return F.struct((s["low"] + F.char_length(t)).alias("low"), F.concat(s["out"], F.array(span)).alias("out"))
+    @F.pandas_udf(ArrayType(IntegerType()))
+    def places(texts: pd.Series, lists: pd.Series) -> pd.Series:
+        def of(t, words):
+            if t is None or words is None:
+                return None
+            low, out = 0, []
+            for w in words:
+                out.append(t.find(w, low))
+                low += len(w)
+            return out
+
+        return pd.Series([of(t, words) for t, words in zip(texts, lists, strict=True)], dtype=object)
 
-    return F.aggregate(tokens, begin, step)["out"]
+    return F.zip_with(tokens, places(text, tokens), lambda t, at: F.struct(t.alias("token"), at.alias("start"), (at + F.char_length(t) - 1).alias("stop")))
 
 
 def span_of_text(firsts: Column, lasts: Column) -> Column:

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 #: Characters of a bin in the containment join.
 BIN = 256
-#: Offsets that a near match tries, in order (fixed values). The fourth one is as published data have it: it compares the
-#: end with the start, so an end that is one lower alone is not found; ``symmetric`` replaces it.
-PROBES = [("s", "e", 0, 0), ("s", "e", -1, 0), ("s", "e", 0, 1), ("s", "s", 0, -1), ("s", "e", 1, 0), ("s", "e", 1, 1), ("s", "e", -1, -1), ("s", "e", 1, -1), ("s", "e", -1, 1)]
+#: Places that a near match tries, in order: the start's offset, and the end's (fixed values). The fourth one is as
+#: published data have it: its end is one below the start, so an end that is one lower alone is not found; ``symmetric``
+#: replaces it.
+PROBES = [("s", -1, "e", -1), ("s", -1, "e", 0), ("s", -1, "e", 1), ("s", 0, "s", -1), ("s", 0, "e", 0), ("s", 0, "e", 1), ("s", 1, "e", -1), ("s", 1, "e", 0), ("s", 1, "e", 1)]
 
 
 def bins(start: Column, stop: Column, width: int = BIN) -> Column:
@@ -46,14 +47,12 @@ def linked_spans(mentions: DataFrame, spans: DataFrame, contained: bool = True)
 
 
 def near_spans(mentions: DataFrame, spans: DataFrame, symmetric: bool = False) -> DataFrame:
-    """(m_id, s_id, probe): the span that the first of the nine probes finds; of several at a probe the last s_id."""
+    """(m_id, s_id, probe): the span that the first of the nine probes finds; of several at a probe the largest s_id."""
     end = {"s": F.col("m_start"), "e": F.col("m_stop")}
-    tries = []
-    for i, (a, b, da, db) in enumerate(PROBES):
-        tries.append(F.struct(F.lit(i).alias("probe"), (end[a] + da).alias("p_start"), ((end["e"] if symmetric else end[b]) + db).alias("p_stop")))
+    tries = [F.struct(F.lit(i).alias("probe"), (end[a] + da).alias("p_start"), (end["e" if symmetric else b] + db).alias("p_stop")) for i, (a, da, b, db) in enumerate(PROBES)]
     p = mentions.select("m_id", F.col("doc").alias("m_doc"), F.explode(F.array(*tries)).alias("t")).select("m_id", "m_doc", "t.*")
     j = p.join(spans, (F.col("m_doc") == F.col("doc")) & (F.col("p_start") == F.col("s_start")) & (F.col("p_stop") == F.col("s_stop")))
-    return j.groupBy("m_id").agg(F.min(F.struct("probe", (-F.col("s_id")).alias("minus"))).alias("b")).select("m_id", (-F.col("b.minus")).alias("s_id"), F.col("b.probe").alias("probe"))
+    return j.groupBy("m_id").agg(F.max(F.struct((-F.col("probe")).alias("minus"), "s_id")).alias("b")).select("m_id", "b.s_id", (-F.col("b.minus")).alias("probe"))
 
 
 def contained_texts(texts: DataFrame, needles: DataFrame, text_id: str, needle_id: str) -> DataFrame:

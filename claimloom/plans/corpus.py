@@ -24,9 +24,6 @@ PROSE_PATTERNS = json.dumps(
         "Y in X": [[{"POS": "NOUN"}, {"LEMMA": "in"}, {"POS": "ADP", "OP": "*"}, {"TEXT": {"IN": ["the", "that", "an"]}}]],
     }
 )
-#: The bound in the SQL; the queries have none, so they give the SQL's matches and the longer ones.
-MOST_TOKENS = 8
-
 TOPICS = Fixture(
     "topics", "ord int, id string, subtopic string, topic string, template string",
     [(0, "ID", "subtopic", "topic", "Template"), (1, "C1", "Part", "Relations", "X of Y"), (2, "C2", "Nature", "Relations", "X is Y"), (3, "C3", "Old place", "Places", "Y in X "), (4, "C4", "Place", "Places", "y in x"), (5, "C5", "Unused", "Other", "Z")],
@@ -43,24 +40,24 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def _matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _matches(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
     units = M.tokenised(_docs(spark, sf_dir).select("doc_id", "text"), tagger)
-    return M.matches(units, M.load_patterns(PROSE_PATTERNS))
+    return M.matches(units, M.load_patterns(PROSE_PATTERNS), keep=list(keep))
 
 
 def flagship_topic_counts(spark, sf_dir):
-    found = C.assign_topics(_matches(spark, sf_dir).select("doc_id", "template"), TOPICS.df(spark))
+    found = C.assign_topics(_matches(spark, sf_dir, "doc_id"), TOPICS.df(spark))
     return found.groupBy("topic", "subtopic").agg(F.count("*").alias("n_claims"), F.countDistinct("doc_id").alias("n_docs"))
 
 
 def claim_matches(spark, sf_dir):
     words = lambda c: F.array_join(F.transform(F.slice("tokens", F.col("first") + 1, F.col("last") - F.col("first")), lambda t: t["text"]), " ")
-    m = _matches(spark, sf_dir).withColumn("claim_text", words("tokens"))
+    m = _matches(spark, sf_dir, "doc_id", "sent_id", "tokens").withColumn("claim_text", words("tokens"))
     return m.select("doc_id", "sent_id", "template", F.col("first").alias("first_token"), F.col("last").alias("last_token"), "claim_text", T.short_id(F.col("doc_id").cast("string"), F.col("sent_id").cast("string"), F.col("first").cast("string"), F.col("last").cast("string"), F.col("template")).alias("claim_id"))
 
 
 def claim_topics(spark, sf_dir):
-    found = C.assign_topics(_matches(spark, sf_dir).select("doc_id", "template"), TOPICS.df(spark))
+    found = C.assign_topics(_matches(spark, sf_dir, "doc_id"), TOPICS.df(spark))
     return found.groupBy("template", "topic", "subtopic").agg(F.count("*").alias("n_claims"))
 
 
@@ -84,13 +81,11 @@ _CLASS = f"""CASE WHEN lower(x) IN ('de', 'von', 'of') THEN CASE WHEN x IN ('of'
   WHEN x = 'that' THEN 'T' ELSE 'n' END"""
 _FOUND = _TOKENS + f""",
 c AS (SELECT doc_id, sent_id, w, array_to_string(list_transform(w, lambda x: {_CLASS}), '') AS cls FROM tok),
+p(template, steps) AS (VALUES ('X of Y', '[nTde]o[de]?[nT]'), ('X is Y', '[de][nT]+b[oip]?[nT]'), ('Y in X', '[nT]i[oip]*[eT]')),
 i AS (SELECT *, unnest(range(0, length(cls))) AS a FROM c),
-j AS (SELECT *, unnest(range(a + 2, least(a + {MOST_TOKENS}, length(cls)) + 1)) AS b FROM i),
-m AS (
-  SELECT doc_id, sent_id, w, a, b, 'X of Y' AS template FROM j WHERE b - a <= 4 AND regexp_full_match(substring(cls, a + 1, b - a), '[nTde]o[de]?[nT]')
-  UNION ALL SELECT doc_id, sent_id, w, a, b, 'X is Y' FROM j WHERE regexp_full_match(substring(cls, a + 1, b - a), '[de][nT]+b[oip]?[nT]')
-  UNION ALL SELECT doc_id, sent_id, w, a, b, 'Y in X' FROM j WHERE regexp_full_match(substring(cls, a + 1, b - a), '[nT]i[oip]*[eT]')
-)"""
+l AS (SELECT i.*, template, steps, length(regexp_extract(substring(cls, a + 1), '^(?:' || steps || ')')) AS longest FROM i CROSS JOIN p),
+j AS (SELECT *, unnest(range(a + 1, a + longest + 1)) AS b FROM l WHERE longest > 0),
+m AS (SELECT doc_id, sent_id, w, a, b, template FROM j WHERE regexp_full_match(substring(cls, a + 1, b - a), steps))"""
 _TOPIC = "topic_of AS (SELECT lower(trim(template)) AS k, arg_max(topic, ord) AS topic, arg_max(subtopic, ord) AS subtopic FROM topics WHERE ord > 0 GROUP BY 1)"
 
 ORACLE = {
@@ -159,7 +154,14 @@ def stopword_clip(spark, sf_dir):
     return t.select("doc_id", "sent_id", F.array_join(T.clip(w), " ").alias("clipped"), T.clip_short(w).alias("short"))
 
 
-ORACLE["stopword_clip"] = f"""WITH {_TOKENS}, k AS (SELECT doc_id, sent_id, w, list_filter(range(1, len(w) + 1), lambda i: lower(w[i]) NOT IN {_in(T.STOP_WORDS)}) AS pos FROM tok),
+#: The stop words without apostrophes, which the words here never have, in the order of the alphabet.
+_STOPS = (
+    "a about above after again against ain all am an and any are aren as at be because been before being below between both but by can couldn d did didn do does doesn doing don down during each few for from further had hadn has hasn "
+    "have haven having here hers herself himself his how i if in into is isn its itself just like ll m ma mightn more most mustn my myself needn no nor not now o of off on once only or other ourselves out over own re s same shan "
+    "should shouldn so some such t than that the their theirs themselves then there these this those through to too under until up ve very was wasn were weren what when where which while who whom why will with won wouldn y yours "
+    "yourself yourselves"
+).split()
+ORACLE["stopword_clip"] = f"""WITH {_TOKENS}, k AS (SELECT doc_id, sent_id, w, list_filter(range(1, len(w) + 1), lambda i: lower(w[i]) NOT IN {_in(_STOPS)}) AS pos FROM tok),
 c AS (SELECT doc_id, sent_id, CASE WHEN len(pos) = 0 THEN [] ELSE w[pos[1]:pos[-1]] END AS l FROM k)
 SELECT doc_id, sent_id::INT AS sent_id, array_to_string(l, ' ') AS clipped, CASE WHEN len(l) > 4 THEN '' ELSE array_to_string(l, ' ') END AS short FROM c"""
 
@@ -183,16 +185,17 @@ SELECT doc_id, sent_id::INT AS sent_id, start::INT AS start, CASE WHEN start IS
 
 DOMAIN_PATTERNS = json.dumps(
     {
-        "X prevents it": [[{"POS": {"IN": ["NOUN", "PROPN"]}, "OP": "+"}, {"LEMMA": "prevent", "OP": "+"}, {"TEXT": {"IN": "CORONA_NAME_VARIATIONS"}, "OP": "+"}]],
-        "it began in X": [[{"TEXT": {"IN": "CORONA_NAME_VARIATIONS"}}, {"LEMMA": "begin"}, {"POS": "ADP", "OP": "?"}, {"ENT_TYPE": {"IN": ["GPE", "LOC"]}, "OP": "+"}]],
+        "no X against it": [[{"LOWER": {"IN": ["no", "any"]}}, {"POS": "ADJ", "OP": "*"}, {"POS": "NOUN"}, {"LEMMA": {"IN": ["against", "for"]}, "OP": "?"}, {"TEXT": {"IN": "CORONA_NAME_VARIATIONS"}}]],
+        "it rose by X": [[{"TEXT": {"IN": "CORONA_NAME_VARIATIONS"}}, {"POS": "NOUN", "OP": "?"}, {"LEMMA": {"IN": ["rise", "fall"]}}, {"ENT_TYPE": {"IN": ["PERCENT", "CARDINAL"]}, "OP": "+"}, {"LOWER": "yesterday", "OP": "?"}]],
     }
 )
 DOMAIN_TOKENS = Fixture(
     "toks", "sent int, i int, text string, lemma string, pos string, ent_type string",
     [
-        (1, 0, "Vitamin", "vitamin", "NOUN", ""), (1, 1, "D", "d", "NOUN", ""), (1, 2, "prevents", "prevent", "VERB", ""), (1, 3, "COVID-19", "covid-19", "PROPN", ""),
-        (2, 0, "Coronavirus", "coronavirus", "NOUN", ""), (2, 1, "began", "begin", "VERB", ""), (2, 2, "in", "in", "ADP", ""), (2, 3, "New", "new", "PROPN", "GPE"), (2, 4, "York", "york", "PROPN", "GPE"),
-        (3, 0, "Garlic", "garlic", "PROPN", ""), (3, 1, "prevents", "prevent", "VERB", ""), (3, 2, "flu", "flu", "NOUN", ""), (4, 0, "covid-19", "covid-19", "NOUN", None), (4, 1, "began", "begin", "VERB", None), (4, 2, "Italy", "italy", "PROPN", "GPE"),
+        (1, 0, "There", "there", "PRON", ""), (1, 1, "is", "be", "VERB", ""), (1, 2, "No", "no", "DET", ""), (1, 3, "proven", "proven", "ADJ", ""), (1, 4, "cheap", "cheap", "ADJ", ""), (1, 5, "cure", "cure", "NOUN", ""), (1, 6, "for", "for", "ADP", ""), (1, 7, "SARS-CoV-2", "sars-cov-2", "NOUN", ""),
+        (2, 0, "Coronavirus", "coronavirus", "NOUN", None), (2, 1, "cases", "case", "NOUN", None), (2, 2, "fell", "fall", "VERB", None), (2, 3, "about", "about", "ADV", "PERCENT"), (2, 4, "9", "9", "NUM", "PERCENT"), (2, 5, "%", "%", "SYM", "PERCENT"), (2, 6, "Yesterday", "yesterday", "NOUN", "DATE"),
+        (3, 0, "any", "any", "DET", ""), (3, 1, "mask", "mask", "NOUN", ""), (3, 2, "flu", "flu", "NOUN", ""), (4, 0, "covid-19", "covid-19", "NOUN", None), (4, 1, "rose", "rise", "VERB", None), (4, 2, "twice", "twice", "ADV", "CARDINAL"),
+        (5, 0, "any", "any", "DET", ""), (5, 1, "test", "test", "NOUN", ""), (5, 2, "covid-19", "covid-19", "PROPN", ""), (5, 3, "rose", "rise", "VERB", ""), (5, 4, "up", "up", "ADV", ""),
     ],
 )
 
@@ -204,16 +207,16 @@ def claim_matches_domain(spark, sf_dir):
     return m.select("sent", "template", F.col("first").alias("first_token"), F.col("last").alias("last_token"), text.alias("claim_text"))
 
 
-ORACLE["claim_matches_domain"] = f"""{with_fixtures(DOMAIN_TOKENS)}, v AS (SELECT *, text IN {_in(M.NAME_VARIATIONS)} AS name, coalesce(ent_type IN ('GPE', 'LOC'), false) AS place FROM toks),
-p AS (SELECT x.sent, x.i AS a, y.i + 1 AS b FROM v x JOIN v y ON x.sent = y.sent AND y.i > x.i),
-r AS (SELECT p.sent, a, b, string_agg(text, ' ' ORDER BY i) AS claim_text, string_agg(CASE WHEN lemma = 'prevent' THEN 'v' WHEN name AND pos IN ('NOUN', 'PROPN') THEN 'B' WHEN name THEN 'c' WHEN pos IN ('NOUN', 'PROPN') THEN 'n' ELSE 'z' END, '' ORDER BY i) AS k1,
-  string_agg(CASE WHEN place THEN 'g' WHEN name THEN 'c' WHEN lemma = 'begin' THEN 'v' WHEN pos = 'ADP' THEN 'p' ELSE 'z' END, '' ORDER BY i) AS k2 FROM p JOIN v ON v.sent = p.sent AND v.i >= a AND v.i < b GROUP BY 1, 2, 3)
-SELECT sent, 'X prevents it' AS template, a AS first_token, b AS last_token, claim_text FROM r WHERE regexp_full_match(k1, '[nB]+v+[cB]+')
-UNION ALL SELECT sent, 'it began in X', a, b, claim_text FROM r WHERE regexp_full_match(k2, 'cvp?g+')"""
+#: Letters of a token: h no or any, a adjective, n noun, N noun that is a name, V other name, p preposition, r rise or fall, q number, y yesterday.
+ORACLE["claim_matches_domain"] = f"""{with_fixtures(DOMAIN_TOKENS)}, v AS (SELECT *, text IN ('COVID-19', 'Coronavirus', 'SARS-CoV-2', 'coronavirus', 'corona virus', 'covid-19', 'covid 19') AS nm FROM toks),
+k AS (SELECT sent, i, text, CASE WHEN lower(text) IN ('no', 'any') THEN 'h' WHEN pos = 'ADJ' THEN 'a' WHEN nm AND pos = 'NOUN' THEN 'N' WHEN nm THEN 'V' WHEN lower(text) = 'yesterday' THEN 'y' WHEN pos = 'NOUN' THEN 'n' WHEN lemma IN ('against', 'for') THEN 'p' WHEN lemma IN ('rise', 'fall') THEN 'r' WHEN ent_type IN ('PERCENT', 'CARDINAL') THEN 'q' ELSE 'z' END AS c FROM v),
+r AS (SELECT x.sent, x.i AS a, y.i + 1 AS b, (SELECT string_agg(text, ' ' ORDER BY i) FROM k WHERE k.sent = x.sent AND k.i >= x.i AND k.i <= y.i) AS claim_text, (SELECT string_agg(c, '' ORDER BY i) FROM k WHERE k.sent = x.sent AND k.i >= x.i AND k.i <= y.i) AS s FROM k x JOIN k y ON x.sent = y.sent AND y.i >= x.i)
+SELECT sent, 'no X against it' AS template, a AS first_token, b AS last_token, claim_text FROM r WHERE regexp_full_match(s, 'ha*[nNy]p?[NV]')
+UNION ALL SELECT sent, 'it rose by X', a, b, claim_text FROM r WHERE regexp_full_match(s, '[NV][nNy]?rq+y?')"""
 
 
 def topic_by_similarity(spark, sf_dir):
-    """Embeddings as sentence vectors, the first ones of each label as templates: the nearest template."""
+    """Embeddings as sentence vectors, those of the first twelve ids as templates: the nearest template."""
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     return C.nearest_template(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), e.where("vec_id < 12").select(F.col("vec_id").alias("template_id"), F.col("embedding").alias("t")), 12)
 

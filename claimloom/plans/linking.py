@@ -79,8 +79,16 @@ e AS (SELECT m_id, min(s_id) AS s_id FROM m JOIN s ON m.doc = s.doc AND m_start
 c AS (SELECT m_id, min(s_id) AS s_id FROM m JOIN s ON m.doc = s.doc AND m_start <= s_start AND m_stop >= s_stop GROUP BY 1)"""
 
 
+def _equal_spans(spark, sf_dir):
+    """Events of a group of users as short spans, of which many are equal."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    start = (F.col("event_id") * 7 % 300).cast("long")
+    cols = lambda k, n: [F.col("event_id").alias(f"{k}_id"), (F.col("user_id") % 50).alias("doc"), start.alias(f"{k}_start"), (start + F.col("event_id") % n).alias(f"{k}_stop")]
+    return e.where("event_type = 'click'").select(*cols("m", 4)), e.where("event_type <> 'click'").select(*cols("s", 9))
+
+
 def span_exact(spark, sf_dir):
-    return S.exact_spans(*_event_spans(spark, sf_dir))
+    return S.exact_spans(*_equal_spans(spark, sf_dir))
 
 
 def span_contains_first(spark, sf_dir):
@@ -91,16 +99,17 @@ def span_link(spark, sf_dir):
     return S.linked_spans(*_event_spans(spark, sf_dir))
 
 
-ORACLE["span_exact"] = f"{_SPANS} SELECT * FROM e"
+ORACLE["span_exact"] = """SELECT m.event_id AS m_id, min(s.event_id) AS s_id FROM events m JOIN events s ON m.user_id % 50 = s.user_id % 50 AND m.event_id * 7 % 300 = s.event_id * 7 % 300 AND m.event_id % 4 = s.event_id % 9
+WHERE m.event_type = 'click' AND s.event_type <> 'click' GROUP BY 1"""
 ORACLE["span_contains_first"] = f"{_SPANS} SELECT * FROM c"
 ORACLE["span_link"] = f"{_SPANS} SELECT m.m_id, coalesce(e.s_id, c.s_id) AS s_id, CASE WHEN e.s_id IS NOT NULL THEN 'exact' WHEN c.s_id IS NOT NULL THEN 'contained' END AS how FROM m LEFT JOIN e USING (m_id) LEFT JOIN c USING (m_id)"
 
 NEAR_M = Fixture("near_m", "m_id int, doc string, m_start int, m_stop int", [(i, "d", 10 * i, 10 * i + 5) for i in range(1, 13)])
 NEAR_S = Fixture(
     "near_s", "s_id int, doc string, s_start int, s_stop int",
-    [(k, "d", 10 * i + a, 10 * i + 5 + b) for k, (i, a, b) in enumerate([(1, 0, 0), (2, -1, 0), (3, 0, 1), (4, 0, -1), (5, 1, 0), (6, 1, 1), (7, -1, -1), (8, 1, -1), (9, -1, 1), (10, 0, 0), (10, 0, 0), (10, 1, 1), (11, 2, 0)])] + [(90, "d", 40, 39), (91, "x", 120, 125)],
+    [(k, "d", 10 * i + a, 10 * i + 5 + b) for k, (i, a, b) in enumerate([(1, 0, 0), (2, -1, 0), (3, 0, 1), (4, 0, -1), (5, 1, 0), (6, 1, 1), (7, -1, -1), (8, 1, -1), (9, -1, 1), (10, 0, 0), (10, 0, 0), (10, 1, 1), (11, 2, 0), (12, 0, 0), (12, -1, -1), (1, 1, 0)])] + [(90, "d", 40, 39), (91, "x", 120, 125)],
 )
-_NEAR = f"""{with_fixtures(NEAR_M, NEAR_S)}, t(probe, ds, de, odd) AS (VALUES (0, 0, 0, 0), (1, -1, 0, 0), (2, 0, 1, 0), (3, 0, -1, 1), (4, 1, 0, 0), (5, 1, 1, 0), (6, -1, -1, 0), (7, 1, -1, 0), (8, -1, 1, 0)),
+_NEAR = f"""{with_fixtures(NEAR_M, NEAR_S)}, t AS (SELECT (ds + 1) * 3 + de + 1 AS probe, ds, de, CASE WHEN ds = 0 AND de = -1 THEN 1 ELSE 0 END AS odd FROM range(-1, 2) a(ds), range(-1, 2) b(de)),
 j AS (SELECT m_id, s_id, probe FROM near_m m CROSS JOIN t JOIN near_s s ON m.doc = s.doc AND s_start = m_start + ds AND s_stop = CASE WHEN odd = 1 AND {{strict}} THEN m_start ELSE m_stop END + de)
 SELECT m_id, s_id, probe FROM (SELECT *, row_number() OVER (PARTITION BY m_id ORDER BY probe, s_id DESC) AS k FROM j) WHERE k = 1"""
 

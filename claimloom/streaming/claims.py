@@ -9,17 +9,9 @@ from ..operators import claims as C
 from ..operators import matching as M
 
 
-def stream_matches(docs: DataFrame, patterns: list[M.Pattern], tagger=None, most_tokens: int = 8) -> DataFrame:
+def stream_matches(docs: DataFrame, patterns: list[M.Pattern], tagger=None, most_tokens: int | None = None) -> DataFrame:
     """Matches of a stream of (doc_id, text, ts): the same rows as for a table, with the time of their document."""
-    d = docs.where("text IS NOT NULL").select("doc_id", "ts", F.posexplode(M.T.sentences(F.col("text"))).alias("sent_id", "sentence"))
-    tag = tagger or (lambda w: (F.lower(w), F.lit(""), F.lit("")))
-
-    def token(w, i):
-        lemma, pos, ent = tag(w)
-        return F.struct(i.alias("i"), w.alias("text"), lemma.alias("lemma"), pos.alias("pos"), ent.alias("ent_type"))
-
-    units = d.withColumn("tokens", F.transform(M.T.words(F.col("sentence")), token)).where(F.size("tokens") > 0)
-    return M.matches(units, patterns, most_tokens=most_tokens)
+    return M.matches(M.tokenised(docs.select("doc_id", "text", "ts"), tagger), patterns, most_tokens=most_tokens)
 
 
 def windowed_topic_counts(matches: DataFrame, topics: DataFrame, late: str = "10 minutes", window: str = "5 minutes") -> DataFrame:
