@@ -4,7 +4,7 @@ Two documents link if the Jaccard share of their sets of shingles is 0.8 or more
 shingles. At that share two fingerprints differ in some 10 bits, and blocks of equal bits are no key for such a radius; a
 shard is therefore what shares one of BANDS band values, each made of ROWS minima of the shingles' hashes. The
 fingerprints of a shard make a BK-tree, the search follows only edges within RADIUS, and what it meets is compared by the
-sets themselves.
+sets themselves, of 32 bits for each shingle: two unlike shingles among a thousand meet with a chance of 0.0001.
 
 A pair at a share of s has no shard in common with a chance of (1 - s**ROWS)**BANDS, 0.002 at 0.8; measured on pairs at
 0.8 to 0.9, 0.0004 of the fingerprints differ in more bits than RADIUS.
@@ -34,7 +34,9 @@ SHARE = (4, 5)
 BANDS, ROWS = 12, 4
 RADIUS = 18
 #: Rows, and bytes of shingle sets, that one chunk of a shard holds.
-CHUNK_ROWS, CHUNK_BYTES = 2048, 32 << 20
+CHUNK_ROWS, CHUNK_BYTES = 512, 16 << 20
+#: Ids that are broadcast (16 MB in a hash table) to find their rows; more are joined by exchange.
+BROADCAST_IDS = 1_000_000
 _FACTORS = np.random.default_rng(5).integers(0, 1 << 63, (2, BANDS * ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -125,7 +127,7 @@ def _search(batches: Iterator[pd.DataFrame], rows: int = 20_000, most: int = 64
         keys, nodes, root = df[["key", "c"]].to_numpy(), df["node"].to_numpy(np.int64), df["root"].to_numpy(np.int64)
         shard = np.r_[0, np.cumsum((keys[1:] != keys[:-1]).any(1))]
         label, asks = np.unique(root, return_inverse=True)[1], df["asks"].to_numpy()
-        found = links(df["fp"].to_numpy(np.int64).view(np.uint64), shard, [np.frombuffer(g, np.uint64) for g in df["grams"]], label, None if asks[0] is None or asks[0] != asks[0] else asks.astype(bool))
+        found = links(df["fp"].to_numpy(np.int64).view(np.uint64), shard, [np.frombuffer(g, np.uint32) for g in df["grams"]], label, None if asks[0] is None or asks[0] != asks[0] else asks.astype(bool))
         pairs = np.array([(nodes[a], nodes[b]) for a, b in found], np.int64).reshape(-1, 2)
         return pd.DataFrame({"a": pairs.max(1), "b": pairs.min(1)} if len(pairs) else {"a": pairs[:, 0], "b": pairs[:, 1]})
 
@@ -166,21 +168,26 @@ def _sketch(text):
 def _grams(text):
     @F.pandas_udf(BinaryType())
     def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([shingles(t).tobytes() for t in texts], dtype=object)
+        return pd.Series([np.unique((shingles(t) >> np.uint64(32)).astype(np.uint32)).tobytes() for t in texts], dtype=object)
 
     return of(text.cast("binary"))
 
 
+def _small(ids: DataFrame) -> DataFrame:
+    """The table, to be broadcast if it has few rows."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def similar_groups(nodes: DataFrame, texts: DataFrame, stash: Stash, chunk_rows: int = CHUNK_ROWS, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """(a, b): each node of a group but its smallest, and the smallest.
 
     nodes: (node, n, fp, bands), texts: (node, text) with the texts of these nodes at least.
     """
     keyed = stash(nodes.select("node", "n", F.explode("bands").alias("key")))
-    sizes = stash(keyed.groupBy("key").agg(F.count("*").alias("rows"), F.sum(8 * F.col("n").cast("long")).alias("bytes")).where("rows > 1"))
+    sizes = stash(keyed.groupBy("key").agg(F.count("*").alias("rows"), F.sum(4 * F.col("n").cast("long")).alias("bytes")).where("rows > 1"))
     open_ = stash(keyed.join(sizes, "key").select("key", "node", F.ceil(F.greatest(F.col("rows") / chunk_rows, F.col("bytes") / chunk_bytes)).cast("long").alias("chunks")))
-    wanted = open_.select("node").distinct()
-    held = stash(texts.join(wanted, "node", "left_semi").select("node", _grams(F.col("text")).alias("grams")).join(nodes.select("node", "fp"), "node"))
+    wanted = stash(nodes.select("node", "fp").join(open_.select("node").distinct(), "node", "left_semi"))
+    held = stash(texts.join(_small(wanted), "node").select("node", "fp", _grams(F.col("text")).alias("grams")))
     full = lambda df: df.join(held, "node")
     chunk = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), n)
     alone = full(open_).select("*", chunk(F.col("chunks"), 1).alias("c"), F.col("node").alias("root"), F.lit(None).cast("boolean").alias("asks"))
@@ -214,6 +221,8 @@ def keep_one_of_similar(docs: DataFrame, chunk_rows: int = CHUNK_ROWS, chunk_byt
     each = stash(sketch.groupBy("same").agg(F.min("r").alias("node"), best))
     nodes = stash(each.select("node").join(sketch.select(F.col("r").alias("node"), "n", "fp", "bands"), "node"))
     roots = similar_groups(nodes, numbered.select(F.col(rid).alias("node"), "text"), stash, chunk_rows, chunk_bytes)
-    grouped = stash(each.join(roots, F.col("node") == F.col("a"), "left").select(F.coalesce("b", "node").alias("root"), "best"))
+    grouped = stash(each.join(roots, F.col("node") == F.col("a"), "left").select("same", F.coalesce("b", "node").alias("root"), "best"))
     first = grouped.groupBy("root").agg(F.min("best").alias("best"))
-    return numbered.join(first.select(F.col("best.r").alias(rid)), rid, "left_semi").drop(rid)
+    kept = grouped.select("same", "root").join(first, "root").select("same", F.col("best.r").alias("kept"))
+    gone = stash(sketch.select("same", "r").join(kept, "same").where("r <> kept").select(F.col("r").alias(rid)))
+    return numbered.join(_small(gone), rid, "left_anti").drop(rid)
