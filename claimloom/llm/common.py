@@ -2,65 +2,21 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_OWN: list[str] = []
-
+from ..session import Stash, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one of our own in local mode."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if where:
-        return where.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    if not _OWN:
-        _OWN.append(tempfile.mkdtemp(prefix="claimloom-"))
-        atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)
-    return "file://" + _OWN[0]
+__all__ = ["Stash", "crc_mod", "free_name", "held", "put", "shared_dir", "small_batches"]
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> SparkSession:
-    """Sets how many rows go to Python at once: texts can be long, and a batch is held in memory several times over."""
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 16 << 20) -> SparkSession:
+    """Bounds what goes to Python at once, in rows and bytes: texts can be long, and a batch is held several times over."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
     return spark
 
 
-class Stash:
-    """Tables written to the shared folder: they cut lineage, survive lost executors, and are read again as plain scans.
-
-    A result that is still to be computed may read them, so only ``drop`` and ``drop_all`` remove them.
-    """
-
-    def __init__(self, spark: SparkSession):
-        self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/stash-{uuid.uuid4().hex}", 0
-        self.paths: dict[int, str] = {}
-
-    def __call__(self, df: DataFrame) -> DataFrame:
-        self.n += 1
-        path = f"{self.root}/{self.n}"
-        df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
-        out._stash_path = path
-        return out
-
-    def _delete(self, path: str) -> None:
-        jvm = self.spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
-
-    def drop(self, *frames: DataFrame) -> None:
-        for df in frames:
-            self._delete(df._stash_path)
-
-
 def free_name(df: DataFrame, *wanted: str) -> list[str]:
     """Column names like those wanted that the table doesn't use, in any case."""
     used, out = {c.lower() for c in df.columns}, []
