@@ -1,9 +1,10 @@
 """Uniform shuffle of a table into shards of exact size, by a hypergeometric communication matrix.
 
-Of a uniform permutation, only how many rows of each input partition go to each block of the output matters
-before the exchange; those counts are multivariate hypergeometric. Each input partition finds its own row of that
-matrix by descending a binary tree over partitions, so neither the driver nor an executor holds the matrix. A block
-is a slice of a shard, and is the unit that one task permutes after the exchange.
+Of a uniform permutation, only how many rows of each input partition go to each shard matters before the exchange; those
+counts are multivariate hypergeometric. Each input partition finds its own row of that matrix by descending a binary tree
+over partitions, with one number for each shard at every level, so neither the driver nor an executor holds the matrix.
+The rows of a partition are permuted to take these shards. After the exchange each shard is permuted: every row has a
+random place key, the leading bits of the key are the block that one task sorts, and the blocks' sizes give the slots.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import free_name
+from .common import Stash, free_name
 
 #: numpy's generator accepts populations below this size.
 NUMPY_LIMIT = 1_000_000_000
@@ -71,47 +72,52 @@ def matrix_row(part: int, ends: np.ndarray, sizes: np.ndarray, seed: int) -> np.
     return margins
 
 
-def block_sizes(rows: int, shards: int, per_shard: int) -> np.ndarray:
-    """Rows of block k of shard s, at s * per_shard + k: shards and the blocks of a shard differ by one row at most."""
-    shard = rows // shards + (np.arange(shards) < rows % shards)
-    return (shard[:, None] // per_shard + (np.arange(per_shard) < shard[:, None] % per_shard)).ravel()
+def shard_sizes(rows: int, shards: int) -> np.ndarray:
+    """Rows of each shard: they differ by one at most."""
+    return rows // shards + (np.arange(shards) < rows % shards)
 
 
 def assign_shards(docs: DataFrame, shards: int = 24, seed: int = 17, rows_per_block: int = 65536, least_blocks: int = 3072) -> DataFrame:
     """``docs`` with ``shard`` (0 to shards - 1) and ``slot`` (the row's place in its shard, gapless from 0).
 
     The permutation is uniform over rows and depends on the seed and on how the input is partitioned, so a lost task
-    gets the same rows again. The input must be a deterministic scan (write a shuffled one to a table first); a row
-    that appears in one pass and not in the other raises.
+    gets the same rows again. The input must be a deterministic scan (write a shuffled one to a table first); a partition
+    with more or fewer rows in one pass than in the other raises.
 
     Nulls, empty and equal rows count as rows like any other. An empty table gives an empty result. Columns named
     shard or slot are replaced. Shards differ by one row at most; with fewer rows than shards the last ones are empty.
     """
-    rid, block, order = free_name(docs, "rid", "block", "place")
-    docs = docs.select(*[c for c in docs.columns if c.lower() not in ("shard", "slot")], F.monotonically_increasing_id().alias(rid))
+    rid, block, order, drawn, before = free_name(docs, "rid", "block", "place", "drawn", "before")
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("shard", "slot")], F.monotonically_increasing_id().alias(rid))
     part = F.shiftright(F.col(rid), 33)
     counts = {r[0]: r[1] for r in docs.groupBy(part.alias("p")).count().collect()}  # one number for each input partition
     ends = np.concatenate([[0], np.cumsum([counts.get(i, 0) for i in range(max(counts, default=0) + 1)])])
     rows = int(ends[-1])
     per_shard = max(-(-least_blocks // shards), -(-rows // (shards * rows_per_block)))
+    held = docs.sparkSession.sparkContext.broadcast(ends)  # one number for each input partition
 
     @F.pandas_udf("int")
     def draw(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        sizes, at, labels = block_sizes(rows, shards, per_shard), -1, np.empty(0, np.int32)
+        at, labels, seen = -1, np.empty(0, np.int32), 0
         for ids in batches:
             values = ids.to_numpy(np.int64)
-            out = np.empty(len(values), np.int32)
             for p in np.unique(values >> 33):
+                if at >= 0 and p != at:
+                    raise ValueError("rows of several partitions in one task")
                 if p != at:
-                    row = matrix_row(int(p), ends, sizes, seed)
-                    at, labels = int(p), np.random.default_rng([seed, 1 << 40, int(p)]).permutation(np.repeat(np.arange(len(row), dtype=np.int32), row))
-                mine = values >> 33 == p
-                out[mine] = labels[values[mine] & ((1 << 33) - 1)]
-            yield pd.Series(out)
-
-    dealt = docs.withColumn(block, draw(F.col(rid))).withColumn(order, F.xxhash64(F.lit(seed), F.col(rid)))
-    place = F.row_number().over(Window.partitionBy(block).orderBy(order, rid)).cast("long") - 1
-    shard, k = F.floor(F.col(block) / per_shard).cast("int"), (F.col(block) % per_shard).cast("long")
-    size = F.lit(rows // shards).cast("long") + (shard < rows % shards).cast("long")
-    before = k * F.floor(size / per_shard) + F.least(k, size % per_shard)
-    return dealt.withColumn("slot", (before + place).cast("long")).withColumn("shard", shard).drop(rid, block, order)
+                    row = matrix_row(int(p), held.value, shard_sizes(rows, shards), seed)
+                    at, labels = int(p), np.random.default_rng([seed, 1 << 40, int(p)]).permutation(np.repeat(np.arange(shards, dtype=np.int32), row))
+            seen += len(values)
+            yield pd.Series(labels[values & ((1 << 33) - 1)])
+        if seen != len(labels):
+            raise ValueError(f"partition {at}: {seen} rows, {len(labels)} before; the input must be a deterministic scan")
+
+    dealt = docs.withColumn(drawn, draw(F.col(rid))).withColumn(order, F.xxhash64(F.lit(seed), F.col(rid)))
+    dealt = dealt.withColumn(block, F.floor(F.col(order).bitwiseAND(F.lit((1 << 62) - 1)) / F.lit((1 << 62) / per_shard)).cast("int"))
+    # how many rows lie in the blocks before: a row for each block, numbered within its shard
+    sizes = Stash(docs.sparkSession)(dealt.groupBy(F.col(drawn).alias("shard"), F.col(block).alias("b")).agg(F.count("*").alias("n")))
+    first = F.sum("n").over(Window.partitionBy("shard").orderBy("b").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select("shard", F.col("b").alias(before + "_b"), F.coalesce(first, F.lit(0)).alias(before))
+    place = F.row_number().over(Window.partitionBy(drawn, block).orderBy(F.col(order).bitwiseAND(F.lit((1 << 62) - 1)), rid)).cast("long") - 1
+    placed = dealt.withColumn("slot", place).join(F.broadcast(starts) if per_shard * shards <= 1 << 20 else starts, (F.col(drawn) == F.col("shard")) & (F.col(block) == F.col(before + "_b")))
+    return placed.withColumn("slot", (F.col(before) + F.col("slot")).cast("long")).drop(rid, block, order, drawn, before, before + "_b")

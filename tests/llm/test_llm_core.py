@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import tempfile
 import zlib
 
 import numpy as np
@@ -27,9 +28,20 @@ def words(t):
 
 def test_matrix_rows_add_up():
     ends = np.r_[0, np.cumsum([5, 0, 17, 3, 40])]
-    sizes = sharding.block_sizes(65, 4, 3)
+    sizes = sharding.shard_sizes(65, 4)
     rows = np.array([sharding.matrix_row(i, ends, sizes, 1) for i in range(5)])
-    assert (rows.sum(1) == np.diff(ends)).all() and (rows.sum(0) == sizes).all()
+    assert sizes.tolist() == [17, 16, 16, 16] and (rows.sum(1) == np.diff(ends)).all() and (rows.sum(0) == sizes).all()
+
+
+def test_matrix_is_hypergeometric():
+    """Counts of one cell over many seeds against the chances of the hypergeometric law."""
+    from math import comb
+
+    ends, sizes = np.r_[0, np.cumsum([6, 9, 5])], np.array([7, 7, 6])
+    cell = [int(sharding.matrix_row(1, ends, sizes, s)[0]) for s in range(6000)]
+    chance = [comb(9, k) * comb(11, 7 - k) / comb(20, 7) for k in range(8)]
+    seen = np.bincount(cell, minlength=8) / len(cell)
+    assert np.abs(seen - chance).max() < 4 * np.sqrt(max(chance) / len(cell))
 
 
 def test_large_hypergeometric_is_unbiased():
@@ -52,6 +64,39 @@ def test_shards_exact_and_gapless(spark, sf):
     assert np.corrcoef(p.doc_id, p.shard * 1000 + p.slot)[0, 1] < 0.3
 
 
+def test_shard_query_brute(spark, sf):
+    from claimloom.llm.queries import op1_shard
+
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = op1_shard(spark, sf).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(texts)
+    for r in rows:
+        data = (texts[r.doc_id] or "").encode()
+        assert (r.size, r.text_crc32, r.law, r.grown_shard) == (len(data) + 8, zlib.crc32(data), "rows", None)
+
+
+def test_places_are_uniform(spark):
+    """Each of 12 rows comes to each of 12 places about equally often, over seeds and whatever its partition."""
+    d = spark.range(12, numPartitions=3).withColumnRenamed("id", "doc_id")
+    d.write.mode("overwrite").parquet(path := f"{tempfile.mkdtemp()}/d")
+    d, n, runs = spark.read.parquet(path), np.zeros((12, 12)), 60
+    for seed in range(runs):
+        for r in sharding.assign_shards(d, 3, seed=seed, least_blocks=6).collect():
+            n[r.doc_id, r.shard * 4 + r.slot] += 1
+    assert (n.sum(0) == runs).all() and ((n - runs / 12) ** 2 / (runs / 12)).sum() < 121 + 5 * np.sqrt(2 * 121)
+
+
+def test_a_row_that_comes_and_goes_raises(spark):
+    """An input that gives other rows in each pass."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    some = F.udf(lambda: random.random() < 0.5, "boolean").asNondeterministic()
+    with pytest.raises(Exception, match="deterministic scan|out of bounds"):
+        sharding.assign_shards(spark.range(1000, numPartitions=1).withColumnRenamed("id", "doc_id").where(some()), 3).collect()
+
+
 def test_shards_edges(spark, edge):
     p = sharding.assign_shards(edge, 24).toPandas()
     assert len(p) == len(ROWS) and set(p.slot) == {0} and p.shard.is_unique
@@ -170,7 +215,7 @@ def test_decontaminate_brute(spark, sf):
     items = [(str(r.item_id), r.text) for r in bench.collect()]
     want = {r.doc_id: brute_hits(r.text, items) for r in docs.collect()}
     assert any(h for _, h, _ in want.values())
-    for most in (dc.BROADCAST_BYTES, 4000):
+    for most in (dc.BROADCAST_WINDOWS, 300):
         got = {r.doc_id: (r.found.n_words, r.found.n_hit, list(r.found["items"])) for r in dc.decontaminate(docs, bench, most=most).collect()}
         assert got == want
 
@@ -184,6 +229,14 @@ def test_wu_manber_random():
         assert (n, sum(b - a for a, b in spans), found) == brute_hits(text, items)
 
 
+def test_tables_stay_small():
+    import pickle
+
+    g = np.random.default_rng(6)
+    items = [(str(i), " ".join(f"w{x}" for x in g.integers(0, 5000, 200))) for i in range(1000)]
+    assert len(pickle.dumps(dc.build(items, 10))) < 50 * 191 * 1000
+
+
 def test_decontaminate_edges(spark, edge):
     bench = spark.createDataFrame([(1, "a b"), (2, ""), (3, None), (None, "one"), (1, "d")], "item_id long, text string")
     out = {(r.doc_id, r.text): r.found for r in dc.decontaminate(edge, bench).collect()}
