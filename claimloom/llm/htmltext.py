@@ -7,21 +7,25 @@ trees are fitted on generated pages, whose main text is known.
 
 from __future__ import annotations
 
+import hashlib
 import html
+import inspect
+import json
 import math
 import random
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .common import put
+from .common import put, shared_dir
 from .gbt import BoostedTrees
 
 # Fixed values of HTML.
@@ -33,8 +37,11 @@ CLOSES_P = frozenset("address article aside blockquote body center details dialo
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tr", "td", "th", "tbody", "thead"}, "thead": {"thead"}, "tfoot": {"tr", "td", "th", "tbody", "thead"}}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}, "tbody": {"table"}, "thead": {"table"}, "tfoot": {"table"}}
 
-TAG = re.compile(r"<(?:!--.*?(?:--!?>|$)|[!?][^>]*(?:>|$)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)(?:>|$))", re.S)
+# a quote counts as one only after an equals sign
+TAG = re.compile(r"<(?:!--.*?(?:--!?>|$)|[!?][^>]*(?:>|$)|(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"?+|'[^']*+'?+)?+)*+)(?:>|$))", re.S)
 ATTRIBUTE = re.compile(r"([^\s=\"'>/]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+#: What an end tag of an inline element or paragraph doesn't reach out of.
+P_STOPS = frozenset("td th table article main section div body".split())
 TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
@@ -48,22 +55,39 @@ class Node:
         self.in_link = tag == "a" or (parent is not None and parent.in_link)
 
 
-def parse(page: str) -> Node:
-    """A tree of the page: end tags left out are implied, unmatched ones are ignored."""
-    root = at = Node("#root", "", None)
-    pos, end = 0, len(page)
+class OpenElements:
+    """The elements that are open, and where those of each tag stand, so that a look for a tag costs no walk."""
+
+    def __init__(self, root: Node):
+        self.stack, self.at = [root], {}
+
+    def push(self, node: Node) -> None:
+        self.at.setdefault(node.tag, []).append(len(self.stack))
+        self.stack.append(node)
 
-    def close(tags: set[str] | frozenset[str], stop: set[str] | frozenset[str]) -> None:
-        nonlocal at
-        n = at
-        while n.parent and n.tag not in stop:
-            if n.tag in tags:
-                at = n.parent
-                return
-            n = n.parent
+    def last(self, tags) -> int:
+        """The place of the innermost open element of these tags; 0, the root's, if there is none."""
+        return max((p[-1] for t in tags if (p := self.at.get(t))), default=0)
 
+    def close(self, tags, stop) -> bool:
+        """Closes the innermost element of these tags and all within it, unless one to stop at lies within it."""
+        place = self.last(tags)
+        if not place or place < self.last(stop):
+            return False
+        for n in self.stack[place:]:
+            self.at[n.tag].pop()
+        del self.stack[place:]
+        return True
+
+
+def parse(page: str) -> Node:
+    """A tree of the page: end tags left out are implied, unmatched ones are ignored. Time is linear in the page."""
+    root = Node("#root", "", None)
+    open_ = OpenElements(root)
+    pos, end = 0, len(page)
     while pos < end:
         m = TAG.search(page, pos)
+        at = open_.stack[-1]
         if not m:
             at.children.append(html.unescape(page[pos:]))
             break
@@ -74,26 +98,20 @@ def parse(page: str) -> Node:
             continue
         tag = m[2].lower()
         if m[1]:
-            if tag == "p" or tag in INLINE:
-                close({tag}, {"td", "th", "table", "article", "main", "section", "div", "body"} if tag in INLINE or tag == "p" else set())
-            else:
-                close({tag}, {"table"} if tag in ("div", "section") else set())
+            open_.close({tag}, P_STOPS if tag in INLINE or tag == "p" else {"table"} if tag in ("div", "section") else ())
             continue
         if tag in CLOSES_P:
-            close({"p"}, {"td", "th", "table", "button", "object"})
+            open_.close({"p"}, {"td", "th", "table", "button", "object"})
         if tag in SAME:
-            while True:
-                was = at
-                close(SAME[tag], SCOPE[tag] if tag not in ("tr", "tbody", "tfoot") else {"table"})
-                if at is was:
-                    break
-        node = Node(tag, m[3] or "", at)
-        at.children.append(node)
+            while open_.close(SAME[tag], SCOPE[tag] if tag not in ("tr", "tbody", "tfoot") else {"table"}):
+                pass
+        node = Node(tag, m[3] or "", open_.stack[-1])
+        open_.stack[-1].children.append(node)
         if tag in RAW:
             stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|$)[^>]*>?", re.I).search(page, pos)
             pos = stop.end() if stop else end
         elif tag not in VOID and not node.attrs.endswith("/"):
-            at = node
+            open_.push(node)
     return root
 
 
@@ -240,6 +258,23 @@ class Extractor:
     def __init__(self, weights: dict[str, float], trees: BoostedTrees):
         self.weights, self.trees = weights, trees
 
+    def dump(self) -> str:
+        """JSON that ``load`` takes, with a digest in front."""
+        t = self.trees
+        body = json.dumps({"weights": self.weights, "base": t.base, "depth": t.depth, "bins": t.bins, "edges": [e.tolist() for e in t.edges], "feature": t.feature.tolist(), "cut": t.cut.tolist(), "leaf": t.leaf.tolist()}, sort_keys=True)
+        return f"{hashlib.sha256(body.encode()).hexdigest()} {body}"
+
+    @staticmethod
+    def load(text: str) -> Extractor:
+        digest, _, body = text.partition(" ")
+        if hashlib.sha256(body.encode()).hexdigest() != digest:
+            raise ValueError("a stored model was changed")
+        d = json.loads(body)
+        t = BoostedTrees(trees=len(d["leaf"]), depth=d["depth"], bins=d["bins"])
+        t.base, t.edges = d["base"], [np.array(e) for e in d["edges"]]
+        t.feature, t.cut, t.leaf = np.array(d["feature"]), np.array(d["cut"]), np.array(d["leaf"])
+        return Extractor(d["weights"], t)
+
     def texts(self, pages: list[str | None], at_once: int = 64) -> list[str]:
         out = []
         for i in range(0, len(pages), at_once):
@@ -250,6 +285,13 @@ class Extractor:
         return out
 
 
+@lru_cache(1)
+def word_pool(size: int = 6000) -> list[str]:
+    """Made-up words of one to four syllables."""
+    r = random.Random(size)
+    return ["".join(r.choice("bcdfglmnprstvwzhkéñß") + r.choice("aeiou") for _ in range(r.randint(1, 4))) + r.choice(["", "", "n", "s", "r"]) for _ in range(size)]
+
+
 class PageMaker:
     """Generates pages of many layouts; main text is marked in the tree by an attribute that is removed before fitting."""
 
@@ -273,12 +315,13 @@ class PageMaker:
     def words(self, low: int, high: int, capital: bool = True) -> str:
         r = self.r
         n = r.randint(low, high)
-        ws = ["".join(r.choice("bcdfglmnprstvwzhkéñß") + r.choice("aeiou") for _ in range(r.randint(1, 4))) + r.choice(["", "", "n", "s", "r"]) for _ in range(n)]
-        for i in range(n):
-            if r.random() < 0.08 and i < n - 1:
-                ws[i] += r.choice(",;:")
-            if r.random() < 0.1 and i < n - 1:
-                ws[i] += r.choice("..?!")
+        ws = r.choices(word_pool(), k=n)
+        for i in range(n - 1):
+            u = r.random()
+            if u < 0.08:
+                ws[i] += ",;:"[int(u * 1e4) % 3]
+            elif u < 0.18:
+                ws[i] += "..?!"[int(u * 1e4) % 4]
                 ws[i + 1] = ws[i + 1].capitalize()
         if self.junk:
             ws = [w + r.choice(["***", "%%%", "###", "$$$"]) for w in ws]
@@ -424,6 +467,22 @@ def fitted(pages: int = 2200, seed: int = 7) -> Extractor:
     return Extractor(weights, BoostedTrees(trees=120, depth=5, rate=0.12).fit(x[y >= 0], y[y >= 0]))
 
 
+@lru_cache(4)
+def stored(spark: SparkSession, where: str, pages: int = 2200, seed: int = 7) -> Extractor:
+    """The fitted extractor, from the shared folder ``where`` if an earlier session has left it there, else fitted and left.
+
+    The file's name has a digest of this code, so another version of it fits anew.
+    """
+    code = hashlib.sha256("".join(map(inspect.getsource, (sys.modules[__name__], sys.modules[BoostedTrees.__module__]))).encode()).hexdigest()
+    path = f"{where}/main-text-{pages}-{seed}-{code[:16]}"
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+        return Extractor.load(spark.read.text(path, wholetext=True).first()[0].strip())
+    tool = fitted(pages, seed)
+    spark.createDataFrame([(tool.dump(),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+    return tool
+
+
 def extract_main_text(pages: DataFrame) -> DataFrame:
     """``pages`` with ``main_text``, from the whole ``html``.
 
@@ -431,7 +490,8 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     blank line. A null or empty page, and one without main text, gives the empty text. A column named main_text is
     replaced.
     """
-    held = pages.sparkSession.sparkContext.broadcast(fitted())  # some hundred token weights and 80 small trees
+    spark = pages.sparkSession
+    held = spark.sparkContext.broadcast(stored(spark, shared_dir(spark)))  # some hundred token weights and 120 small trees
 
     @F.pandas_udf(StringType())
     def extract(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -1,13 +1,16 @@
 """Language, quality, secrets, toxicity, main text and pseudonyms."""
 
 import hashlib
+import itertools
 import math
+import os
 import re
 from collections import Counter
 
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from claimloom.llm import htmltext, langid, pii, quality, secretscan, toxicity
 from claimloom.llm.gbt import BoostedTrees, Isotonic
@@ -48,10 +51,22 @@ def test_folded_weights_equal_the_kernel():
     k_mm = np.array([[k(sets[i], sets[j]) for j in order] for i in order])
     y = np.where(np.array(langs)[:, None] == np.array(["de", "en"]), 1.0, -1.0)
     w = np.linalg.solve(k_nm.T @ k_nm + langid.RIDGE * 5 * k_mm + 1e-6 * np.eye(4), k_nm.T @ y)
-    lang, score = m.predict(texts)
+    lang, value = m.predict(texts)
     f = k_nm @ w
     assert lang == [["de", "en"][i] for i in f.argmax(1)]
-    assert np.allclose(score, np.clip((f.max(1) + 1) / 2, 0, 1), atol=1e-4)
+    assert np.allclose(value, f.max(1), atol=1e-4)
+
+
+def test_a_hundred_languages(spark):
+    """Each is learned and predicted, over several blocks of weights."""
+    g = np.random.default_rng(8)
+    words = {f"l{k:03d}": ["".join(g.choice(list("abcdefghijklmnopqrstuvwxyz"), 5)) for _ in range(12)] for k in range(100)}
+    rows = [(8 * i + j, " ".join(g.choice(w, 30)), name) for i, (name, w) in enumerate(words.items()) for j in range(8)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit_model(d.where("doc_id % 4 <> 2"))
+    assert len(model.langs) == 100 and len(model.blocks()) == 2
+    out = langid.identify(d, model).collect()
+    assert sum(r.lang_pred == r.lang for r in out if r.doc_id % 4 == 2) >= 190 and all(0 <= r.lang_score <= 1 for r in out)
 
 
 def test_language_held_out(spark, sf):
@@ -112,12 +127,12 @@ def test_quality_brute(spark, sf, docs):
     llr = {i: (sum(map(weight, b)) / len(b) if (b := buckets(t)) else 0.0) for i, t in texts.items()}
     measures = {i: base(t) for i, t in texts.items()}
     failed = {i: m[0] < 50 or 100 * m[4] > 50 * m[0] for i, m in measures.items()}
-    q1, q3 = np.percentile([llr[i] for i in good if i in texts and not failed[i]], [25, 75])
+    q1, q3 = np.percentile([round(llr[i], 4) for i in good if i in texts and not failed[i]], [25, 75])
     limit = q1 - quality.FENCE * (q3 - q1)
     for r in op4_quality(spark, sf).collect():
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == measures[r.doc_id]
         assert r.base_failed == failed[r.doc_id] and abs(r.llr - llr[r.doc_id]) < 1e-6
-        assert r.kept == (not r.base_failed and llr[r.doc_id] >= limit) or abs(llr[r.doc_id] - limit) < 1e-6
+        assert r.kept == (not r.base_failed and llr[r.doc_id] >= limit) or abs(llr[r.doc_id] - limit) < 1e-3
 
 
 def test_quality_edges(spark, edge):
@@ -221,8 +236,6 @@ def test_pseudonyms_keep_format_and_come_back(spark):
 
 
 def test_permutation_is_one_to_one(spark):
-    from pyspark.sql import functions as F
-
     d = spark.range(189 * 7).select(F.floor(F.col("id") / 7).alias("h"), (F.col("id") % 7).alias("l"))
     p = d.select(pii.permute("k", "date", F.col("h"), F.col("l"), F.lit(189), F.lit(7)).alias("s")).select("s.*").distinct()
     assert p.count() == 189 * 7 and p.agg(F.max("h"), F.max("l")).first() == (188, 6)
@@ -303,10 +316,43 @@ def test_toxicity_edges(spark, edge):
 
 
 def test_toxicity_query(spark, sf):
+    """The given labels of the held-out fifth, on the next larger tables if there are any."""
+    from claimloom.llm.common import crc_mod
     from claimloom.llm.queries import op8_toxicity
 
-    rows = op8_toxicity(spark, sf).collect()
-    assert all(r.predicted == int(r.score >= 0.5) and 0 <= r.score <= 1 for r in rows)
+    sf = larger if os.path.isdir(larger := f"{os.path.dirname(sf)}/sf0.1") else sf
+    rows = {r.doc_id: r for r in op8_toxicity(spark, sf).collect()}
+    assert all(r.predicted == int(r.score >= 0.5) and 0 <= r.score <= 1 for r in rows.values())
+    ids = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", (crc_mod(F.col("doc_id"), 5) == 0).alias("out")).collect()
+    assert {r.doc_id: r.out for r in ids} == {i: r.held_out for i, r in rows.items()}
+    truth = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    held = [(r.predicted, truth[i]) for i, r in rows.items() if r.held_out and i in truth]
+    assert held and sum(a == b for a, b in held) / len(held) > 0.97
+
+
+def test_toxicity_features_brute():
+    f = toxicity.Featurizer({"scum": 2.0, "idio*": 3.0})
+    for text in ("You SCUM, you are idiotic!! ok?", "Nothing here.", "", None, "a scum b c d e f you"):
+        words = re.findall(r"[^\W\d_]+", (text or "").lower())
+        hits = [i for i, w in enumerate(words) if w == "scum" or (w.startswith("idio") and len(w) > 4)]
+        you = [i for i, w in enumerate(words) if w == "you"]
+        row = dict(zip(toxicity.FEATURES, f.row(text)))
+        n, size = max(1, len(words)), max(1, len(text or ""))
+        assert math.isclose(row["hits"], math.log1p(len(hits))) and math.isclose(row["hit_rate"], len(hits) / n)
+        assert math.isclose(row["near_second"], sum(any(abs(i - j) <= 3 for j in you) for i in hits) / n)
+        assert math.isclose(row["second_rate"], len(you) / n) and math.isclose(row["exclaim_rate"], (text or "").count("!") / size)
+        assert math.isclose(row["best"], max([0.0, *[2.0 if words[i] == "scum" else 3.0 for i in hits]]))
+
+
+def test_lexicon_counts_and_near_copies(spark):
+    """Entries are counted over the distinct texts of the fitted part; long texts count too."""
+    rows = corpus(200) + [(1000 + i, "filler " * 20000 + f"scumbag number{i} word{i}", 1) for i in range(3)]
+    d = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    m = toxicity.fit_model(d, spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, toxic int"))
+    f = toxicity.Featurizer(m.lexicon)
+    assert all(f.find(w) for w in ("scumbag", "idiotic", "losers")) and not f.find("filler")
+    least = [toxicity.least_hashes(t) for t in ("a b c d e f", "a b c d e f", "u v w x y z")]
+    assert toxicity.one_of_each(least).tolist() == [True, False, True]
 
 
 # main text
@@ -333,30 +379,56 @@ def test_main_text_of_the_pages_table(spark, sf):
         assert r.main_text == "\n\n".join(w for w in want if w)
 
 
-def test_decoding_is_the_best_consistent_labelling():
+def labellings(p, prob, switch, i=0):
+    """All choices below element i: (kept elements with text of their own, score)."""
+    below = [j for j in range(len(p.nodes)) if i == j or i in above(p, j)]
+    text = [j for j in below if p.sums[j, 0] > 0]
+    for keep in (True, False):
+        yield frozenset(j for j in below if keep and p.own[j]), sum(math.log(prob[j] if keep else 1 - prob[j]) for j in text)
+    if p.kids[i]:
+        mine = [(frozenset(), 0.0)] if not p.own[i] else [(frozenset([i]), math.log(prob[i])), (frozenset(), math.log(1 - prob[i]))]
+        for parts in itertools.product(mine, *[list(labellings(p, prob, switch, c)) for c in p.kids[i]]):
+            yield frozenset().union(*[k for k, _ in parts]), sum(s for _, s in parts) - switch
 
+
+def above(p, j):
+    out = []
+    while p.parent[j] >= 0:
+        j = p.parent[j]
+        out.append(j)
+    return out
+
+
+@pytest.mark.parametrize("page", ["<div>a<p>b</p><section>c<p>d</p></section></div>", "<div><p>a</p><div>b<b>c</b></div><ul><li>d<li>e</ul></div>f", "<main>x<div><span>y</span></div></main><div>z</div>"])
+@pytest.mark.parametrize("switch", [0.0, 1.0])
+def test_decoding_is_the_best_consistent_labelling(page, switch):
+    """The decoded labelling scores as well as the best of an exhaustive search."""
     g = np.random.default_rng(4)
-    for _ in range(30):
-        p = htmltext.Page("<div>a<p>b</p><section>c<p>d</p></section></div>")
+    for _ in range(25):
+        p = htmltext.Page(page)
         p.features({})
-        prob = g.random(len(p.nodes))
-        kept = p.decode(prob, switch=0.0)
-        own = [i for i in range(len(p.nodes)) if p.own[i]]
-
-        def best(i, p=p, prob=prob):
-            sub = [j for j in range(len(p.nodes)) if j == i or i in chain(p, j)]
-            s = lambda v: sum(math.log(v(prob[j])) for j in sub)
-            split = sum(best(c) for c in p.kids[i]) + (max(math.log(prob[i]), math.log(1 - prob[i])) if p.own[i] else 0)
-            return max(s(lambda q: q), s(lambda q: 1 - q), split if p.kids[i] else -math.inf)
+        prob = np.clip(g.random(len(p.nodes)), 0.01, 0.99)
+        kept = p.decode(prob, switch=switch)
+        best = {}
+        for labels, score in labellings(p, prob, switch):
+            best[labels] = max(score, best.get(labels, -math.inf))
+        mine = frozenset(j for j in range(len(p.nodes)) if kept[j] and p.own[j])
+        assert mine in best and math.isclose(best[mine], max(best.values()), abs_tol=1e-9)
+
+
+PAGES_BY_HAND = [
+    ('<html><body><div id="gazette-front"><div class="strip"><a href="/a">Home</a> <a href="/b">World</a> <a href="/c">Sport</a></div><div class="yarn"><h1>River breaks its banks after a week of rain</h1><p>The water rose through the night, and by morning the lower town stood a metre deep.</p>'
+     "<p>Boats brought people from their roofs, the mayor said, and nobody was hurt.</p></div><div class=\"strip\"><a href=\"/x\">Imprint</a> <a href=\"/y\">Privacy</a></div></div></body></html>",
+     ["River breaks its banks after a week of rain", "The water rose through the night, and by morning the lower town stood a metre deep.", "Boats brought people from their roofs, the mayor said, and nobody was hurt."]),
+    ('<body><nav><ul><li><a href=1>One</a><li><a href=2>Two</a><li><a href=3>Three</a></ul></nav><main><h1>How to keep bees</h1><p>Start with two hives, and a friend who knows the work. It helps to see both in spring.</p><ul><li>A smoker keeps them calm.<li>A veil keeps you calm.</ul></main>'
+     "<footer>Copyright by the club</footer>", ["How to keep bees", "Start with two hives, and a friend who knows the work. It helps to see both in spring.", "A smoker keeps them calm.", "A veil keeps you calm."]),
+]
 
-        def chain(p, j):
-            out = []
-            while p.parent[j] >= 0:
-                j = p.parent[j]
-                out.append(j)
-            return out
 
-        assert own and kept.shape == (len(p.nodes),) and best(0) <= 0
+@pytest.mark.parametrize("page,blocks", PAGES_BY_HAND)
+def test_main_text_of_pages_by_hand(page, blocks):
+    """Layouts and names that the generator doesn't make."""
+    assert htmltext.fitted().texts([page])[0].split("\n\n") == blocks
 
 
 def test_main_text_parsing():
@@ -367,6 +439,31 @@ def test_main_text_parsing():
     assert text("<table><tr><td>a<td>b<tr><td>c</table>") == "a\n\nb\n\nc"
     assert text("<div title=\"a > b\">x</div></p></div>y") == "x\n\ny" and text("a < b") == "a < b" and text("<") == "<"
     assert text("<style>p{}</style><textarea>t</textarea><button>go</button>ok") == "ok"
+    assert text("<p class=it's>Second") == "Second" and text('<p "x>a</p><p title = "b > c">d') == "a\n\nd" and text("<p a='x>y") == ""
+    assert text("<b>a<div>b</b>c</div>d") == "a\n\nb c\n\nd" or text("<b>a<div>b</b>c</div>d") == "a\n\nbc\n\nd"
+
+
+def test_parsing_is_linear():
+    import time
+
+    began = time.time()
+    for page in ("<div>" * 100_000 + "x", "<p><button>" + "<div>" * 100_000 + "x", "<a 'x>" * 50_000, "<a b='x>" * 50_001, "<table>" * 50_000 + "<td>" * 50_000, "<p>" * 100_000 + "<!--" * 10):
+        htmltext.parse(page)
+    assert time.time() - began < 20
+
+
+def test_stored_model_is_the_fitted_one(spark):
+    from claimloom.llm.common import shared_dir
+
+    tool = htmltext.fitted()
+    again = htmltext.Extractor.load(tool.dump())
+    pages = [htmltext.PageMaker(60_000_000 + i).page() for i in range(20)]
+    assert again.texts(pages) == tool.texts(pages)
+    with pytest.raises(ValueError):
+        htmltext.Extractor.load(tool.dump().replace("weights", "weighty", 1))
+    htmltext.stored(spark, shared_dir(spark))
+    htmltext.stored.cache_clear()
+    assert htmltext.stored(spark, shared_dir(spark)).texts(pages) == tool.texts(pages)
 
 
 def test_main_text_edges(spark):
