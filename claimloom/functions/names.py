@@ -41,6 +41,11 @@ def xml_safe(text: Column) -> Column:
     return F.regexp_replace(text, r"[^A-Za-z0-9._-]", "_")
 
 
+def xml_safe_iri(iri: Column) -> Column:
+    """An IRI with the characters that markup and Turtle give a meaning to replaced by underscores."""
+    return F.regexp_replace(iri, "[\\s<>\"{}|\\\\^`&']", "_")
+
+
 def is_valid_mention(span_start: Column, span_stop: Column) -> Column:
     """A mention counts if its place is known."""
     return span_start.isNotNull() & span_stop.isNotNull()

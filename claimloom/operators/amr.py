@@ -6,10 +6,12 @@ alignments(graph_id, ord, node_id, token_idx), graphs(graph_id, root). All joins
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import Stash
+from .graph import closure
 
 #: Labels of places (fixed values).
 PLACES = ["city", "state", "country", "continent"]
@@ -62,12 +64,12 @@ def _assemble(parts: Column, focus: Column, with_focus: bool) -> Column:
     return F.element_at(F.transform(F.array(ordered), trim), 1)
 
 
-def descriptions(nodes: DataFrame, edges: DataFrame, tokens: DataFrame, strings: DataFrame, with_focus: bool = True, depth: int = 3) -> DataFrame:
+def descriptions(nodes: DataFrame, edges: DataFrame, tokens: DataFrame, strings: DataFrame, with_focus: bool = True) -> DataFrame:
     """(graph_id, node_id, text) for nodes with an aligned text.
 
     A node's words go with those of its :mod children, of the first :consist-of and the first :ARG1-of child, and of the
-    first :op1 child if there were none; a roleset's words go with the description of its first :ARG1 child, ``depth``
-    rolesets deep at most, so that a cycle ends.
+    first :op1 child if there were none; a roleset's words go with the description of its first :ARG1 child, however deep.
+    A roleset on a cycle of such children has its own words only.
     """
     label = nodes.select("graph_id", "node_id", "label")
     base = strings.join(label, ["graph_id", "node_id"]).withColumn("roleset", T.is_roleset(F.col("label")))
@@ -82,21 +84,40 @@ def descriptions(nodes: DataFrame, edges: DataFrame, tokens: DataFrame, strings:
     none = F.array().cast("array<string>")
     b = b.withColumn("words", F.when(F.col("roleset"), none).when(F.size(F.coalesce("m", none)) > 0, F.col("m")).otherwise(F.coalesce("o", none)))
 
-    def text(extra: Column) -> Column:
+    def text(extra: Column, focus: bool) -> Column:
         place = lambda t: F.struct(F.element_at("place", t).alias("idx"), t.alias("token"))
         split = lambda a: F.flatten(F.transform(a, lambda x: F.split(x, " ")))
-        own = F.concat(extra, F.array("text")) if with_focus else extra
-        return _assemble(F.transform(split(own), place), place(F.element_at(F.split("text", " "), 1)), with_focus)
-
-    out = b.select("graph_id", "node_id", text(F.col("words")).alias("description"))
-    inner = _first(edges, ":ARG1").withColumnRenamed("parent", "node_id")
-    rolesets = b.where("roleset").join(inner, ["graph_id", "node_id"])
-    for _ in range(depth if with_focus else 1):
-        known = out.select(F.col("graph_id").alias("g"), F.col("node_id").alias("n"), F.col("description").alias("d"))
-        deeper = rolesets.join(known, (F.col("graph_id") == F.col("g")) & (F.col("child") == F.col("n")), "left")
-        new = deeper.select("graph_id", "node_id", text(F.when(F.coalesce(F.col("d"), F.lit("")) != "", F.array("d")).otherwise(none)).alias("description"))
-        out = out.join(rolesets.select("graph_id", "node_id"), ["graph_id", "node_id"], "left_anti").unionByName(new)
-    return out
+        own = F.concat(extra, F.array("text")) if focus else extra
+        return _assemble(F.transform(split(own), place), place(F.element_at(F.split("text", " "), 1)), focus)
+
+    # rolesets wait for the description of their child; nodes without an aligned text have none
+    stash = Stash(nodes.sparkSession)
+    b = stash(b)
+    inner = _first(edges, ":ARG1").join(b.select("graph_id", F.col("node_id").alias("child")), ["graph_id", "child"], "left_semi")
+    waits = stash(b.where("roleset").select("graph_id", "node_id").join(inner.withColumnRenamed("parent", "node_id"), ["graph_id", "node_id"]))
+    chain = waits.select("graph_id", F.col("node_id").alias("a"), F.col("child").alias("b"))
+    after = closure(chain, chain.select("graph_id", F.col("b").alias("start")))
+    loops = waits.join(after.select("graph_id", F.col("start").alias("child"), F.col("s").alias("node_id")), ["graph_id", "child", "node_id"], "left_semi").select("graph_id", "node_id")
+    waits = stash(waits.join(loops, ["graph_id", "node_id"], "left_anti"))
+    ready = b.join(waits, ["graph_id", "node_id"], "left_anti")
+    done = stash(ready.select("graph_id", "node_id", text(F.col("words"), True).alias("description")))
+    last = done
+    while True:
+        known = last.select("graph_id", F.col("node_id").alias("child"), F.col("description").alias("d"))
+        last = stash(b.join(waits, ["graph_id", "node_id"]).join(known, ["graph_id", "child"]).select("graph_id", "node_id", text(_some("d"), True).alias("description")))
+        if last.isEmpty():
+            break
+        done = stash(done.unionByName(last))
+    if with_focus:
+        return done
+    child = waits.join(done.select("graph_id", F.col("node_id").alias("child"), F.col("description").alias("d")), ["graph_id", "child"])
+    extra = b.join(child.select("graph_id", "node_id", "d"), ["graph_id", "node_id"], "left")
+    return extra.select("graph_id", "node_id", text(F.when(F.col("roleset"), _some("d")).otherwise(F.col("words")), False).alias("description"))
+
+
+def _some(name: str) -> Column:
+    """The text as a list; an empty list for none."""
+    return F.when(F.coalesce(F.col(name), F.lit("")) != "", F.array(name)).otherwise(F.array().cast("array<string>"))
 
 
 def labelled_arguments(nodes: DataFrame, edges: DataFrame, strings: DataFrame, events: DataFrame, allowed: DataFrame) -> DataFrame:
@@ -114,34 +135,44 @@ def labelled_arguments(nodes: DataFrame, edges: DataFrame, strings: DataFrame, e
     return out.withColumn("t", text).where("t IS NOT NULL").groupBy("graph_id", "event", "role").agg(F.max_by("t", "ord").alias("text"))
 
 
-def nearest_above(edges: DataFrame, wanted: DataFrame, starts: DataFrame, depth: int = 12) -> DataFrame:
-    """(graph_id, start, node_id, steps): the closest ancestor among the wanted nodes, ties by id; nodes are met once."""
-    front = starts.select("graph_id", "start", F.col("start").alias("node_id"))
-    seen, hits = front, None
-    up = edges.select(F.col("graph_id").alias("g"), F.col("child").alias("c"), F.col("parent").alias("p"))
-    for k in range(1, depth + 1):
-        front = front.join(up, (F.col("graph_id") == F.col("g")) & (F.col("node_id") == F.col("c"))).select("graph_id", "start", F.col("p").alias("node_id")).distinct()
-        front = front.join(seen, ["graph_id", "start", "node_id"], "left_anti")
-        if k % 4 == 0:  # a short plan, and a chance to stop
-            from ..session import written
+def first_above(edges: DataFrame, wanted: DataFrame, starts: DataFrame) -> DataFrame:
+    """(graph_id, start, node_id, steps): the wanted node that a walk up from the start meets first, depth first, parents in
+    the order of their edges; a walk goes no further up from a wanted node, and ends on cycles.
 
-            front = written(front)
-            if front.isEmpty():
-                break
-        hit = front.join(wanted, ["graph_id", "node_id"], "left_semi").withColumn("steps", F.lit(k))
-        hits = hit if hits is None else hits.unionByName(hit)
-        seen = seen.unionByName(front)
-    w = Window.partitionBy("graph_id", "start").orderBy("steps", "node_id")
-    return hits.withColumn("r", F.row_number().over(w)).where("r = 1").select("graph_id", "start", "node_id", "steps")
+    That node ends the first path in the order of edge numbers. Each round keeps for each node the first path to it, until
+    no path improves.
+    """
+    stash = Stash(edges.sparkSession)
+    up = stash(edges.select("graph_id", F.col("child").alias("node_id"), F.col("parent").alias("p"), "ord"))
+    wanted = stash(wanted.select("graph_id", F.col("node_id").alias("p")).distinct().withColumn("hit", F.lit(True)))
+    front = starts.select("graph_id", "start", F.col("start").alias("node_id"), F.array().cast("array<int>").alias("path"))
+    best = None
+    while True:
+        new = front.join(up, ["graph_id", "node_id"]).select("graph_id", "start", F.col("p").alias("node_id"), F.concat("path", F.array(F.col("ord").cast("int"))).alias("path"))
+        new = new.groupBy("graph_id", "start", "node_id").agg(F.min("path").alias("path"))
+        if best is not None:
+            was = best.select("graph_id", "start", "node_id", F.col("path").alias("was"))
+            new = new.join(was, ["graph_id", "start", "node_id"], "left").where("was IS NULL OR path < was").drop("was")
+        new = stash(new)
+        if new.isEmpty():
+            break
+        both = new if best is None else best.unionByName(new)
+        best = stash(both.groupBy("graph_id", "start", "node_id").agg(F.min("path").alias("path")))
+        front = new.join(wanted.withColumnRenamed("p", "node_id"), ["graph_id", "node_id"], "left_anti")
+    if best is None:
+        best = new
+    hits = best.join(wanted.withColumnRenamed("p", "node_id"), ["graph_id", "node_id"], "left_semi")
+    first = hits.groupBy("graph_id", "start").agg(F.min_by("node_id", "path").alias("node_id"), F.min("path").alias("path"))
+    return first.select("graph_id", "start", "node_id", F.size("path").alias("steps"))
 
 
 def claim_nodes(nodes: DataFrame, edges: DataFrame, claim_tokens: DataFrame, verbs: DataFrame) -> DataFrame:
-    """(graph_id, node_id): the statement node above the first claim word (graph_id, i, lemma) that has one, else the first
+    """(graph_id, node_id): the statement node met first above the first claim word (graph_id, i, lemma) that has one, else the first
     statement node of the graph. Statement nodes: label before its sense is one of the verbs.
     """
     statement = nodes.join(verbs, F.regexp_replace("label", "-[^-]*$", "") == F.col("verb"), "left_semi")
     word = claim_tokens.join(nodes, (claim_tokens.graph_id == nodes.graph_id) & (F.col("lemma") == T.label_without_sense(F.col("label")))).select(claim_tokens.graph_id, "i", F.col("ord").alias("n_ord"), F.col("node_id").alias("start"))
-    above = nearest_above(edges, statement.select("graph_id", "node_id"), word.select("graph_id", "start").distinct())
+    above = first_above(edges, statement.select("graph_id", "node_id"), word.select("graph_id", "start").distinct())
     by_word = word.join(above, ["graph_id", "start"]).groupBy("graph_id").agg(F.min_by("node_id", F.struct("i", "n_ord")).alias("node"))
     first = statement.groupBy("graph_id").agg(F.min_by("node_id", "ord").alias("first"))
     return first.join(by_word, "graph_id", "left").select("graph_id", F.coalesce("node", "first").alias("node_id"))
@@ -178,6 +209,7 @@ def open_variables(claims: DataFrame, graphs: DataFrame, nodes: DataFrame, edges
     has_gov = tokens.where("token = 'government'").select("graph_id").distinct().withColumn("gov", F.lit(True))
     g = g.join(has_gov, "graph_id", "left")
     t, root = F.col("template"), F.col("root")
+    # what templates say and which edges answer to it: the words and labels are fixed values, like PLACES and TREATMENT
     place = F.col("c_label").isin(PLACES)
     grand = edges.select(F.col("graph_id").alias("gg"), F.col("parent").alias("gp"), F.col("child").alias("gc")).join(lab.select(F.col("graph_id").alias("lg"), F.col("node_id").alias("ln"), F.col("label").alias("g_label")), (F.col("gg") == F.col("lg")) & (F.col("gc") == F.col("ln"))).where(F.col("g_label").isin(PLACES)).groupBy("gg", "gp").agg(F.max("gc").alias("g_place"))
     e = e.join(grand, (F.col("eg") == F.col("gg")) & (F.col("child") == F.col("gp")), "left")
@@ -244,5 +276,5 @@ def general_variables(claims: DataFrame, nodes: DataFrame, edges: DataFrame, tok
 
 
 def graphs_by_tokens(claims: DataFrame, graphs: DataFrame, text: str) -> DataFrame:
-    """Claims joined to the graph whose tokens are the claim's text; those without one are left out."""
-    return claims.join(graphs.withColumnRenamed("token_text", "__t"), F.col(text) == F.col("__t")).drop("__t")
+    """Claims with the graph whose tokens are the claim's text; a claim without one stays, its graph's columns null."""
+    return claims.join(graphs.withColumnRenamed("token_text", "__t"), F.col(text) == F.col("__t"), "left").drop("__t")

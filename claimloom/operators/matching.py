@@ -95,13 +95,10 @@ class Scanner:
         self.found = [re.compile(f"(?=({pattern.regex(back)}))") for back in (False, True)]
         self.steps = [[(frozenset(chars), op) for chars, op in (pattern.steps[::-1] if back else pattern.steps)] for back in (False, True)]
 
-    def backward(self, classes: str) -> bool:
+    def backward(self, counts: np.ndarray) -> bool:
         """Search from the end if fewer tokens fit the last step that must be there than the first one."""
-        must = [chars for chars, op in self.p.steps if op in ("", "+")]
-        if len(must) < 2:
-            return False
-        counts = [sum(map(classes.count, chars)) for chars in (must[0], must[-1])]
-        return counts[1] < counts[0]
+        must = [[ord(c) - ord(ALPHABET[0]) for c in chars] for chars, op in self.p.steps if op in ("", "+")]
+        return len(must) > 1 and bool(counts[must[-1]].sum() < counts[must[0]].sum())
 
     def closure(self, at: int, steps: list) -> set[int]:
         """Steps that may come next, at or after this one; the number of steps stands for the end."""
@@ -127,9 +124,9 @@ class Scanner:
             if not states or (self.bound is not None and i + 1 - start >= self.bound):
                 return
 
-    def __call__(self, classes: str) -> tuple[list[int], list[int]]:
-        """First and last (exclusive) place of each match."""
-        back = self.backward(classes)
+    def __call__(self, classes: str, counts: np.ndarray) -> tuple[list[int], list[int]]:
+        """First and last (exclusive) place of each match. counts: tokens of each class."""
+        back = self.backward(counts)
         s = classes[::-1] if back else classes
         firsts, lasts = [], []
         for m in self.found[back].finditer(s):
@@ -170,7 +167,7 @@ def matches(units: DataFrame, patterns: list[Pattern], tokens: str = "tokens", m
                     mask |= np.asarray(hit).astype(np.uint16) << np.uint16(bit)
                 classes = np.full(total + len(n), ord("\n"), "<u2")
                 classes[place] = mask + np.uint16(ord(ALPHABET[0]))
-                first, last = scanner(classes.tobytes().decode("utf-16-le"))
+                first, last = scanner(classes.tobytes().decode("utf-16-le"), np.bincount(mask, minlength=len(ALPHABET)))
                 first, last = np.array(first, np.int64), np.array(last, np.int64)
                 u = np.searchsorted(at, first, side="right") - 1
                 rows.append(u)

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import written
+from .graph import closure
 
 
 def master_by_roleset(master: DataFrame) -> DataFrame:
@@ -38,21 +40,19 @@ def most_similar(candidates: DataFrame, similarity: DataFrame) -> DataFrame:
     return c.groupBy("pb").agg(F.max_by("qnode", F.struct(score.alias("s"), (-F.col("ord")).alias("o"))).alias("qnode"))
 
 
-def most_general(candidates: DataFrame, parents: DataFrame, depth: int = 16) -> DataFrame:
+def most_general(candidates: DataFrame, parents: DataFrame) -> DataFrame:
     """(pb, qnode): the candidate that others descend from within the set.
 
-    Edges to parents are followed inside the set, ``depth`` at most; of the ends that are reached the smallest id. A
+    Edges to parents are followed inside the set, however far; of the ends that are reached the smallest id. A
     candidate named like the roleset wins at once. A set without any inner edge, or a cycle alone, gives no row.
     """
     named = candidates.where(F.col("name") == F.regexp_replace("pb", "-[0-9]+$", "")).groupBy("pb").agg(F.min("qnode").alias("exact"))
     c, p = candidates.select("pb", "qnode"), candidates.select("pb", F.col("qnode").alias("parent"))
     inner = c.join(parents, "qnode").join(p, ["pb", "parent"]).where("qnode <> parent").select("pb", "qnode", "parent").distinct()
-    front = inner
-    for _ in range(depth.bit_length()):  # pointer doubling: after k steps, 2^k edges
-        up = front.select(F.col("pb").alias("up_pb"), F.col("qnode").alias("mid"), F.col("parent").alias("top"))
-        longer = front.join(up, (F.col("pb") == F.col("up_pb")) & (F.col("parent") == F.col("mid"))).select("pb", "qnode", F.col("top").alias("parent"))
-        front = front.unionByName(longer).distinct()
-    tops = front.select("pb", F.col("parent").alias("qnode")).distinct().join(inner.select("pb", "qnode").distinct(), ["pb", "qnode"], "left_anti")
+    inner = written(inner)
+    steps = inner.select(F.col("pb").alias("graph_id"), F.col("qnode").alias("a"), F.col("parent").alias("b"))
+    ends = closure(steps, steps.select("graph_id", F.col("a").alias("start"))).select(F.col("graph_id").alias("pb"), F.col("s").alias("qnode")).distinct()
+    tops = ends.join(inner.select("pb", "qnode").distinct(), ["pb", "qnode"], "left_anti")
     root = tops.groupBy("pb").agg(F.min("qnode").alias("root"))
     return root.join(named, "pb", "full_outer").select("pb", F.coalesce("exact", "root").alias("qnode"))
 

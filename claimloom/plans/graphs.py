@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.vocabulary import TYPE, System, iri
 from ..operators import aif, amr, analysis
 from ..operators import graph as G
+from ..session import shared_dir
+from ..sources import turtle
 from .fixture import Fixture, with_fixtures
 
 ORACLE: dict[str, str] = {}
@@ -92,8 +97,12 @@ def _assembled(words: str, name: str) -> str:
 {name} AS (SELECT p.graph_id, p.node_id, string_agg(token, ' ' ORDER BY i) FILTER (WHERE CASE WHEN two THEN i = 0 ELSE abs(idx - f_idx) = abs(i - f_i) END) AS description FROM {name}_p p JOIN {name}_f USING (graph_id, node_id) JOIN {name}_and USING (graph_id, node_id) GROUP BY 1, 2)"""
 
 
+#: In the tables above the only cycles are of two rolesets.
+_LOOP = "EXISTS (SELECT 1 FROM fe z WHERE z.graph_id = fe.graph_id AND z.parent = fe.child AND z.child = fe.parent AND z.role = ':ARG1')"
+
+
 def _level(k: int) -> str:
-    return f"""w{k} AS (SELECT w.* FROM w0 w UNION SELECT nd.graph_id, nd.node_id, unnest(string_split(d.description, ' ')) FROM nd JOIN fe ON fe.graph_id = nd.graph_id AND fe.parent = nd.node_id AND fe.role = ':ARG1' JOIN d{k - 1} d ON d.graph_id = nd.graph_id AND d.node_id = fe.child WHERE roleset),
+    return f"""w{k} AS (SELECT w.* FROM w0 w UNION SELECT nd.graph_id, nd.node_id, unnest(string_split(d.description, ' ')) FROM nd JOIN fe ON fe.graph_id = nd.graph_id AND fe.parent = nd.node_id AND fe.role = ':ARG1' AND NOT {_LOOP} JOIN d{k - 1} d ON d.graph_id = nd.graph_id AND d.node_id = fe.child WHERE roleset),
 {_assembled(f"w{k}", f"d{k}")}"""
 
 
@@ -142,21 +151,22 @@ def claimers(spark, sf_dir):
 
 ORACLE["claimer_nodes"] = f"""{with_fixtures(NODES, EDGES, VERBS, WORDS).replace('WITH ', 'WITH RECURSIVE ', 1)}, stm AS (SELECT graph_id, node_id, ord FROM nodes JOIN sayers ON verb = regexp_replace(label, '-[^-]*$', '')),
 wd AS (SELECT w.graph_id, i, n.ord AS n_ord, n.node_id AS start FROM cwords w JOIN nodes n ON n.graph_id = w.graph_id AND lemma = regexp_replace(label, '-[0-9]*', '', 'g')),
-up(graph_id, start, node_id, k) AS (SELECT DISTINCT graph_id, start, start, 0 FROM wd UNION ALL SELECT u.graph_id, u.start, e.parent, k + 1 FROM up u JOIN edges e ON e.graph_id = u.graph_id AND e.child = u.node_id WHERE k < 6),
-ab AS (SELECT graph_id, start, arg_min(node_id, (k, node_id)) AS node FROM up JOIN stm USING (graph_id, node_id) WHERE k > 0 GROUP BY 1, 2),
+up(graph_id, start, node_id, path) AS (SELECT DISTINCT graph_id, start, start, [0][1:0] FROM wd UNION ALL SELECT u.graph_id, u.start, e.parent, list_append(u.path, e.ord) FROM up u JOIN edges e ON e.graph_id = u.graph_id AND e.child = u.node_id
+  WHERE len(u.path) < 6 AND (len(u.path) = 0 OR NOT EXISTS (SELECT 1 FROM stm z WHERE z.graph_id = u.graph_id AND z.node_id = u.node_id))),
+ab AS (SELECT graph_id, start, arg_min(node_id, path) AS node FROM up JOIN stm USING (graph_id, node_id) WHERE len(path) > 0 GROUP BY 1, 2),
 bw AS (SELECT graph_id, arg_min(node, (i, n_ord)) AS node FROM wd JOIN ab USING (graph_id, start) GROUP BY 1)
 SELECT f.graph_id, coalesce(bw.node, f.first) AS node_id FROM (SELECT graph_id, arg_min(node_id, ord) AS first FROM stm GROUP BY 1) f LEFT JOIN bw USING (graph_id)"""
 ORACLE["claimers"] = f"""{with_fixtures(NODES, EDGES, TOKENS, ALIGNED)}, {_STRINGS} SELECT 'g1' AS graph_id, text AS claimer FROM st WHERE graph_id = 'g1' AND node_id = 'n'"""
 
 
 def claimer_ancestor(spark, sf_dir):
-    """Nations below their region below the root: the closest ancestor that is a region named with an A."""
+    """Nations below their region below the root: the first ancestor that is a region named with an A."""
     n = spark.read.parquet(f"{sf_dir}/nation.parquet")
     r = spark.read.parquet(f"{sf_dir}/region.parquet")
     node = lambda k, c: F.concat(F.lit(k), F.col(c).cast("string"))
-    e = n.select(F.lit("w").alias("graph_id"), node("r", "n_regionkey").alias("parent"), node("n", "n_nationkey").alias("child")).unionByName(r.select(F.lit("w").alias("graph_id"), F.lit("top").alias("parent"), node("r", "r_regionkey").alias("child")))
+    e = n.select(F.lit("w").alias("graph_id"), node("r", "n_regionkey").alias("parent"), node("n", "n_nationkey").alias("child"), F.col("n_nationkey").alias("ord")).unionByName(r.select(F.lit("w").alias("graph_id"), F.lit("top").alias("parent"), node("r", "r_regionkey").alias("child"), F.lit(99).alias("ord")))
     wanted = r.where("r_name LIKE 'A%'").select(F.lit("w").alias("graph_id"), node("r", "r_regionkey").alias("node_id"))
-    return amr.nearest_above(e, wanted, n.select(F.lit("w").alias("graph_id"), node("n", "n_nationkey").alias("start"))).drop("graph_id")
+    return amr.first_above(e, wanted, n.select(F.lit("w").alias("graph_id"), node("n", "n_nationkey").alias("start"))).drop("graph_id")
 
 
 ORACLE["claimer_ancestor"] = "SELECT 'n' || n_nationkey AS start, 'r' || r_regionkey AS node_id, 1 AS steps FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name LIKE 'A%'"
@@ -193,43 +203,61 @@ b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY graph_id ORDER BY
 SELECT graph_id, prio, coalesce(name, description) AS x_text FROM b LEFT JOIN nm USING (graph_id, node_id) LEFT JOIN d3 USING (graph_id, node_id) WHERE coalesce(name, description, '') <> ''"""
 
 
+def _full(rows: list[tuple[str, str, str, str]]) -> list[tuple[str, str, str, str]]:
+    """Triples with short names of the ontology written out."""
+    return [(g, s, TYPE if p == "a" else iri(p), iri(o)) for g, s, p, o in rows]
+
+
 def _span(g, s, j, a, b, conf=None):
-    out = [(g, s, "justifiedBy", j), (g, j, "type", "TextJustification"), (g, j, "startOffset", str(a)), (g, j, "endOffsetInclusive", str(b)), (g, j, "source", f"doc_{g}")]
-    return out + ([(g, j, "confidence", j + "c"), (g, j + "c", "confidenceValue", conf)] if conf else [])
+    out = [(g, s, "aida:justifiedBy", j), (g, j, "a", "aida:TextJustification"), (g, j, "aida:startOffset", str(a)), (g, j, "aida:endOffsetInclusive", str(b)), (g, j, "aida:source", f"doc_{g}")]
+    return out + ([(g, j, "aida:confidence", j + "c"), (g, j + "c", "aida:confidenceValue", conf)] if conf else [])
+
+
+def _cluster(g, claim, cluster, ent, kind):
+    return [(g, claim, "aida:claimSemantics", cluster), (g, cluster, "a", "aida:SameAsCluster"), (g, cluster, "aida:prototype", ent), (g, ent, "a", kind)]
 
 
 FIRST = Fixture(
     "fst", "graph_id string, s string, p string, o string",
-    [
-        ("d1", "u#c1", "type", "Claim"), ("d1", "u#c1", "claimSemantics", "k/event/1"), ("d1", "u#c1", "claimSemantics", "k/entity/2"), ("d1", "u#c1", "claimSemantics", "k/event/3"),
-        ("d1", "k/event/1", "type", "SameAsCluster"), ("d1", "k/event/1", "prototype", "e1"), ("d1", "e1", "type", "Event"), *_span("d1", "e1", "j1", 10, 15, "0.5"),
-        ("d1", "k/entity/2", "type", "SameAsCluster"), ("d1", "k/entity/2", "prototype", "e2"), ("d1", "e2", "type", "Entity"), *_span("d1", "e2", "j2", 30, 34),
-        ("d1", "k/event/3", "type", "SameAsCluster"), ("d1", "k/event/3", "prototype", "e3"), ("d1", "e3", "type", "Event"), *_span("d1", "e3", "j3", 70, 75), ("d1", "e3", "near", "e4"), ("d1", "e4", "near", "e3"),
-        ("d1", "s1", "type", "Statement"), ("d1", "s1", "subject", "e1"), ("d1", "s1", "object", "e2"), ("d1", "s2", "type", "Statement"), ("d1", "s2", "subject", "e2"), ("d1", "s2", "object", "Q1"), ("d1", "s3", "type", "Statement"), ("d1", "s3", "subject", "e3"), ("d1", "s3", "object", "e2"),
-        ("d2", "u#c9", "type", "Claim"), ("d2", "u#c9", "claimSemantics", "k/event/9"), ("d9", "x", "type", "Claim"),
-    ],
+    _full([
+        ("d1", "u/c1", "a", "aida:Claim"),
+        *_cluster("d1", "u/c1", "k/clusters/events/1", "k/events/e1", "aida:Event"), *_span("d1", "k/events/e1", "j1", 10, 15, "0.5"), ("d1", "k/events/e1", "aida:informativeJustification", "j1i"),
+        *_cluster("d1", "u/c1", "k/clusters/entity/2", "k/entities/e2", "aida:Entity"), *_span("d1", "k/entities/e2", "j2", 30, 34),
+        *_cluster("d1", "u/c1", "k/clusters/events/3", "k/events/e3", "aida:Event"), *_span("d1", "k/events/e3", "j3", 70, 75), ("d1", "k/events/e3", "near", "e4"), ("d1", "e4", "near", "k/events/e3"), ("d1", "k/events/e3", "aida:informativeJustification", "j3i"),
+        *_cluster("d1", "u/c1", "k/clusters/entity/4", "k/entities/e5", "aida:Entity"), *_span("d1", "k/entities/e5", "j5", 50, 55),
+        ("d1", "s1", "a", "rdf:Statement"), ("d1", "s1", "a", "aida:ArgumentStatement"), ("d1", "s1", "rdf:subject", "k/events/e1"), ("d1", "s1", "rdf:object", "k/entities/e2"),
+        ("d1", "s2", "a", "rdf:Statement"), ("d1", "s2", "rdf:subject", "k/entities/e2"), ("d1", "s2", "rdf:object", "Q1"), ("d1", "s3", "a", "rdf:Statement"), ("d1", "s3", "rdf:subject", "k/events/e3"), ("d1", "s3", "rdf:object", "k/entities/e2"),
+        ("d1", "s4", "a", "aida:ArgumentStatement"), ("d1", "s4", "rdf:subject", "k/events/e1"), ("d1", "s5", "a", "rdf:Statement"), ("d1", "s5", "rdf:subject", "k/events/e9"),
+        ("d2", "u/c9", "a", "aida:Claim"), ("d2", "u/c9", "aida:claimSemantics", "k/clusters/events/9"), ("d9", "x", "a", "aida:Claim"), ("d3", "u/c5", "a", "aida:Claim"), ("d3", "u/c5", "aida:claimSemantics", "k/clusters/events/8"),
+    ]),
 )
 SECOND = Fixture(
     "snd", "graph_id string, s string, p string, o string",
-    [
-        ("d1", "v/c1", "type", "Claim"), ("d1", "v/c1", "claimSemantics", "old"), ("d1", "m/events/7", "type", "Event"), *_span("d1", "m/events/7", "w1", 10, 16), ("d1", "m/entities/8", "type", "Entity"), *_span("d1", "m/entities/8", "w2", 29, 34),
-        ("d2", "v/c9", "type", "Claim"), ("d3", "v/c5", "type", "Claim"), ("d3", "v/c5", "claimSemantics", "z"),
-    ],
+    _full([
+        ("d1", "v#c1", "a", "aida:Claim"), ("d1", "v#c1", "aida:claimSemantics", "old"), ("d1", "v#c1", "aida:associatedKEs", "old"), ("d1", "v#c1", "aida:justifiedBy", "cj"), ("d1", "cj", "a", "aida:TextJustification"), ("d1", "cj", "aida:sourceDocument", "DOC1"),
+        ("d1", "m/events/7", "a", "aida:Event"), *_span("d1", "m/events/7", "w1", 10, 16), ("d1", "m/events/6", "a", "aida:Event"), *_span("d1", "m/events/6", "w6", 9, 14), ("d1", "m/entities/8", "a", "aida:Entity"), *_span("d1", "m/entities/8", "w2", 29, 34),
+        ("d1", "m/events/9", "a", "aida:Event"), *_span("d1", "m/events/9", "w9", 50, 55), ("d1", "other", "a", "aida:Relation"), *_span("d1", "other", "w3", 70, 75),
+        ("d2", "v#c9", "a", "aida:Claim"), ("d3", "v/c5", "a", "aida:Claim"), ("d3", "v/c5", "aida:claimSemantics", "z"), ("d4", "v#c7", "a", "aida:Claim"), ("d4", "v#c7", "aida:claimSemantics", "y"),
+    ]),
 )
 _TR = with_fixtures(FIRST, SECOND)
 
 
+def _q(short: str) -> str:
+    return f"'{TYPE if short == 'a' else iri(short)}'"
+
+
 def bgp_spans(spark, sf_dir):
     return G.spans_of(FIRST.df(spark))
 
 
 def bgp_typed_spans(spark, sf_dir):
-    return G.spans_of(FIRST.df(spark), ["Event"]).drop("confidence")
+    return G.spans_of(FIRST.df(spark), ["aida:Event"]).drop("confidence")
 
 
 def bgp_semijoin(spark, sf_dir):
     s = FIRST.df(spark)
-    return G.objects(s, "subject", "about").join(G.of_type(s, "Event").withColumnRenamed("s", "about"), ["graph_id", "about"], "left_semi")
+    return G.objects(s, "rdf:subject", "about").join(G.of_type(s, "aida:Event").withColumnRenamed("s", "about"), ["graph_id", "about"], "left_semi")
 
 
 def graph_documents(spark, sf_dir):
@@ -237,66 +265,110 @@ def graph_documents(spark, sf_dir):
 
 
 def _bgp(t: str, more: str = "") -> str:
-    return f"""SELECT a.graph_id, a.s, b.o::INT AS start, c.o::INT AS stop, d.o AS source, v.o AS confidence FROM {t} a JOIN {t} b ON b.graph_id = a.graph_id AND b.s = a.o AND b.p = 'startOffset' JOIN {t} c ON c.graph_id = a.graph_id AND c.s = a.o AND c.p = 'endOffsetInclusive'
-JOIN {t} d ON d.graph_id = a.graph_id AND d.s = a.o AND d.p = 'source' LEFT JOIN {t} e ON e.graph_id = a.graph_id AND e.s = a.o AND e.p = 'confidence' LEFT JOIN {t} v ON v.graph_id = a.graph_id AND v.s = e.o AND v.p = 'confidenceValue' WHERE a.p = 'justifiedBy' {more}"""
+    return f"""SELECT a.graph_id, a.s, b.o::INT AS start, c.o::INT AS stop, d.o AS source, v.o AS confidence FROM {t} a JOIN {t} b ON b.graph_id = a.graph_id AND b.s = a.o AND b.p = {_q('aida:startOffset')} JOIN {t} c ON c.graph_id = a.graph_id AND c.s = a.o AND c.p = {_q('aida:endOffsetInclusive')}
+JOIN {t} d ON d.graph_id = a.graph_id AND d.s = a.o AND d.p = {_q('aida:source')} LEFT JOIN {t} e ON e.graph_id = a.graph_id AND e.s = a.o AND e.p = {_q('aida:confidence')} LEFT JOIN {t} v ON v.graph_id = a.graph_id AND v.s = e.o AND v.p = {_q('aida:confidenceValue')} WHERE a.p = {_q('aida:justifiedBy')} {more}"""
+
+
+def _is(t: str, subject: str, *kinds: str) -> str:
+    return f"EXISTS (SELECT 1 FROM {t} ty WHERE ty.graph_id = {subject.split('.')[0]}.graph_id AND ty.s = {subject} AND ty.p = {_q('a')} AND ty.o IN ({', '.join(_q(k) for k in kinds)}))"
 
 
 ORACLE["bgp_spans"] = f"{_TR} {_bgp('fst')}"
-ORACLE["bgp_typed_spans"] = f"{_TR}, x AS ({_bgp('fst')}) SELECT graph_id, s, start, stop, source FROM x WHERE EXISTS (SELECT 1 FROM fst t WHERE t.graph_id = x.graph_id AND t.s = x.s AND t.p = 'type' AND t.o = 'Event')"
-ORACLE["bgp_semijoin"] = f"{_TR} SELECT a.graph_id, a.s, a.o AS about FROM fst a WHERE a.p = 'subject' AND EXISTS (SELECT 1 FROM fst t WHERE t.graph_id = a.graph_id AND t.s = a.o AND t.p = 'type' AND t.o = 'Event')"
-ORACLE["graph_documents"] = f"{_TR} SELECT t.graph_id, min(d.o) AS doc FROM fst t JOIN fst d ON d.graph_id = t.graph_id AND d.s = t.s AND d.p = 'source' WHERE t.p = 'type' AND t.o = 'TextJustification' GROUP BY 1"
-NEW = Fixture("ins", "graph_id string, s string, p string, o string", [("d1", "v/c1", "associatedKEs", "k1"), ("d2", "v/c9", "associatedKEs", "k2"), ("d3", "v/c5", "claimSemantics", "z")])
-MAP = Fixture("mp", "graph_id string, old string, new string", [("d1", "e2", "m/entities/8"), ("d1", "e1", "m/events/7"), ("d2", "e2", "no")])
+ORACLE["bgp_typed_spans"] = f"{_TR}, x AS ({_bgp('fst')}) SELECT graph_id, s, start, stop, source FROM x WHERE {_is('fst', 'x.s', 'aida:Event')}"
+ORACLE["bgp_semijoin"] = f"{_TR} SELECT a.graph_id, a.s, a.o AS about FROM fst a WHERE a.p = {_q('rdf:subject')} AND {_is('fst', 'a.o', 'aida:Event')}"
+ORACLE["graph_documents"] = f"{_TR} SELECT t.graph_id, min(d.o) AS doc FROM fst t JOIN fst d ON d.graph_id = t.graph_id AND d.s = t.s AND d.p = {_q('aida:source')} WHERE t.p = {_q('a')} AND t.o = {_q('aida:TextJustification')} GROUP BY 1"
+NEW = Fixture("ins", "graph_id string, s string, p string, o string", _full([("d1", "v#c1", "aida:associatedKEs", "k1"), ("d2", "v#c9", "aida:associatedKEs", "k2"), ("d3", "v/c5", "aida:claimSemantics", "z")]))
+MAP = Fixture("mp", "graph_id string, old string, new string", [("d1", "k/entities/e2", "m/entities/8"), ("d1", "k/events/e1", "m/events/7"), ("d2", "k/entities/e2", "no")])
 
 
 def graph_insert(spark, sf_dir):
-    return G.insert_where(SECOND.df(spark), NEW.df(spark), "claimSemantics")
+    return G.insert_where(SECOND.df(spark), NEW.df(spark), "aida:claimSemantics")
 
 
 def graph_replace(spark, sf_dir):
-    return G.replace_values(FIRST.df(spark), MAP.df(spark), "object")
+    return G.replace_values(FIRST.df(spark), MAP.df(spark), "rdf:object")
 
 
 def reachable_copy(spark, sf_dir):
     s = FIRST.df(spark)
-    return G.reachable(s, s.where("p = 'claimSemantics'").select("graph_id", F.col("o").alias("start")))
+    return G.reachable(s, G.objects(s, "aida:claimSemantics", "start").select("graph_id", "start"))
 
 
 def graph_merge(spark, sf_dir):
     return G.merge_stores(FIRST.df(spark), SECOND.df(spark))
 
 
-ORACLE["graph_insert"] = f"{with_fixtures(SECOND, NEW)} SELECT * FROM snd UNION SELECT i.* FROM ins i WHERE EXISTS (SELECT 1 FROM snd t WHERE t.graph_id = i.graph_id AND t.s = i.s AND t.p = 'claimSemantics')"
-ORACLE["graph_replace"] = f"{with_fixtures(FIRST, MAP)} SELECT DISTINCT f.graph_id, s, p, CASE WHEN p = 'object' AND mp.new IS NOT NULL THEN mp.new ELSE o END AS o FROM fst f LEFT JOIN mp ON mp.graph_id = f.graph_id AND mp.old = f.o"
-_REACH = "r(graph_id, start, s, k) AS (SELECT DISTINCT graph_id, o, o, 0 FROM fst WHERE p = 'claimSemantics' UNION ALL SELECT r.graph_id, r.start, f.o, k + 1 FROM r JOIN fst f ON f.graph_id = r.graph_id AND f.s = r.s WHERE k < 7 AND EXISTS (SELECT 1 FROM fst z WHERE z.graph_id = f.graph_id AND z.s = f.o))"
-ORACLE["reachable_copy"] = f"{_TR.replace('WITH ', 'WITH RECURSIVE ', 1)}, {_REACH} SELECT DISTINCT graph_id, start, s FROM r"
-ORACLE["graph_merge"] = f"""{_TR.replace('WITH ', 'WITH RECURSIVE ', 1)}, {_REACH}, x AS (SELECT graph_id, s, start, stop FROM ({_bgp('fst')})), y AS (SELECT graph_id, s, start, stop FROM ({_bgp('snd')})),
-cl AS (SELECT a.graph_id, b.s AS claim, k.o AS cluster FROM fst a JOIN snd b ON b.graph_id = a.graph_id AND b.p = 'type' AND b.o = 'Claim' AND string_split(b.s, '/')[-1] = string_split(a.s, '#')[-1] JOIN fst k ON k.graph_id = a.graph_id AND k.s = a.s AND k.p = 'claimSemantics' WHERE a.p = 'type' AND a.o = 'Claim'),
-hit AS (SELECT DISTINCT cl.graph_id, cluster, p.o AS ent, y.s AS found FROM cl JOIN fst p ON p.graph_id = cl.graph_id AND p.s = cluster AND p.p = 'prototype' JOIN x ON x.graph_id = cl.graph_id AND x.s = p.o JOIN y ON y.graph_id = cl.graph_id AND abs(y.start - x.start) <= 1 AND abs(y.stop - x.stop) <= 1
-  WHERE (contains(cluster, 'entity') AND contains(y.s, 'entities')) OR (contains(cluster, 'event') AND contains(y.s, 'events'))),
-lk AS (SELECT graph_id, claim AS s, 'claimSemantics' AS p, cluster AS o FROM cl WHERE EXISTS (SELECT 1 FROM snd z WHERE z.graph_id = cl.graph_id AND z.s = cl.claim AND z.p = 'claimSemantics')),
-bd AS (SELECT f.graph_id, f.s, f.p, CASE WHEN f.p = 'prototype' THEN found ELSE f.o END AS o FROM fst f JOIN hit ON hit.graph_id = f.graph_id AND hit.cluster = f.s),
-pt AS (SELECT DISTINCT r.graph_id, r.s FROM r JOIN cl ON cl.graph_id = r.graph_id AND cl.cluster = r.start WHERE NOT EXISTS (SELECT 1 FROM hit WHERE hit.graph_id = r.graph_id AND hit.cluster = r.start)),
-cp AS (SELECT f.* FROM fst f JOIN pt USING (graph_id, s)),
-dc AS (SELECT t.graph_id, min(d.o) AS doc FROM snd t JOIN snd d ON d.graph_id = t.graph_id AND d.s = t.s AND d.p = 'source' WHERE t.o = 'TextJustification' GROUP BY 1),
-ju AS (SELECT graph_id, s, 'sourceDocument' AS p, doc AS o FROM cp JOIN dc USING (graph_id) WHERE p = 'type' AND o = 'TextJustification'),
-al AS (SELECT * FROM snd UNION SELECT * FROM lk UNION SELECT * FROM bd UNION SELECT * FROM cp UNION SELECT * FROM ju),
-sm AS (SELECT f.graph_id, f.s, f.p, CASE WHEN f.p IN ('subject', 'object') THEN coalesce(found, f.o) ELSE f.o END AS o FROM fst f JOIN fst t ON t.graph_id = f.graph_id AND t.s = f.s AND t.p = 'type' AND t.o = 'Statement' LEFT JOIN hit ON hit.graph_id = f.graph_id AND hit.ent = f.o)
-SELECT * FROM al UNION SELECT sm.* FROM sm WHERE EXISTS (SELECT 1 FROM sm b JOIN al ON al.graph_id = b.graph_id AND al.s = b.o AND al.p = 'type' AND al.o = 'Event' WHERE b.graph_id = sm.graph_id AND b.s = sm.s AND b.p = 'subject')"""
-
+def _reach(t: str) -> str:
+    return f"r(graph_id, start, s, k) AS (SELECT DISTINCT graph_id, o, o, 0 FROM {t} WHERE p = {_q('aida:claimSemantics')} UNION ALL SELECT r.graph_id, r.start, f.o, k + 1 FROM r JOIN {t} f ON f.graph_id = r.graph_id AND f.s = r.s WHERE k < 7 AND EXISTS (SELECT 1 FROM {t} z WHERE z.graph_id = f.graph_id AND z.s = f.o))"
+
+
+def _merged(a: str, b: str) -> str:
+    """Tables up to ``mg``, the merge of two tables of triples."""
+    both = f"({_q('aida:justifiedBy')}, {_q('aida:informativeJustification')})"
+    return f"""{_reach(a)}, x AS (SELECT graph_id, s, arg_min(start, (start, stop)) AS m_start, arg_min(stop, (start, stop)) AS m_stop FROM ({_bgp(a)}) GROUP BY 1, 2), y AS (SELECT DISTINCT graph_id, s, start, stop FROM ({_bgp(b)}) z WHERE {_is(b, 'z.s', 'aida:Entity', 'aida:Event')}),
+cl AS (SELECT DISTINCT t.graph_id, u.s AS claim, k.o AS cluster FROM {a} t JOIN {b} u ON u.graph_id = t.graph_id AND u.p = {_q('a')} AND u.o = {_q('aida:Claim')} AND string_split(u.s, '#')[-1] = string_split(t.s, '/')[-1] JOIN {a} k ON k.graph_id = t.graph_id AND k.s = t.s AND k.p = {_q('aida:claimSemantics')} WHERE t.p = {_q('a')} AND t.o = {_q('aida:Claim')}),
+en AS (SELECT cl.graph_id, cluster, min(f.o) AS ent FROM cl JOIN {a} f ON f.graph_id = cl.graph_id AND f.s = cluster AND (contains(f.o, 'events') OR contains(f.o, 'entities')) GROUP BY 1, 2),
+pr(k, ds, de) AS (VALUES (1, -1, -1), (2, -1, 0), (3, -1, 1), (5, 0, 0), (6, 0, 1), (7, 1, -1), (8, 1, 0), (9, 1, 1)),
+nr AS (SELECT en.*, y.s AS found, k FROM en JOIN x ON x.graph_id = en.graph_id AND x.s = ent CROSS JOIN pr JOIN y ON y.graph_id = en.graph_id AND y.start = m_start + ds AND y.stop = m_stop + de
+  UNION ALL SELECT en.*, y.s, 4 FROM en JOIN x ON x.graph_id = en.graph_id AND x.s = ent JOIN y ON y.graph_id = en.graph_id AND y.start = m_start AND y.stop = m_start - 1),
+hit AS (SELECT graph_id, cluster, ent, found FROM (SELECT *, row_number() OVER (PARTITION BY graph_id, cluster ORDER BY k, found DESC) AS n FROM nr) WHERE n = 1 AND ((contains(cluster, 'entity') AND contains(found, 'entities')) OR (contains(cluster, 'event') AND contains(found, 'events')))),
+lk AS (SELECT cl.graph_id, claim AS s, q.p, cluster AS o FROM cl CROSS JOIN (VALUES ({_q('aida:claimSemantics')}), ({_q('aida:associatedKEs')})) q(p) WHERE EXISTS (SELECT 1 FROM {b} z WHERE z.graph_id = cl.graph_id AND z.s = cl.claim AND z.p = q.p)),
+bd AS (SELECT f.graph_id, f.s, f.p, f.o FROM {a} f JOIN hit ON hit.graph_id = f.graph_id AND hit.cluster = f.s WHERE f.p <> {_q('aida:prototype')} UNION ALL SELECT graph_id, cluster, {_q('aida:prototype')}, found FROM hit),
+pt AS (SELECT DISTINCT r.graph_id, cl.claim, r.s FROM r JOIN cl ON cl.graph_id = r.graph_id AND cl.cluster = r.start WHERE NOT EXISTS (SELECT 1 FROM hit WHERE hit.graph_id = r.graph_id AND hit.cluster = r.start)),
+cp AS (SELECT f.graph_id, f.s, f.p, f.o, pt.claim FROM {a} f JOIN pt ON pt.graph_id = f.graph_id AND pt.s = f.s),
+dc AS (SELECT t.graph_id, t.s AS claim, min(d.o) AS doc FROM {b} t JOIN {b} d ON d.graph_id = t.graph_id AND d.s = t.o AND d.p = {_q('aida:sourceDocument')} WHERE t.p = {_q('aida:justifiedBy')} GROUP BY 1, 2),
+dg AS (SELECT d.graph_id, min(d.o) AS doc FROM {b} d WHERE d.p = {_q('aida:sourceDocument')} AND {_is(b, 'd.s', 'aida:TextJustification')} GROUP BY 1),
+ju AS (SELECT cp.graph_id, cp.o AS s, {_q('aida:sourceDocument')} AS p, coalesce(dc.doc, dg.doc) AS o FROM cp LEFT JOIN dc ON dc.graph_id = cp.graph_id AND dc.claim = cp.claim LEFT JOIN dg ON dg.graph_id = cp.graph_id WHERE cp.p IN {both}),
+al AS (SELECT graph_id, s, p, o FROM {b} UNION SELECT * FROM lk UNION SELECT * FROM bd UNION SELECT graph_id, s, p, o FROM cp UNION SELECT * FROM ju WHERE o IS NOT NULL),
+sm AS (SELECT f.graph_id, f.s, f.p, coalesce(found, f.o) AS o FROM {a} f LEFT JOIN hit ON hit.graph_id = f.graph_id AND hit.ent = f.o WHERE {_is(a, 'f.s', 'rdf:Statement')}),
+mg AS (SELECT * FROM al UNION SELECT sm.* FROM sm WHERE EXISTS (SELECT 1 FROM sm w WHERE w.graph_id = sm.graph_id AND w.s = sm.s AND w.p = {_q('rdf:subject')} AND {_is('al', 'w.o', 'aida:Event')}))"""
+
+
+_TRR = _TR.replace("WITH ", "WITH RECURSIVE ", 1)
+ORACLE["graph_insert"] = f"{with_fixtures(SECOND, NEW)} SELECT * FROM snd UNION SELECT i.* FROM ins i WHERE EXISTS (SELECT 1 FROM snd t WHERE t.graph_id = i.graph_id AND t.s = i.s AND t.p = {_q('aida:claimSemantics')})"
+ORACLE["graph_replace"] = f"{with_fixtures(FIRST, MAP)} SELECT DISTINCT f.graph_id, s, p, CASE WHEN p = {_q('rdf:object')} AND mp.new IS NOT NULL THEN mp.new ELSE o END AS o FROM fst f LEFT JOIN mp ON mp.graph_id = f.graph_id AND mp.old = f.o"
+ORACLE["reachable_copy"] = f"{_TRR}, {_reach('fst')} SELECT DISTINCT graph_id, start, s FROM r"
+ORACLE["graph_merge"] = f"{_TRR}, {_merged('fst', 'snd')} SELECT * FROM mg"
+
+_NODE = ["id string", "text string", "start int", "stop int", "conf double", "ent string"]
+_SLOTS = ["xt", "xi", "ct", "ci"]
+_NONE = (None,) * 6
 A_CLAIMS = Fixture(
-    "acl", "claim_id string, doc_id string, claim_text string, start int, stop int, topic string, subtopic string, template string, x_text string, x_type string, x_identity string, claimer_text string, claimer_type string, claimer_identity string",
-    [("c1", "D1.rsd", "it spreads", 0, 9, "T", "S", "X spreads", "it", "Q7", None, "Ann", "Q5", "Q77"), ("c2", "D1.rsd", "no event", 20, 27, "T", "S2", "Z", None, None, None, None, None, None), ("c3", "D2", "masks work", 5, 14, "T2", "S", "X works", None, None, None, "Bob", None, "Q9")],
+    "acl", "claim_id string, doc_id string, claim_text string, start int, stop int, topic string, subtopic string, template string, location string, " + ", ".join(f"{s}_{c}" for s in _SLOTS for c in _NODE),
+    [
+        ("c1", "D1.rsd", 'it  spreads "fast"', 0, 9, "T", "S", "X spreads", None, "Q7", "it there", 0, 1, 0.5, None, None, "no", None, None, None, None, "Q5", "human", 20, 22, None, "E7 PER", "Q77", "Ann", 20, 22, 0.25, None),
+        ("c2", "D1.rsd", "no event", 20, 27, "T", "S2", "Z", None, *_NONE, *_NONE, *_NONE, *_NONE),
+        ("c3", "D2", "masks work", 5, 14, "T2", "S", "X works", "Rome", *_NONE, *_NONE, *_NONE, "Q9", "Bob", 1, 2, 0.5, None),
+        ("c0", "D1.rsd", "later claim", 40, 50, None, "S", "Y", None, "Q7", "it", None, None, None, None, *_NONE, *_NONE, *_NONE),
+    ],
 )
 A_EVENTS = Fixture(
     "aev", "claim_id string, doc_id string, ord int, event_id string, qnode_id string, span_start int, span_stop int, text string, confidence double",
-    [("c3", "D2", 0, "x3", "Q30", 6, 9, "work", None), ("c1", "D1.rsd", 0, "x1", "Q10", 3, 9, "spreads", 0.5), ("c1", "D1.rsd", 1, "x2", "Q11", 3, 9, "spread", 0.25), ("c2", "D1.rsd", 0, "x4", None, 1, 2, "none", 1.0)],
+    [("c3", "D2", 0, "x3", "Q30", 6, 9, "work hard", None), ("c1", "D1.rsd", 0, "x1", "Q10", 3, 9, "spreads", 0.5), ("c1", "D1.rsd", 1, "x2", "Q11", 3, 9, "spread", 0.25), ("c2", "D1.rsd", 0, "x4", None, 1, 2, "none", 1.0), ("c0", "D1.rsd", 0, "x5", "Q12", 41, 44, "later", 0.0)],
 )
-A_ARGS = Fixture("aar", "event_id string, role string, text string, type_qnode string, identity_qnode string", [("x1", "A0", "it", "Q1", "Q2"), ("x1", "A1", "them", None, "Q3"), ("x3", "A0", "masks", "Q4", None), ("x4", "A0", "no", "Q5", None)])
+A_ARGS = Fixture(
+    "aar", "event_id string, ord int, role string, " + ", ".join(f"{s}_{c}" for s in ("t", "i") for c in _NODE),
+    [
+        ("x1", 0, "A0", "Q1", "it", 0, 1, 0.5, None, "Q2", "It", 0, 1, 0.25, "E2 LOC"), ("x1", 1, "A1", *_NONE, "Q3", "them", 4, 6, None, None), ("x1", 2, "A2", "Q8", "placeless", None, None, None, None, *_NONE),
+        ("x3", 0, "A0", "Q4", "face masks", 5, 9, None, None, None, "none", 5, 9, None, None), ("x4", 0, "A0", "Q5", "no", 1, 1, None, None, *_NONE), ("x2", 0, "loc", "Q6", "home", 7, 9, 1.0, None, *_NONE),
+    ],
+)
+
+
+def _node(prefix: str):
+    parts = [F.col(f"{prefix}_{c.split()[0]}").alias(n.split(":")[0]) for c, n in zip(_NODE, aif.NODE[7:-1].split(","), strict=True)]
+    known = F.coalesce(*[F.col(f"{prefix}_{c.split()[0]}").cast("string") for c in _NODE]).isNotNull()
+    return F.when(known, F.struct(*parts))
+
+
+def _claim_tables(spark):
+    c = A_CLAIMS.df(spark).withColumns({"x_type": _node("xt"), "x_identity": _node("xi"), "claimer_type": _node("ct"), "claimer_identity": _node("ci")})
+    a = A_ARGS.df(spark).withColumns({"type": _node("t"), "identity": _node("i")}).select("event_id", "ord", "role", "type", "identity")
+    return c, A_EVENTS.df(spark), a
 
 
 def aif_triples(spark, sf_dir):
-    return aif.claim_triples(A_CLAIMS.df(spark), A_EVENTS.df(spark), A_ARGS.df(spark))
+    return aif.claim_triples(*_claim_tables(spark), System())
 
 
 def aif_serial_ids(spark, sf_dir):
@@ -310,36 +382,112 @@ def nil_ids(spark, sf_dir):
 
 
 def author_default(spark, sf_dir):
-    return aif.with_author(A_CLAIMS.df(spark)).select("claim_id", "claimer_text", "claimer_type", "claimer_identity")
+    c = aif.with_author(_claim_tables(spark)[0])
+    return c.select("claim_id", "by_author", F.col("claimer_type.qnode_id").alias("claimer_type"), F.col("claimer_type.text").alias("claimer_text"), F.col("claimer_identity.qnode_id").alias("claimer_identity"))
 
 
 _NIL = "'NIL' || lpad((('0x' || substr(md5({t}), 1, 8))::BIGINT % 10000000)::VARCHAR, 7, '0')"
-ORACLE["aif_serial_ids"] = "SELECT 'D' || source AS doc_id, doc_id::VARCHAR AS claim_id, 0 AS ord, 'EN_Event_' || lpad((row_number() OVER (ORDER BY 'D' || source, doc_id::VARCHAR, 0))::VARCHAR, 6, '0') AS event_name FROM documents"
+ORACLE["aif_serial_ids"] = "SELECT 'D' || source AS doc_id, doc_id::VARCHAR AS claim_id, 0 AS ord, 'EN_Event_' || lpad((row_number() OVER (ORDER BY 'D' || source, doc_id::VARCHAR, 0) - 1)::VARCHAR, 6, '0') AS event_name FROM documents"
 ORACLE["nil_ids"] = f"SELECT doc_id, {_NIL.format(t='text')} AS nil FROM documents"
-ORACLE["author_default"] = f"{with_fixtures(A_CLAIMS)} SELECT claim_id, CASE WHEN claimer_type IS NULL THEN '<AUTHOR>' ELSE claimer_text END AS claimer_text, coalesce(claimer_type, 'Q5') AS claimer_type, CASE WHEN claimer_type IS NOT NULL THEN claimer_identity END AS claimer_identity FROM acl"
-ORACLE["aif_triples"] = f"""{with_fixtures(A_CLAIMS, A_EVENTS, A_ARGS)},
-e AS (SELECT *, 'EN_Event_' || lpad((row_number() OVER (ORDER BY doc_id, claim_id, ord))::VARCHAR, 6, '0') AS nm, regexp_replace(doc_id, '\\.[^.]*$', '') AS g FROM aev WHERE qnode_id IS NOT NULL AND span_start IS NOT NULL AND text <> 'Unspecified'),
-c AS (SELECT *, regexp_replace(doc_id, '\\.[^.]*$', '') AS g, CASE WHEN claimer_type IS NULL THEN '<AUTHOR>' ELSE claimer_text END AS wt, coalesce(claimer_type, 'Q5') AS wk, CASE WHEN claimer_type IS NOT NULL THEN claimer_identity END AS wi FROM acl WHERE claim_id IN (SELECT claim_id FROM e)),
-u AS (SELECT *, 'urn:claims/' || g || '/claim_id/' || claim_id AS uri, 'urn:claims/claims/justifications/' || g || '/' || start || '/' || stop AS j, CASE WHEN x_text IS NOT NULL THEN 'ex:claim_' || g || '_' || claim_id || '_X' END AS x, 'ex:claim_' || g || '_' || claim_id || '_claimer' AS w FROM c),
-f AS (SELECT *, 'urn:claims/events/' || g || '/' || nm AS ev, 'urn:claims/cluster/event/' || nm AS cl, 'urn:claims/' || g || '/claim_id/' || claim_id AS uri FROM e),
-h AS (SELECT f.g, f.uri, f.ev, nm, role, type_qnode, identity_qnode, 'urn:claims/entities/' || f.g || '/' || nm || '/' || role AS en, 'urn:claims/cluster/entity/' || nm || '/' || role AS cl, 'ex:argument_' || nm || '_' || role AS st, CASE WHEN type_qnode IS NOT NULL THEN 'ex:type_' || nm || '_' || role END AS ty FROM aar JOIN f USING (event_id)),
-t(graph_id, s, p, o) AS (
-SELECT g, uri, unnest(['type', 'sourceDocument', 'claimId', 'topic', 'subtopic', 'claimTemplate', 'naturalLanguageDescription', 'xVariable', 'claimer', 'justifiedBy', 'system']), unnest(['Claim', g, claim_id, topic, subtopic, template, claim_text, x, w, j, 'urn:claims']) FROM u
-UNION ALL SELECT g, j, unnest(['type', 'startOffset', 'endOffsetInclusive', 'source', 'confidence']), unnest(['TextJustification', start::VARCHAR, stop::VARCHAR, g, '1.00E+00']) FROM u
-UNION ALL SELECT g, x, unnest(['type', 'componentName', 'componentType', 'componentIdentity']), unnest(['ClaimComponent', x_text, x_type, coalesce(x_identity, {_NIL.format(t='x_text')})]) FROM u WHERE x IS NOT NULL
-UNION ALL SELECT g, w, unnest(['type', 'componentName', 'componentType', 'componentIdentity']), unnest(['ClaimComponent', wt, wk, coalesce(wi, {_NIL.format(t='wt')})]) FROM u
-UNION ALL SELECT g, uri, unnest(['claimSemantics', 'associatedKEs']), cl FROM f
-UNION ALL SELECT g, cl, unnest(['type', 'prototype']), unnest(['SameAsCluster', ev]) FROM f
-UNION ALL SELECT g, ev, unnest(['type', 'justifiedBy', 'confidence']), unnest(['Event', ev || '/justification', CASE confidence WHEN 0.5 THEN '5.00E-01' WHEN 0.25 THEN '2.50E-01' ELSE '1.00E+00' END]) FROM f
-UNION ALL SELECT g, ev || '/justification', unnest(['type', 'startOffset', 'endOffsetInclusive', 'source']), unnest(['TextJustification', span_start::VARCHAR, span_stop::VARCHAR, g]) FROM f
-UNION ALL SELECT g, 'ex:assert_' || nm, unnest(['type', 'subject', 'predicate', 'object']), unnest(['TypeStatement', ev, 'rdf:type', qnode_id]) FROM f
-UNION ALL SELECT g, uri, unnest(['claimSemantics', 'associatedKEs']), cl FROM h
-UNION ALL SELECT g, cl, unnest(['type', 'prototype']), unnest(['SameAsCluster', en]) FROM h
-UNION ALL SELECT g, en, unnest(['type', 'link']), unnest(['Entity', CASE WHEN identity_qnode IS NOT NULL THEN en || '/link' END]) FROM h
-UNION ALL SELECT g, en || '/link', unnest(['type', 'linkTarget']), unnest(['LinkAssertion', identity_qnode]) FROM h WHERE identity_qnode IS NOT NULL
-UNION ALL SELECT g, st, unnest(['type', 'subject', 'predicate', 'object']), unnest(['ArgumentStatement', ev, role, en]) FROM h
-UNION ALL SELECT g, ty, unnest(['type', 'subject', 'predicate', 'object']), unnest(['TypeStatement', en, 'rdf:type', type_qnode]) FROM h WHERE ty IS NOT NULL)
-SELECT * FROM t WHERE o IS NOT NULL"""
+_HAS = lambda s: "coalesce(" + ", ".join(f"{s}_{c.split()[0]}::VARCHAR" for c in _NODE) + ") IS NOT NULL"
+ORACLE["author_default"] = f"{with_fixtures(A_CLAIMS)} SELECT claim_id, NOT ({_HAS('ct')}) AS by_author, CASE WHEN {_HAS('ct')} THEN ct_id ELSE 'Q5' END AS claimer_type, CASE WHEN {_HAS('ct')} THEN ct_text ELSE 'human' END AS claimer_text, CASE WHEN {_HAS('ct')} THEN ci_id END AS claimer_identity FROM acl"
+
+
+def _rows(table: str, *triples: tuple[str, str, str, str]) -> str:
+    """SELECTs of (subject, predicate, object, kind of object) over a table with the graph g."""
+    types = {"str": ("literal", f"{_q('xsd:string')}"), "int": ("literal", f"{_q('xsd:int')}"), "double": ("literal", f"{_q('xsd:double')}"), "iri": ("iri", "NULL"), "blank": ("bnode", "NULL")}
+    return "\nUNION ALL ".join(f"SELECT g AS graph_id, {s} AS s, {_q(p)} AS p, ({o})::VARCHAR AS o, '{types[k][0]}' AS o_kind, {types[k][1]} AS o_type FROM {table}" for s, p, o, k in triples)
+
+
+def _b(s: str, what: str) -> str:
+    return f"('_:b' || substr(md5({s} || '|{what}'), 1, 16))"
+
+
+def _kind(s: str, *kinds: str):
+    return [*[(s, "a", f"CASE WHEN {s} IS NOT NULL THEN {_q(k)} END", "iri") for k in kinds], (s, "aida:system", "'urn:claims'", "iri")]
+
+
+def _sure(s: str, c: str):
+    b = _b(s, "confidence")
+    return [(s, "aida:confidence", b, "blank"), *_kind(b, "aida:Confidence"), (b, "aida:confidenceValue", f"format('{{:.2E}}', coalesce(nullif({c}, 0), 1))", "double")]
+
+
+def _private(s: str, text: str):
+    b = f"CASE WHEN {text} IS NOT NULL THEN {_b(s, 'private')} END"
+    return [(s, "aida:privateData", b, "blank"), *_kind(b, "aida:PrivateData"), (b, "aida:jsonContent", text, "str")]
+
+
+def _at(s: str, start: str, stop: str, c: str):
+    return [*_kind(s, "aida:TextJustification"), *_sure(s, c), (s, "aida:startOffset", start, "int"), (s, "aida:endOffsetInclusive", stop, "int"), (s, "aida:source", "g", "str")]
+
+
+def _entity(ent: str, d: str, linked: str, path: str):
+    j = f"CASE WHEN {d}start IS NOT NULL AND {d}stop IS NOT NULL THEN 'urn:claims/' || g || '/{path} || '/' || {d}start || '/' || {d}stop END"
+    k = f"CASE WHEN {linked} THEN {_b(ent, 'link')} END"
+    return [*_kind(ent, "aida:Entity"), (ent, "aida:justifiedBy", j, "iri"), (ent, "aida:link", k, "blank"), *_kind(k, "aida:LinkAssertion"), (k, "aida:linkTarget", f"{d}id", "str"), *_sure(k, f"{d}conf"), *_private(ent, f"{d}ent"), *_at(j, f"{d}start", f"{d}stop", f"{d}conf")]
+
+
+def _slot(name: str, part: str, prop: str):
+    told = "'{qnode_id:' || d_id || ',text:' || d_text || '}'"
+    told = f"CASE WHEN d_id IS NULL THEN '{{text:' || d_text || '}}' ELSE {told} END"
+    me = f"('https://www.caci.com/claim-example#claim_' || g || '_' || claim_id || '_{part}')"
+    return _rows(f"s{name[0]}", (f"uri", f"aida:{prop}", me, "iri"), ("uri", "aida:associatedKEs", "cluster", "iri"), *_kind("cluster", "aida:SameAsCluster"), ("cluster", "aida:prototype", "ent", "iri"), *_kind(me, "aida:ClaimComponent"), (me, "aida:componentName", "d_text", "str"), (me, "aida:componentType", "k_id", "str"),
+        (me, "aida:componentIdentity", f"CASE WHEN linked THEN d_id ELSE {_NIL.format(t='k_text')} END", "str"), (me, "aida:componentKE", "ent", "iri"), *_private(me, told), *_entity("ent", "d_", "linked", f"{name}/entityjustification/0'"))
+
+
+_COLS = [c.split()[0] for c in _NODE]
+_PICK = lambda a, b: ", ".join(f"CASE WHEN {a}_id IS NOT NULL THEN {a}_{c} ELSE {b}_{c} END AS d_{c}" for c in _COLS)
+_EVENT, _EVTOLD = "('urn:claims/events/own/' || g || '/' || nm)", "'{qnode_id:' || qnode_id || ',text:' || text || '}'"
+_ECLUSTER, _EAT = "('urn:claims/clusters/own/events/' || g || '/' || nm)", "|| '/' || g || '/' || span_start || '/' || span_stop)"
+_EINF, _EJUST = f"('urn:claims/assertions/own/event_informative_justification/' || nm {_EAT}", f"('urn:claims/assertions/own/eventjustification/' || nm {_EAT}"
+_ETYPE = "('urn:claims/assertions/own/eventtype/' || g || '/' || nm || '/' || replace(text, ' ', '_') || '/EventType-' || qnode_id)"
+_ENT, _ACLUSTER = "('urn:claims/entities/own/' || g || '/' || an)", "('urn:claims/clusters/own/entity/' || g || '/' || an)"
+_AARG = "('urn:claims/assertions/own/eventarg/' || g || '/' || nm || '/' || replace(text, ' ', '_') || '.' || role || '/EventArgument-' || d_id)"
+_ATYPE = "CASE WHEN t_id IS NOT NULL THEN 'urn:claims/assertions/own/entitytype/' || g || '/' || an || '/' || replace(t_text, ' ', '_') || '/' || t_id END"
+_JUST = "('urn:claims/claims/justifications/' || g || '/' || start || '/' || stop)"
+_LOC = f"CASE WHEN location IS NOT NULL THEN '{iri('aida:')}' || location END"
+_AIF = f"""e0 AS (SELECT *, regexp_replace(doc_id, '\\.[^.]*$', '') AS g FROM aev WHERE qnode_id IS NOT NULL AND span_start IS NOT NULL AND text <> 'Unspecified'),
+e AS (SELECT *, 'EN_Event_' || lpad((row_number() OVER (ORDER BY doc_id, claim_id, ord) - 1)::VARCHAR, 6, '0') AS nm, 'urn:claims/' || g || '/claim_id/' || claim_id AS uri FROM e0),
+ar AS (SELECT aar.*, e.* EXCLUDE (event_id, ord), e.ord AS e_ord, row_number() OVER (PARTITION BY claim_id ORDER BY e.ord, aar.ord) - 1 AS k FROM aar JOIN e USING (event_id) WHERE CASE WHEN t_id IS NOT NULL OR t_text IS NOT NULL THEN t_id IS NOT NULL AND t_start IS NOT NULL ELSE i_id IS NOT NULL AND i_start IS NOT NULL END),
+c0 AS (SELECT acl.* EXCLUDE ({', '.join(f'ct_{c}, ci_{c}' for c in _COLS)}), NOT ({_HAS('ct')}) AS author, {', '.join(f"CASE WHEN {_HAS('ct')} THEN ct_{c} ELSE {v} END AS ct_{c}" for c, v in zip(_COLS, ["'Q5'", "'human'", "0", "0", "1.0", "NULL"], strict=True))},
+  {', '.join(f"CASE WHEN {_HAS('ct')} THEN ci_{c} END AS ci_{c}" for c in _COLS)}, regexp_replace(doc_id, '\\.[^.]*$', '') AS g, ({_HAS('xt')})::INT AS has_x, (SELECT count(*) FROM ar WHERE ar.claim_id = acl.claim_id) AS n_args FROM acl WHERE claim_id IN (SELECT claim_id FROM e)),
+c AS (SELECT *, 'urn:claims/' || g || '/claim_id/' || claim_id AS uri, 1 + coalesce(sum(n_args + has_x + 1) OVER (ORDER BY doc_id, claim_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base FROM c0),
+sx AS (SELECT g, uri, claim_id, xi_id IS NOT NULL AS linked, xt_id AS k_id, xt_text AS k_text, 'urn:claims/clusters/own/entity/' || g || '/' || claim_id || '/x_variable/' || (base + n_args)::INT AS cluster, 'urn:claims/' || g || '/claim/' || claim_id || '/x_variable/entity/' || (base + n_args)::INT AS ent, {_PICK('xi', 'xt')} FROM c WHERE has_x = 1),
+sc AS (SELECT g, uri, claim_id, ci_id IS NOT NULL AS linked, ct_id AS k_id, ct_text AS k_text, CASE WHEN author THEN 'urn:claims/clusters/own/entity/' || g || '/EN_Entity_EDL_ENG_0000000' ELSE 'urn:claims/clusters/own/entity/' || g || '/' || claim_id || '/claimer/' || (base + n_args + has_x)::INT END AS cluster,
+  CASE WHEN author THEN 'urn:claims/entities/own/' || g || '/EN_Entity_EDL_ENG_0000000' ELSE 'urn:claims/' || g || '/claim/' || claim_id || '/claimer/entity/' || (base + n_args + has_x)::INT END AS ent, {_PICK('ci', 'ct')} FROM c),
+a AS (SELECT ar.*, 'EN_Entity_EDL_ENG_' || lpad((base + k)::INT::VARCHAR, 7, '0') AS an, {_PICK('i', 't')} FROM ar JOIN c USING (claim_id)),
+aif AS (SELECT DISTINCT * FROM (
+{_rows('c', ("'urn:claims'", 'a', _q('aida:System'), 'iri'), *_kind('uri', 'aida:Claim'), ('uri', 'aida:sourceDocument', 'doc_id', 'str'), ('uri', 'aida:claimId', 'claim_id', 'str'), ('uri', 'aida:topic', 'topic', 'str'), ('uri', 'aida:subtopic', 'subtopic', 'str'), ('uri', 'aida:claimTemplate', 'template', 'str'), ('uri', 'aida:naturalLanguageDescription', "replace(regexp_replace(claim_text, ' +', ' ', 'g'), chr(34), '')", 'str'), ('uri', 'aida:claimLocation', _LOC, 'iri'), *_kind(_LOC, 'aida:ClaimComponent'), (_LOC, 'aida:componentName', 'location', 'str'), ('uri', 'aida:justifiedBy', _JUST, 'iri'), *_at(_JUST, 'start', 'stop', '1.0'))}
+UNION ALL {_slot('x_variable', 'X', 'xVariable')}
+UNION ALL {_slot('claimer', 'claimer', 'claimer')}
+UNION ALL {_rows('e', ('uri', 'aida:claimSemantics', _ECLUSTER, 'iri'), ('uri', 'aida:associatedKEs', _ECLUSTER, 'iri'), *_kind(_ECLUSTER, 'aida:SameAsCluster'), (_ECLUSTER, 'aida:prototype', _EVENT, 'iri'), *_kind(_EVENT, 'aida:Event'), *_sure(_EVENT, 'confidence'), *_private(_EVENT, _EVTOLD), (_EVENT, 'aida:informativeJustification', _EINF, 'iri'), *_at(_EINF, 'span_start', 'span_stop', 'confidence'), *_private(_EINF, _EVTOLD), (_EVENT, 'aida:justifiedBy', _EJUST, 'iri'), *_at(_EJUST, 'span_start', 'span_stop', 'confidence'), *_private(_EJUST, _EVTOLD), *_kind(_ETYPE, 'rdf:Statement', 'aida:TypeStatement'), (_ETYPE, 'rdf:subject', _EVENT, 'iri'), (_ETYPE, 'rdf:predicate', _q('a'), 'iri'), (_ETYPE, 'rdf:object', 'qnode_id', 'str'))}
+UNION ALL {_rows('a', ('uri', 'aida:claimSemantics', _ACLUSTER, 'iri'), ('uri', 'aida:associatedKEs', _ACLUSTER, 'iri'), *_kind(_ACLUSTER, 'aida:SameAsCluster'), (_ACLUSTER, 'aida:prototype', _ENT, 'iri'), *_entity(_ENT, 'd_', 'i_id IS NOT NULL', "' || role || '/entityjustification/' || an"), *_kind(_AARG, 'rdf:Statement', 'aida:ArgumentStatement'), (_AARG, 'rdf:subject', _EVENT, 'iri'), (_AARG, 'rdf:predicate', 'role', 'str'), (_AARG, 'rdf:object', _ENT, 'iri'), *_kind(_ATYPE, 'rdf:Statement', 'aida:TypeStatement'), (_ATYPE, 'rdf:subject', _ENT, 'iri'), (_ATYPE, 'rdf:predicate', _q('a'), 'iri'), (_ATYPE, 'rdf:object', 't_id', 'str'))}
+) WHERE s IS NOT NULL AND o IS NOT NULL)"""
+_AT = with_fixtures(A_CLAIMS, A_EVENTS, A_ARGS)
+ORACLE["aif_triples"] = f"{_AT}, {_AIF} SELECT * FROM aif"
+
+#: Another system's graphs of the same documents.
+OTHERS = Fixture(
+    "oth", "graph_id string, s string, p string, o string",
+    _full([
+        ("D1", "http://o/x#c1", "a", "aida:Claim"), ("D1", "http://o/x#c1", "aida:claimSemantics", "http://o/clusters/1"), ("D1", "http://o/x#c1", "aida:associatedKEs", "http://o/clusters/1"), ("D1", "http://o/x#c1", "aida:justifiedBy", "http://o/j"), ("D1", "http://o/j", "a", "aida:TextJustification"), ("D1", "http://o/j", "aida:sourceDocument", "D1"),
+        ("D1", "http://o/events/1", "a", "aida:Event"), *_span("D1", "http://o/events/1", "http://o/w1", 3, 10), ("D1", "http://o/entities/2", "a", "aida:Entity"), *_span("D1", "http://o/entities/2", "http://o/w2", 1, 2), ("D2", "http://o/x#c3", "a", "aida:Claim"), ("D2", "http://o/x#c3", "aida:claimSemantics", "http://o/z"),
+    ]),
+)
+
+
+def _written_claims(spark):
+    path = f"{shared_dir(spark)}/claims-ttl-{uuid.uuid4().hex}"
+    turtle.write_turtle(aif_triples(spark, ""), path)
+    return turtle.read_turtle(spark, path)
+
+
+def aif_merge(spark, sf_dir):
+    """Claims to triples, to Turtle files, and back, merged with another system's graphs."""
+    return G.merge_stores(_written_claims(spark).select("graph_id", "s", "p", "o"), OTHERS.df(spark))
+
+
+ORACLE["aif_merge"] = f"{_AT.replace('WITH ', 'WITH RECURSIVE ', 1)}, {OTHERS.sql()}, {_AIF}, {_merged('aif', 'oth')} SELECT * FROM mg"
 
 
 def slot_ratios(spark, sf_dir):
@@ -355,11 +503,13 @@ round(count(w)::DOUBLE / count(*), 6) AS claimer_share, round(count(*) FILTER (W
 
 
 def entity_histogram(spark, sf_dir):
+    """Events as slots: those that aren't clicks have an entity, their user."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return analysis.entity_histogram(e.select(F.col("user_id").alias("ent_id")))
+    return analysis.entity_histogram(e.select(F.when(F.col("event_type") != "click", F.col("user_id")).alias("ent_id")))
 
 
-ORACLE["entity_histogram"] = "WITH h AS (SELECT user_id, count(*) AS n FROM events GROUP BY 1) SELECT count(*) AS n_entities, count(*) FILTER (WHERE n > 1) AS n_repeated, sum(n)::BIGINT AS n_mentions, max(n) AS most FROM h"
+ORACLE["entity_histogram"] = """WITH h AS (SELECT user_id, count(*) AS n FROM events WHERE event_type <> 'click' GROUP BY 1), t AS (SELECT count(*) AS n_slots FROM events)
+SELECT n_slots, count(*) AS n_entities, count(*) FILTER (WHERE n > 1) AS n_repeated, sum(n)::BIGINT AS n_mentions, max(n) AS most, round(sum(n)::DOUBLE / n_slots, 6) AS mention_share FROM h, t GROUP BY n_slots"""
 
 
 def overlap_counts(spark, sf_dir):
@@ -380,12 +530,17 @@ ORACLE["topic_counts"] = "SELECT lang AS topic, source AS subtopic, count(*) AS
 
 
 def merge_report(spark, sf_dir):
-    m = G.merge_stores(FIRST.df(spark), SECOND.df(spark))
-    return analysis.merge_report(m.where("p = 'claimSemantics'").select(F.col("s").alias("claim"), F.regexp_replace("o", "^k/event/", "k/events/").alias("uri")))
+    return analysis.merge_report(G.merge_stores(FIRST.df(spark), SECOND.df(spark)), "k/clusters")
+
+
+def merge_totals(spark, sf_dir):
+    a, b = FIRST.df(spark), SECOND.df(spark)
+    return analysis.merge_totals(a, b, G.merge_stores(a, b), "k/clusters")
 
 
-ORACLE["merge_report"] = f"""SELECT s AS claim, count(*) FILTER (WHERE contains(replace(o, 'k/event/', 'k/events/'), 'events')) AS n_events, count(*) FILTER (WHERE contains(o, 'entity')) AS n_entities
-FROM ({ORACLE['graph_merge']}) WHERE p = 'claimSemantics' GROUP BY 1"""
+_ADDED = f"ad AS (SELECT s AS claim, o AS uri, CASE WHEN contains(o, 'events') THEN 1 ELSE 0 END AS ev FROM mg WHERE p = {_q('aida:claimSemantics')} AND contains(o, 'k/clusters') AND {_is('mg', 'mg.s', 'aida:Claim')})"
+ORACLE["merge_report"] = f"{_TRR}, {_merged('fst', 'snd')}, {_ADDED} SELECT claim, coalesce(string_agg(uri, ' ' ORDER BY uri) FILTER (WHERE ev = 1), '') AS events, coalesce(string_agg(uri, ' ' ORDER BY uri) FILTER (WHERE ev = 0), '') AS entities FROM ad GROUP BY 1"
+ORACLE["merge_totals"] = f"{_TRR}, {_merged('fst', 'snd')}, {_ADDED} SELECT (SELECT count(*) FROM mg WHERE p = {_q('a')} AND o = {_q('aida:Claim')}) AS n_claims, count(DISTINCT claim) AS n_modified, sum(ev)::BIGINT AS n_events, sum(1 - ev)::BIGINT AS n_entities, (SELECT count(*) FROM hit) AS n_replaced FROM ad"
 
 
 def qnode_accuracy(spark, sf_dir):

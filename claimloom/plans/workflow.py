@@ -11,6 +11,7 @@ from ..operators import edl as E
 from ..operators import graph as G
 from ..operators import matching as M
 from ..operators import spans as S
+from ..session import written
 from ..sources import corpus, turtle
 
 
@@ -56,11 +57,20 @@ def link_mentions(mentions: DataFrame, edl_mentions: DataFrame, contained: bool
     return S.linked_spans(m, s, contained).select("m_id", "s_id.ent_id", "how")
 
 
+def graphs_by_document(spark: SparkSession, path: str) -> DataFrame:
+    """Triples of a folder of Turtle, the graph named by the document that its text justifications name; others go."""
+    t = turtle.with_document(turtle.read_turtle(spark, path))
+    return t.withColumn("graph_id", F.col("document")).drop("document").distinct()
+
+
 def merge(spark: SparkSession, first: str, second: str, out: str) -> DataFrame:
-    """Two folders of Turtle merged into a third; returns the merged triples."""
-    a, b = turtle.read_turtle(spark, first), turtle.read_turtle(spark, second)
-    m = G.merge_stores(a.select("graph_id", "s", "p", "o"), b.select("graph_id", "s", "p", "o"))
-    kinds = a.unionByName(b).groupBy("graph_id", "o").agg(F.min("o_kind").alias("o_kind"), F.min("o_type").alias("o_type"))
-    full = m.join(kinds, ["graph_id", "o"], "left").withColumn("o_kind", F.coalesce("o_kind", F.lit("iri"))).select("graph_id", "s", "p", "o", "o_kind", "o_type")
-    turtle.write_turtle(full, out)
+    """Two folders of Turtle merged into a third, a folder for each document; returns the merged triples.
+
+    Graphs of the second folder are written under the document that their justifications name as their source document;
+    those that name none are left out, as there is no name to write them under.
+    """
+    b = written(graphs_by_document(spark, second))
+    m = written(G.merge_stores(written(graphs_by_document(spark, first)), b))
+    named = m.join(G.document_of(b, "aida:sourceDocument"), "graph_id").withColumn("graph_id", F.col("doc")).drop("doc")
+    turtle.write_turtle(named, out)
     return m

@@ -27,10 +27,10 @@ def _escaped(value: Column) -> Column:
 
 
 def term(value: Column, kind: Column, datatype: Column | None = None) -> Column:
-    """The text of an IRI, blank node or literal."""
+    """The text of an IRI, blank node (whose name begins with _:) or literal."""
     literal = F.concat(F.lit('"'), _escaped(value), F.lit('"'))
     typed = literal if datatype is None else F.when(datatype.isNotNull(), F.concat(literal, F.lit("^^<"), datatype, F.lit(">"))).otherwise(literal)
-    return F.when(kind == "iri", F.concat(F.lit("<"), value, F.lit(">"))).when(kind == "bnode", F.concat(F.lit("_:"), value)).otherwise(typed)
+    return F.when(kind == "iri", F.concat(F.lit("<"), value, F.lit(">"))).when(kind == "bnode", value).otherwise(typed)
 
 
 def subject_kind(s: Column) -> Column:
@@ -51,8 +51,11 @@ def write_turtle(triples: DataFrame, path: str) -> None:
     r.select("graph_id", "line").write.partitionBy("graph_id").text(path)
 
 
-def parse(text: str) -> list[tuple[str, str, str, str, str | None]]:
-    """(s, p, o, o_kind, o_type) of a Turtle text: prefixes, lists of predicates and objects, literals, blank nodes."""
+def parse(text: str, named: str = "", unnamed: str = "") -> list[tuple[str, str, str, str, str | None]]:
+    """(s, p, o, o_kind, o_type) of a Turtle text: prefixes, lists of predicates and objects, literals, blank nodes.
+
+    named, unnamed: what the names of blank nodes with and without a label begin with.
+    """
     prefixes: dict[str, str] = {}
     out: list[tuple[str, str, str, str, str | None]] = []
     tokens: list[tuple[str, str]] = []
@@ -73,7 +76,7 @@ def parse(text: str) -> list[tuple[str, str, str, str, str | None]]:
         if kind == "iri":
             return value, "iri", None
         if kind == "bnode":
-            return f"_:{value}", "bnode", None
+            return f"_:{named}{value}", "bnode", None
         if kind == "num":
             return value, "literal", "http://www.w3.org/2001/XMLSchema#" + ("integer" if value.lstrip("+-").isdigit() else "double" if "e" in value.lower() else "decimal")
         if value == "a":
@@ -97,7 +100,7 @@ def parse(text: str) -> list[tuple[str, str, str, str, str | None]]:
             return value, "literal", datatype
         if (kind, value) == ("mark", "["):
             blanks += 1
-            name = f"_:b{blanks}"
+            name = f"_:{unnamed}b{blanks}"
             predicates(name, "]")
             i += 1
             return name, "bnode", None
@@ -140,16 +143,19 @@ def _decoded(name: Column) -> Column:
 def read_turtle(spark: SparkSession, path: str) -> DataFrame:
     """(graph_id, s, p, o, o_kind, o_type) of files; the graph is the folder graph_id=…, or else the file's name.
 
-    Blank nodes get the graph as a prefix, so that those of two files differ.
+    A file is one document's graph, or a part of it. The names of blank nodes begin with a hash of the file, so that those
+    of two files differ; labels in a folder graph_id=…, whose files share them, stay.
     """
     whole = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
     # the folder name is escaped once by the writer and once as a path
     name = F.regexp_extract(F.col("_metadata.file_path"), "/graph_id=([^/]+)/", 1)
-    files = whole.select(F.when(name != "", _decoded(_decoded(name))).otherwise(F.regexp_replace(T.last_segment(F.col("_metadata.file_name")), r"\.ttl$", "")).alias("graph_id"), "value")
+    graph = F.when(name != "", _decoded(_decoded(name))).otherwise(F.regexp_replace(T.last_segment(F.col("_metadata.file_name")), r"\.ttl$", ""))
+    scope = F.substring(F.md5(F.col("_metadata.file_path").cast("binary")), 1, 12)
+    files = whole.select(graph.alias("graph_id"), F.when(name != "", "").otherwise(F.concat(F.lit("f"), scope)).alias("named"), F.concat(F.lit("u"), scope).alias("unnamed"), "value")
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
-            found = [(g, *t) for g, text in zip(df["graph_id"], df["value"], strict=True) for t in parse(text)]
+            found = [(g, *t) for g, a, b, text in df[["graph_id", "named", "unnamed", "value"]].itertuples(index=False) for t in parse(text, a, b)]
             out = pd.DataFrame(found, columns=["graph_id", "s", "p", "o", "o_kind", "o_type"])
             yield out.astype(object).where(out.notna(), None)
 
@@ -157,7 +163,7 @@ def read_turtle(spark: SparkSession, path: str) -> DataFrame:
 
 
 def with_document(triples: DataFrame) -> DataFrame:
-    """Graphs that name a source document, keyed by it; others are left out."""
+    """Graphs whose text justifications name a document, with it as ``document``; others are left out."""
     from ..operators.graph import document_of
 
     return triples.join(document_of(triples).withColumnRenamed("doc", "document"), "graph_id")

@@ -179,4 +179,66 @@ def test_permuted_input_gives_the_same_rows(spark):
 def test_graphs_by_tokens(spark):
     c = spark.createDataFrame([(1, "a b"), (2, "c")], "claim_id int, words string")
     g = spark.createDataFrame([("g1", "a b"), ("g2", "x")], "graph_id string, token_text string")
-    assert [tuple(r) for r in amr.graphs_by_tokens(c, g, "words").collect()] == [(1, "a b", "g1")]
+    assert sorted(map(tuple, amr.graphs_by_tokens(c, g, "words").collect())) == [(1, "a b", "g1"), (2, "c", None)]
+
+
+def test_closures_have_no_depth(spark):
+    """A chain of 200 links, an ancestor 20 steps up, a description through 12 rolesets, a set of 40 candidates in a row."""
+    t = spark.createDataFrame([("g", f"n{i}", "p", f"n{i + 1}") for i in range(200)] + [("g", "n200", "p", "end")], "graph_id string, s string, p string, o string")
+    assert graph.reachable(t, spark.createDataFrame([("g", "n0")], "graph_id string, start string")).count() == 201
+    e = spark.createDataFrame([("g", i, f"n{i + 1}", ":ARG1", f"n{i}") for i in range(30)], "graph_id string, ord int, parent string, role string, child string")
+    above = amr.first_above(e, spark.createDataFrame([("g", "n20"), ("g", "n25")], "graph_id string, node_id string"), spark.createDataFrame([("g", "n0")], "graph_id string, start string"))
+    assert [(r.node_id, r.steps) for r in above.collect()] == [("n20", 20)]
+    n = spark.createDataFrame([("g", f"n{i}", i, "do-01" if i else "thing") for i in range(13)], "graph_id string, node_id string, ord int, label string")
+    words = spark.createDataFrame([("g", i, f"w{i}") for i in range(13)], "graph_id string, idx int, token string")
+    at = spark.createDataFrame([("g", i, f"n{i}", i) for i in range(13)], "graph_id string, ord int, node_id string, token_idx int")
+    d = amr.descriptions(n, e.where("ord < 12"), words, amr.node_strings(words, at))
+    assert d.where("node_id = 'n12'").first().description == " ".join(f"w{i}" for i in range(13))
+    c = spark.createDataFrame([("p-01", i, f"Q{i:02d}", f"n{i}") for i in range(40)], "pb string, ord int, qnode string, name string")
+    p = spark.createDataFrame([(f"Q{i:02d}", f"Q{i - 1:02d}") for i in range(1, 40)], "qnode string, parent string")
+    assert [tuple(r) for r in qnodes.most_general(c, p).collect()] == [("p-01", "Q00")]
+
+
+def test_first_above_goes_depth_first(spark):
+    """The parent by the first edge is followed to its end before the next one, and no walk goes on from a wanted node."""
+    edges = [("a", 0, "b"), ("b", 5, "c"), ("c", 7, "x"), ("a", 1, "y"), ("y", 2, "z"), ("c", 8, "a")]
+    e = spark.createDataFrame([("g", o, p, ":r", c) for c, o, p in edges], "graph_id string, ord int, parent string, role string, child string")
+    above = lambda *w: [(r.node_id, r.steps) for r in amr.first_above(e, spark.createDataFrame([("g", x) for x in w], "graph_id string, node_id string"), spark.createDataFrame([("g", "a")], "graph_id string, start string")).collect()]
+    assert above("x", "y", "z") == [("x", 3)] and above("y", "z") == [("y", 4)] and above("z") == [("z", 5)] and above("none") == []  # by way of b, c and a
+
+
+def test_many_templates(spark):
+    g = np.random.default_rng(0)
+    v = spark.createDataFrame([(i, g.normal(size=4).tolist()) for i in range(40)], "id int, v array<double>")
+    t = spark.createDataFrame([(i, g.normal(size=4).tolist()) for i in range(30)], "template_id int, t array<double>")
+    assert sorted(map(tuple, claims.nearest_template(v, t, block=7).collect())) == sorted(map(tuple, claims.nearest_template(v, t).collect()))
+
+
+def test_near_spans_by_brute_force(spark):
+    g = np.random.default_rng(2)
+    m = [(i, "d", int(a), int(a) + int(b)) for i, (a, b) in enumerate(zip(g.integers(0, 40, 60), g.integers(0, 4, 60)))]
+    s = [(i, "d", int(a), int(a) + int(b)) for i, (a, b) in enumerate(zip(g.integers(0, 40, 40), g.integers(-1, 5, 40)))]
+    want = {}
+    for i, _, a, b in m:
+        tries = [(a - 1, b - 1), (a - 1, b), (a - 1, b + 1), (a, a - 1), (a, b), (a, b + 1), (a + 1, b - 1), (a + 1, b), (a + 1, b + 1)]
+        for k, t in enumerate(tries):
+            hits = [j for j, _, x, y in s if (x, y) == t]
+            if hits:
+                want[i] = (max(hits), k)
+                break
+    out = spans.near_spans(spark.createDataFrame(m, "m_id int, doc string, m_start int, m_stop int"), spark.createDataFrame(s, "s_id int, doc string, s_start int, s_stop int"))
+    assert {r.m_id: (r.s_id, r.probe) for r in out.collect()} == want
+
+
+def test_matcher_is_linear(spark):
+    """A sentence of 64,000 words takes no square of its length."""
+    import time
+
+    p = matching.load_patterns(json.dumps({"a": [[{"POS": "N", "OP": "+"}, {"TEXT": "v"}]], "b": [[{"TEXT": "d"}, {"POS": "N", "OP": "+"}, {"TEXT": "v"}]]}))
+    words = ["d"] + ["n"] * 64_000
+    df = spark.createDataFrame([(1, [(i, w, w, "N" if w == "n" else "V", "") for i, w in enumerate(words)])], "u int, tokens array<struct<i:int,text:string,lemma:string,pos:string,ent_type:string>>")
+    began = time.time()
+    assert matching.matches(df, p, keep=["u"]).count() == 0
+    d = spark.createDataFrame([(" ".join(words), words)], "t string, w array<string>")
+    assert d.select(F.size(matching.search_offsets(F.col("t"), F.col("w"))).alias("n")).first().n == 64_001
+    assert time.time() - began < 30

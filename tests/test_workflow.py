@@ -1,8 +1,8 @@
 """Stages from files to files, by the command line."""
 
-from pyspark.sql import functions as F
-
 from claimloom import cli
+from claimloom.functions import vocabulary as V
+from claimloom.operators import aif
 from claimloom.plans import graphs, workflow
 from claimloom.sources import corpus, turtle
 
@@ -37,10 +37,89 @@ def test_external_claims(spark, tmp_path):
     assert claims.count() == 1 and share.first().valid_share == 0.5
 
 
+HEAD = "@prefix aida: <" + V.AIDA + "> .\n@prefix ex: <" + V.EX + "> .\n@prefix rdf: <" + V.RDF + "> .\n@prefix xsd: <" + V.XSD + "> .\n\n"
+OWN = HEAD + """<http://s> a aida:System .
+
+<http://s/D1/claim_id/77> a aida:Claim ;
+    aida:sourceDocument "D1.rsd"^^xsd:string ;
+    aida:claimSemantics <http://s/clusters/own/events/D1/EN_Event_000000>,
+        <http://s/clusters/own/entity/D1/EN_Entity_EDL_ENG_0000001>, <http://s/clusters/own/entity/D1/EN_Entity_EDL_ENG_0000002> ;
+    aida:justifiedBy <http://s/claims/justifications/D1/0/20> ;
+    aida:system <http://s> .
+
+<http://s/claims/justifications/D1/0/20> a aida:TextJustification ;
+    aida:confidence [ a aida:Confidence ;
+        aida:confidenceValue 1.00E+00 ;
+        aida:system <http://s> ] ;
+    aida:endOffsetInclusive "20"^^xsd:int ;
+    aida:source "D1"^^xsd:string ;
+    aida:startOffset "0"^^xsd:int ;
+    aida:system <http://s> .
+
+<http://s/clusters/own/events/D1/EN_Event_000000> a aida:SameAsCluster ;
+    aida:prototype <http://s/events/own/D1/EN_Event_000000> .
+<http://s/events/own/D1/EN_Event_000000> a aida:Event ;
+    aida:justifiedBy <http://s/j/event> .
+<http://s/j/event> a aida:TextJustification ; aida:startOffset "3"^^xsd:int ; aida:endOffsetInclusive "9"^^xsd:int ; aida:source "D1"^^xsd:string .
+<http://s/clusters/own/entity/D1/EN_Entity_EDL_ENG_0000001> a aida:SameAsCluster ;
+    aida:prototype <http://s/entities/own/D1/EN_Entity_EDL_ENG_0000001> .
+<http://s/entities/own/D1/EN_Entity_EDL_ENG_0000001> a aida:Entity ;
+    aida:justifiedBy <http://s/j/1> ;
+    aida:link [ a aida:LinkAssertion ;
+        aida:linkTarget "Q1"^^xsd:string ] .
+<http://s/j/1> a aida:TextJustification ; aida:startOffset "11"^^xsd:int ; aida:endOffsetInclusive "14"^^xsd:int ; aida:source "D1"^^xsd:string .
+<http://s/clusters/own/entity/D1/EN_Entity_EDL_ENG_0000002> a aida:SameAsCluster ;
+    aida:prototype <http://s/entities/own/D1/EN_Entity_EDL_ENG_0000002> .
+<http://s/entities/own/D1/EN_Entity_EDL_ENG_0000002> a aida:Entity ;
+    aida:justifiedBy <http://s/j/2> ;
+    aida:link [ a aida:LinkAssertion ; aida:linkTarget "Q2"^^xsd:string ] .
+<http://s/j/2> a aida:TextJustification ; aida:startOffset "40"^^xsd:int ; aida:endOffsetInclusive "44"^^xsd:int ; aida:source "D1"^^xsd:string .
+<http://s/arg/1> a rdf:Statement,
+        aida:ArgumentStatement ;
+    rdf:object <http://s/entities/own/D1/EN_Entity_EDL_ENG_0000001> ;
+    rdf:predicate "A0"^^xsd:string ;
+    rdf:subject <http://s/events/own/D1/EN_Event_000000> .
+<http://s/type/1> a rdf:Statement, aida:TypeStatement ; rdf:object "Q5"^^xsd:string ; rdf:predicate rdf:type ; rdf:subject <http://s/entities/own/D1/EN_Entity_EDL_ENG_0000001> .
+"""
+OTHER = HEAD + """<http://o/claims#77> a aida:Claim ;
+    aida:claimSemantics <http://o/cluster/1> ; aida:associatedKEs <http://o/cluster/1> ;
+    aida:justifiedBy <http://o/j/claim> .
+<http://o/j/claim> a aida:TextJustification ; aida:source "D1" ; aida:sourceDocument "DOC-1" ; aida:confidence [ a aida:Confidence ; aida:confidenceValue 5.0E-01 ] .
+<http://o/events/5> a aida:Event ; aida:justifiedBy <http://o/j/5> .
+<http://o/j/5> a aida:TextJustification ; aida:startOffset "2"^^xsd:int ; aida:endOffsetInclusive "8"^^xsd:int ; aida:source "D1" .
+<http://o/entities/6> a aida:Entity ; aida:justifiedBy <http://o/j/6> .
+<http://o/j/6> a aida:TextJustification ; aida:startOffset "11"^^xsd:int ; aida:endOffsetInclusive "14"^^xsd:int ; aida:source "D1" .
+"""
+
+
 def test_merge_of_folders(spark, tmp_path):
-    for name, f in (("a", graphs.FIRST), ("b", graphs.SECOND)):
-        t = f.df(spark).withColumn("o_kind", F.when(F.col("o").rlike("^[0-9.]+$"), "literal").otherwise("iri")).withColumn("o_type", F.lit(None).cast("string"))
-        turtle.write_turtle(t, str(tmp_path / name))
+    """Files as other tools write them: prefixes, nested blank nodes, several types and objects."""
+    for name, text in (("a", OWN), ("b", OTHER)):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / f"{name}1.ttl").write_text(text)
+    (tmp_path / "b" / "nothing.ttl").write_text(HEAD + "<http://o/x> a aida:Entity .\n")
     cli.main(["merge", "--first", str(tmp_path / "a"), "--second", str(tmp_path / "b"), "--out", str(tmp_path / "m")], spark)
-    got = turtle.read_turtle(spark, str(tmp_path / "m")).select("graph_id", "s", "p", "o").collect()
-    assert sorted(map(tuple, got)) == sorted(map(tuple, graphs.graph_merge(spark, "").collect()))
+    got = turtle.read_turtle(spark, str(tmp_path / "m")).collect()
+    assert {r.graph_id for r in got} == {"DOC-1"}
+    has = lambda s, p: {r.o for r in got if r.s == s and r.p == (V.TYPE if p == "a" else V.iri(p))}
+    c = "http://s/clusters/own/"
+    clusters = {f"{c}events/D1/EN_Event_000000", f"{c}entity/D1/EN_Entity_EDL_ENG_0000001", f"{c}entity/D1/EN_Entity_EDL_ENG_0000002", "http://o/cluster/1"}
+    assert has("http://o/claims#77", "aida:claimSemantics") == has("http://o/claims#77", "aida:associatedKEs") == clusters
+    # found at the first probe and at the same place; the third has no partner and comes whole
+    assert has(f"{c}events/D1/EN_Event_000000", "aida:prototype") == {"http://o/events/5"} and has(f"{c}entity/D1/EN_Entity_EDL_ENG_0000001", "aida:prototype") == {"http://o/entities/6"}
+    third = "http://s/entities/own/D1/EN_Entity_EDL_ENG_0000002"
+    assert has(f"{c}entity/D1/EN_Entity_EDL_ENG_0000002", "aida:prototype") == {third} and has("http://s/j/2", "aida:sourceDocument") == {"DOC-1"} and has("http://s/j/2", "aida:startOffset") == {"40"}
+    (link,) = has(third, "aida:link")
+    assert link.startswith("_:") and has(link, "aida:linkTarget") == {"Q2"} and not has("http://s/j/1", "a") and not has("http://s/entities/own/D1/EN_Entity_EDL_ENG_0000001", "a")
+    assert has("http://s/arg/1", "rdf:subject") == {"http://o/events/5"} and has("http://s/arg/1", "rdf:object") == {"http://o/entities/6"} and not has("http://s/type/1", "a")
+    assert {r.o_type for r in got if r.s == "http://s/j/2" and r.p.endswith("#startOffset")} == {V.XSD + "int"}
+
+
+def test_claims_to_turtle_and_merge(spark, tmp_path):
+    """What claim_triples writes is read back as it was, and merges with another store."""
+    t = aif.claim_triples(*graphs._claim_tables(spark), V.System("http://s", "x"))
+    turtle.write_turtle(t, str(tmp_path / "t"))
+    back = turtle.read_turtle(spark, str(tmp_path / "t"))
+    assert sorted(map(str, back.select(t.columns).collect())) == sorted(map(str, t.collect()))
+    blanks = {r.s for r in t.collect() if r.s.startswith("_:")}
+    assert blanks == {r.o for r in t.collect() if r.o_kind == "bnode"}
