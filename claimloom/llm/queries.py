@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,17 +39,25 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
 
 
+#: Anyone can undo pseudonyms that were made with it.
+PUBLIC_KEY = "corpus release 1"
+
+
 def pii_key(spark: SparkSession) -> str:
-    """The key of the pseudonyms: spark.claimloom.pii.key; where it is unset, as in tests, a public one."""
-    return spark.conf.get("spark.claimloom.pii.key", "corpus release 1")
+    """The key of the pseudonyms: spark.claimloom.pii.key. Where it is unset, as in tests, a public one, with a warning."""
+    key = spark.conf.get("spark.claimloom.pii.key", None)
+    if key is None:
+        warnings.warn("spark.claimloom.pii.key is unset: pseudonyms are made with a public key, which anyone can undo", stacklevel=2)
+    return PUBLIC_KEY if key is None else key
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import KINDS, pseudonymise
 
-    out = pseudonymise(_read(spark, sf_dir, "documents").select("doc_id", "text"), pii_key(spark))
+    key = pii_key(spark)
+    out = pseudonymise(_read(spark, sf_dir, "documents").select("doc_id", "text"), key)
     counts = [F.expr(f"cast(size(filter(pii_kinds, k -> k = '{kind}')) as bigint) as n_{kind}") for kind in KINDS]
-    return out.select("doc_id", "text", *counts)
+    return out.select("doc_id", "text", *counts, F.lit(key == PUBLIC_KEY).alias("public_key"))
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -300,6 +300,14 @@ def test_packing_edges(spark, edge):
     assert packing.pack(edge.limit(0), tokenizer_path()).count() == 0
 
 
+def test_packing_with_clashing_names(spark):
+    from claimloom.llm.queries import tokenizer_path
+
+    d = spark.createDataFrame([(1, "a b", 7, 8, 9, "x", 5), (2, None, 7, 8, 9, "y", 5), (2, "a b", 7, 8, 9, "y", 5)], "doc_id long, text string, start int, length int, offset int, sequence_id string, ids int")
+    p = packing.pack(d, tokenizer_path(), with_ids=False).toPandas()
+    check_packing(p, [(1, "a b"), (2, None), (2, "a b")])
+
+
 def test_items_digest(spark, sf):
     from claimloom.llm.queries import op6_decontaminate
 

@@ -195,6 +195,19 @@ def test_secrets_query(spark, sf, docs):
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == i for _, k, *_ in s) for i in range(3))
 
 
+def test_many_secrets_in_one_text(spark):
+    """Over the blocks of matches; time stays linear."""
+    import time
+
+    text = "é " + " ".join(f"{i:024x} token={i:06d}" for i in range(3000))
+    d = spark.createDataFrame([(1, "o", text), (2, "o", text * 6)], "doc_id long, source string, text string")
+    began = time.time()
+    out = {r.doc_id: r for r in secretscan.scan_secrets(d).collect()}
+    assert time.time() - began < 60
+    for i, t in ((1, text), (2, text * 6)):
+        assert [(s.start, ["assign", "access", "hex"].index(s.kind), s.stop) for s in out[i].base] == [s[:3] for s in secret_spans(t)]
+
+
 def test_secrets_edges(spark, edge):
     out = secretscan.scan_secrets(edge).collect()
     assert len(out) == len(EDGE) and all(r.base == [] and r.spans == [] for r in out)
@@ -235,6 +248,53 @@ def test_pseudonyms_keep_format_and_come_back(spark):
     assert other[3] != rows[3].text
 
 
+def feistel(key, kind, h, low, a, b):
+    """The permutation of the pairs below (a, b), one pair at a time."""
+    number = lambda i, v, most: int(hashlib.sha256("\x1f".join([key, kind, str(i), str(v)]).encode()).hexdigest()[:15], 16) % most
+    for i in range(8):
+        if i % 2 == 0:
+            h = (h + number(i, low, a)) % a
+        else:
+            low = (low + number(i, h, b)) % b
+    return h, low
+
+
+def digits_brute(key, kind, d):
+    cut = len(d) // 2
+    h, low = feistel(key, kind, int(d[:cut]), int(d[cut:]), 10**cut, 10 ** (len(d) - cut))
+    return f"{h:0{cut}d}{low:0{len(d) - cut}d}"
+
+
+def test_pseudonyms_brute(spark):
+    """Addresses, social security numbers, cards and phones against a permutation of single values."""
+    g = np.random.default_rng(1)
+    ips = [".".join(str(int(x)) for x in g.integers(0, 256, 4)) for _ in range(30)]
+    ssns = [f"{int(a):03d}-{int(b):02d}-{int(c):04d}" for a, b, c in zip(g.integers(1, 666, 30), g.integers(1, 100, 30), g.integers(1, 10000, 30))]
+    cards = []
+    while len(cards) < 20:
+        c = "4" + "".join(str(int(x)) for x in g.integers(0, 10, 15))
+        cards += [c] if luhn(c) else []
+    phones = [f"+49 30 {int(x):07d}" for x in g.integers(0, 10**7, 20)]
+    rows = [(i, v) for i, v in enumerate(ips + ssns + cards + phones)]
+    got = {r.doc_id: r.text for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    for i, v in rows:
+        if v in ips:
+            p = [int(x) for x in v.split(".")]
+            h, low = feistel("k", "ipv4", p[0] * 256 + p[1], p[2] * 256 + p[3], 65536, 65536)
+            want = f"{h // 256}.{h % 256}.{low // 256}.{low % 256}"
+        elif v in ssns:
+            area, group, serial = map(int, v.split("-"))
+            h, low = feistel("k", "ssn", area - 1, (group - 1) * 9999 + serial - 1, 898, 99 * 9999)
+            want = f"{h + 1 + (h >= 665):03d}-{low // 9999 + 1:02d}-{low % 9999 + 1:04d}"
+        elif v in cards:
+            body = v[0] + digits_brute("k", "card", v[1:15])
+            want = next(body + str(c) for c in range(10) if luhn(body + str(c)))
+        else:
+            d = digits_brute("k", "phone", v[4:].replace(" ", ""))
+            want = f"+49 {d[:2]} {d[2:]}"
+        assert got[i] == want, v
+
+
 def test_permutation_is_one_to_one(spark):
     d = spark.range(189 * 7).select(F.floor(F.col("id") / 7).alias("h"), (F.col("id") % 7).alias("l"))
     p = d.select(pii.permute("k", "date", F.col("h"), F.col("l"), F.lit(189), F.lit(7)).alias("s")).select("s.*").distinct()
