@@ -27,13 +27,21 @@ FEW_OWNERS = 2
 SPAN = "array<struct<start:int,rank:int,stop:int,value:string>>"
 
 
+#: Matches that one step of the running sum appends to an array of; more make several arrays.
+BLOCK = 256
+
+
 def spans_of(text: Column, pattern: str, group: int, rank: int, least: int) -> Column:
-    """Matches from left to right as (start, rank, stop, value), in code points; those with a shorter value are left out."""
+    """Matches from left to right as (start, rank, stop, value), in code points; those with a shorter value are left out.
+
+    Places are running sums of the lengths between and of the matches, block by block, as an array that grows by one
+    element is copied each time.
+    """
     whole = F.transform(F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1)), F.char_length)
     values = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(group + 1))
     gaps = F.transform(F.split(text, pattern, -1), F.char_length)
     steps = F.arrays_zip(gaps.alias("gap"), whole.alias("size"), values.alias("value"))
-    begin = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {SPAN})").alias("out"))
+    none = f"cast(array() as {SPAN})"
 
     def step(s: Column, x: Column) -> Column:
         start = s["at"] + x["gap"]
@@ -41,7 +49,17 @@ def spans_of(text: Column, pattern: str, group: int, rank: int, least: int) -> C
         span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), stop.alias("stop"), x["value"].alias("value"))
         return F.struct(stop.alias("at"), F.when(F.char_length(x["value"]) >= least, F.concat(s["out"], F.array(span))).otherwise(s["out"]).alias("out"))
 
-    return F.aggregate(steps, begin, step)["out"]
+    def blocks(x: Column) -> Column:
+        begin = F.struct(F.lit(0).alias("at"), F.expr(none).alias("out"))
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / BLOCK).cast("int")), lambda b: F.aggregate(F.slice(x, b * BLOCK + 1, F.lit(BLOCK)), begin, step))
+
+    def shifted(s: Column, block: Column) -> Column:
+        moved = F.transform(block["out"], lambda v: F.struct((v["start"] + s["at"]).alias("start"), v["rank"].alias("rank"), (v["stop"] + s["at"]).alias("stop"), v["value"].alias("value")))
+        return F.struct((s["at"] + block["at"]).alias("at"), F.concat(s["out"], F.array(moved)).alias("out"))
+
+    begin = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as array<{SPAN}>)").alias("out"))
+    # within the lambda the steps are a value, made once
+    return F.element_at(F.transform(F.array(steps), lambda x: F.flatten(F.aggregate(blocks(x), begin, shifted)["out"])), 1)
 
 
 def find_candidates(text: Column) -> tuple[Column, Column]:
