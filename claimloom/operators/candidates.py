@@ -41,18 +41,6 @@ def pick(options: DataFrame) -> DataFrame:
     return options.groupBy("query").agg(F.min_by("qnode", F.struct(rank.alias("r"), "ord")).alias("qnode"))
 
 
-def expand_query(queries: DataFrame, stems: DataFrame) -> DataFrame:
-    """(query, form) from a stem table (stem, words): the query's own stem, else the query without its last letter if it
-    has more than four, else without its last two.
-    """
-    q = T.query_text(F.col("query"))
-    low = F.lower(F.trim(q))
-    keys = F.array(F.struct(F.lit(0).alias("k"), low.alias("stem")), F.struct(F.lit(1).alias("k"), F.when(F.char_length(low) > 4, F.left(low, F.char_length(low) - 1)).alias("stem")), F.struct(F.lit(2).alias("k"), F.when(F.char_length(low) > 2, F.left(low, F.char_length(low) - 2)).alias("stem")))
-    tried = queries.select("query", F.explode(keys).alias("t")).select("query", "t.k", F.col("t.stem").alias("try")).where("try IS NOT NULL")
-    hits = tried.join(stems, F.col("try") == F.col("stem")).groupBy("query").agg(F.min_by("words", "k").alias("words"))
-    return hits.select("query", F.explode("words").alias("form")).distinct()
-
-
 def verb_lemmas(tokens: DataFrame, verbs: DataFrame) -> DataFrame:
     """(query, lemma, weight): tagged verbs with weight 1, then other tokens that are verb forms with 0.9; the higher counts."""
     forms = verbs.select(F.explode("forms").alias("form")).distinct()

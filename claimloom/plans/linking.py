@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import candidates as K
 from ..operators import claims as C
+from ..operators import disambiguate as D
 from ..operators import edl as E
 from ..operators import qnodes as Q
 from ..operators import spans as S
@@ -203,17 +204,18 @@ def options_pick(spark, sf_dir):
 ORACLE["options_exclude"] = f"{with_fixtures(OPTIONS)}, a AS (SELECT DISTINCT query, qnode FROM opts WHERE list = 'options') SELECT query, qnode, 'options' AS list FROM a UNION ALL SELECT DISTINCT query, qnode, 'other' FROM opts o WHERE list = 'other' AND NOT EXISTS (SELECT 1 FROM a WHERE a.query = o.query AND a.qnode = o.qnode)"
 ORACLE["options_pick"] = f"{with_fixtures(OPTIONS)} SELECT query, qnode FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY CASE list WHEN 'options' THEN 0 WHEN 'other' THEN 1 ELSE 2 END, ord) AS k FROM opts) WHERE k = 1"
 
-QUERY = Fixture("q", "query string", [("running",), ("runs",), ("transmit",), ("dog/cat",), ("xy",), ("cured",), ("cures",)])
-STEMS = Fixture("stems", "stem string, words array<string>", [("run", ["run", "running", "ran"]), ("runn", ["runnel"]), ("transmi", ["transmission"]), ("cure", ["cure", "curing"]), ("dog ca", ["pets"])])
+WORDS = Fixture("q", "word string", [("running",), ("runs",), ("transmit",), ("dog cat",), ("xy",), ("cured",), ("curing",), ("generously",), ("flies",), ("happiness",), ("unknowns",)])
+STEMS = Fixture("stems", "stem string, words array<string>", [("run", ["run", "running", "ran"]), ("runn", ["runnel"]), ("transmi", ["transmission"]), ("cure", ["cure", "curing"]), ("dog c", ["pets"]), ("fli", ["fly", "flies"]), ("happi", ["happy"]), ("generous", ["generosity"]), ("unkno", ["unknowable"]), ("x", ["no"])])
 
 
 def stem_expand(spark, sf_dir):
-    return K.expand_query(QUERY.df(spark), STEMS.df(spark))
+    return D.with_same_stem(WORDS.df(spark), STEMS.df(spark))
 
 
-ORACLE["stem_expand"] = f"""{with_fixtures(QUERY, STEMS)}, b AS (SELECT query, lower(trim(translate(query, '/_', '  '))) AS l FROM q),
-t AS (SELECT query, 0 AS k, l AS s FROM b UNION ALL SELECT query, 1, l[:-2] FROM b WHERE length(l) > 4 UNION ALL SELECT query, 2, l[:-3] FROM b WHERE length(l) > 2),
-h AS (SELECT query, words, row_number() OVER (PARTITION BY query ORDER BY k) AS n FROM t JOIN stems ON stem = s) SELECT DISTINCT query, unnest(words) AS form FROM h WHERE n = 1"""
+#: The stems were worked out by hand from the algorithm's description.
+ORACLE["stem_expand"] = f"""{with_fixtures(WORDS, STEMS)}, b(word, s) AS (VALUES ('running', 'run'), ('runs', 'run'), ('transmit', 'transmit'), ('dog cat', 'dog cat'), ('xy', 'xy'), ('cured', 'cure'), ('curing', 'cure'), ('generously', 'generous'), ('flies', 'fli'), ('happiness', 'happi'), ('unknowns', 'unknown')),
+t AS (SELECT word, 0 AS k, s FROM b UNION ALL SELECT word, 1, s[:-2] FROM b WHERE length(s) > 4 UNION ALL SELECT word, 2, s[:-3] FROM b WHERE length(s) > 4),
+h AS (SELECT word, words, row_number() OVER (PARTITION BY word ORDER BY k) AS n FROM t JOIN stems ON stem = s) SELECT word, (generate_subscripts(words, 1) - 1)::INT AS k, unnest(words) AS form FROM h WHERE n = 1"""
 
 VTOKENS = Fixture("vtok", "query string, lemma string, pos string", [("a", "spread", "VERB"), ("a", "virus", "NOUN"), ("a", "cure", "NOUN"), ("b", "cure", "NOUN"), ("b", "cure", "VERB"), ("c", "old", "ADJ")])
 VERBS = Fixture("verbs", "forms array<string>", [(["cure", "cured"],), (["spread"],)])
@@ -238,6 +240,85 @@ def cache_lookup(spark, sf_dir):
 
 ORACLE["cache_lookup"] = f"{with_fixtures(CQUERY, CACHE)} SELECT query, ord, qnode FROM (SELECT DISTINCT query FROM cq WHERE NOT contains(query, '/')) LEFT JOIN cache ON cache_key = replace(query, ' ', '_')"
 
+D_QUERIES = Fixture("dq", "query string, context string", [("spread_quickly", "it spreads"), ("face mask", ""), ("cure", "a cure is near"), ("big/unknown", None), ("masks", "masks work"), ("nothing", "x")])
+D_TOKENS = Fixture(
+    "dt", "query string, ord int, text string, lemma string, pos string",
+    [("spread_quickly", 0, "spread", "spread", "VERB"), ("spread_quickly", 1, "quickly", "quickly", "ADV"), ("face mask", 0, "face", "face", "NOUN"), ("face mask", 1, "mask", "mask", "NOUN"), ("cure", 0, "cure", "cure", "NOUN"), ("big/unknown", 0, "big", "big", "ADJ"), ("big/unknown", 1, "unknown", "unknown", "ADJ"), ("masks", 0, "masks", "mask", "NOUN"), ("nothing", 0, "nothing", "nothing", "PRON")],
+)
+D_VERBS = Fixture("dv", "form string", [("cure",), ("Face",), ("spread",)])
+D_STEMS = Fixture("ds", "stem string, words array<string>", [("spread", ["spreads", "spreading"]), ("mask", ["masked"]), ("cure", ["cured"])])
+D_CACHE = Fixture(
+    "dc", "cache_key string, ord int, qnode string, label array<string>, alias array<string>, description array<string>, score double",
+    [
+        ("spread", 0, "Q1", ["spread"], [], ["it grows"], 0.1), ("spread", 1, "Q2", ["spread"], [], ["butter"], 0.1), ("spreading", 0, "Q3", ["spreading"], [], ["it spreads"], 0.1), ("spreads", 0, "Q1", ["spread"], [], ["it grows"], 0.1),
+        ("face", 0, "Q9", ["face"], [], ["front"], 0.1), ("mask", 0, "Q4", ["mask"], [], ["masks work"], 0.1), ("mask", 1, "Q5", ["mask"], None, None, 0.1), ("masked", 0, "Q6", ["masked"], [], ["man"], 0.1), ("cure", 0, "Q7", ["cure"], [], ["a cure"], 0.1), ("curing", 0, "Q8", ["curing"], [], ["meat"], 0.1),
+        ("big", 0, "Q10", ["big"], [], ["size"], 0.1), ("unknown", 0, "Q11", ["unknown"], [], [""], 0.1),
+    ],
+)
+D_LISTED = Fixture("dl", "ord int, qnode string, label array<string>, description array<string>", [(0, "Q7", ["cure"], ["a cure"]), (1, "Q20", ["near"], ["a place"]), (2, "Q21", ["far"], [""])])
+
+
+def _shared_words(a, b):
+    """A score that SQL can follow: the share of the first text's words that the second one has, over 10 for each word more."""
+    x, y = F.array_distinct(F.split(F.lower(a), "[ :]+")), F.array_distinct(F.split(F.lower(b), "[ :]+"))
+    return F.size(F.array_intersect(x, y)).cast("double") / F.size(x)
+
+
+def _disambiguated(spark, kind: str):
+    q, t, c, s, few = (f.df(spark) for f in (D_QUERIES, D_TOKENS, D_CACHE, D_STEMS, D_LISTED))
+    if kind == "verbs":
+        return D.disambiguated_verbs(q, t, D_VERBS.df(spark), c, _shared_words, s, 2, few)
+    return D.disambiguated_names(q, t, c, _shared_words, s, 2, few)
+
+
+def verb_disambiguation(spark, sf_dir):
+    return _disambiguated(spark, "verbs")
+
+
+def name_disambiguation(spark, sf_dir):
+    return _disambiguated(spark, "names")
+
+
+def combined_options(spark, sf_dir):
+    return D.combined(_disambiguated(spark, "names"), _disambiguated(spark, "verbs"))
+
+
+def chosen_options(spark, sf_dir):
+    return D.chosen_option(D.combined(_disambiguated(spark, "names"), _disambiguated(spark, "verbs")))
+
+
+def _options_sql(name: str, requests: str, tail: str = "") -> str:
+    """Tables up to {name}_o, from requests (query, plc, request)."""
+    words = lambda x: f"list_distinct(regexp_split_to_array(lower({x}), '[ :]+'))"
+    said = "CASE WHEN coalesce(context, '') <> '' THEN context ELSE replace(replace(query, '/', ' '), '_', ' ') END"
+    score = f"(len(list_intersect({words('said')}, {words('name || CASE WHEN def <> chr(0)[:0] THEN chr(58) || chr(32) || def ELSE chr(0)[:0] END')})))::DOUBLE / len({words('said')})".replace("chr(0)[:0]", "''")
+    return f"""{requests},
+{name}_c AS (SELECT r.query, r.plc, c.ord AS co, request, qnode, coalesce(label[1], '') AS name, coalesce(description[1], '') AS def FROM {name}_r r JOIN dc c ON cache_key = replace(request, ' ', '_') AND NOT contains(request, '/')),
+{tail}{name}_p AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY plc, co) - 1 AS pos FROM {name}_c{'2' if tail else ''}),
+{name}_s AS (SELECT p.*, {said} AS said, row_number() OVER (PARTITION BY p.query, name, def ORDER BY pos) AS f FROM {name}_p p JOIN dq USING (query)),
+{name}_x AS (SELECT *, CASE WHEN f = 1 THEN {score} END AS score FROM {name}_s),
+{name}_t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, pos) - 1 AS k FROM {name}_x WHERE f = 1) WHERE k < 2 AND score >= 0.01),
+{name}_l AS (SELECT query, qnode, label[1] AS name, coalesce(description[1], '') AS def, ord AS pos, {said} AS said FROM dq CROSS JOIN dl),
+{name}_m AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, pos) - 1 AS k FROM (SELECT *, {score} AS score FROM {name}_l)),
+{name}_o AS (SELECT query, 'options' AS list, k AS ord, qnode, name, def AS definition, score, request AS from_query FROM {name}_t UNION ALL SELECT query, 'all', pos, qnode, name, def, score, request FROM {name}_x
+  UNION ALL SELECT query, 'other', k, qnode, name, def, score, NULL FROM {name}_m m WHERE k < 2 AND score >= 0.01 AND NOT EXISTS (SELECT 1 FROM {name}_t t WHERE t.query = m.query AND t.qnode = m.qnode))"""
+
+
+_VERBS_SQL = _options_sql("v", """v_w AS (SELECT query, ord, lemma, CASE WHEN pos = 'VERB' THEN 0 ELSE 1 END AS part FROM dt WHERE pos = 'VERB' OR lower(text) IN (SELECT lower(form) FROM dv) OR lower(lemma) IN (SELECT lower(form) FROM dv)),
+v_g(lemma, ing) AS (VALUES ('spread', 'spreading'), ('cure', 'curing'), ('face', 'facing')),
+v_r AS (SELECT query, part * 10000 + ord * 100 AS plc, lemma AS request FROM v_w UNION ALL SELECT query, part * 10000 + ord * 100 + 10, ing FROM v_w JOIN v_g USING (lemma) UNION ALL SELECT query, part * 10000 + ord * 100 + 20 + u.i, u.w FROM v_w JOIN (SELECT stem, unnest(words) AS w, generate_subscripts(words, 1) AS i FROM ds) u ON u.stem = lemma)""")
+_NAMES_SQL = _options_sql("n", """n_q AS (SELECT query, replace(replace(query, '/', ' '), '_', ' ') AS clean FROM dq),
+n_r AS (SELECT query, 0 AS plc, clean AS request FROM n_q UNION ALL SELECT query, 1, lemma FROM n_q JOIN dt USING (query) WHERE ord = 0 AND NOT contains(clean, ' ') AND lemma <> clean
+  UNION ALL SELECT query, 2 + u.i, u.w FROM n_q JOIN (VALUES ('masks', 'mask'), ('cure', 'cure')) z(word, st) ON word = clean JOIN (SELECT stem, unnest(words) AS w, generate_subscripts(words, 1) AS i FROM ds) u ON u.stem = st)""",
+    """n_c2 AS (SELECT * FROM n_c UNION ALL SELECT t.query, t.ord, c.ord, lemma, qnode, coalesce(label[1], ''), coalesce(description[1], '') FROM dt t JOIN dc c ON cache_key = replace(lemma, ' ', '_') WHERE t.query NOT IN (SELECT query FROM n_c)),
+""")
+_DIS = with_fixtures(D_QUERIES, D_TOKENS, D_VERBS, D_STEMS, D_CACHE, D_LISTED)
+_BOTH = f"{_DIS}, {_VERBS_SQL}, {_NAMES_SQL}, bo AS (SELECT query, list, (row_number() OVER (PARTITION BY query, list ORDER BY part, ord) - 1)::INT AS ord, qnode, name, definition, score, from_query FROM (SELECT *, 0 AS part FROM n_o UNION ALL SELECT *, 1 FROM v_o))"
+ORACLE["verb_disambiguation"] = f"{_DIS}, {_VERBS_SQL} SELECT query, list, ord::INT AS ord, qnode, name, definition, score, from_query FROM v_o"
+ORACLE["name_disambiguation"] = f"{_DIS}, {_NAMES_SQL} SELECT query, list, ord::INT AS ord, qnode, name, definition, score, from_query FROM n_o"
+ORACLE["combined_options"] = f"{_BOTH} SELECT * FROM bo"
+ORACLE["chosen_options"] = f"{_BOTH} SELECT query, qnode, name, definition, CASE WHEN list = 'all' THEN score ELSE 1.0 END AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY CASE list WHEN 'options' THEN 0 WHEN 'other' THEN 1 ELSE 2 END, CASE WHEN list = 'all' THEN -score ELSE 0 END, ord) AS n FROM bo WHERE list <> 'all' OR score > 0) WHERE n = 1"
+
 MASTER = Fixture(
     "master", "ord int, id string, name string, definition string, pb string, parent string",
     [(0, "Q1", "spread_Q1", "a", "spread.01", "x_Q2"), (1, "Q2", "move_Q2", "b", "spread.01", None), (2, "Q3", "grow_Q3", "c", "spread.01", "y_Q2"), (3, "Q4", "x_Q4", "", "spread.01", None), (4, "Q5", "heal_Q5", "d", "cure.01", None), (5, "Q6", "run_Q6", "e", "run.02", None), (6, "Q7", "jog_Q7", "f", "run.02", "r_Q6"), (7, "Q8", "dash_Q8", "g", "run.02", "j_Q7"), (8, "Q9", "eat_Q9", "h", "eat.01", None), (9, "Q10", "dine_Q10", "i", "eat.01", None), (10, "Q11", "aa_Q11", "j", "loop.01", "b_Q12"), (11, "Q12", "bb_Q12", "k", "loop.01", "a_Q11")],
