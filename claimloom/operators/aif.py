@@ -139,7 +139,7 @@ def numbered(claims: DataFrame, events: DataFrame, arguments: DataFrame) -> tupl
     arguments, then its open variable if it has one, then its claimer.
     """
     ev = written(valid_semantics(events).withColumn("g", T.source_of(F.col("doc_id"))))
-    arg = usable_arguments(arguments).join(ev.select("event_id", "claim_id", F.col("ord").alias("e_ord")), "event_id")
+    arg = usable_arguments(arguments).drop("claim_id").join(ev.select("event_id", "claim_id", F.col("ord").alias("e_ord")), "event_id")
     c = with_author(claims).withColumn("g", T.source_of(F.col("doc_id"))).join(ev.groupBy("claim_id").agg(F.count("*").alias("n_events")), "claim_id")
     c = c.join(arg.groupBy("claim_id").agg(F.count("*").alias("n_args")), "claim_id", "left").withColumns({"n_args": F.coalesce("n_args", F.lit(0)), "has_x": F.col("x_type").isNotNull().cast("int")})
     c = dense_ids(c, "entity_base", "doc_id", "claim_id", first=1, step=F.col("n_args") + F.col("has_x") + 1)

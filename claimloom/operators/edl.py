@@ -81,3 +81,27 @@ def promote(slots: DataFrame, known: DataFrame) -> DataFrame:
     identity = F.when(found & F.col("ent_link").isNotNull(), F.col("link_q")).when(found, F.col("old_type"))
     kind = F.when(found & F.col("type_link").isNotNull(), F.col("type_q")).when(found, F.coalesce(default_type(F.col("ent_type"))["qnode"], F.lit(None))).otherwise(F.col("old_type"))
     return j.select("slot_id", identity.alias("identity_qnode"), kind.alias("type_qnode"))
+
+
+def promoted(slots: DataFrame, known: DataFrame) -> DataFrame:
+    """Slots (slot_id, type, identity) after their mention was matched with an entity; both are nodes (aif.NODE).
+
+    slots also have ent_id, ent_type, ent_link and type_link, null without a match, which leaves the slot as it was. known:
+    (qnode, name). The rules are those of ``promote``; nodes stand where the old type stands, but one that only the entity's
+    type gives stands nowhere.
+    """
+    found = F.col("ent_id").isNotNull()
+    a = known.select(F.col("qnode").alias("link_q"), F.col("name").alias("link_name"))
+    b = known.select(F.col("qnode").alias("type_q"), F.col("name").alias("type_name"))
+    j = slots.join(a, F.col("ent_link") == F.col("link_q"), "left").join(b, F.col("type_link") == F.col("type_q"), "left")
+    old, entity = F.col("type"), F.to_json(F.struct("ent_id", "ent_type", "ent_link", "type_link"))
+    none = F.lit(None)
+
+    def node(q: Column, text: Column, placed: bool = True, confidence: Column = none, ent: Column = entity) -> Column:
+        at = (old["start"], old["stop"]) if placed else (none, none)
+        return F.when(q.isNotNull(), F.struct(q.alias("qnode_id"), text.alias("text"), at[0].cast("int").alias("start"), at[1].cast("int").alias("stop"), confidence.cast("double").alias("confidence"), ent.cast("string").alias("entity")))
+
+    kind = default_type(F.col("ent_type"))
+    identity = F.when(F.col("ent_link").isNotNull(), node(F.col("link_q"), F.col("link_name"))).otherwise(node(old["qnode_id"], old["text"], True, old["confidence"]))
+    typed = F.when(F.col("type_link").isNotNull(), node(F.col("type_q"), F.col("type_name"))).otherwise(node(kind["qnode"], kind["name"], False, none, none))
+    return j.select("slot_id", F.when(found, typed).otherwise(old).alias("type"), F.when(found, identity).otherwise(F.col("identity")).alias("identity"))

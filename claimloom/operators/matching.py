@@ -203,6 +203,17 @@ def tokenised(docs: DataFrame, tagger=None) -> DataFrame:
     return s.where(F.col("sentence").rlike(T.WORD)).withColumn("tokens", F.transform(T.words(F.col("sentence")), token))
 
 
+def sentence_starts(text: Column) -> Column:
+    """Where each of the text's sentences (functions.text.sentences) begins, in characters."""
+
+    @F.pandas_udf(ArrayType(IntegerType()))
+    def starts(texts: pd.Series) -> pd.Series:
+        of = lambda t: None if t is None else [m.start() + len(m[0]) - len(m[0].lstrip(" ")) for m in re.finditer(r"[^.!?\n]+", t) if m[0].strip(" ")]
+        return pd.Series([of(t) for t in texts], dtype=object)
+
+    return starts(text)
+
+
 def running_offsets(tokens: DataFrame) -> DataFrame:
     """Tokens (unit keys, ``tok_id``, ``token``, ``space``) with ``start`` and inclusive ``stop``: lengths before it are summed."""
     from pyspark.sql import Window

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 #: Characters of a bin in the containment join.
 BIN = 256
@@ -55,35 +59,49 @@ def near_spans(mentions: DataFrame, spans: DataFrame, symmetric: bool = False) -
     return j.groupBy("m_id").agg(F.max(F.struct((-F.col("probe")).alias("minus"), "s_id")).alias("b")).select("m_id", "b.s_id", (-F.col("b.minus")).alias("probe"))
 
 
-def contained_texts(texts: DataFrame, needles: DataFrame, text_id: str, needle_id: str) -> DataFrame:
-    """(text_id, needle_id) for each text that holds a needle as it stands.
+#: Bytes of needles that are searched at once; more are searched in several passes over the texts.
+NEEDLE_BYTES = 16 << 20
+
+
+def contained_texts(texts: DataFrame, needles: DataFrame, text_id: str, needle_id: str, most: int = NEEDLE_BYTES) -> DataFrame:
+    """(text_id, needle_id) for each text that holds a needle as it stands; null and empty needles are in no text.
 
-    Every text that holds a needle holds its longest word, so candidates come from an equi join on words; the texts are
-    then compared.
+    The needles become an automaton that is broadcast and reads each text once, so no text is shuffled and a common word in
+    a needle costs nothing.
     """
-    word = r"[^\s]+"
-    parts = F.regexp_extract_all("needle", F.lit(f"({word})"), F.lit(1))
-    # only words inside the needle are whole words of the text; the longest one is the rarest, as a rule
-    inner = F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0)))
-    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.char_length(w).alias("n"), w.alias("w"))))["w"]
-    keyed = needles.withColumn("word", longest)
-    t = texts.select(text_id, "text", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(f"({word})"), F.lit(1)))).alias("t_word"))
-    few = keyed.where("word IS NOT NULL")
-    ids = t.select(text_id, "t_word").join(few.select(needle_id, "word"), F.col("t_word") == F.col("word")).select(text_id, needle_id).distinct()
-    full = ids.join(few.select(needle_id, "needle"), needle_id).join(texts, text_id).where(F.contains("text", "needle")).select(text_id, needle_id)
-    # needles of fewer than three words have no such word: their first characters are the key instead
-    short = keyed.where("word IS NULL AND needle <> ''").select(needle_id, "needle", F.substring("needle", 1, 3).alias("gram"))
-    if short.isEmpty():
-        return full
-    sizes = [r[0] for r in short.select(F.char_length("gram")).distinct().collect()]
-    grams = F.array_distinct(F.flatten(F.array(*[_grams(k) for k in sizes])))
-    held = texts.select(text_id, F.explode(grams).alias("t_gram")).join(short, F.col("t_gram") == F.col("gram")).select(text_id, needle_id, "needle")
-    return full.unionByName(held.join(texts, text_id).where(F.contains("text", "needle")).select(text_id, needle_id))
-
-
-def _grams(k: int) -> Column:
-    """All pieces of k characters of the text."""
-    return F.expr(f"transform(sequence(1, greatest(char_length(text) - {k - 1}, 1)), i -> substring(text, i, {k}))")
+    rows = needles.where("needle IS NOT NULL AND needle <> ''").select(needle_id, "needle")
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("needle") + 64), F.lit(0))).first()[0]
+    passes = int(-(-size // (most // 2 if size > most else most))) or 1
+    out = None
+    for k in range(passes):
+        part = rows.where(F.pmod(F.xxhash64("needle"), F.lit(passes)) == k)
+        ids: dict[str, list] = {}
+        for r in part.collect():
+            ids.setdefault(r["needle"], []).append(r[needle_id])
+        found = _searched(texts, text_id, list(ids))
+        named = texts.sparkSession.createDataFrame([(i, v) for i, n in enumerate(ids) for v in ids[n]], StructType([StructField("place", IntegerType()), rows.schema[needle_id]]))
+        one = found.join(F.broadcast(named), "place").select(text_id, needle_id)  # the ids of needles of ``most`` bytes
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _searched(texts: DataFrame, text_id: str, needles: list[str]) -> DataFrame:
+    """(text_id, place): the places in the list of the needles that each text holds."""
+    held = texts.sparkSession.sparkContext.broadcast(needles)
+
+    @F.pandas_udf(ArrayType(IntegerType()))
+    def search(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import ahocorasick
+
+        tree = ahocorasick.Automaton()
+        for i, n in enumerate(held.value):
+            tree.add_word(n, i)
+        if held.value:
+            tree.make_automaton()
+        for part in batches:
+            yield pd.Series([sorted({i for _, i in tree.iter(t)}) if t and held.value else [] for t in part], dtype=object)
+
+    return texts.select(text_id, F.explode(search(F.col("text"))).alias("place"))
 
 
 def first_by(df: DataFrame, key: str, *order: Column) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import adapters, names as N
-from ..operators import amr, semantics as S
+from ..operators import aif, amr, semantics as S
+from . import workflow
 from .fixture import Fixture, with_fixtures
 from .graphs import _STRINGS, ALIGNED, EDGES, NODES, TOKENS, _tables
 from .linking import CANDIDATES
@@ -122,4 +123,41 @@ def lookup_adapter(spark, sf_dir):
 
 ORACLE["lookup_adapter"] = "SELECT * FROM (VALUES ('mask', 0, 'Q1', 'mask', 0.5::DOUBLE), ('mask', 1, 'Q2', '', NULL)) v(query, ord, qnode, name, score)"
 
+_SIDE = "{s}_text string, {s}_start int, {s}_stop int, {s}_id string, {s}_name string"
+L_CLAIMS = Fixture(
+    "lcl", "claim_id string, doc_id string, " + ", ".join(_SIDE.format(s=s) for s in ("x", "claimer")),
+    [
+        ("c1", "D1.rsd", "it", 3, 4, "Q1", "thing", "Ann", 10, 12, "Q2", "name"), ("c2", "D1", "Rome", 20, 23, None, None, None, None, None, None, None), ("c3", "D2.a.b", "x", 3, 4, "Q3", "letter", "Bob", 30, 32, "Q4", "bob"),
+        ("c4", "D2", None, None, None, None, None, "nowhere", None, None, "Q5", "human"), ("c5", "D3", "it", 3, 4, "Q6", "thing", "Eve", 1, 3, "Q7", "eve"),
+    ],
+)
+L_ARGS = Fixture("lar", "event_id string, claim_id string, role string, ord int, id string, name string, start int, stop int", [("c1/e", "c1", "A0", 0, "Q11", "arg", 10, 12), ("c1/e", "c1", "A1", 0, "Q12", "lone", 50, 52), ("c3/e", "c3", "A0", 0, None, None, None, None), ("c5/e", "c5", "loc", 0, "Q13", "town", 1, 3)])
+L_EDL = Fixture(
+    "led", "ord int, ent_id string, doc_id string, start int, stop int, ent_type string, ent_link string, type_link string",
+    [(0, ":E1", "D1", 10, 12, "PER.Writer", "Q18", None), (1, ":E2", "D1", 20, 23, "LOC", None, "Q50"), (2, ":E3", "D2", 30, 32, "ORG.Club", None, None), (3, ":E4", "D2", 3, 4, "XX", "Q404", "Q405"), (4, ":E5", "D3.x", 1, 3, "GPE.City", "Q60", "Q61"), (5, ":E6", "D3", 3, 5, "PER", None, None)],
+)
+L_KNOWN = Fixture("lkn", "qnode string, name string", [("Q18", "Ann Lee"), ("Q50", "city"), ("Q60", "Rome"), ("Q61", "town")])
+
+
+def claim_linking(spark, sf_dir):
+    """Open variables, claimers and arguments matched with entities."""
+    part = lambda a, b, c, d: F.when(F.col(a).isNotNull(), F.struct(F.col(a).alias("qnode_id"), F.col(b).alias("text"), F.col(c).alias("start"), F.col(d).alias("stop"), F.lit(0.5).alias("confidence"), F.lit(None).cast("string").alias("entity")))
+    none = F.lit(None).cast(aif.NODE)
+    c = L_CLAIMS.df(spark).withColumns({f"{s}_type": part(f"{s}_id", f"{s}_name", f"{s}_start", f"{s}_stop") for s in ("x", "claimer")} | {f"{s}_identity": none for s in ("x", "claimer")})
+    a = L_ARGS.df(spark).withColumns({"type": part("id", "name", "start", "stop"), "identity": none})
+    claims, args = workflow.link_claims(c, a.select("event_id", "claim_id", "role", "ord", "type", "identity"), L_EDL.df(spark), L_KNOWN.df(spark))
+    out = lambda df, slot, t, i: df.select("claim_id", slot.alias("slot"), *[F.col(f"{t}.{f}").alias(f"type_{f}") for f in ("qnode_id", "text", "start")], *[F.col(f"{i}.{f}").alias(f"identity_{f}") for f in ("qnode_id", "text", "start", "confidence")], F.col(f"{i}.entity").isNotNull().alias("entity"))
+    return out(claims, F.lit("x"), "x_type", "x_identity").unionByName(out(claims, F.lit("claimer"), "claimer_type", "claimer_identity")).unionByName(out(args, F.concat_ws("/", F.lit("argument"), "role"), "type", "identity"))
+
+
+ORACLE["claim_linking"] = f"""{with_fixtures(L_CLAIMS, L_ARGS, L_EDL, L_KNOWN)}, kinds(k, q, n) AS (VALUES ('PER', 'Q5', 'human'), ('LOC', 'Q2221906', 'geographic location'), ('ORG', 'Q43229', 'organization'), ('GPE', 'Q52110228', 'geopolitical group')),
+sl AS (SELECT claim_id, doc_id, 'x' AS slot, x_text IS NOT NULL AS had, x_start AS a, x_stop AS b, x_id AS q, x_name AS n FROM lcl UNION ALL SELECT claim_id, doc_id, 'claimer', claimer_text IS NOT NULL, claimer_start, claimer_stop, claimer_id, claimer_name FROM lcl
+  UNION ALL SELECT claim_id, doc_id, 'argument/' || role, id IS NOT NULL, start, stop, id, name FROM lar JOIN lcl USING (claim_id))
+SELECT claim_id, slot, CASE WHEN ent_id IS NULL THEN sl_q WHEN type_link IS NOT NULL THEN CASE WHEN type_name IS NOT NULL THEN type_link END ELSE kq END AS type_qnode_id, CASE WHEN ent_id IS NULL THEN sl_n WHEN type_link IS NOT NULL THEN type_name ELSE kn END AS type_text,
+  CASE WHEN ent_id IS NULL THEN CASE WHEN sl_q IS NOT NULL THEN a END WHEN type_link IS NOT NULL AND type_name IS NOT NULL AND sl_q IS NOT NULL THEN a END AS type_start,
+  CASE WHEN ent_id IS NOT NULL THEN CASE WHEN ent_link IS NOT NULL THEN CASE WHEN link_name IS NOT NULL THEN ent_link END ELSE sl_q END END AS identity_qnode_id, CASE WHEN ent_id IS NOT NULL THEN CASE WHEN ent_link IS NOT NULL THEN link_name WHEN sl_q IS NOT NULL THEN sl_n END END AS identity_text,
+  CASE WHEN ent_id IS NOT NULL AND sl_q IS NOT NULL AND (ent_link IS NULL OR link_name IS NOT NULL) THEN a END AS identity_start, CASE WHEN ent_id IS NOT NULL AND ent_link IS NULL AND sl_q IS NOT NULL THEN 0.5::DOUBLE END AS identity_confidence,
+  ent_id IS NOT NULL AND CASE WHEN ent_link IS NOT NULL THEN link_name IS NOT NULL ELSE sl_q IS NOT NULL END AS entity
+FROM (SELECT m.claim_id, slot, a, m.q AS sl_q, m.n AS sl_n, ent_id, ent_type, ent_link, type_link, link_name, type_name, kinds.q AS kq, kinds.n AS kn FROM (SELECT sl.*, e.ent_id, e.ent_type, e.ent_link, e.type_link, w.name AS link_name, t.name AS type_name FROM sl LEFT JOIN led e ON had AND string_split(e.doc_id, '.')[1] = string_split(sl.doc_id, '.')[1] AND e.start = a AND e.stop = b LEFT JOIN lkn w ON w.qnode = ent_link LEFT JOIN lkn t ON t.qnode = type_link) m LEFT JOIN kinds ON k = string_split(ent_type, '.')[1])"""
+
 QUERIES = {n: globals()[n] for n in ORACLE}

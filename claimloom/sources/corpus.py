@@ -37,10 +37,12 @@ def read_templates(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(ord, line) in the order of each file's lines; files follow each other by name."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    lines = whole.select("file", F.posexplode(F.split("value", "\r?\n")).alias("k", "line")).where("line <> ''")
-    return lines.select(F.struct("file", "k").alias("ord"), "line")
+    """(ord, line) of the lines that aren't empty; ord is in the order of the files' names and of their lines.
+
+    Large files are read by several tasks: a line is ordered by its file's block, then by its place there.
+    """
+    at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("k"))
+    return spark.read.text(path).select(at.alias("ord"), F.col("value").alias("line")).where("line <> ''")
 
 
 def read_claims(spark: SparkSession, path: str) -> DataFrame:
@@ -50,6 +52,20 @@ def read_claims(spark: SparkSession, path: str) -> DataFrame:
     return parsed.select(F.explode("m").alias("doc_id", "claims")).select("doc_id", F.explode("claims").alias("c")).select("doc_id", "c.*")
 
 
+#: A node, and what the claims of a run have, as they are written to JSON.
+_NODE = "struct<qnode_id:string,text:string,start:int,stop:int,confidence:double,entity:string>"
+_SLOT = ", ".join(f"{s}_text string, {s}_start int, {s}_stop int, {s}_type {_NODE}, {s}_identity {_NODE}" for s in ("x", "claimer"))
+ANNOTATED = (
+    "claim_id string, doc_id string, sent_id int, claim_text string, claim_sentence string, sent_start int, span_start int, span_stop int, start int, stop int, template string, topic string, subtopic string, location string, "
+    f"{_SLOT}, claim_semantics array<struct<ord:int,event_id:string,qnode_id:string,text:string,span_start:int,span_stop:int,confidence:double,args:array<struct<ord:int,role:string,type:{_NODE},identity:{_NODE}>>>>"
+)
+
+
+def read_annotated(spark: SparkSession, path: str) -> DataFrame:
+    """Claims with their semantics from JSON lines that ``write_claims`` wrote."""
+    return spark.read.schema(ANNOTATED).json(path)
+
+
 def write_claims(claims: DataFrame, path: str) -> None:
     """JSON lines in the order of doc_id and claim_id, without the theories column."""
     claims.drop("theories").orderBy("doc_id", "claim_id").write.json(path)

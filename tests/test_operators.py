@@ -107,7 +107,8 @@ def test_span_joins_brute(spark):
 def test_contained_texts_with_short_needles(spark):
     t = spark.createDataFrame([(1, "the cat sat on the mat"), (2, "a bcd"), (3, None), (4, "")], "doc_id int, text string")
     n = spark.createDataFrame([(1, "cat sat on"), (2, "he"), (3, "bcd"), (4, ""), (5, None), (6, "x y z")], "item_id int, needle string")
-    assert sorted(map(tuple, spans.contained_texts(t, n, "doc_id", "item_id").collect())) == [(1, 1), (1, 2), (2, 3)]
+    for most in (spans.NEEDLE_BYTES, 140):
+        assert sorted(map(tuple, spans.contained_texts(t, n, "doc_id", "item_id", most).collect())) == [(1, 1), (1, 2), (2, 3)]
 
 
 def test_dense_ids(spark):

@@ -14,7 +14,8 @@ def test_detect_to_json(spark, tmp_path):
     (tmp_path / "t.tsv").write_text("ID\tsubtopic\ttopic\tTemplate\nC1\tdiet\tanimals\tX eats fish \n")
     cli.main(["detect", "--input", str(tmp_path / "in"), "--patterns", str(tmp_path / "p.json"), "--topics", str(tmp_path / "t.tsv"), "--out", str(tmp_path / "claims")], spark)
     rows = corpus.load_claims(spark, str(tmp_path / "claims")).orderBy("sent_id").collect()
-    assert [(r.doc_id, r.claim_text, r.topic, r.claim_sentence[r.span_start : r.span_stop + 1]) for r in rows] == [("doc.one", "Cats eat fish", "animals", "Cats eat fish"), ("doc.one", "Dogs eat the big fish", "animals", "Dogs eat the big fish")]
+    text = (tmp_path / "in" / "doc.one.txt").read_text()
+    assert [(r.doc_id, r.claim_text, r.topic, text[r.span_start : r.span_stop]) for r in rows] == [("doc.one", "Cats eat fish", "animals", "Cats eat fish"), ("doc.one", "Dogs eat the big fish", "animals", "Dogs eat the big fish")]
     cli.main(["to-json", "--input", str(tmp_path / "claims"), "--out", str(tmp_path / "json")], spark)
     cli.main(["topics", "--input", str(tmp_path / "claims"), "--out", str(tmp_path / "counts")], spark)
     assert spark.read.json(str(tmp_path / "json")).count() == 2 and spark.read.csv(str(tmp_path / "counts"), header=True).first()["count"] == "2"
@@ -123,3 +124,58 @@ def test_claims_to_turtle_and_merge(spark, tmp_path):
     assert sorted(map(str, back.select(t.columns).collect())) == sorted(map(str, t.collect()))
     blanks = {r.s for r in t.collect() if r.s.startswith("_:")}
     assert blanks == {r.o for r in t.collect() if r.o_kind == "bnode"}
+
+
+def graph_files(spark, folder, graphs):
+    """Writes graphs (name, tokens, [(node, label, token index or None)], [(parent, role, child)], root) as tables."""
+    t = {n: [] for n in workflow.GRAPH_TABLES}
+    for g, words, nodes, edges, root in graphs:
+        t["graphs"].append((g, root, " ".join(words)))
+        t["tokens"] += [(g, i, w) for i, w in enumerate(words)]
+        t["nodes"] += [(g, n, i, label) for i, (n, label, _) in enumerate(nodes)]
+        t["edges"] += [(g, i, p, r, c) for i, (p, r, c) in enumerate(edges)]
+        t["alignments"] += [(g, i, n, k) for i, (n, _, k) in enumerate(nodes) if k is not None]
+    kinds = {"graphs": "graph_id string, root string, token_text string", "tokens": "graph_id string, idx int, token string", "nodes": "graph_id string, node_id string, ord int, label string", "edges": "graph_id string, ord int, parent string, role string, child string", "alignments": "graph_id string, ord int, node_id string, token_idx int"}
+    for n, rows in t.items():
+        spark.createDataFrame(rows, kinds[n]).write.parquet(f"{folder}/{n}")
+
+
+def test_texts_to_turtle(spark, tmp_path):
+    """The whole run: detected claims, their graphs by a parser, entities, JSON, Turtle."""
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "D1.txt").write_text("Nothing here. Doctors said garlic prevents flu. Garlic prevents flu?\n")
+    (tmp_path / "p.json").write_text('{"X prevents flu": [[{"LOWER": "garlic"}, {"LEMMA": "prevents"}, {"TEXT": "flu"}]]}')
+    (tmp_path / "t.tsv").write_text("ID\tsubtopic\ttopic\tTemplate\nC1\tprevention\thealth\tX prevents flu\n")
+    claim = (["prevent", "garlic", "flu"], [("v", "prevent-01", 1), ("g", "garlic", 0), ("f", "flu", 2)], [("v", ":ARG0", "g"), ("v", ":ARG1", "f")])
+    whole = ("s1", "Doctors said garlic prevents flu".split(), [("s", "say-01", 1), ("d", "doctor", 0), ("v", "prevent-01", 3), ("g", "garlic", 2), ("f", "flu", 4)], [("s", ":ARG0", "d"), ("s", ":ARG1", "v"), ("v", ":ARG0", "g"), ("v", ":ARG1", "f")], "s")
+    graph_files(spark, tmp_path / "g" / "sentences", [whole])
+    graph_files(spark, tmp_path / "g" / "texts", [("c1", "garlic prevents flu".split(), *claim[1:], "v")])
+    save = lambda rows, kind, name: spark.createDataFrame(rows, kind).write.parquet(str(tmp_path / name))
+    claims = workflow.detect(spark, str(tmp_path / "in"), str(tmp_path / "p.json"), str(tmp_path / "t.tsv")).collect()
+    (first, second) = sorted(claims, key=lambda r: r.span_start)
+    assert workflow.parser_input(spark.createDataFrame(claims, "claim_id string, doc_id string, sent_id int, claim_text string, claim_sentence string, sent_start int, span_start int, span_stop int, template string, topic string, subtopic string")).count() == 3
+    save([(first.claim_id, i, w) for i, w in enumerate(["garlic", "prevent", "flu"])], "claim_id string, i int, lemma string", "g/words")
+    save([(first.claim_id, "said", "VERB")], "claim_id string, token string, pos string", "g/pos")
+    save([("say",)], "verb string", "tables/verbs")
+    save([("prevent-01", "Q10", "prevention", 0.5)], "pb string, qnode string, name string, score double", "tables/chosen")
+    save([("Q10", "A0", "who"), ("Q10", "A1", "what")], "qnode string, role string, text_role string", "tables/roles")
+    save([("garlic", "Q20", "garlic plant"), ("flu", "Q30", "influenza"), ("doctors", "Q40", "physician")], "query string, qnode string, name string", "tables/names")
+    (tmp_path / "e.cs").write_text(":E1\ttype\thttps://o#PER.Doctor\n:E1\tlink\tQ99\n:E1\tmention\t\"Doctors\"\tD1:14-20\t1.0\n:E2\ttype\thttps://o#MHI.Flu\n:E2\ttypelink\tQ77\n:E2\tmention\t\"flu\"\tD1:43-45\t1.0\n")
+    save([("Q99", "the doctors"), ("Q77", "disease")], "qnode string, name string", "known")
+    cli.main(["run", *[x for o, v in {"input": "in", "patterns": "p.json", "topics": "t.tsv", "graphs": "g", "tables": "tables", "entities": "e.cs", "known": "known", "out": "out"}.items() for x in (f"--{o}", str(tmp_path / v))], "--domain", "health"], spark)
+    by_id = {r.claim_id: r for r in corpus.read_annotated(spark, str(tmp_path / "out" / "json")).collect()}
+    c, other = by_id[first.claim_id], by_id[second.claim_id]
+    assert (c.x_text, c.x_type.qnode_id, c.x_identity, c.claimer_text, c.topic) == ("garlic", "Q20", None, "Doctors", "health")
+    # the claimer is an entity: its link is the identity, its kind the type; its place is that in the document
+    assert (c.claimer_identity.qnode_id, c.claimer_identity.text, c.claimer_type.qnode_id, c.claimer_identity.start, c.claimer_start) == ("Q99", "the doctors", "Q5", 14, 14)
+    (event,) = c.claim_semantics
+    assert (event.qnode_id, event.text, event.confidence) == ("Q10", "prevention", 0.5) and {a.role: (a.type.qnode_id, a.identity and a.identity.qnode_id) for a in event.args} == {"A0": ("Q20", None), "A1": ("Q77", "Q30")}
+    assert other.x_text is None and other.claim_semantics is None
+    t = turtle.read_turtle(spark, str(tmp_path / "out" / "turtle")).collect()
+    has = lambda p: {r.o for r in t if r.p == V.iri(p)}
+    assert {r.graph_id for r in t} == {"D1"} and has("aida:claimId") == {first.claim_id} and has("aida:linkTarget") >= {"Q99", "Q30"} and has("aida:componentIdentity") >= {"Q99"}
+    assert len(has("aida:claimSemantics")) == 3 and {"Q10", "Q20", "Q77"} <= has("rdf:object")
+    cli.main(["frames", "--input", str(tmp_path / "out" / "linked"), "--out", str(tmp_path / "f")], spark)
+    assert spark.read.csv(str(tmp_path / "f"), header=True).first()["x_share"] == "0.5"
+    cli.main(["topics-by-similarity", "--input", str(tmp_path / "out" / "claims"), "--topics", str(tmp_path / "t.tsv"), "--out", str(tmp_path / "s")], spark)
+    assert {r.topic for r in spark.read.parquet(str(tmp_path / "s")).collect()} == {"health"}
