@@ -24,6 +24,8 @@ from .common import Stash, free_name
 RADIUS = 3
 #: Fingerprints of a shard that one task searches at once; larger shards are cut.
 SHARD_ROWS = 2048
+#: Fingerprints that a search follows at once.
+QUERIES = 256
 
 
 def fingerprints(text: bytes | None, count: int = 1) -> list[int]:
@@ -133,8 +135,8 @@ def _links(points: np.ndarray, ids: np.ndarray, shard: np.ndarray, radius: int)
     points, ids, shard = points[by], ids[by], shard[by]
     forest = BKForest(points, shard)
     label = np.arange(len(points))
-    for i in range(0, len(points), 4096):
-        q, p = forest.within(points[i : i + 4096], forest.root[i : i + 4096], radius)
+    for i in range(0, len(points), QUERIES):  # in a shard of near copies each query meets all points
+        q, p = forest.within(points[i : i + QUERIES], forest.root[i : i + QUERIES], radius)
         q = q + i
         apart = label[q] != label[p]
         if apart.any():
