@@ -2,7 +2,7 @@
 
 A symbol is a word. For each pattern length there is a shift table by hashed blocks of two words, which tells how far the
 search may jump, and buckets by the last block, whose patterns are compared directly. All items' words are held once, as
-numbers in one array; a pattern is a place in it, so the tables take some 30 bytes a window.
+numbers in one array; a pattern is a place in it, so the tables take some 40 bytes a window.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from .common import Stash, put
 
 #: A-Z to lower case; all other ASCII characters but 0-9 and a-z divide words.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
-#: Windows that one broadcast may hold (some 60 MB); a larger benchmark is searched in several passes.
+#: Windows that one broadcast may hold (some 85 MB); a larger benchmark is searched in several passes.
 BROADCAST_WINDOWS = 2_000_000
 
 FOUND = "struct<n_words:bigint,n_hit:bigint,spans:array<struct<start:int,stop:int>>,items:array<string>>"
