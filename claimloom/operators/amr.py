@@ -64,12 +64,12 @@ def _assemble(parts: Column, focus: Column, with_focus: bool) -> Column:
     return F.element_at(F.transform(F.array(ordered), trim), 1)
 
 
-def descriptions(nodes: DataFrame, edges: DataFrame, tokens: DataFrame, strings: DataFrame, with_focus: bool = True) -> DataFrame:
-    """(graph_id, node_id, text) for nodes with an aligned text.
+def descriptions(nodes: DataFrame, edges: DataFrame, tokens: DataFrame, strings: DataFrame) -> DataFrame:
+    """(graph_id, node_id, description, mods) for nodes with an aligned text.
 
     A node's words go with those of its :mod children, of the first :consist-of and the first :ARG1-of child, and of the
     first :op1 child if there were none; a roleset's words go with the description of its first :ARG1 child, however deep.
-    A roleset on a cycle of such children has its own words only.
+    A roleset on a cycle of such children has its own words only. mods: the same without the node's own words.
     """
     label = nodes.select("graph_id", "node_id", "label")
     base = strings.join(label, ["graph_id", "node_id"]).withColumn("roleset", T.is_roleset(F.col("label")))
@@ -90,29 +90,27 @@ def descriptions(nodes: DataFrame, edges: DataFrame, tokens: DataFrame, strings:
         own = F.concat(extra, F.array("text")) if focus else extra
         return _assemble(F.transform(split(own), place), place(F.element_at(F.split("text", " "), 1)), focus)
 
+    both = lambda df, extra: df.select("graph_id", "node_id", text(extra, True).alias("description"), text(extra, False).alias("mods"))
     # rolesets wait for the description of their child; nodes without an aligned text have none
     stash = Stash(nodes.sparkSession)
     b = stash(b)
     inner = _first(edges, ":ARG1").join(b.select("graph_id", F.col("node_id").alias("child")), ["graph_id", "child"], "left_semi")
     waits = stash(b.where("roleset").select("graph_id", "node_id").join(inner.withColumnRenamed("parent", "node_id"), ["graph_id", "node_id"]))
-    chain = waits.select("graph_id", F.col("node_id").alias("a"), F.col("child").alias("b"))
-    after = closure(chain, chain.select("graph_id", F.col("b").alias("start")))
-    loops = waits.join(after.select("graph_id", F.col("start").alias("child"), F.col("s").alias("node_id")), ["graph_id", "child", "node_id"], "left_semi").select("graph_id", "node_id")
-    waits = stash(waits.join(loops, ["graph_id", "node_id"], "left_anti"))
-    ready = b.join(waits, ["graph_id", "node_id"], "left_anti")
-    done = stash(ready.select("graph_id", "node_id", text(F.col("words"), True).alias("description")))
-    last = done
+    last = done = stash(both(b.join(waits, ["graph_id", "node_id"], "left_anti"), F.col("words")))
     while True:
         known = last.select("graph_id", F.col("node_id").alias("child"), F.col("description").alias("d"))
-        last = stash(b.join(waits, ["graph_id", "node_id"]).join(known, ["graph_id", "child"]).select("graph_id", "node_id", text(_some("d"), True).alias("description")))
+        last = stash(both(b.join(waits, ["graph_id", "node_id"]).join(known, ["graph_id", "child"]), _some("d")))
         if last.isEmpty():
-            break
+            # what still waits leads to a cycle; those on one are done with their own words
+            left = stash(waits.join(done, ["graph_id", "node_id"], "left_anti"))
+            if left.isEmpty():
+                return done
+            chain = left.select("graph_id", F.col("node_id").alias("a"), F.col("child").alias("b"))
+            after = closure(chain, chain.select("graph_id", F.col("b").alias("start"))).select("graph_id", F.col("start").alias("child"), F.col("s").alias("node_id"))
+            loops = left.join(after, ["graph_id", "child", "node_id"], "left_semi").select("graph_id", "node_id")
+            last = stash(both(b.join(loops, ["graph_id", "node_id"], "left_semi"), none))
+            waits = stash(left.join(loops, ["graph_id", "node_id"], "left_anti"))
         done = stash(done.unionByName(last))
-    if with_focus:
-        return done
-    child = waits.join(done.select("graph_id", F.col("node_id").alias("child"), F.col("description").alias("d")), ["graph_id", "child"])
-    extra = b.join(child.select("graph_id", "node_id", "d"), ["graph_id", "node_id"], "left")
-    return extra.select("graph_id", "node_id", text(F.when(F.col("roleset"), _some("d")).otherwise(F.col("words")), False).alias("description"))
 
 
 def _some(name: str) -> Column:
@@ -237,9 +235,7 @@ def open_variables(claims: DataFrame, graphs: DataFrame, nodes: DataFrame, edges
     dated = g.where(t.contains("date-X")).join(nodes.where("label = 'date-entity'"), "graph_id").select("graph_id", F.lit(7).alias("prio"), "ord", "node_id", F.lit("description").alias("how"), F.lit(False).alias("gov"))
     best = found.unionByName(rooted).unionByName(dated).groupBy("graph_id").agg(F.min(F.struct("prio", "ord", "node_id", "how", "gov")).alias("b")).select("graph_id", "b.*")
     names = full_names(edges, strings)
-    full = descriptions(nodes, edges, tokens, strings)
-    mods = descriptions(nodes, edges, tokens, strings, with_focus=False).withColumnRenamed("description", "mods")
-    j = best.join(names, ["graph_id", "node_id"], "left").join(full, ["graph_id", "node_id"], "left").join(mods, ["graph_id", "node_id"], "left")
+    j = best.join(names, ["graph_id", "node_id"], "left").join(descriptions(nodes, edges, tokens, strings), ["graph_id", "node_id"], "left")
     name = F.when(F.col("name") != "", F.col("name"))
     text = (
         F.when(F.col("how") == "name", F.coalesce(name, "description"))

@@ -65,7 +65,7 @@ def full_names(spark, sf_dir):
 
 
 def node_description(spark, sf_dir):
-    return amr.descriptions(*_tables(spark))
+    return amr.descriptions(*_tables(spark)).drop("mods")
 
 
 def token_places(spark, sf_dir):
