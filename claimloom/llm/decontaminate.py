@@ -41,7 +41,8 @@ class WuManber:
         self.m, self.words, self.base = length, words, base
         self.block = min(2, length)
         self.most = length - self.block + 1
-        self.mask = (1 << max(10, min(24, int(len(places)).bit_length() + 6))) - 1
+        bits = int(len(places)).bit_length()  # a megabyte, or 16 to 32 bytes a window
+        self.mask = (1 << max(10, min(bits + 6, 20), min(bits + 4, 24))) - 1
         shift = np.full(self.mask + 1, min(self.most, 255), np.uint8)
         for end in range(self.block, length + 1):  # the last ones have the least shift
             first = self.words[places + end - 2].astype(np.int64) if self.block == 2 else 0
