@@ -65,11 +65,13 @@ class Stash:
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/stash-{uuid.uuid4().hex}", 0
+        self.paths: list[str] = []
 
     def __call__(self, df: DataFrame) -> DataFrame:
         self.n += 1
         path = f"{self.root}/{self.n}"
         _LEFT.add(path)
+        self.paths.append(path)
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._stash_path = path
@@ -78,6 +80,11 @@ class Stash:
     def drop(self, *frames: DataFrame) -> None:
         _delete([df._stash_path for df in frames])
 
+    def keep_only(self, *frames: DataFrame) -> None:
+        """Deletes this stash's other tables: only these are still read."""
+        kept = {df._stash_path for df in frames}
+        _delete([p for p in self.paths if p in _LEFT and p not in kept])
+
 
 def written(df: DataFrame) -> DataFrame:
     """The table, written to the shared folder and read again: nothing above it is computed twice."""
