@@ -271,4 +271,5 @@ def near_duplicates(docs: DataFrame, count: int = 1, shard_rows: int = SHARD_ROW
     grouped = stash(first.join(roots, F.col(node) == F.col("x"), "left").select(F.col(node).alias(key), F.coalesce("root", node).alias("root"), "least_id"))
     least = stash(grouped.groupBy("root").agg(F.min("least_id").alias("component_id")).withColumnRenamed("root", "r"))
     named = stash(grouped.join(least, F.col("root") == F.col("r")).select(key, "component_id", F.col("root").alias("component_root")))
+    stash.keep_only(marked, named)
     return marked.join(named, F.col(node) == F.col(key), "left").drop(key, node, fps)

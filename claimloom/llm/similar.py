@@ -225,4 +225,5 @@ def keep_one_of_similar(docs: DataFrame, chunk_rows: int = CHUNK_ROWS, chunk_byt
     first = grouped.groupBy("root").agg(F.min("best").alias("best"))
     kept = grouped.select("same", "root").join(first, "root").select("same", F.col("best.r").alias("kept"))
     gone = stash(sketch.select("same", "r").join(kept, "same").where("r <> kept").select(F.col("r").alias(rid)))
+    stash.keep_only(gone)
     return numbered.join(_small(gone), rid, "left_anti").drop(rid)
