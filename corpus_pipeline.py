@@ -66,4 +66,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
         docs = stash(stage(spark, docs, sf_dir))
+        stash.keep_only(docs)  # the stage before is done with
     return STAGES[-1][1](spark, docs, sf_dir)
