@@ -119,6 +119,13 @@ def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .prefixtrie import prefix_trie, rebuilt, turns_of
+
+    out = prefix_trie(rebuilt(turns_of(_read(spark, sf_dir, "conversations"))))
+    return out.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_shard": op1_shard,
     "op2_language": op2_language,
@@ -130,6 +137,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_pack": op9_pack,
     "op10_main_text": op10_main_text,
+    "op11_prefix_trie": op11_prefix_trie,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -151,5 +159,42 @@ its AS (SELECT rid, list_sort(list(DISTINCT item)) AS l FROM hit GROUP BY 1)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(len(l), 0)::BIGINT AS n_items,
   sha256(coalesce(array_to_string(l, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM dw LEFT JOIN pos USING (rid) LEFT JOIN its USING (rid)
+""",
+    "op11_prefix_trie": r"""
+WITH RECURSIVE t AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(coalesce(text, ''))) - 1 AS j
+  FROM conversations WHERE conv_id IS NOT NULL
+),
+c AS (SELECT c, c - c % 20 AS base, list({'role': role, 'text': text} ORDER BY j) AS own FROM t GROUP BY c),
+-- crc32 of the decimal id, modulo 4: the two lowest bits, by the bytewise table of the reflected polynomial
+first(n, b, v) AS (
+  SELECT 0, range, range FROM range(256)
+  UNION ALL SELECT n + 1, b, CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END FROM first WHERE n < 8
+),
+tab AS (SELECT list(v ORDER BY b) AS l FROM first WHERE n = 8),
+ids AS (SELECT c, list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)) AS codes FROM c),
+crc(c, i, v) AS (
+  SELECT c, 0, 4294967295::BIGINT FROM ids
+  UNION ALL
+  SELECT crc.c, i + 1, xor(v // 256, tab.l[xor(v % 256, codes[i + 1]) + 1])::BIGINT FROM crc JOIN ids USING (c), tab WHERE i < len(codes)
+),
+h AS (SELECT c, xor(v, 4294967295) % 4 AS h FROM crc JOIN ids USING (c) WHERE i = len(codes)),
+r AS (SELECT c.c, list_concat(coalesce(b.own[1:h], []), c.own[h + 1:]) AS p FROM c JOIN h USING (c) LEFT JOIN c AS b ON b.c = c.base),
+m AS (SELECT c, unnest(range(len(p) + 1)) AS depth, p FROM r),
+n AS (
+  SELECT p[1:depth] AS path, depth, min(c) AS conv_id, count(*) AS n_convs,
+    (count(*) - 1) * CASE WHEN depth = 0 THEN 0 ELSE len(regexp_extract_all(any_value(p[depth].text), '[^\x20\x09-\x0D]+')) END AS own,
+    sha256(coalesce(string_agg(CASE WHEN len(p) = depth THEN c::VARCHAR END, ',' ORDER BY c), '')) AS ends_sha256
+  FROM m GROUP BY 1, 2
+),
+k AS (SELECT path[1:depth - 1] AS path, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1),
+s AS (
+  SELECT a.path, sum(b.own) AS saved, count(*) FILTER (k.path IS NULL) AS leaves
+  FROM n AS a JOIN n AS b ON b.depth >= a.depth AND b.path[1:a.depth] = a.path LEFT JOIN k ON k.path = b.path GROUP BY 1
+)
+SELECT n.conv_id, depth::BIGINT AS depth, (SELECT q.conv_id FROM n AS q WHERE q.path = n.path[1:n.depth - 1] AND n.depth > 0) AS parent_conv_id,
+  n_convs::BIGINT AS n_convs, coalesce(n_children, 0)::BIGINT AS n_children, leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, ends_sha256
+FROM n JOIN s USING (path) LEFT JOIN k USING (path)
 """,
 }
