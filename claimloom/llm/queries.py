@@ -119,6 +119,13 @@ def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op12_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bestfit import pack_best_fit
+
+    out = pack_best_fit(_read(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path(), end_id=1, sequence=4096, with_ids=False)
+    return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .prefixtrie import prefix_trie, rebuilt, turns_of
 
@@ -138,6 +145,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_pack": op9_pack,
     "op10_main_text": op10_main_text,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_best_fit": op12_best_fit,
 }
 
 ORACLE_SQL: dict[str, str] = {
