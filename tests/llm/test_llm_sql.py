@@ -14,4 +14,4 @@ def test_against_sql(spark, sf, name):
 
 def test_all_are_registered():
     names = entry.queries()
-    assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 13)] == [1] * 12 and "pipeline" in names
+    assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 14)] == [1] * 13 and "pipeline" in names
