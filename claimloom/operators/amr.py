@@ -119,14 +119,14 @@ def _some(name: str) -> Column:
 
 
 def labelled_arguments(nodes: DataFrame, edges: DataFrame, strings: DataFrame, events: DataFrame, allowed: DataFrame) -> DataFrame:
-    """(graph_id, event, role, text): arguments of event nodes whose role the event's table (event, role) allows.
+    """(graph_id, event, role, text): arguments of event nodes whose role ``allowed`` (graph_id, event, role) has.
 
-    The clipped text of the node counts, else its label without sense if anything of it is left after clipping; of equal
+    Node ids may repeat in other graphs. The clipped text of the node counts, else its label without sense if anything of it is left after clipping; of equal
     roles the last edge.
     """
     ev = events.select("graph_id", "event")
     out = edges.join(ev, (edges.graph_id == ev.graph_id) & (((F.col("parent") == F.col("event")) & ~F.col("role").endswith("-of")) | ((F.col("child") == F.col("event")) & F.col("role").endswith("-of")))).select(edges.graph_id, "event", "ord", "role", F.when(F.col("role").endswith("-of"), F.col("parent")).otherwise(F.col("child")).alias("node_id"))
-    out = out.where(T.is_argument_role(F.col("role"))).withColumn("role", T.framenet_role(F.col("role"))).join(allowed, ["event", "role"], "left_semi")
+    out = out.where(T.is_argument_role(F.col("role"))).withColumn("role", T.framenet_role(F.col("role"))).join(allowed, ["graph_id", "event", "role"], "left_semi")
     out = out.join(nodes.select("graph_id", "node_id", "label"), ["graph_id", "node_id"]).join(strings, ["graph_id", "node_id"], "left")
     clipped = lambda c: F.array_join(T.clip(F.split(F.coalesce(c, F.lit("")), " ")), " ")
     text = F.when(clipped(F.col("text")) != "", clipped(F.col("text"))).when(clipped(F.col("label")) != "", F.regexp_replace("label", "-[^-]*$", ""))

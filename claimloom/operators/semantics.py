@@ -55,7 +55,7 @@ def claim_events(nodes: DataFrame, edges: DataFrame, strings: DataFrame, chosen:
     e = pb.join(first, ["graph_id", "pb"]).join(chosen, "pb").join(strings, ["graph_id", "node_id"], "left").withColumn("text", text).where("text <> ''")
     events = e.select("graph_id", "ord", "pb", "node_id", "qnode", "text", truthy_score(F.col("score")).alias("confidence"))
     where = events.select("graph_id", F.col("node_id").alias("event"), "qnode").distinct()
-    allowed = where.join(roles, "qnode").select("event", "role").distinct()
+    allowed = where.join(roles, "qnode").select("graph_id", "event", "role").distinct()
     return events, labelled_arguments(nodes, edges, strings, where.select("graph_id", "event").distinct(), allowed)
 
 

@@ -12,6 +12,8 @@ from ..operators import aif, amr, analysis
 from ..operators import graph as G
 from ..session import shared_dir
 from ..sources import turtle
+from . import talk
+from .corpus import _STOPS
 from .fixture import Fixture, with_fixtures
 
 ORACLE: dict[str, str] = {}
@@ -54,13 +56,17 @@ def _tables(spark):
     return n, e, t, amr.node_strings(t, a)
 
 
+def _talk(spark, sf_dir):
+    g = talk.graph_tables(spark, sf_dir)
+    return g["nodes"], g["edges"], g["tokens"], amr.node_strings(g["tokens"], g["alignments"])
+
+
 def node_strings(spark, sf_dir):
-    n, e, t, s = _tables(spark)
-    return s
+    return _talk(spark, sf_dir)[3]
 
 
 def full_names(spark, sf_dir):
-    n, e, t, s = _tables(spark)
+    n, e, t, s = _talk(spark, sf_dir)
     return amr.full_names(e, s)
 
 
@@ -74,8 +80,8 @@ def token_places(spark, sf_dir):
     return amr.token_places(t)
 
 
-ORACLE["node_strings"] = f"{_T}, {_STRINGS} SELECT * FROM st"
-ORACLE["full_names"] = f"{_T}, {_STRINGS} SELECT e.graph_id, parent AS node_id, coalesce(string_agg(text, ' ' ORDER BY ord), '') AS name FROM edges e LEFT JOIN st ON st.graph_id = e.graph_id AND st.node_id = child WHERE role = ':name' GROUP BY 1, 2"
+ORACLE["node_strings"] = f"WITH {talk.SQL} SELECT * FROM st"
+ORACLE["full_names"] = f"WITH {talk.SQL} SELECT e.graph_id, parent AS node_id, coalesce(string_agg(text, ' ' ORDER BY ord), '') AS name FROM edges e LEFT JOIN st ON st.graph_id = e.graph_id AND st.node_id = child WHERE role = ':name' GROUP BY 1, 2"
 ORACLE["token_places"] = "WITH t AS (SELECT conv_id || '-' || turn AS graph_id, string_split(text, ' ') AS w FROM conversations), u AS (SELECT graph_id, generate_subscripts(w, 1) - 1 AS idx, unnest(w) AS token FROM t) SELECT graph_id, token, max(idx)::INT AS idx FROM u GROUP BY 1, 2"
 _PLACES = "pl AS (SELECT graph_id, token, max(idx) AS idx FROM tokens GROUP BY 1, 2)"
 _FIRSTS = "fe AS (SELECT graph_id, parent, role, arg_min(child, ord) AS child FROM edges GROUP BY 1, 2, 3)"
@@ -108,20 +114,26 @@ def _level(k: int) -> str:
 
 ORACLE["node_description"] = f"{_T}, {_DESCR}, {_assembled('w0', 'd0')}, {_level(1)}, {_level(2)}, {_level(3)} SELECT * FROM d3"
 
-ALLOWED = Fixture("allowed", "event string, role string", [("v", "A0"), ("v", "A1"), ("s", "A0"), ("m", "A0"), ("y", "time")])
-EVENT_NODES = Fixture("evn", "graph_id string, event string", [("g1", "v"), ("g1", "s"), ("g3", "m"), ("g4", "y")])
+_STOP_SQL = "(" + ", ".join(f"'{w}'" for w in _STOPS) + ")"
 
 
 def labelled_args(spark, sf_dir):
-    n, e, t, s = _tables(spark)
-    return amr.labelled_arguments(n, e, s, EVENT_NODES.df(spark), ALLOWED.df(spark))
+    """Arguments of events in the graphs of conversations; which roles an event allows depends on its graph."""
+    n, e, t, s = _talk(spark, sf_dir)
+    events = n.where("ord % 2 = 0").select("graph_id", F.col("node_id").alias("event"))
+    even = F.substring("graph_id", -1, 1).isin("0", "2", "4", "6", "8")
+    roles = F.when(even, F.array(F.lit("A0"), F.lit("time"))).otherwise(F.array(F.lit("A1"), F.lit("loc"), F.lit("dir")))
+    return amr.labelled_arguments(n, e, s, events, events.select("graph_id", "event", F.explode(roles).alias("role")))
 
 
-ORACLE["labelled_args"] = f"""{with_fixtures(NODES, EDGES, TOKENS, ALIGNED, ALLOWED, EVENT_NODES)}, {_STRINGS},
-a AS (SELECT e.graph_id, event, ord, replace(replace(replace(role, ':', ''), '-of', ''), 'ARG', 'A') AS role, CASE WHEN role LIKE '%-of' THEN parent ELSE child END AS node_id FROM edges e JOIN evn USING (graph_id)
+ORACLE["labelled_args"] = f"""WITH {talk.SQL}, evn AS (SELECT graph_id, node_id AS event FROM nodes WHERE ord % 2 = 0),
+allowed AS (SELECT graph_id, event, unnest(CASE WHEN right(graph_id, 1)::INT % 2 = 0 THEN ['A0', 'time'] ELSE ['A1', 'loc', 'dir'] END) AS role FROM evn),
+a0 AS (SELECT e.graph_id, event, ord, replace(replace(replace(role, ':', ''), '-of', ''), 'ARG', 'A') AS role, CASE WHEN role LIKE '%-of' THEN parent ELSE child END AS node_id FROM edges e JOIN evn USING (graph_id)
   WHERE ((role NOT LIKE '%-of' AND parent = event) OR (role LIKE '%-of' AND child = event)) AND regexp_matches(role, 'ARG|time|location|direction')),
-b AS (SELECT a.*, coalesce(st.text, regexp_replace(label, '-[^-]*$', '')) AS t FROM a JOIN allowed USING (event, role) JOIN nodes USING (graph_id, node_id) LEFT JOIN st USING (graph_id, node_id))
-SELECT graph_id, event, role, arg_max(t, ord) AS text FROM b GROUP BY 1, 2, 3"""
+a AS (SELECT graph_id, event, ord, CASE WHEN role IN ('location', 'direction') THEN role[1:3] ELSE role END AS role, node_id FROM a0),
+b AS (SELECT a.*, string_split(coalesce(st.text, ''), ' ') AS w, label FROM a JOIN allowed USING (graph_id, event, role) JOIN nodes USING (graph_id, node_id) LEFT JOIN st USING (graph_id, node_id)),
+c AS (SELECT *, {talk.sql_clip('w', _STOP_SQL)} AS clipped FROM b)
+SELECT graph_id, event, role, arg_max(CASE WHEN clipped <> '' THEN clipped ELSE regexp_replace(label, '-[^-]*$', '') END, ord) AS text FROM c GROUP BY 1, 2, 3"""
 
 ROLES = Fixture("roles", "role string, label string", [(":ARG1-of", "have-name-91"), (":location", "say-01"), (":direction", "date-entity"), (":time", "x-y-01-z"), (":mod", "Say-01"), (":ARG0", "say-1"), (":op1", "run-02")])
 

@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import adapters, names as N
 from ..operators import aif, amr, semantics as S
-from . import workflow
+from . import talk, workflow
 from .fixture import Fixture, with_fixtures
-from .graphs import _STRINGS, ALIGNED, EDGES, NODES, TOKENS, _tables
+from .graphs import _STOP_SQL, ALIGNED, NODES, TOKENS, _talk
 from .linking import CANDIDATES
 
 ORACLE: dict[str, str] = {}
@@ -63,20 +63,26 @@ CHOSEN = Fixture("chosen", "pb string, qnode string, score double", [("say-01",
 
 
 def claim_events(spark, sf_dir):
-    n, e, t, s = _tables(spark)
+    n, e, t, s = _talk(spark, sf_dir)
     return S.claim_events(n, e, s, CHOSEN.df(spark), S.roles_of(OVER_ARGS.df(spark), MASTER_ROLES.df(spark)))[0]
 
 
 def claim_event_arguments(spark, sf_dir):
-    n, e, t, s = _tables(spark)
+    n, e, t, s = _talk(spark, sf_dir)
     return S.claim_events(n, e, s, CHOSEN.df(spark), S.roles_of(OVER_ARGS.df(spark), MASTER_ROLES.df(spark)))[1]
 
 
-_EV = f"{with_fixtures(NODES, EDGES, TOKENS, ALIGNED, CHOSEN, OVER_ARGS, MASTER_ROLES)}, {_STRINGS}, ev AS (SELECT n.graph_id, n.ord, label AS pb, n.node_id, qnode, text, CASE WHEN coalesce(score, 0) = 0 THEN 1.0::DOUBLE ELSE score END AS confidence FROM nodes n JOIN chosen ON pb = label JOIN st ON st.graph_id = n.graph_id AND st.node_id = n.node_id)"
-ORACLE["claim_events"] = f"{_EV} SELECT * FROM ev"
-ORACLE["claim_event_arguments"] = f"""{_EV}, {_ROLES}, a AS (SELECT e.graph_id, ev.node_id AS event, e.ord, qnode, replace(replace(replace(role, ':', ''), '-of', ''), 'ARG', 'A') AS role, CASE WHEN role LIKE '%-of' THEN parent ELSE child END AS node_id FROM edges e JOIN ev ON ev.graph_id = e.graph_id AND ((role NOT LIKE '%-of' AND parent = ev.node_id) OR (role LIKE '%-of' AND child = ev.node_id)) WHERE regexp_matches(role, 'ARG|time|location|direction')),
-b AS (SELECT a.graph_id, event, a.role, a.ord, coalesce(st.text, regexp_replace(label, '-[^-]*$', '')) AS t FROM a JOIN rl ON rl.qnode = a.qnode AND rl.role = a.role JOIN nodes n ON n.graph_id = a.graph_id AND n.node_id = a.node_id LEFT JOIN st ON st.graph_id = a.graph_id AND st.node_id = a.node_id)
-SELECT graph_id, event, role, arg_max(t, ord) AS text FROM b GROUP BY 1, 2, 3"""
+#: Equal labels of a graph all stand at its first node of that label.
+_EV = f"""WITH {talk.SQL}, {with_fixtures(CHOSEN, OVER_ARGS, MASTER_ROLES).removeprefix("WITH ")},
+pb AS (SELECT graph_id, ord, label, arg_min(node_id, ord) OVER (PARTITION BY graph_id, label) AS first FROM nodes WHERE regexp_matches(label, '^[a-z, -]*-[0-9]{{2}}')),
+et AS (SELECT pb.graph_id, pb.ord, label AS pb, first AS node_id, qnode, score, string_split(coalesce(st.text, ''), ' ') AS w FROM pb JOIN chosen ON pb = label LEFT JOIN st ON st.graph_id = pb.graph_id AND st.node_id = first),
+ev AS (SELECT graph_id, ord, pb, node_id, qnode, {talk.sql_clip("w", _STOP_SQL)} AS text, CASE WHEN coalesce(score, 0) = 0 THEN 1.0::DOUBLE ELSE score END AS confidence FROM et)"""
+ORACLE["claim_events"] = f"{_EV} SELECT * FROM ev WHERE text <> ''"
+ORACLE["claim_event_arguments"] = f"""{_EV}, {_ROLES}, es AS (SELECT DISTINCT graph_id, node_id, qnode FROM ev WHERE text <> ''),
+a AS (SELECT e.graph_id, es.node_id AS event, e.ord, qnode, replace(replace(replace(role, ':', ''), '-of', ''), 'ARG', 'A') AS role, CASE WHEN role LIKE '%-of' THEN parent ELSE child END AS node_id FROM edges e JOIN es ON es.graph_id = e.graph_id AND ((role NOT LIKE '%-of' AND parent = es.node_id) OR (role LIKE '%-of' AND child = es.node_id)) WHERE regexp_matches(role, 'ARG|time|location|direction')),
+b AS (SELECT a.graph_id, event, a.role, a.ord, label, string_split(coalesce(st.text, ''), ' ') AS w FROM a JOIN rl ON rl.qnode = a.qnode AND rl.role = CASE WHEN a.role IN ('location', 'direction') THEN a.role[1:3] ELSE a.role END JOIN nodes n ON n.graph_id = a.graph_id AND n.node_id = a.node_id LEFT JOIN st ON st.graph_id = a.graph_id AND st.node_id = a.node_id),
+c AS (SELECT *, {talk.sql_clip("w", _STOP_SQL)} AS clipped FROM b)
+SELECT graph_id, event, CASE WHEN role IN ('location', 'direction') THEN role[1:3] ELSE role END AS role, arg_max(CASE WHEN clipped <> '' THEN clipped ELSE regexp_replace(label, '-[^-]*$', '') END, ord) AS text FROM c GROUP BY 1, 2, 3"""
 
 
 def best_options(spark, sf_dir):

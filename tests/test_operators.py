@@ -243,3 +243,16 @@ def test_matcher_is_linear(spark):
     d = spark.createDataFrame([(" ".join(words), words)], "t string, w array<string>")
     assert d.select(F.size(matching.search_offsets(F.col("t"), F.col("w"))).alias("n")).first().n == 64_001
     assert time.time() - began < 30
+
+
+def test_roles_are_those_of_the_events_own_graph(spark):
+    """Two graphs with the same node ids; each event takes the roles of its own node only."""
+    from claimloom.operators import semantics
+
+    nodes = spark.createDataFrame([(g, n, i, label) for g, pb in (("g1", "go-01"), ("g2", "see-01")) for i, (n, label) in enumerate([("n0", pb), ("n1", "cat"), ("n2", "dog")])], "graph_id string, node_id string, ord int, label string")
+    edges = spark.createDataFrame([(g, i, "n0", r, c) for g in ("g1", "g2") for i, (r, c) in enumerate([(":ARG0", "n1"), (":ARG1", "n2")])], "graph_id string, ord int, parent string, role string, child string")
+    strings = spark.createDataFrame([("g1", "n0", "goes"), ("g2", "n0", "sees")], "graph_id string, node_id string, text string")
+    chosen = spark.createDataFrame([("go-01", "Q1", 0.5), ("see-01", "Q2", 0.5)], "pb string, qnode string, score double")
+    roles = spark.createDataFrame([("Q1", "A0"), ("Q2", "A1")], "qnode string, role string")
+    args = semantics.claim_events(nodes, edges, strings, chosen, roles)[1]
+    assert sorted(map(tuple, args.collect())) == [("g1", "n0", "A0", "cat"), ("g2", "n0", "A1", "dog")]
