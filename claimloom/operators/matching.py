@@ -1,8 +1,7 @@
-"""Token-pattern matching: pattern sequences over token attributes, run as regular expressions over token classes.
+"""Token-pattern matching: pattern sequences over token attributes, all followed in one pass (see ``automaton``).
 
-Each pattern's distinct predicates give every token a bit mask, and the mask one character; a step of the pattern is then
-a character class with a quantifier. All overlapping matches are returned, as a matcher without a greedy mode does. The
-tokens of a whole Arrow batch are classed at once, column by column, and searched as one string.
+All overlapping matches are returned, as a matcher without a greedy mode does. The tokens of a whole Arrow batch are classed
+at once, column by column.
 """
 
 from __future__ import annotations
@@ -10,7 +9,6 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -21,29 +19,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from ..functions import text as T
+from .automaton import Automaton, Pattern
 
 #: What the placeholder in a TEXT list stands for (fixed values).
 NAME_VARIATIONS = ["COVID-19", "Coronavirus", "SARS-CoV-2", "coronavirus", "corona virus", "covid-19", "covid 19"]
 PLACEHOLDER = "CORONA_NAME_VARIATIONS"
 ATTRIBUTES = {"TEXT": "text", "LOWER": "lower", "LEMMA": "lemma", "POS": "pos", "ENT_TYPE": "ent_type"}
-#: Characters for token classes: private use, none special in a regular expression.
-ALPHABET = "".join(chr(0xE000 + i) for i in range(512))
-
-
-@dataclass(frozen=True)
-class Pattern:
-    template: str
-    pattern_id: int
-    #: (attribute, values) of each distinct predicate
-    predicates: tuple[tuple[str, tuple[str, ...]], ...]
-    #: (characters, quantifier) of each step
-    steps: tuple[tuple[str, str], ...]
-    least: int
-    most: int | None
-
-    def regex(self, backward: bool = False) -> str:
-        steps = self.steps[::-1] if backward else self.steps
-        return "".join(f"[{chars}]{op}" for chars, op in steps)
 
 
 def load_patterns(source: str, names: list[str] | None = None) -> list[Pattern]:
@@ -68,74 +49,16 @@ def compile_pattern(template: str, pattern_id: int, steps: list[dict], names: li
             one.append((ATTRIBUTES[name.upper()], tuple(values)))
         wanted.append(one)
     predicates = list(dict.fromkeys(p for one in wanted for p in one))
-    if len(predicates) > 9:
-        raise ValueError(f"{template}: more than 9 distinct predicates")
-    made, least, most = [], 0, 0
-    for step, one in zip(steps, wanted, strict=True):
-        bits = sum(1 << predicates.index(p) for p in one)
-        chars = "".join(ALPHABET[m] for m in range(1 << len(predicates)) if m & bits == bits)
-        op = step.get("OP", "")
-        op = "" if op == "1" else op
-        made.append((chars, op))
-        least += op in ("", "+")
-        most = None if op in ("+", "*") or most is None else most + 1
-    return Pattern(template, pattern_id, tuple(predicates), tuple(made), least, most)
+    ops = ["" if step.get("OP", "") == "1" else step.get("OP", "") for step in steps]
+    if not set(ops) <= {"", "?", "*", "+"}:
+        raise ValueError(f"{template}: a quantifier other than 1, ?, * and +")
+    return Pattern(template, pattern_id, tuple(predicates), tuple((tuple(predicates.index(p) for p in one), op) for one, op in zip(wanted, ops, strict=True)))
 
 
 def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-class Scanner:
-    """All matches of one pattern in a string of token classes, in which a line end parts the units."""
-
-    def __init__(self, pattern: Pattern, cap: int | None):
-        self.p = pattern
-        self.bound = pattern.most if pattern.most is not None else cap
-        self.found = [re.compile(f"(?=({pattern.regex(back)}))") for back in (False, True)]
-        self.steps = [[(frozenset(chars), op) for chars, op in (pattern.steps[::-1] if back else pattern.steps)] for back in (False, True)]
-
-    def backward(self, counts: np.ndarray) -> bool:
-        """Search from the end if fewer tokens fit the last step that must be there than the first one."""
-        must = [[ord(c) - ord(ALPHABET[0]) for c in chars] for chars, op in self.p.steps if op in ("", "+")]
-        return len(must) > 1 and bool(counts[must[-1]].sum() < counts[must[0]].sum())
-
-    def closure(self, at: int, steps: list) -> set[int]:
-        """Steps that may come next, at or after this one; the number of steps stands for the end."""
-        out = {at}
-        while at < len(steps) and steps[at][1] in ("?", "*"):
-            at += 1
-            out.add(at)
-        return out
-
-    def ends(self, s: str, start: int, stop: int, steps: list) -> Iterator[int]:
-        """Where matches that begin here end, up to the longest one's end."""
-        states = self.closure(0, steps)
-        for i in range(start, stop):
-            c, after = s[i], set()
-            for k in states:
-                if k < len(steps) and c in steps[k][0]:
-                    after |= self.closure(k + 1, steps)
-                    if steps[k][1] in ("+", "*"):
-                        after.add(k)
-            states = after
-            if len(steps) in states:
-                yield i + 1
-            if not states or (self.bound is not None and i + 1 - start >= self.bound):
-                return
-
-    def __call__(self, classes: str, counts: np.ndarray) -> tuple[list[int], list[int]]:
-        """First and last (exclusive) place of each match. counts: tokens of each class."""
-        back = self.backward(counts)
-        s = classes[::-1] if back else classes
-        firsts, lasts = [], []
-        for m in self.found[back].finditer(s):
-            for end in self.ends(s, m.start(), m.end(1), self.steps[back]):
-                firsts.append(m.start())
-                lasts.append(end)
-        return ([len(s) - x for x in lasts], [len(s) - x for x in firsts]) if back else (firsts, lasts)
-
-
 def matches(units: DataFrame, patterns: list[Pattern], tokens: str = "tokens", most_tokens: int | None = None, keep: list[str] | None = None) -> DataFrame:
     """Units with template, pattern_id, first and last (token positions, last exclusive): a row for each match.
 
@@ -144,42 +67,22 @@ def matches(units: DataFrame, patterns: list[Pattern], tokens: str = "tokens", m
     it, they may span the unit. Units without a match give no row; a null token has none of the attributes.
     """
     kept = units.columns if keep is None else keep
-    scanners = [Scanner(p, most_tokens) for p in patterns]
+    automaton = Automaton(patterns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column(tokens)
-            n = np.asarray(pc.fill_null(pc.list_value_length(lists), 0))
+            n = np.asarray(pc.fill_null(pc.list_value_length(lists), 0)).astype(np.int64)
             flat, total = lists.flatten(), int(n.sum())
-            # unit u begins at at[u] of the string of classes, where a line end follows each unit
-            at = np.cumsum(n + 1) - n - 1
-            unit = np.repeat(np.arange(len(n)), n)
-            place = np.arange(total) + unit
-            values: dict[str, pa.Array] = {}
-            rows, out = [], {"template": [], "pattern_id": [], "first": [], "last": []}
-            for scanner in scanners:
-                p = scanner.p
-                mask = np.zeros(total, np.uint16)
-                for bit, (name, wanted) in enumerate(p.predicates):
-                    if name not in values:
-                        values[name] = pc.utf8_lower(pc.struct_field(flat, "text")) if name == "lower" else pc.struct_field(flat, name)
-                    hit = pc.fill_null(pc.is_in(values[name], value_set=pa.array(wanted, values[name].type)), False)
-                    mask |= np.asarray(hit).astype(np.uint16) << np.uint16(bit)
-                classes = np.full(total + len(n), ord("\n"), "<u2")
-                classes[place] = mask + np.uint16(ord(ALPHABET[0]))
-                first, last = scanner(classes.tobytes().decode("utf-16-le"), np.bincount(mask, minlength=len(ALPHABET)))
-                first, last = np.array(first, np.int64), np.array(last, np.int64)
-                u = np.searchsorted(at, first, side="right") - 1
-                rows.append(u)
-                out["template"] += [p.template] * len(u)
-                out["pattern_id"] += [p.pattern_id] * len(u)
-                out["first"].append(first - at[u])
-                out["last"].append(last - at[u])
-            if not rows:
-                continue
-            taken = batch.select(kept).take(pa.array(np.concatenate(rows)))
-            made = [pa.array(out["template"], pa.string()), pa.array(out["pattern_id"], pa.int32()), *[pa.array(np.concatenate(out[c]), pa.int32()) for c in ("first", "last")]]
-            yield pa.RecordBatch.from_arrays([*taken.columns, *made], [*kept, *out])
+            columns = {a: pc.utf8_lower(pc.struct_field(flat, "text")) if a == "lower" else pc.struct_field(flat, a) for a in automaton.values}
+            ends = np.cumsum(n)
+            number, first, last = automaton.find(automaton.classes_of(columns, total), np.repeat(ends, n), most_tokens)
+            unit = np.searchsorted(ends, first, side="right")
+            at = (ends - n)[unit]
+            taken = batch.select(kept).take(pa.array(unit))
+            names = pa.array([p.template for p in patterns], pa.string()), pa.array([p.pattern_id for p in patterns], pa.int32())
+            made = [*(x.take(pa.array(number)) for x in names), pa.array(first - at, pa.int32()), pa.array(last - at, pa.int32())]
+            yield pa.RecordBatch.from_arrays([*taken.columns, *made], [*kept, "template", "pattern_id", "first", "last"])
 
     fields = [f for f in (units.schema[c] for c in kept)]
     schema = StructType([*fields, StructField("template", StringType()), StructField("pattern_id", IntegerType()), StructField("first", IntegerType()), StructField("last", IntegerType())])
