@@ -29,7 +29,9 @@ TOP = 2000
 #: Candidates whose slots are counted in one scan; more take several scans.
 SLOTS = 2_000_000
 #: Buckets for pairs and as many for triples, as a power of two; tables of bits for words.
-BUCKET_BITS, WORD_BITS = 25, 26
+BUCKET_BITS, WORD_BITS = 26, 26
+#: What half a byte holds: a bucket's count stops there or at the least count of a phrase.
+HALF_BYTE = 15
 #: Words that a task numbers before it starts anew. Three numbers below 2 to the PACKED are packed into one.
 VOCABULARY, PACKED = 600_000, 21
 #: Numbers of a table in one row, and rows that are summed into one in a round.
@@ -183,24 +185,46 @@ class PhraseSlots:
         return out
 
 
-def _blocks(table: np.ndarray, which: int) -> dict[str, list]:
-    """Blocks of a table that aren't all zero, compressed."""
+def in_halves(numbers: np.ndarray) -> np.ndarray:
+    """Numbers up to 15, two to a byte."""
+    return numbers[::2] | numbers[1::2] << 4
+
+
+def from_halves(data: np.ndarray) -> np.ndarray:
+    return np.stack([data & 15, data >> 4], axis=1).ravel()
+
+
+def add_to_halves(table: np.ndarray, at: np.ndarray, n: np.ndarray, most: int) -> None:
+    """Adds to numbers at different places of a table of half bytes, up to ``most``."""
+    for odd in (0, 1):
+        here = (at & 1) == odd
+        byte, shift = at[here] >> 1, 4 * odd
+        old = table[byte]
+        new = np.minimum((old >> shift & 15) + n[here], most).astype(np.uint8)
+        table[byte] = old & (0x0F if odd else 0xF0) | new << shift
+
+
+def _blocks(table: np.ndarray, which: int, size: int = BLOCK) -> dict[str, list]:
+    """Blocks of a table that aren't all zero, compressed; size: of a block, in the table's numbers."""
     part, out = TaskContext.get().partitionId() if TaskContext.get() else 0, {"which": [], "block": [], "part": [], "counts": []}
-    for k in range(0, len(table), BLOCK):
-        if table[k : k + BLOCK].any():
-            for c, v in zip(out, (which, k // BLOCK, part, pa.compress(table[k : k + BLOCK].tobytes(), codec="zstd", asbytes=True)), strict=True):
+    for k in range(0, len(table), size):
+        if table[k : k + size].any():
+            for c, v in zip(out, (which, k // size, part, pa.compress(table[k : k + size].tobytes(), codec="zstd", asbytes=True)), strict=True):
                 out[c].append(v)
     return out
 
 
 def unpacked(data: bytes, kind: str, size: int) -> np.ndarray:
+    """The numbers of a block; kind i8, or u4 for half bytes."""
+    if kind == "u4":
+        return from_halves(np.frombuffer(pa.decompress(data, size // 2, codec="zstd", asbytes=True), np.uint8))
     return np.frombuffer(pa.decompress(data, size * np.dtype(kind).itemsize, codec="zstd", asbytes=True), kind)
 
 
 def tree_sum(rows: DataFrame, parts: int, kind: str, sizes: dict[int, int], most: int | None = None, fan: int = FAN) -> DataFrame:
     """Blocks (which, block, part, counts) summed over ``fan`` neighbouring parts at a time until each is one row.
 
-    kind: type of the numbers; most: sums stop there. sizes: the length of each table.
+    kind: i8 or u4 (half bytes); most: sums stop there. sizes: the length of each table.
     """
 
     def add(df: pd.DataFrame) -> pd.DataFrame:
@@ -211,7 +235,7 @@ def tree_sum(rows: DataFrame, parts: int, kind: str, sizes: dict[int, int], most
             total += unpacked(data, kind, n)
         if most:
             total = np.minimum(total, most)
-        packed = pa.compress(total.astype(kind).tobytes(), codec="zstd", asbytes=True)
+        packed = pa.compress((in_halves(total.astype(np.uint8)) if kind == "u4" else total).tobytes(), codec="zstd", asbytes=True)
         return pd.DataFrame({"which": [which], "block": [block], "part": [int(df["part"].iloc[0]) // fan], "counts": [packed]})
 
     while True:
@@ -224,7 +248,7 @@ def tree_sum(rows: DataFrame, parts: int, kind: str, sizes: dict[int, int], most
 def count_words_and_buckets(docs: DataFrame, salt: int, bits: int = BUCKET_BITS, least: int = MIN_COUNT, limit: int = VOCABULARY) -> DataFrame:
     """First scan. Rows (lang, word, n) with which null, and blocks of buckets of pairs (which 2) and triples (which 3).
 
-    Buckets hold at most ``least``, so a byte is enough.
+    Buckets count up to ``least``, or 15 if that is less, so half a byte is enough.
     """
     schema = pa.schema([("lang", pa.string()), ("word", pa.string()), ("n", pa.int64()), ("which", pa.int32()), ("block", pa.int32()), ("part", pa.int32()), ("counts", pa.binary())])
 
@@ -234,12 +258,11 @@ def count_words_and_buckets(docs: DataFrame, salt: int, bits: int = BUCKET_BITS,
 
     def fill(table: np.ndarray, hashed: list[np.ndarray]) -> None:
         at, n = np.unique(np.concatenate(hashed) >> _U(64 - bits), return_counts=True)
-        at = at.astype(np.int64)
-        table[at] = np.minimum(table[at] + np.minimum(n, least), least)
+        add_to_halves(table, at.astype(np.int64), np.minimum(n, HALF_BYTE), min(least, HALF_BYTE))
         hashed.clear()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = {k: np.zeros(1 << bits, np.uint8) for k in (2, 3)}
+        tables = {k: np.zeros(1 << bits - 1, np.uint8) for k in (2, 3)}
         waiting: dict[int, list[np.ndarray]] = {2: [], 3: []}
         counts: dict[int, np.ndarray] = {}
         for vocab, numbers, ends in numbered(batches, salt, limit):
@@ -265,7 +288,7 @@ def count_words_and_buckets(docs: DataFrame, salt: int, bits: int = BUCKET_BITS,
             if some:
                 fill(tables[k], some)
             if tables[k].any():
-                yield rows(**_blocks(tables[k], k))
+                yield rows(**_blocks(tables[k], k, BLOCK // 2))
 
     return docs.mapInArrow(scan, "lang string, word string, n bigint, which int, block int, part int, counts binary")
 
@@ -372,12 +395,12 @@ def with_counts(candidates: DataFrame, slots, counts) -> DataFrame:
 
 
 def _collected_bits(blocks: DataFrame, which: int, bits: int, least: int) -> BitTable:
-    """A bit for each bucket that holds ``least``: a 64th of the buckets' bytes comes to the driver."""
+    """A bit for each bucket that holds ``least``: that much comes to the driver."""
     size = 1 << bits
 
     @F.pandas_udf("binary")
     def full(counts: pd.Series) -> pd.Series:
-        return pd.Series([np.packbits(unpacked(x, "u1", min(BLOCK, size)) >= least, bitorder="little").tobytes() for x in counts])
+        return pd.Series([np.packbits(unpacked(x, "u4", min(BLOCK, size)) >= min(least, HALF_BYTE), bitorder="little").tobytes() for x in counts])
 
     packed = np.zeros(max(1, size // 8), np.uint8)
     for block, data in blocks.where(F.col("which") == which).select("block", full("counts")).collect():
@@ -420,7 +443,7 @@ def count_phrases(docs: DataFrame, least: int = MIN_COUNT, slots: int = SLOTS, b
         salt += 1
     blocks = found.where("which is not null").select("which", "block", "part", "counts")
     parts = (blocks.agg(F.max("part")).first()[0] or 0) + 1
-    full = stash(tree_sum(blocks, parts, "u1", sizes, most=least))
+    full = stash(tree_sum(blocks, parts, "u4", sizes, most=min(least, HALF_BYTE)))
     stash.drop(found)
     frequent = words.where(F.col("n") >= least)
     word_bits = spark.sparkContext.broadcast(_word_bits(frequent, WORD_BITS))

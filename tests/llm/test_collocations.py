@@ -94,6 +94,17 @@ def test_slots_are_a_minimal_perfect_hash():
         co.PhraseSlots(np.ones((2, 3), np.uint64))
 
 
+def test_half_bytes():
+    g = np.random.default_rng(5)
+    table, plain = np.zeros(32, np.uint8), np.zeros(64, np.int64)
+    for _ in range(6):
+        at = g.choice(64, 20, replace=False)
+        n = g.integers(1, 6, 20)
+        co.add_to_halves(table, at, n, 10)
+        plain[at] = np.minimum(plain[at] + n, 10)
+    assert co.from_halves(table).tolist() == plain.tolist() and co.in_halves(co.from_halves(table)).tolist() == table.tolist()
+
+
 def test_word_keys_agree(spark):
     v = co.Vocabulary("dé", 3)
     numbers = v.numbers(["Ein  ü\tWORT", "x"])
@@ -112,6 +123,11 @@ def test_keys_that_meet_get_another_salt(spark, monkeypatch):
     assert run(spark, rows) == brute(rows)
 
 
+def test_least_counts_above_a_half_byte(spark):
+    rows = made(12, 150)
+    assert run(spark, rows, least=23) == brute(rows, least=23)
+
+
 def test_odd_rows(spark):
     assert run(spark, []) == [] and run(spark, [(None, None), ("en", ""), ("en", " \t.,")]) == []
     rows = [("en", "Hot Word " * 5000), ("en", "hot word. " * 30), (None, "a b " * 11)] * 3
