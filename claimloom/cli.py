@@ -1,4 +1,7 @@
-"""Command line: python -m claimloom.cli STAGE --option value …; each stage reads and writes folders."""
+"""Command line: python -m claimloom.cli STAGE --option value …; each stage reads and writes folders.
+
+detect and run take texts (--input) or a table of tagged tokens (--tokens, --token-format parquet, json or csv).
+"""
 
 from __future__ import annotations
 
@@ -9,12 +12,13 @@ from pyspark.sql import functions as F
 
 from .operators import analysis
 from .plans import workflow
-from .sources import corpus
+from .sources import corpus, tokens
 
 #: Options of each stage; those with a question mark may be left out.
 STAGES = {
-    "run": ("texts to Turtle: detect, annotate, link, to-json, to-turtle", "input patterns topics graphs tables entities known out most-tokens? domain? include-contains?"),
-    "detect": ("claims of a folder of texts", "input patterns topics out most-tokens?"),
+    "run": ("texts or tagged tokens to Turtle: detect, annotate, link, to-json, to-turtle", "input? tokens? token-format? patterns topics graphs tables entities known out most-tokens? domain? include-contains?"),
+    "tokenise": ("a folder of texts as a table of tokens, for a tagger", "input out learn-borders?"),
+    "detect": ("claims of a folder of texts, or of a table of tagged tokens", "input? tokens? token-format? patterns topics out most-tokens?"),
     "ingest-claims": ("claims of another system", "input out"),
     "topics-by-similarity": ("the nearest template of each claim's sentence", "input topics out"),
     "ingest-entities": ("tagged entity lines to mentions", "input out"),
@@ -29,7 +33,7 @@ STAGES = {
     "frames": ("shares of claims with variables, claimers and their nodes", "input out"),
     "overlap": ("equal spans and sentences of two claim stores", "first second"),
 }
-FLAGS = {"include-contains"}
+FLAGS = {"include-contains", "learn-borders"}
 
 
 def parser() -> argparse.ArgumentParser:
@@ -45,6 +49,10 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
+def detect(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
+    return workflow.detect(spark, a.input, a.patterns, a.topics, a.most_tokens, tokens=a.tokens, kind=a.token_format or "parquet")
+
+
 def _tables(spark: SparkSession, folder: str, names: list[str]) -> dict[str, DataFrame]:
     return {n: spark.read.parquet(f"{folder}/{n}") for n in names}
 
@@ -81,14 +89,16 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     load, save = (lambda p: corpus.load_claims(spark, p)), corpus.save_claims
     if a.stage == "run":
         step = {n: f"{a.out}/{n}" for n in ("claims", "annotated", "mentions", "linked", "json", "turtle")}
-        save(workflow.detect(spark, a.input, a.patterns, a.topics, a.most_tokens), step["claims"])
+        save(detect(spark, a), step["claims"])
         save(annotate(spark, load(step["claims"]), a.graphs, a.tables, a.domain), step["annotated"])
         save(workflow.entity_tables(spark, a.entities)[0], step["mentions"])
         save(link(spark, load(step["annotated"]), step["mentions"], a.known, a.include_contains), step["linked"])
         corpus.write_claims(load(step["linked"]), step["json"])
         workflow.write_claim_graphs(corpus.read_annotated(spark, step["json"]), step["turtle"])
     elif a.stage == "detect":
-        save(workflow.detect(spark, a.input, a.patterns, a.topics, a.most_tokens), a.out)
+        save(detect(spark, a), a.out)
+    elif a.stage == "tokenise":
+        tokens.write_tokens(workflow.tokenise(spark, a.input, a.learn_borders), a.out)
     elif a.stage == "ingest-claims":
         claims, share = workflow.external_claims(spark, a.input)
         save(claims, a.out)

@@ -10,8 +10,10 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Iterator
 
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
 OPENING = "([{<\"'“”‘’«»„‚`´¿¡"
@@ -147,32 +149,45 @@ def rebuilt(tokens: Iterable[str], spaces: Iterable[bool]) -> str:
     return "".join(t + " " if s else t for t, s in zip(tokens, spaces, strict=True))
 
 
-_TOKEN = pa.struct([("text", pa.string()), ("start", pa.int32()), ("space", pa.bool_())])
-TOKEN = StructType([StructField("text", StringType()), StructField("start", IntegerType()), StructField("space", BooleanType())])
+_FIELDS = [("text", pa.string(), StringType()), ("start", pa.int32(), IntegerType()), ("space", pa.bool_(), BooleanType()), ("sent", pa.int32(), IntegerType())]
+TOKEN = StructType([StructField(n, kind) for n, _, kind in _FIELDS])
 
 
-def tokenised_documents(docs: DataFrame, tokenizer: Tokenizer | None = None) -> DataFrame:
-    """``docs`` with ``tokens``, an array of (text, start, space) for ``text``: whole documents, nothing dropped.
+def tokenised_documents(docs: DataFrame, tokenizer: Tokenizer | None = None, borders=None) -> DataFrame:
+    """``docs`` with ``tokens``, an array of (text, start, space, sent) for ``text``: whole documents, nothing dropped.
 
-    start counts characters from 0. A null text has null tokens, an empty one none. A column named tokens is replaced.
+    start counts characters from 0, sent sentences; borders: operators.borders.Borders, by default without abbreviations of
+    its own. A null text has null tokens, an empty one none. A column named tokens is replaced.
     """
-    tool = tokenizer or Tokenizer()
+    from ..operators.borders import Borders
+
+    tool, marks = tokenizer or Tokenizer(), borders or Borders()
     kept = [c for c in docs.columns if c.lower() != "tokens"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ends, words, starts, spaces, null = [0], [], [], [], []
+            ends, columns, null = [0], [[], [], [], []], []
             for text in batch.column("text").to_pylist():
                 if text is not None:
-                    t, a, b = tool(text)
-                    words += t
-                    starts += a
-                    spaces += b
+                    words, starts, spaces = tool(text)
+                    for column, new in zip(columns, (words, starts, spaces, marks.numbers(words, spaces)), strict=True):
+                        column += new
                 null.append(text is None)
-                ends.append(len(words))
-            flat = pa.StructArray.from_arrays([pa.array(words, pa.string()), pa.array(starts, pa.int32()), pa.array(spaces, pa.bool_())], fields=list(_TOKEN))
+                ends.append(len(columns[0]))
+            flat = pa.StructArray.from_arrays([pa.array(c, kind) for c, (_, kind, _) in zip(columns, _FIELDS, strict=True)], names=[n for n, *_ in _FIELDS])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat, mask=pa.array(null, pa.bool_()))
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], lists], [*kept, "tokens"])
 
     schema = StructType([*[docs.schema[c] for c in kept], StructField("tokens", ArrayType(TOKEN))])
     return docs.select([f"`{c}`" for c in kept]).mapInArrow(run, schema)
+
+
+def token_words(text: Column, tokenizer: Tokenizer | None = None) -> Column:
+    """The text's tokens without white space, punctuation included; null for null."""
+    tool = tokenizer or Tokenizer()
+
+    @F.pandas_udf(ArrayType(StringType()))
+    def words(texts: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else [w for w in tool(t)[0] if not w.isspace()] for t in texts], dtype=object)
+
+    return words(text)

@@ -7,32 +7,48 @@ from pyspark.sql import functions as F
 
 from ..functions import models
 from ..functions import text as T
+from ..functions.tokens import ABBREVIATIONS, Tokenizer, token_words, tokenised_documents
 from ..operators import aif, amr
 from ..operators import claims as C
+from ..operators import documents as D
 from ..operators import edl as E
 from ..operators import graph as G
 from ..operators import matching as M
 from ..operators import qnodes as Q
 from ..operators import semantics as S
 from ..operators import spans as P
+from ..operators.borders import learn_borders
 from ..session import written
 from ..sources import corpus, turtle
+from ..sources import tokens as token_store
 
 
-def detect(spark: SparkSession, texts: str, patterns: str, topics: str, most_tokens: int | None = None, tagger=None) -> DataFrame:
-    """Claims of a folder of text files: template, topic, text, sentence and place of each match.
+def tokenizer() -> Tokenizer:
+    """The tokenizer that keeps the names whole that patterns ask for."""
+    return Tokenizer([*ABBREVIATIONS, *[n for n in M.NAME_VARIATIONS if " " not in n]])
 
-    span_start and span_stop count characters of the document, the stop being past the claim; sent_start is where its
-    sentence begins. The words' tagger is the default one unless one is given (see matching.tokenised).
+
+def tokenise(spark: SparkSession, texts: str, learn: bool = False) -> DataFrame:
+    """Documents of a folder of text files with their tokens; learn: sentence borders by the abbreviations of these texts."""
+    docs = corpus.read_texts(spark, texts)
+    return tokenised_documents(docs, tokenizer(), learn_borders(docs, tokenizer()) if learn else None)
+
+
+def detect(spark: SparkSession, texts: str | None, patterns: str, topics: str, most_tokens: int | None = None, tagger=None, tokens: str | None = None, kind: str = "parquet") -> DataFrame:
+    """Claims of a folder of text files, or of a table of tagged tokens: template, topic, text, sentence and place of each match.
+
+    Patterns are matched over all tokens of a document, punctuation included, over sentence borders too. span_start and
+    span_stop count characters of the document, the stop being past the claim; sent_start is where the sentence begins that
+    the claim begins in. texts are tagged by ``tagger`` (see documents.tagged); tokens bring their own lemmas, parts of
+    speech and entity types (see sources.tokens).
     """
-    docs = corpus.read_texts(spark, texts).withColumn("starts", M.sentence_starts(F.col("text")))
-    m = M.matches(M.tokenised(docs, tagger), M.load_patterns(corpus.read_whole(spark, patterns)), most_tokens=most_tokens)
-    m = m.withColumn("o", M.search_offsets(F.col("sentence"), F.transform("tokens", lambda t: t["text"]))).withColumn("sent_start", F.get("starts", F.col("sent_id")))
-    first, last = F.element_at("o", F.col("first") + 1)["start"], F.element_at("o", F.col("last"))["stop"] + 1
+    if (texts is None) == (tokens is None):
+        raise ValueError("either texts or tokens")
+    docs = token_store.read_tokens(spark, tokens, kind) if tokens else D.tagged(tokenise(spark, texts).drop("text"), tagger)
+    m = D.document_matches(docs, M.load_patterns(corpus.read_whole(spark, patterns)), most_tokens)
     out = m.select(
         T.short_id(F.col("doc_id"), F.col("sent_id").cast("string"), F.col("first").cast("string"), F.col("last").cast("string"), F.col("template")).alias("claim_id"),
-        "doc_id", "sent_id", F.substring("sentence", first + 1, last - first).alias("claim_text"), F.col("sentence").alias("claim_sentence"), "sent_start",
-        (F.col("sent_start") + first).alias("span_start"), (F.col("sent_start") + last).alias("span_stop"), "template",
+        "doc_id", "sent_id", "claim_text", "claim_sentence", "sent_start", "span_start", "span_stop", "template",
     )
     return C.assign_topics(out, corpus.read_topics(spark, topics))
 
@@ -73,10 +89,15 @@ def nearest_topics(claims: DataFrame, topics: DataFrame, encode=None) -> DataFra
     return claims.drop("template", "topic", "subtopic", "template_score").join(found, "claim_id", "left")
 
 
+def parser_tokens(text, most: int = 50):
+    """A text's tokens as a graph parser gets them: brackets, quotes and dashes apart, cut after a stop mark at or past ``most``."""
+    return T.refine_tokens(token_words(text, tokenizer()), most)
+
+
 def parser_input(claims: DataFrame, most: int = 50) -> DataFrame:
     """(graph_id, tokens) of the different sentences and texts of usable claims, for adapters.parse_graphs."""
     c = C.usable_sentences(claims)
-    words = c.select(F.explode(F.array("claim_sentence", "claim_text")).alias("s")).select(T.refine_tokens(T.words(F.col("s")), most).alias("tokens")).distinct()
+    words = c.select(F.explode(F.array("claim_sentence", "claim_text")).alias("s")).select(parser_tokens(F.col("s"), most).alias("tokens")).distinct()
     return words.select(F.md5(F.array_join("tokens", " ").cast("binary")).alias("graph_id"), "tokens")
 
 
@@ -89,7 +110,7 @@ def graphs_of_claims(claims: DataFrame, tables: dict[str, DataFrame], text: str)
 
     tables: GRAPH_TABLES by name; graphs have the tokens joined by blanks as token_text. Claims without a graph have no rows.
     """
-    of = claims.select("claim_id", F.array_join(T.words(F.col(text)), " ").alias("words"))
+    of = claims.select("claim_id", F.array_join(parser_tokens(F.col(text)), " ").alias("words"))
     ids = written(amr.graphs_by_tokens(of, tables["graphs"].select("graph_id", "token_text"), "words").where("graph_id IS NOT NULL").select("graph_id", "claim_id"))
     return {n: tables[n].join(ids, "graph_id").withColumn("graph_id", F.col("claim_id")).drop("claim_id") for n in GRAPH_TABLES}
 
@@ -98,9 +119,9 @@ def places_of(claims: DataFrame, texts: DataFrame) -> DataFrame:
     """(m_id, start, stop): where texts (m_id, claim_id, text) stand in the sentence of their claim, in the document's
     characters, by their first and last word; without row if nowhere.
     """
-    c = claims.select("claim_id", "claim_sentence", "sent_start", T.words(F.col("claim_sentence")).alias("w"))
+    c = claims.select("claim_id", "claim_sentence", "sent_start", token_words(F.col("claim_sentence"), tokenizer()).alias("w"))
     c = c.select("claim_id", "sent_start", M.search_offsets(F.col("claim_sentence"), F.col("w")).alias("o"))
-    j = texts.select("m_id", "claim_id", T.words(F.col("text")).alias("t")).where(F.size("t") > 0).join(c, "claim_id")
+    j = texts.select("m_id", "claim_id", F.filter(F.split("text", " "), lambda w: w != "").alias("t")).where(F.size("t") > 0).join(c, "claim_id")
     of = lambda word, at: F.transform(F.filter("o", lambda x: x["token"] == word), lambda x: x[at])
     span = M.span_of_text(of(F.element_at("t", 1), "start"), of(F.element_at("t", -1), "stop"))
     return j.select("m_id", "sent_start", span.alias("s")).where("s IS NOT NULL").select("m_id", (F.col("sent_start") + F.col("s.start")).alias("start"), (F.col("sent_start") + F.col("s.stop")).alias("stop"))

@@ -147,13 +147,13 @@ def test_texts_to_turtle(spark, tmp_path):
     (tmp_path / "p.json").write_text('{"X prevents flu": [[{"LOWER": "garlic"}, {"LEMMA": "prevents"}, {"TEXT": "flu"}]]}')
     (tmp_path / "t.tsv").write_text("ID\tsubtopic\ttopic\tTemplate\nC1\tprevention\thealth\tX prevents flu\n")
     claim = (["prevent", "garlic", "flu"], [("v", "prevent-01", 1), ("g", "garlic", 0), ("f", "flu", 2)], [("v", ":ARG0", "g"), ("v", ":ARG1", "f")])
-    whole = ("s1", "Doctors said garlic prevents flu".split(), [("s", "say-01", 1), ("d", "doctor", 0), ("v", "prevent-01", 3), ("g", "garlic", 2), ("f", "flu", 4)], [("s", ":ARG0", "d"), ("s", ":ARG1", "v"), ("v", ":ARG0", "g"), ("v", ":ARG1", "f")], "s")
+    whole = ("s1", "Doctors said garlic prevents flu .".split(), [("s", "say-01", 1), ("d", "doctor", 0), ("v", "prevent-01", 3), ("g", "garlic", 2), ("f", "flu", 4)], [("s", ":ARG0", "d"), ("s", ":ARG1", "v"), ("v", ":ARG0", "g"), ("v", ":ARG1", "f")], "s")
     graph_files(spark, tmp_path / "g" / "sentences", [whole])
     graph_files(spark, tmp_path / "g" / "texts", [("c1", "garlic prevents flu".split(), *claim[1:], "v")])
     save = lambda rows, kind, name: spark.createDataFrame(rows, kind).write.parquet(str(tmp_path / name))
     claims = workflow.detect(spark, str(tmp_path / "in"), str(tmp_path / "p.json"), str(tmp_path / "t.tsv")).collect()
     (first, second) = sorted(claims, key=lambda r: r.span_start)
-    assert workflow.parser_input(spark.createDataFrame(claims, "claim_id string, doc_id string, sent_id int, claim_text string, claim_sentence string, sent_start int, span_start int, span_stop int, template string, topic string, subtopic string")).count() == 3
+    assert workflow.parser_input(spark.createDataFrame(claims, "claim_id string, doc_id string, sent_id int, claim_text string, claim_sentence string, sent_start int, span_start int, span_stop int, template string, topic string, subtopic string")).count() == 4
     save([(first.claim_id, i, w) for i, w in enumerate(["garlic", "prevent", "flu"])], "claim_id string, i int, lemma string", "g/words")
     save([(first.claim_id, "said", "VERB")], "claim_id string, token string, pos string", "g/pos")
     save([("say",)], "verb string", "tables/verbs")
