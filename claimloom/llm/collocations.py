@@ -26,8 +26,8 @@ from .common import Stash
 
 MIN_COUNT = 10
 TOP = 2000
-#: Candidates whose slots are counted in one scan; more take several scans.
-SLOTS = 2_000_000
+#: Candidates whose slots are counted in one scan; more take several scans. A task holds 32 bytes for each.
+SLOTS = 4_000_000
 #: Buckets for pairs and as many for triples, as a power of two; tables of bits for words.
 BUCKET_BITS, WORD_BITS = 26, 26
 #: What half a byte holds: a bucket's count stops there or at the least count of a phrase.
