@@ -6,6 +6,7 @@ as the kind and datatype of the object, are kept where a triple is copied.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,28 +63,56 @@ def document_of(triples: DataFrame, predicate: str = "aida:source") -> DataFrame
 def reachable(triples: DataFrame, starts: DataFrame) -> DataFrame:
     """(graph_id, start, s): every node that a start (graph_id, start) leads to, itself included; cycles end.
 
-    Paths double in length each round until nothing new is met, so a chain of n links takes log2(n) rounds; each round's
-    tables are written, so the plan stays short.
+    Only what starts lead to is followed (see ``closure``).
     """
     subjects = triples.select("graph_id", F.col("s").alias("b")).distinct()
     step = triples.select("graph_id", F.col("s").alias("a"), F.col("o").alias("b")).join(subjects, ["graph_id", "b"], "left_semi").where("a <> b").distinct()
     return closure(step, starts.select("graph_id", "start"))
 
 
+#: Steps of a graph that one task follows by itself; a larger graph is followed in rounds by all.
+TASK_STEPS = 200_000
+
+
+def _followed(starts: pd.DataFrame, steps: pd.DataFrame) -> pd.DataFrame:
+    """All that the starts of one graph lead to."""
+    after: dict = {}
+    for a, b in zip(steps["a"], steps["b"], strict=True):
+        after.setdefault(a, []).append(b)
+    rows = []
+    for graph, start in dict.fromkeys(zip(starts["graph_id"], starts["start"], strict=True)):
+        met, front = {start}, [start]
+        while front:
+            front = [b for b in dict.fromkeys(b for a in front for b in after.get(a, ())) if b not in met]
+            met.update(front)
+        rows += [(graph, start, s) for s in met]
+    return pd.DataFrame(rows, columns=["graph_id", "start", "s"])
+
+
 def closure(steps: DataFrame, starts: DataFrame) -> DataFrame:
-    """(graph_id, start, s) from steps (graph_id, a, b) and (graph_id, start): all that starts lead to, and themselves."""
+    """(graph_id, start, s) from steps (graph_id, a, b) and (graph_id, start): all that starts lead to, and themselves.
+
+    A graph of up to TASK_STEPS steps is followed from its starts within one task. Larger ones are followed in rounds: what
+    the last round met is joined with the steps, and what was met before goes by an anti join. Cycles end either way.
+    """
     stash = Stash(steps.sparkSession)
-    seen = stash(starts.select("graph_id", "start", F.col("start").alias("s")).distinct())
-    jump, n = stash(steps.select("graph_id", "a", "b")), seen.count()
+    steps, starts = stash(steps.select("graph_id", "a", "b")), stash(starts.select("graph_id", "start").distinct())
+    large = stash(steps.groupBy("graph_id").count().where(F.col("count") > TASK_STEPS).select("graph_id"))
+    some = starts.join(large, "graph_id", "left_anti")
+    schema = starts.schema.add("s", starts.schema["start"].dataType)
+    near = steps.join(some.select("graph_id").distinct(), "graph_id", "left_semi")
+    out = some.groupBy("graph_id").cogroup(near.groupBy("graph_id")).applyInPandas(_followed, schema)
+    if large.isEmpty():
+        return stash(out)
+    rest = steps.join(large, "graph_id", "left_semi").withColumnRenamed("a", "s")
+    front = seen = stash(starts.join(large, "graph_id", "left_semi").select("graph_id", "start", F.col("start").alias("s")))
     while True:
-        via = jump.select("graph_id", F.col("a").alias("s"), F.col("b").alias("next"))
-        wider = stash(seen.unionByName(seen.join(via, ["graph_id", "s"]).select("graph_id", "start", F.col("next").alias("s"))).distinct())
-        grown = wider.count()
-        if grown == n:
-            return wider
-        n, seen = grown, wider
-        further = jump.select("graph_id", F.col("a").alias("b"), F.col("b").alias("c"))
-        jump = stash(jump.unionByName(jump.join(further, ["graph_id", "b"]).select("graph_id", "a", F.col("c").alias("b"))).distinct())
+        new = front.join(rest, ["graph_id", "s"]).select("graph_id", "start", F.col("b").alias("s")).distinct()
+        front = stash(new.join(seen, ["graph_id", "start", "s"], "left_anti"))
+        if front.isEmpty():
+            return stash(out.unionByName(seen))
+        seen = stash(seen.unionByName(front))
+        stash.keep_only(steps, starts, large, seen, front)  # the rounds before are done with
 
 
 #: Predicates that lead to justifications.

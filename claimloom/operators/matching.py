@@ -152,5 +152,5 @@ def span_of_text(firsts: Column, lasts: Column) -> Column:
     """(start, stop) of a text from the offsets of its first and last token: the latest start that some end follows, and
     the earliest end after it; null if there is none. firsts and lasts: arrays of start and of inclusive stop.
     """
-    start = F.array_max(F.filter(firsts, lambda f: F.exists(lasts, lambda e: f < e)))
+    start = _let(F.array_max(lasts), lambda last: F.array_max(F.filter(firsts, lambda f: f < last)))
     return _let(start, lambda s: F.when(s.isNotNull(), F.struct(s.alias("start"), F.array_min(F.filter(lasts, lambda e: e > s)).alias("stop"))))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import itertools
 import shutil
 import tempfile
 import uuid
@@ -98,11 +99,9 @@ def dense_ids(df: DataFrame, name: str, *order: str | Column, first: int = 1, st
     task holds all rows.
     """
     ranged = written(df.withColumn("__step", step if step is not None else F.lit(1)).repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
-    sizes = {r[0]: r[1] for r in ranged.groupBy("__part").agg(F.sum("__step")).collect()}
-    before, total = {}, 0
-    for p in sorted(sizes):
-        before[p] = total
-        total += sizes[p]
-    start = F.element_at(F.create_map(*[F.lit(x) for kv in before.items() for x in kv]), F.col("__part")) if before else F.lit(0)
+    sizes = sorted((r[0], r[1]) for r in ranged.groupBy("__part").agg(F.sum("__step")).collect())
+    before = [(p, sum_) for (p, _), sum_ in zip(sizes, itertools.accumulate((n for _, n in sizes), initial=0), strict=False)]
+    starts = df.sparkSession.createDataFrame(before, "__part int, __before long")
     inside = F.sum("__step").over(Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return ranged.withColumn(name, (start + inside - F.col("__step") + first).cast("long")).drop("__part", "__step")
+    numbered = ranged.withColumn("__inside", inside).join(F.broadcast(starts), "__part")  # a row for each partition
+    return numbered.withColumn(name, (F.col("__before") + F.col("__inside") - F.col("__step") + first).cast("long")).drop("__part", "__step", "__before", "__inside")

@@ -256,3 +256,38 @@ def test_roles_are_those_of_the_events_own_graph(spark):
     roles = spark.createDataFrame([("Q1", "A0"), ("Q2", "A1")], "qnode string, role string")
     args = semantics.claim_events(nodes, edges, strings, chosen, roles)[1]
     assert sorted(map(tuple, args.collect())) == [("g1", "n0", "A0", "cat"), ("g2", "n0", "A1", "dog")]
+
+
+@pytest.mark.parametrize("within", [200_000, 0])
+def test_closure_follows_what_starts_lead_to(spark, monkeypatch, within):
+    """In one task and in rounds: chains, cycles, starts without a step, node names that repeat over graphs."""
+    from claimloom.operators import graph
+
+    monkeypatch.setattr(graph, "TASK_STEPS", within)
+    g = np.random.default_rng(within)
+    steps = [("c", f"n{i}", f"n{i + 1}") for i in range(8)] + [("o", "x", "y"), ("o", "y", "x"), ("o", "n0", "x")] + [("r", f"n{a}", f"n{b}") for a, b in g.integers(0, 12, (25, 2))]
+    starts = [("c", "n0"), ("c", "n5"), ("o", "x"), ("o", "n0"), ("o", "gone"), ("r", "n1"), ("r", "n1"), ("none", "q")]
+    want = set()
+    for graph_id, start in starts:
+        met, front = {start}, [start]
+        while front:
+            at = front.pop()
+            for h, a, b in steps:
+                if (h, a) == (graph_id, at) and b not in met:
+                    met.add(b)
+                    front.append(b)
+        want |= {(graph_id, start, s) for s in met}
+    got = [tuple(r) for r in graph.closure(spark.createDataFrame(steps, "graph_id string, a string, b string"), spark.createDataFrame(starts, "graph_id string, start string")).collect()]
+    assert sorted(got) == sorted(want)
+
+
+def test_closure_of_a_large_graph_is_quick(spark):
+    """A chain of 100,000 triples with one start."""
+    import time
+
+    from claimloom.operators import graph
+
+    chain = spark.range(100_000).selectExpr("'g' graph_id", "concat('n', id) a", "concat('n', id + 1) b")
+    began = time.time()
+    assert graph.closure(chain, spark.createDataFrame([("g", "n60000")], "graph_id string, start string")).count() == 40_001
+    assert time.time() - began < 40
