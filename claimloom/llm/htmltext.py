@@ -37,8 +37,8 @@ CLOSES_P = frozenset("address article aside blockquote body center details dialo
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tr", "td", "th", "tbody", "thead"}, "thead": {"thead"}, "tfoot": {"tr", "td", "th", "tbody", "thead"}}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}, "tbody": {"table"}, "thead": {"table"}, "tfoot": {"table"}}
 
-# a quote counts as one only after an equals sign
-TAG = re.compile(r"<(?:!--.*?(?:--!?>|$)|[!?][^>]*(?:>|$)|(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"?+|'[^']*+'?+)?+)*+)(?:>|$))", re.S)
+# a quote counts as one only after an equals sign; <!--> and <!---> are comments of their own
+TAG = re.compile(r"<(?:!--(?:-?>|.*?(?:--!?>|$))|[!?][^>]*(?:>|$)|(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"?+|'[^']*+'?+)?+)*+)(?:>|$))", re.S)
 ATTRIBUTE = re.compile(r"([^\s=\"'>/]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 #: What an end tag of an inline element or paragraph doesn't reach out of.
 P_STOPS = frozenset("td th table article main section div body".split())
@@ -354,7 +354,7 @@ class PageMaker:
         say = lambda a, b: self.words(a, b)
         p = lambda a, b: r.choice(["<p>{}</p>", "{}", "<div>{}</div>", "<span>{}</span>"]).format(say(a, b))
         if kind == "menu":
-            return self.box(kind, ["nav", "nav", "div", "ul" if False else "div"], self.links())
+            return self.box(kind, ["nav", "nav", "div", "div"], self.links())
         if kind == "head":
             return self.box(kind, ["header", "header", "div"], r.choice(["", f"<h1>{say(1, 4)}</h1>", f"<h2>{say(1, 3)}</h2>"]) + p(1, 8) + r.choice(["", self.links()]))
         if kind == "foot":

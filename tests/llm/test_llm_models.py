@@ -69,6 +69,14 @@ def test_a_hundred_languages(spark):
     assert sum(r.lang_pred == r.lang for r in out if r.doc_id % 4 == 2) >= 190 and all(0 <= r.lang_score <= 1 for r in out)
 
 
+def test_a_language_of_few_texts_with_letters(spark):
+    """Most rows of a language have no letter; those that have are learned all the same."""
+    rows = [(i, "123 !! 456", "xx") for i in range(3000)] + [(5000 + i, "zaq wsx zaq cde", "xx") for i in range(3)] + [(9000 + i, f"the cat sat on the mat {i}", "en") for i in range(50)]
+    model = langid.fit_model(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_lang=4)
+    got = langid.identify(spark.createDataFrame([(1, "zaq cde wsx"), (2, "on the mat")], "doc_id long, text string"), model)
+    assert {r.doc_id: r.lang_pred for r in got.collect()} == {1: "xx", 2: "en"}
+
+
 def test_language_held_out(spark, sf):
     from claimloom.llm.queries import op2_language
 
@@ -491,6 +499,37 @@ def test_main_text_of_pages_by_hand(page, blocks):
     assert htmltext.fitted().texts([page])[0].split("\n\n") == blocks
 
 
+#: Whole pages of shapes and names that the generator doesn't make, with their main text.
+SITES = [
+    ('<!doctype html><html><body class="wp-single"><div class="masthead"><span>The Harbour Post</span><form action="/q"><input name="s"><button>Go</button></form></div><div class="l-grid"><div class="l-main"><h1>Ferry line to close for the winter</h1><p class="standfirst">The last boat leaves on Sunday.</p>'
+     "<p>The company said that too few people had crossed since the bridge opened. It will look for a buyer until spring.</p><blockquote><p>We have done this for forty years, said the captain.</p></blockquote><p>Islanders want the county to step in.</p></div>"
+     '<div class="l-rail"><h4>Most read</h4><ol><li><a href="/1">Storm hits pier</a></li><li><a href="/2">School to reopen</a></li><li><a href="/3">Market moves</a></li></ol></div></div><div class="colophon"><a href="/c">Contact</a> <a href="/p">Privacy policy</a> <a href="/t">Terms</a></div></body></html>',
+     "Ferry line to close for the winter The last boat leaves on Sunday. The company said that too few people had crossed since the bridge opened. It will look for a buyer until spring. We have done this for forty years, said the captain. Islanders want the county to step in."),
+    ('<html><body><table width="100%"><tr><td colspan="2"><a href="i.htm">Start</a> | <a href="b.htm">Bücher</a> | <a href="k.htm">Kontakt</a></td></tr><tr><td width="150"><a href="1.htm">Kapitel 1</a><br><a href="2.htm">Kapitel 2</a><br><a href="3.htm">Kapitel 3</a></td><td><h2>Wie man einen Apfelbaum schneidet</h2><p>Der beste Monat ist der Februar, wenn der Baum noch ruht und die Knospen fest sind.</p>'
+     "<p>Zuerst nimmt man alles Holz weg, das tot oder krank ist, danach die Triebe, die nach innen wachsen.</p><p>Ein sauberer Schnitt heilt in einem Sommer.</p></td></tr></table></body></html>",
+     "Wie man einen Apfelbaum schneidet Der beste Monat ist der Februar, wenn der Baum noch ruht und die Knospen fest sind. Zuerst nimmt man alles Holz weg, das tot oder krank ist, danach die Triebe, die nach innen wachsen. Ein sauberer Schnitt heilt in einem Sommer."),
+    ('<body><div data-v="7"><section id="qx1"><ul class="tabs"><li><a href="#a">Overview</a></li><li><a href="#b">Specs</a></li><li><a href="#c">Support</a></li></ul></section><section id="qx2"><h1>Notes on release 4.2</h1><p>This release replaces the old cache with one that is shared by all workers of a node.</p><ul><li>Reads of small files are twice as fast.</li><li>Writes are synced before they are reported.</li></ul>'
+     "<p>Upgrade all nodes of a group together, as older ones cannot read the new log.</p></section></div><div data-v=\"8\"><p>We use cookies to make this site work.</p><button>Accept</button></div></body>",
+     "Notes on release 4.2 This release replaces the old cache with one that is shared by all workers of a node. Reads of small files are twice as fast. Writes are synced before they are reported. Upgrade all nodes of a group together, as older ones cannot read the new log."),
+    ('<html><body><div id="outer"><div id="hd"><h3>Granny&#39;s kitchen</h3></div><div id="bd"><div id="entry-91" class="hentry"><h2>Plum cake</h2><p>Take a pound of plums, halve them, and leave them in sugar for an hour while the dough rises.</p><p>Bake it for forty minutes at a middling heat, until the edges are brown.</p></div>'
+     '<div id="resp"><h3>3 replies</h3><div class="rply"><b>Ann</b> says: <p>Lovely, thank you!</p></div><div class="rply"><b>Joe</b> says: <p>Mine burnt.</p></div><form><textarea></textarea><input type="submit"></form></div></div><div id="ft">Powered by Blogmill. <a href="/feed">Feed</a></div></div></body></html>',
+     "Plum cake Take a pound of plums, halve them, and leave them in sugar for an hour while the dough rises. Bake it for forty minutes at a middling heat, until the edges are brown."),
+]
+
+
+def token_f1(got, want):
+    a, b = Counter(got.split()), Counter(want.split())
+    same = sum((a & b).values())
+    return 2 * same / max(1, sum(a.values()) + sum(b.values()))
+
+
+def test_main_text_of_other_sites():
+    """Token F1 on hand-made pages; README names the figure."""
+    scores = [token_f1(got, want) for got, (_, want) in zip(htmltext.fitted().texts([p for p, _ in SITES]), SITES, strict=True)]
+    print("token F1", [round(x, 3) for x in scores])
+    assert sum(scores) / len(scores) >= 0.9
+
+
 def test_main_text_parsing():
     tool = htmltext.Extractor({}, BoostedTrees(1).fit(np.zeros((4, len(htmltext.FEATURES))), np.array([1, 1, 1, 1])))
     text = lambda h: tool.texts([h])[0]
@@ -500,6 +539,7 @@ def test_main_text_parsing():
     assert text("<div title=\"a > b\">x</div></p></div>y") == "x\n\ny" and text("a < b") == "a < b" and text("<") == "<"
     assert text("<style>p{}</style><textarea>t</textarea><button>go</button>ok") == "ok"
     assert text("<p class=it's>Second") == "Second" and text('<p "x>a</p><p title = "b > c">d') == "a\n\nd" and text("<p a='x>y") == ""
+    assert text("<!-->z<p>q</p>") == "z\n\nq" and text("a<!--->b<!-- x -->c<!--->d") == "abcd" and text("<!--->x<!--y") == "x" and text("<!---->z<!----!>y") == "zy"
     assert text("<b>a<div>b</b>c</div>d") == "a\n\nb c\n\nd" or text("<b>a<div>b</b>c</div>d") == "a\n\nbc\n\nd"
 
 
