@@ -125,7 +125,7 @@ def fit_model(docs: DataFrame, per_lang: int = FIT_ROWS, total: int = FIT_TOTAL)
     Rows with a null language and texts without a letter are not fitted on; every other language is learned. The driver
     gets n-gram ids of the sample, not its texts.
     """
-    usable = docs.where("lang IS NOT NULL AND text IS NOT NULL")
+    usable = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     n = {r[0]: r[1] for r in usable.groupBy("lang").count().collect()}  # a row for each language
     if not n:
         return Model.fit([], [])
@@ -135,7 +135,6 @@ def fit_model(docs: DataFrame, per_lang: int = FIT_ROWS, total: int = FIT_TOTAL)
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
-            df = df[[has_letter(t) for t in df["text"]]]
             yield pd.DataFrame({"lang": df["lang"], "h": df["h"], "grams": [grams(t).tobytes() for t in df["text"]]})
 
     sample = usable.select("text", "lang", F.xxhash64("text", F.lit(4)).alias("h"), part.alias("part")).join(F.broadcast(share), F.col("lang") == F.col("sample_lang"))
