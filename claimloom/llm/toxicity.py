@@ -39,8 +39,8 @@ def entries(words: set[str]) -> set[str]:
     return {f"{w[:k]}*" for w in words for k in ENTRY_ENDS if len(w) > k} | words
 
 
-#: Texts of label 1 that an entry must be in, its least test value, and the most entries that are kept.
-LEAST_TEXTS, LEAST_TEST, MOST_ENTRIES = 6, 20.0, 2000
+#: Texts of label 1 that an entry must be in, and its least test value.
+LEAST_TEXTS, LEAST_TEST = 6, 20.0
 
 
 def learn_lexicon(seen: list[tuple[str, int, int]], n: tuple[int, int]) -> dict[str, float]:
@@ -62,7 +62,7 @@ def learn_lexicon(seen: list[tuple[str, int, int]], n: tuple[int, int]) -> dict[
     for _, _, e, t, weight in sorted(scored):
         stem = e.rstrip("*")
         begins = [stem[:k] for k in ENTRY_ENDS if k <= len(stem)]
-        if len(out) < MOST_ENTRIES and t >= 1.3 * longer.get(stem, 0) and not any(f"{b}*" in out for b in begins):
+        if t >= 1.3 * longer.get(stem, 0) and not any(f"{b}*" in out for b in begins):
             out[e] = weight
             for b in begins:
                 longer[b] = max(longer.get(b, 0), t)
