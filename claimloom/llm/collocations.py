@@ -305,18 +305,21 @@ def kept_windows(vocab: Vocabulary, numbers: np.ndarray, frequent: BitTable, ful
     return keys, kept, two, np.flatnonzero(pair), at[full[3].has(mixed(two[at], keys[at + 2]))]
 
 
-def find_candidates(docs: DataFrame, salt: int, words, buckets, limit: int = VOCABULARY) -> DataFrame:
-    """Second scan: lang and the keys k1, k2, k3 (0 for a pair) of each candidate that a task met.
+def find_candidates(docs: DataFrame, salt: int, words, buckets, shares: int, limit: int = VOCABULARY) -> DataFrame:
+    """Second scan: the candidates that a task met, a row for each language and share of their hashes.
 
-    words: broadcast BitTable of frequent words; buckets: broadcast BitTables of pairs (2) and triples (3).
+    keys: their keys k1, k2, k3 (0 for a pair), column after column. words: broadcast BitTable of frequent words; buckets:
+    broadcast BitTables of pairs (2) and triples (3).
     """
-    schema = pa.schema([("lang", pa.string()), *[(c, pa.int64()) for c in ("k1", "k2", "k3")]])
+    schema = pa.schema([("lang", pa.string()), ("share", pa.int32()), ("keys", pa.binary())])
 
     def rows(vocab: Vocabulary, numbers: np.ndarray) -> Iterator[pa.RecordBatch]:
-        keys = vocab.keys().view(np.int64)
-        for k in range(0, len(numbers), 100_000):
-            columns = [keys[c] for c in numbers[k : k + 100_000].T]
-            yield pa.RecordBatch.from_arrays([pa.array([vocab.lang] * len(columns[0]), pa.string()), *map(pa.array, columns)], schema=schema)
+        keys = vocab.keys()[numbers.T]
+        share = (mixed(mixed(keys[0], keys[1]), keys[2]) % _U(shares)).astype(np.int64)
+        order = np.argsort(share, kind="stable")
+        ends = np.cumsum(np.bincount(share, minlength=shares))
+        some = [(k, keys[:, order[a:b]].tobytes()) for k, (a, b) in enumerate(zip(np.r_[0, ends], ends, strict=False)) if a < b]
+        yield pa.RecordBatch.from_arrays([pa.array([vocab.lang] * len(some), pa.string()), pa.array([k for k, _ in some], pa.int32()), pa.array([x for _, x in some], pa.binary())], schema=schema)
 
     def unpack(packed: list[np.ndarray]) -> np.ndarray:
         some = np.unique(np.concatenate(packed)) if packed else np.empty(0, np.int64)
@@ -339,7 +342,19 @@ def find_candidates(docs: DataFrame, salt: int, words, buckets, limit: int = VOC
             if sum(map(len, own)) > GATHERED:
                 own[:] = [np.unique(np.concatenate(own))]
 
-    return docs.mapInArrow(scan, "lang string, k1 bigint, k2 bigint, k3 bigint")
+    return docs.mapInArrow(scan, "lang string, share int, keys binary")
+
+
+def united(met: DataFrame) -> DataFrame:
+    """(lang, k1, k2, k3): each candidate once, from the rows of ``find_candidates``."""
+
+    def unite(key: tuple, df: pd.DataFrame) -> pd.DataFrame:
+        keys = np.concatenate([np.frombuffer(x, np.int64).reshape(3, -1) for x in df["keys"]], axis=1)
+        keys = keys[:, np.lexsort(keys[::-1])]
+        keys = keys[:, np.r_[True, (keys[:, 1:] != keys[:, :-1]).any(axis=0)]]
+        return pd.DataFrame({"lang": key[0], "k1": keys[0], "k2": keys[1], "k3": keys[2]})
+
+    return met.groupBy("lang", "share").applyInPandas(unite, "lang string, k1 bigint, k2 bigint, k3 bigint")
 
 
 def count_slots(docs: DataFrame, salt: int, slots, words, buckets, limit: int = VOCABULARY) -> DataFrame:
@@ -449,7 +464,8 @@ def count_phrases(docs: DataFrame, least: int = MIN_COUNT, slots: int = SLOTS, b
     word_bits = spark.sparkContext.broadcast(_word_bits(frequent, WORD_BITS))
     buckets = spark.sparkContext.broadcast({k: _collected_bits(full, k, bits, least) for k in (2, 3)})
 
-    met = find_candidates(docs, salt, word_bits, buckets, limit).groupBy("k1", "k2", "k3").agg(F.min("lang").alias("lang"))
+    shares = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    met = united(find_candidates(docs, salt, word_bits, buckets, shares, limit))
     zero = F.lit(0).cast("long")
     keyed = met.unionByName(frequent.select("lang", F.col("key").alias("k1"), zero.alias("k2"), zero.alias("k3")))
     candidates = stash(keyed.select("lang", "k1", "k2", "k3", *[zero.alias(c) for c in ("a", "head1", "tail1", "head2", "tail2")]))

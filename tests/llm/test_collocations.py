@@ -73,11 +73,12 @@ def test_texts_of_more_words_than_are_packed(spark, monkeypatch):
             return pa.Table.from_batches(scan(iter([pa.RecordBatch.from_pydict({"lang": ["en"], "text": ["a b c d e f g a b c"]})])))
 
     ones = co.BitTable(np.full(1 << 10, 255, np.uint8), 13)
-    out = co.find_candidates(Docs(), 0, Held(ones), Held({2: ones, 3: ones})).to_pylist()
+    out = co.find_candidates(Docs(), 0, Held(ones), Held({2: ones, 3: ones}), 4).to_pylist()
+    assert {r["lang"] for r in out} == {"en"} and len({r["share"] for r in out}) == len(out) <= 4
     key = lambda w: np.uint64(xxhash.xxh64_intdigest(co.word_prefix("en", 0) + w.encode(), 42)).view(np.int64).item()
     words = "a b c d e f g a b c".split()
     want = {tuple(map(key, words[i : i + k])) + (0,) * (3 - k) for k in (2, 3) for i in range(len(words) - k + 1)}
-    assert sorted((r["k1"], r["k2"], r["k3"]) for r in out) == sorted(want)
+    assert sorted(k for r in out for k in zip(*np.frombuffer(r["keys"], np.int64).reshape(3, -1).tolist(), strict=True)) == sorted(want)
 
 
 def test_slots_are_a_minimal_perfect_hash():
