@@ -1,6 +1,7 @@
 """Command line: python -m claimloom.cli STAGE --option value …; each stage reads and writes folders.
 
-detect and run take texts (--input) or a table of tagged tokens (--tokens, --token-format parquet, json or csv).
+detect and run take texts (--input) or a table of tagged tokens (--tokens, --token-format parquet, json or csv). Texts get
+their parts of speech from a tagger that fit-tagger has learned (--tagger), if one is given.
 """
 
 from __future__ import annotations
@@ -10,15 +11,16 @@ import argparse
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import analysis
+from .operators import analysis, documents, tagging
 from .plans import workflow
 from .sources import corpus, tokens
 
 #: Options of each stage; those with a question mark may be left out.
 STAGES = {
-    "run": ("texts or tagged tokens to Turtle: detect, annotate, link, to-json, to-turtle", "input? tokens? token-format? patterns topics graphs tables entities known out most-tokens? domain? include-contains?"),
+    "run": ("texts or tagged tokens to Turtle: detect, annotate, link, to-json, to-turtle", "input? tokens? token-format? tagger? patterns topics graphs tables entities known out most-tokens? domain? include-contains?"),
     "tokenise": ("a folder of texts as a table of tokens, for a tagger", "input out learn-borders?"),
-    "detect": ("claims of a folder of texts, or of a table of tagged tokens", "input? tokens? token-format? patterns topics out most-tokens?"),
+    "fit-tagger": ("a tagger of parts of speech from a table of tagged tokens", "tokens token-format? out"),
+    "detect": ("claims of a folder of texts, or of a table of tagged tokens", "input? tokens? token-format? tagger? patterns topics out most-tokens?"),
     "ingest-claims": ("claims of another system", "input out"),
     "topics-by-similarity": ("the nearest template of each claim's sentence", "input topics out"),
     "ingest-entities": ("tagged entity lines to mentions", "input out"),
@@ -50,7 +52,8 @@ def parser() -> argparse.ArgumentParser:
 
 
 def detect(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
-    return workflow.detect(spark, a.input, a.patterns, a.topics, a.most_tokens, tokens=a.tokens, kind=a.token_format or "parquet")
+    tagger = tagging.load_tagger(spark, a.tagger) if a.tagger else None
+    return workflow.detect(spark, a.input, a.patterns, a.topics, a.most_tokens, tagger, tokens=a.tokens, kind=a.token_format or "parquet")
 
 
 def _tables(spark: SparkSession, folder: str, names: list[str]) -> dict[str, DataFrame]:
@@ -97,6 +100,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         workflow.write_claim_graphs(corpus.read_annotated(spark, step["json"]), step["turtle"])
     elif a.stage == "detect":
         save(detect(spark, a), a.out)
+    elif a.stage == "fit-tagger":
+        table = documents.token_table(tokens.read_tokens(spark, a.tokens, a.token_format or "parquet"))
+        tagging.save_tagger(spark, tagging.fit_tagger(table), a.out)
     elif a.stage == "tokenise":
         tokens.write_tokens(workflow.tokenise(spark, a.input, a.learn_borders), a.out)
     elif a.stage == "ingest-claims":

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -81,9 +83,12 @@ def cascade(queries: DataFrame, *stages: DataFrame) -> DataFrame:
     return hit.groupBy("m_id").agg(F.min(F.struct("stage", "ord", "qnode")).alias("b")).select("m_id", "b.qnode", "b.stage")
 
 
-def mention_queries(mentions: DataFrame) -> DataFrame:
-    """(m_id, ord, query): the whole text, then its words from the last to the first, lower-cased before as they stand."""
+def mention_queries(mentions: DataFrame, lemma: Callable[[Column], Column] = F.lower) -> DataFrame:
+    """(m_id, ord, query): the whole text, then its words from the last to the first, each as its lemma before as it stands.
+
+    lemma: of a column of texts, by default the text in lower case (operators.inflection learns others).
+    """
     w = F.reverse(F.split("text", " "))
     all_ = F.concat(F.array(F.col("text")), F.when(F.size(w) > 1, w).otherwise(F.array().cast("array<string>")))
-    each = F.flatten(F.transform(all_, lambda q: F.array(F.lower(q), q)))
-    return mentions.select("m_id", F.posexplode(each).alias("ord", "query"))
+    each = mentions.select("m_id", F.posexplode(all_).alias("k", "q")).withColumn("low", lemma(F.col("q")))
+    return each.select("m_id", F.explode(F.array(F.struct((2 * F.col("k")).alias("ord"), F.col("low").alias("query")), F.struct((2 * F.col("k") + 1).alias("ord"), F.col("q").alias("query")))).alias("x")).select("m_id", "x.*")

@@ -18,6 +18,7 @@ from ..operators import qnodes as Q
 from ..operators import semantics as S
 from ..operators import spans as P
 from ..operators.borders import learn_borders
+from ..operators.tagging import SequenceTagger, tag_documents
 from ..session import written
 from ..sources import corpus, turtle
 from ..sources import tokens as token_store
@@ -44,7 +45,9 @@ def detect(spark: SparkSession, texts: str | None, patterns: str, topics: str, m
     """
     if (texts is None) == (tokens is None):
         raise ValueError("either texts or tokens")
-    docs = token_store.read_tokens(spark, tokens, kind) if tokens else D.tagged(tokenise(spark, texts).drop("text"), tagger)
+    learned = isinstance(tagger, SequenceTagger)
+    docs = token_store.read_tokens(spark, tokens, kind) if tokens else D.tagged(tokenise(spark, texts).drop("text"), None if learned else tagger)
+    docs = tag_documents(docs, tagger) if learned else docs
     m = D.document_matches(docs, M.load_patterns(corpus.read_whole(spark, patterns)), most_tokens)
     out = m.select(
         T.short_id(F.col("doc_id"), F.col("sent_id").cast("string"), F.col("first").cast("string"), F.col("last").cast("string"), F.col("template")).alias("claim_id"),
