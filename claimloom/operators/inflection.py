@@ -2,7 +2,8 @@
 
 A pair of a form and its lemma is an edit: what falls from the end of one and what the other has there. For every ending of
 a word, up to its whole, the edit that most pairs with that ending have is its rule; the longest ending that has a rule
-decides. The same pairs read the other way give the rules from lemmas to forms, so one table runs in both directions.
+decides, if the word ends in what falls. The same pairs read the other way give the rules from lemmas to forms, so one table
+runs in both directions.
 """
 
 from __future__ import annotations
@@ -41,9 +42,9 @@ def endings(word: str, longest: int = LONGEST) -> list[str]:
 
 
 class Inflector:
-    """rules: (direction, kind) to ending to (letters that fall, what comes instead); exceptions: to word to word."""
+    """rules: (direction, kind) to ending to (what falls, what comes instead); exceptions: to word to word."""
 
-    def __init__(self, rules: dict[tuple[str, str], dict[str, tuple[int, str]]], exceptions: dict[tuple[str, str], dict[str, str]], longest: int = LONGEST):
+    def __init__(self, rules: dict[tuple[str, str], dict[str, tuple[str, str]]], exceptions: dict[tuple[str, str], dict[str, str]], longest: int = LONGEST):
         self.rules, self.exceptions, self.longest = rules, exceptions, longest
 
     def turn(self, direction: str, kind: str, word: str) -> str:
@@ -53,9 +54,9 @@ class Inflector:
             return known
         rules = self.rules.get(key, {})
         for e in endings(word, self.longest):
-            if e in rules and rules[e][0] <= len(word):
+            if e in rules and word.endswith(rules[e][0]):
                 fall, put = rules[e]
-                return word[: len(word) - fall] + put
+                return word[: len(word) - len(fall)] + put
         return word
 
     def lemma(self, kind: str, form: str) -> str:
@@ -99,13 +100,13 @@ def edit_counts(pairs: DataFrame, longest: int = LONGEST) -> DataFrame:
     same = F.aggregate(F.sequence(F.lit(1), size), F.lit(0), lambda acc, k: F.when((acc == k - 1) & (F.substr("word", k, F.lit(1)) == F.substr("other", k, F.lit(1))), k).otherwise(acc))
     d = d.withColumn("same", same).withColumn("marked", F.concat(F.lit(BEGIN), F.col("word")))
     ends = F.transform(F.sequence(F.lit(0), F.least(F.lit(longest), F.char_length("marked"))), lambda k: F.when(k == 0, F.lit("")).otherwise(F.substr("marked", F.char_length("marked") - k + 1)))
-    rows = d.select("direction", "kind", F.explode(ends).alias("ending"), (F.char_length("word") - F.col("same")).alias("fall"), F.substr("other", F.col("same") + 1).alias("put"), "n")
+    rows = d.select("direction", "kind", F.explode(ends).alias("ending"), F.substr("word", F.col("same") + 1).alias("fall"), F.substr("other", F.col("same") + 1).alias("put"), "n")
     return rows.groupBy("direction", "kind", "ending", "fall", "put").agg(F.sum("n").alias("n"))
 
 
 def best_edits(counts: DataFrame) -> DataFrame:
-    """(direction, kind, ending, fall, put): each ending's edit of most pairs; ties: the one that takes least, then by what it puts."""
-    return counts.groupBy("direction", "kind", "ending").agg(F.max_by(F.struct("fall", "put"), F.struct(F.col("n"), -F.col("fall"), "put")).alias("e")).select("direction", "kind", "ending", "e.*")
+    """(direction, kind, ending, fall, put): each ending's edit of most pairs; ties: the one that takes least, then by what it puts and takes."""
+    return counts.groupBy("direction", "kind", "ending").agg(F.max_by(F.struct("fall", "put"), F.struct(F.col("n"), -F.char_length("fall"), "put", "fall")).alias("e")).select("direction", "kind", "ending", "e.*")
 
 
 def learn_inflector(pairs: DataFrame, longest: int = LONGEST) -> Inflector:
@@ -149,9 +150,12 @@ def english_participles(spark) -> Inflector:
     return learn_inflector(spark.createDataFrame([("VBG", *p.split(" ")[::-1], 1) for p in ENGLISH_PARTICIPLES], "kind string, form string, lemma string, n long"))
 
 
-def lemma_counts(docs: DataFrame, suffixes: list[str]) -> DataFrame:
-    """(kind, form, lemma, n): words of (text) that are another word of the corpus and one of the suffixes, the kind."""
+def lemma_counts(docs: DataFrame, kinds: dict[str, tuple[str, str]]) -> DataFrame:
+    """(kind, form, lemma, n) for words of (text) that another word of the corpus is the lemma of.
+
+    kinds: name to the endings of form and lemma, such as {"VBG": ("ing", "e")}; a stem of two letters at least is before them.
+    """
     words = docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1))).alias("form")).groupBy("form").agg(F.count("*").alias("n"))
-    kinds = F.filter(F.array(*map(F.lit, suffixes)), lambda s: F.col("form").endswith(s) & (F.char_length("form") > F.char_length(s) + 1))
-    made = words.select("form", "n", F.explode(kinds).alias("kind")).withColumn("lemma", F.left("form", F.char_length("form") - F.char_length("kind")))
-    return made.join(words.select(F.col("form").alias("lemma")), "lemma", "left_semi").select("kind", "form", "lemma", "n")
+    made = [F.when(F.col("form").endswith(a) & (F.char_length("form") > len(a) + 1), F.struct(F.lit(k).alias("kind"), F.concat(F.left("form", F.char_length("form") - len(a)), F.lit(b)).alias("lemma"))) for k, (a, b) in kinds.items()]
+    pairs = words.select("form", "n", F.explode(F.filter(F.array(*made), lambda x: x.isNotNull())).alias("x")).select("x.kind", "form", "x.lemma", "n")
+    return pairs.join(words.select(F.col("form").alias("lemma")), "lemma", "left_semi").select("kind", "form", "lemma", "n")

@@ -8,7 +8,8 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -59,10 +60,25 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def matches(units: DataFrame, patterns: list[Pattern], tokens: str = "tokens", most_tokens: int | None = None, keep: list[str] | None = None) -> DataFrame:
+@dataclass(frozen=True)
+class Lexicon:
+    """Tags by word: entries (lemma, pos) of words in lower case; other words are their own lemmas, with ``pos``."""
+
+    entries: dict[str, tuple[str, str]]
+    pos: str = ""
+
+    def columns(self, words: pa.Array, wanted: Iterable[str]) -> dict[str, pa.Array]:
+        """The wanted attributes; each different word is looked up once."""
+        coded = pc.dictionary_encode(words)
+        different = pc.utf8_lower(coded.dictionary).to_pylist()
+        of = {"lemma": lambda w: self.entries[w][0] if w in self.entries else w, "pos": lambda w: self.entries[w][1] if w in self.entries else self.pos, "lower": lambda w: w, "ent_type": lambda w: ""}
+        return {a: words if a == "text" else pa.array([of[a](w) for w in different], pa.string()).take(coded.indices) for a in wanted}
+
+
+def matches(units: DataFrame, patterns: list[Pattern], tokens: str = "tokens", most_tokens: int | None = None, keep: list[str] | None = None, lexicon: Lexicon | None = None) -> DataFrame:
     """Units with template, pattern_id, first and last (token positions, last exclusive): a row for each match.
 
-    tokens: an array of structs with text, lemma, pos and ent_type. keep: columns of the units that the result has, by
+    tokens: an array of structs with text, lemma, pos and ent_type, or of words, which ``lexicon`` then tags. keep: columns of the units that the result has, by
     default all; fewer are cheaper. most_tokens bounds the length of matches of patterns with an open quantifier; without
     it, they may span the unit. Units without a match give no row; a null token has none of the attributes.
     """
@@ -74,7 +90,10 @@ def matches(units: DataFrame, patterns: list[Pattern], tokens: str = "tokens", m
             lists = batch.column(tokens)
             n = np.asarray(pc.fill_null(pc.list_value_length(lists), 0)).astype(np.int64)
             flat, total = lists.flatten(), int(n.sum())
-            columns = {a: pc.utf8_lower(pc.struct_field(flat, "text")) if a == "lower" else pc.struct_field(flat, a) for a in automaton.values}
+            if pa.types.is_struct(flat.type):
+                columns = {a: pc.utf8_lower(pc.struct_field(flat, "text")) if a == "lower" else pc.struct_field(flat, a) for a in automaton.values}
+            else:
+                columns = (lexicon or Lexicon({})).columns(flat, automaton.values)
             ends = np.cumsum(n)
             number, first, last = automaton.find(automaton.classes_of(columns, total), np.repeat(ends, n), most_tokens)
             unit = np.searchsorted(ends, first, side="right")
@@ -100,10 +119,15 @@ def tokenised(docs: DataFrame, tagger=None) -> DataFrame:
         lemma, pos, ent = tagger(w)
         return F.struct(i.alias("i"), w.alias("text"), lemma.alias("lemma"), pos.alias("pos"), ent.alias("ent_type"))
 
+    return worded(docs).withColumn("tokens", F.transform("tokens", token))
+
+
+def worded(docs: DataFrame) -> DataFrame:
+    """(doc_id, sent_id, sentence, tokens): the words of each sentence that has one. Further columns of the documents stay."""
     more = [c for c in docs.columns if c not in ("doc_id", "text")]
     s = docs.where("text IS NOT NULL").select("doc_id", *more, F.posexplode(T.sentences(F.col("text"))).alias("sent_id", "sentence"))
     # a test of the sentence rather than of its tokens, which would be made twice
-    return s.where(F.col("sentence").rlike(T.WORD)).withColumn("tokens", F.transform(T.words(F.col("sentence")), token))
+    return s.where(F.col("sentence").rlike(T.WORD)).withColumn("tokens", T.words(F.col("sentence")))
 
 
 def sentence_starts(text: Column) -> Column:

@@ -36,13 +36,17 @@ def tagger(w: Column) -> tuple[Column, Column, Column]:
     return F.when(low.isin(BE), "be").otherwise(low), pos, F.lit("")
 
 
+#: The tagger's words, for matching.
+LEXICON = M.Lexicon({w: (w, "DET") for w in DETERMINERS} | {w: (w, "ADP") for w in PREPOSITIONS} | {w: ("be", "VERB") for w in BE}, "NOUN")
+
+
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
 def _matches(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
-    units = M.tokenised(_docs(spark, sf_dir).select("doc_id", "text"), tagger)
-    return M.matches(units, M.load_patterns(PROSE_PATTERNS), keep=list(keep))
+    units = M.worded(_docs(spark, sf_dir).select("doc_id", "text"))
+    return M.matches(units, M.load_patterns(PROSE_PATTERNS), keep=list(keep), lexicon=LEXICON)
 
 
 def flagship_topic_counts(spark, sf_dir):
@@ -51,8 +55,8 @@ def flagship_topic_counts(spark, sf_dir):
 
 
 def claim_matches(spark, sf_dir):
-    words = lambda c: F.array_join(F.transform(F.slice("tokens", F.col("first") + 1, F.col("last") - F.col("first")), lambda t: t["text"]), " ")
-    m = _matches(spark, sf_dir, "doc_id", "sent_id", "tokens").withColumn("claim_text", words("tokens"))
+    words = F.array_join(F.slice("tokens", F.col("first") + 1, F.col("last") - F.col("first")), " ")
+    m = _matches(spark, sf_dir, "doc_id", "sent_id", "tokens").withColumn("claim_text", words)
     return m.select("doc_id", "sent_id", "template", F.col("first").alias("first_token"), F.col("last").alias("last_token"), "claim_text", T.short_id(F.col("doc_id").cast("string"), F.col("sent_id").cast("string"), F.col("first").cast("string"), F.col("last").cast("string"), F.col("template")).alias("claim_id"))
 
 

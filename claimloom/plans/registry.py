@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import corpus, files, graphs, linking, meaning
+from . import corpus, files, graphs, language, linking, meaning
 
-MODULES = [corpus, linking, graphs, meaning, files]
+MODULES = [corpus, language, linking, graphs, meaning, files]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

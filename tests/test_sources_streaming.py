@@ -101,3 +101,54 @@ def test_windowed_counts_and_first_mentions(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("firsts").count() == 2
+
+
+FORMS = """@base <http://b/dir/doc> . @prefix e: <http://e/> . PREFIX : <http://d/>
+BASE <http://b2/x/>
+e:a e:p ( e:b "two" ( ) [ e:q 3 ] ) ; e:s 'x', \'\'\'l'o
+ng\'\'\', "caf\\u00e9 \\U0001F600\\t", "hi"@en-GB, "x"^^e:t ;; a e:T ; .
+<rel> :p.q <#f>, <http://abs/> , -1.5, +2, .5, 1e3, 1.E2, true, _:n.1 . # a comment
+[] e:p e:o . [ e:x e:y ] . _:n.1 e:esc e:a\\,b , e:%41 , : . ( 1 ) e:p "".
+"""
+
+
+def test_the_whole_grammar():
+    got = [t[:3] + t[4:] for t in turtle.parse(FORMS, "n", "u")]
+    r, x, e = turtle.RDF, turtle.XSD, "http://e/"
+    want = [
+        ("_:ub1", r + "first", e + "b", None), ("_:ub1", r + "rest", "_:ub2", None), ("_:ub2", r + "first", "two", None), ("_:ub2", r + "rest", "_:ub3", None), ("_:ub3", r + "first", r + "nil", None), ("_:ub3", r + "rest", "_:ub4", None),
+        ("_:ub5", e + "q", "3", x + "integer"), ("_:ub4", r + "first", "_:ub5", None), ("_:ub4", r + "rest", r + "nil", None), (e + "a", e + "p", "_:ub1", None),
+        *[(e + "a", e + "s", v, t) for v, t in [("x", None), ("l'o\nng", None), ("caf\u00e9 \U0001f600\t", None), ("hi", "@en-GB"), ("x", e + "t")]], (e + "a", r + "type", e + "T", None),
+        *[("http://b2/x/rel", "http://d/p.q", v, t) for v, t in [("http://b2/x/#f", None), ("http://abs/", None), ("-1.5", x + "decimal"), ("+2", x + "integer"), (".5", x + "decimal"), ("1e3", x + "double"), ("1.E2", x + "double"), ("true", x + "boolean"), ("_:nn.1", None)]],
+        ("_:ub6", e + "p", e + "o", None), ("_:ub7", e + "x", e + "y", None), *[("_:nn.1", e + "esc", v, None) for v in (e + "a,b", e + "%41", "http://d/")],
+        ("_:ub8", r + "first", "1", x + "integer"), ("_:ub8", r + "rest", r + "nil", None), ("_:ub8", e + "p", "", None),
+    ]
+    assert got == want
+
+
+@pytest.mark.parametrize("text", ["e:a e:b e:c .", "<a> <b> .", "<a> <b> 'x' <c> .", "'x' <b> <c> .", "<a> <b> <c>", "<a> <b> ( <c> .", '<a> <b> "\\q" .', "@prefix e <x> .", "<a b> <c> <d> .", "[ <b> <c> .", "<a> 'p' <c> ."])
+def test_what_is_not_turtle(text):
+    with pytest.raises(ValueError):
+        turtle.parse(text)
+
+
+def test_a_bad_file_is_named_and_the_others_are_read(spark, tmp_path):
+    (tmp_path / "good.ttl").write_text('<a> <b> "c"@en, "d" .')
+    (tmp_path / "bad.ttl").write_text("<a> <b> ( .")
+    (tmp_path / "none.ttl").write_text("# nothing")
+    got = turtle.read_turtle(spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect()), key=str) == [("good", "a", "b", "c", "literal", "@en"), ("good", "a", "b", "d", "literal", None)]
+    (bad,) = turtle.turtle_errors(spark, str(tmp_path)).collect()
+    assert bad.file.endswith("/bad.ttl") and bad.error
+    turtle.write_turtle(got, str(tmp_path / "out"))
+    assert sorted(map(tuple, turtle.read_turtle(spark, str(tmp_path / "out")).collect()), key=str) == sorted(map(tuple, got.collect()), key=str)
+
+
+def test_a_file_for_each_graph(spark, tmp_path, monkeypatch):
+    rows = [(f"g{g}", f"http://s/{i}", "http://p", str(i), "literal", None) for g in range(40) for i in range(5 if g else 300)]
+    t = spark.createDataFrame(rows, "graph_id string, s string, p string, o string, o_kind string, o_type string").repartition(7)
+    turtle.write_turtle(t, str(tmp_path / "a"))
+    assert len(list((tmp_path / "a").rglob("*.txt"))) == 40
+    monkeypatch.setattr(turtle, "FILE_BLOCKS", 100)
+    turtle.write_turtle(t, str(tmp_path / "b"))
+    assert 40 <= len(list((tmp_path / "b").rglob("*.txt"))) <= 39 + 3 and turtle.read_turtle(spark, str(tmp_path / "b")).count() == len(rows)
