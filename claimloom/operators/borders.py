@@ -28,6 +28,8 @@ MOST_WORDS = 500_000
 COUNTED = 300_000
 
 ENDS = {".", "!", "?", "…", "。", "！", "？"}
+#: Last letters of the tokens that may end a sentence: marks and white space.
+_LAST = {*ENDS, *filter(str.isspace, map(chr, range(0x3001)))}
 CLOSERS = set(")]}\"'”’»」』")
 _WORD = re.compile(r"[^\W_]")
 _NUMBER = re.compile(r"[+-]?\d[\d.,]*")
@@ -49,6 +51,8 @@ class Borders:
             if over and t not in CLOSERS and not t.isspace() and t not in ENDS:
                 sentence, over = sentence + 1, False
             out.append(sentence)
+            if t[-1] not in _LAST:
+                continue
             if t.isspace():
                 breaks = t.count("\n")
                 over = over or breaks > 1 or (self.lines and breaks > 0)
