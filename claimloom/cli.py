@@ -12,12 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import analysis, documents, tagging
+from .operators import claims as C
 from .plans import workflow
 from .sources import corpus, tokens
 
 #: Options of each stage; those with a question mark may be left out.
 STAGES = {
-    "run": ("texts or tagged tokens to Turtle: detect, annotate, link, to-json, to-turtle", "input? tokens? token-format? tagger? patterns topics graphs tables entities known out most-tokens? domain? include-contains?"),
+    "run": ("texts or tagged tokens to Turtle: detect, annotate, link, to-json, to-turtle", "input? tokens? token-format? tagger? patterns topics graphs tables entities known out most-tokens? domain? role-words? include-contains?"),
     "tokenise": ("a folder of texts as a table of tokens, for a tagger", "input out learn-borders?"),
     "fit-tagger": ("a tagger of parts of speech from a table of tagged tokens", "tokens token-format? out"),
     "detect": ("claims of a folder of texts, or of a table of tagged tokens", "input? tokens? token-format? tagger? patterns topics out most-tokens?"),
@@ -25,7 +26,7 @@ STAGES = {
     "topics-by-similarity": ("the nearest template of each claim's sentence", "input topics out"),
     "ingest-entities": ("tagged entity lines to mentions", "input out"),
     "parser-input": ("sentences and claims as tokens for a graph parser", "input out"),
-    "annotate": ("claimers, open variables and events, from graphs", "input graphs tables out domain?"),
+    "annotate": ("claimers, open variables and events, from graphs", "input graphs tables out domain? role-words?"),
     "link": ("annotated claims matched with entities", "input entities known out include-contains?"),
     "to-json": ("a claim store as JSON lines", "input out"),
     "to-turtle": ("annotated JSON lines as Turtle", "input out"),
@@ -60,14 +61,16 @@ def _tables(spark: SparkSession, folder: str, names: list[str]) -> dict[str, Dat
     return {n: spark.read.parquet(f"{folder}/{n}") for n in names}
 
 
-def annotate(spark: SparkSession, claims: DataFrame, graphs: str, tables: str, domain: str | None) -> DataFrame:
+def annotate(spark: SparkSession, claims: DataFrame, graphs: str, tables: str, domain: str | None, role_words: str | None = None) -> DataFrame:
     """graphs: folders sentences and texts with GRAPH_TABLES, and words, pos and, unless the domain is given, ents; tables:
-    verbs, chosen, roles and names, all Parquet.
+    verbs, chosen, roles and names; role_words: what a role labeller found, templates and claims, each (claim_id, tag, i,
+    word), for variables that no graph gives; all Parquet.
     """
+    tagged = [C.join_arguments(t, "claim_id") for t in _tables(spark, role_words, ["templates", "claims"]).values()] if role_words else None
     g = {n: _tables(spark, f"{graphs}/{n}", workflow.GRAPH_TABLES) for n in ("sentences", "texts")}
     t = _tables(spark, tables, ["verbs", "chosen", "roles", "names"])
     w = _tables(spark, graphs, ["words", "pos"] + ([] if domain else ["ents"]))
-    return workflow.claims_with_events(*workflow.annotate(claims, g["sentences"], g["texts"], w["words"], w["pos"], t["verbs"], t["chosen"], t["roles"], [t["names"]], w.get("ents")))
+    return workflow.claims_with_events(*workflow.annotate(claims, g["sentences"], g["texts"], w["words"], w["pos"], t["verbs"], t["chosen"], t["roles"], [t["names"]], w.get("ents"), tuple(tagged) if tagged else None))
 
 
 def link(spark: SparkSession, claims: DataFrame, entities: str, known: str, contained: bool) -> DataFrame:
@@ -93,7 +96,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     if a.stage == "run":
         step = {n: f"{a.out}/{n}" for n in ("claims", "annotated", "mentions", "linked", "json", "turtle")}
         save(detect(spark, a), step["claims"])
-        save(annotate(spark, load(step["claims"]), a.graphs, a.tables, a.domain), step["annotated"])
+        save(annotate(spark, load(step["claims"]), a.graphs, a.tables, a.domain, a.role_words), step["annotated"])
         save(workflow.entity_tables(spark, a.entities)[0], step["mentions"])
         save(link(spark, load(step["annotated"]), step["mentions"], a.known, a.include_contains), step["linked"])
         corpus.write_claims(load(step["linked"]), step["json"])
@@ -116,7 +119,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     elif a.stage == "parser-input":
         save(workflow.parser_input(load(a.input)), a.out)
     elif a.stage == "annotate":
-        save(annotate(spark, load(a.input), a.graphs, a.tables, a.domain), a.out)
+        save(annotate(spark, load(a.input), a.graphs, a.tables, a.domain, a.role_words), a.out)
     elif a.stage == "link":
         save(link(spark, load(a.input), a.entities, a.known, a.include_contains), a.out)
     elif a.stage == "to-json":

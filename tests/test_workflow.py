@@ -162,7 +162,10 @@ def test_texts_to_turtle(spark, tmp_path):
     save([("garlic", "Q20", "garlic plant"), ("flu", "Q30", "influenza"), ("doctors", "Q40", "physician")], "query string, qnode string, name string", "tables/names")
     (tmp_path / "e.cs").write_text(":E1\ttype\thttps://o#PER.Doctor\n:E1\tlink\tQ99\n:E1\tmention\t\"Doctors\"\tD1:14-20\t1.0\n:E2\ttype\thttps://o#MHI.Flu\n:E2\ttypelink\tQ77\n:E2\tmention\t\"flu\"\tD1:43-45\t1.0\n")
     save([("Q99", "the doctors"), ("Q77", "disease")], "qnode string, name string", "known")
-    cli.main(["run", *[x for o, v in {"input": "in", "patterns": "p.json", "topics": "t.tsv", "graphs": "g", "tables": "tables", "entities": "e.cs", "known": "known", "out": "out"}.items() for x in (f"--{o}", str(tmp_path / v))], "--domain", "health"], spark)
+    # a role labeller's words for both claims; the first claim has a variable by its graph already
+    for n, word in (("templates", "this"), ("claims", "Leeks")):
+        save([(c, "ARG0", 0, word) for c in (first.claim_id, second.claim_id)] + [(second.claim_id, "ARG1", 1, "flu")], "claim_id string, tag string, i int, word string", f"srl/{n}")
+    cli.main(["run", *[x for o, v in {"input": "in", "patterns": "p.json", "topics": "t.tsv", "graphs": "g", "tables": "tables", "entities": "e.cs", "known": "known", "out": "out", "role-words": "srl"}.items() for x in (f"--{o}", str(tmp_path / v))], "--domain", "health"], spark)
     by_id = {r.claim_id: r for r in corpus.read_annotated(spark, str(tmp_path / "out" / "json")).collect()}
     c, other = by_id[first.claim_id], by_id[second.claim_id]
     assert (c.x_text, c.x_type.qnode_id, c.x_identity, c.claimer_text, c.topic) == ("garlic", "Q20", None, "Doctors", "health")
@@ -170,12 +173,12 @@ def test_texts_to_turtle(spark, tmp_path):
     assert (c.claimer_identity.qnode_id, c.claimer_identity.text, c.claimer_type.qnode_id, c.claimer_identity.start, c.claimer_start) == ("Q99", "the doctors", "Q5", 14, 14)
     (event,) = c.claim_semantics
     assert (event.qnode_id, event.text, event.confidence) == ("Q10", "prevention", 0.5) and {a.role: (a.type.qnode_id, a.identity and a.identity.qnode_id) for a in event.args} == {"A0": ("Q20", None), "A1": ("Q77", "Q30")}
-    assert other.x_text is None and other.claim_semantics is None
+    assert other.x_text == "Leeks" and other.x_type is None and other.claim_semantics is None
     t = turtle.read_turtle(spark, str(tmp_path / "out" / "turtle")).collect()
     has = lambda p: {r.o for r in t if r.p == V.iri(p)}
     assert {r.graph_id for r in t} == {"D1"} and has("aida:claimId") == {first.claim_id} and has("aida:linkTarget") >= {"Q99", "Q30"} and has("aida:componentIdentity") >= {"Q99"}
     assert len(has("aida:claimSemantics")) == 3 and {"Q10", "Q20", "Q77"} <= has("rdf:object")
     cli.main(["frames", "--input", str(tmp_path / "out" / "linked"), "--out", str(tmp_path / "f")], spark)
-    assert spark.read.csv(str(tmp_path / "f"), header=True).first()["x_share"] == "0.5"
+    assert spark.read.csv(str(tmp_path / "f"), header=True).first()["x_share"] == "1.0"
     cli.main(["topics-by-similarity", "--input", str(tmp_path / "out" / "claims"), "--topics", str(tmp_path / "t.tsv"), "--out", str(tmp_path / "s")], spark)
     assert {r.topic for r in spark.read.parquet(str(tmp_path / "s")).collect()} == {"health"}
