@@ -1,10 +1,11 @@
 """Collocations: phrases of two or three words that occur together more than their parts suggest.
 
-Three scans of the texts. The first counts the words, and pairs and triples of words by hashed buckets. The second finds
-the candidates: phrases all of whose words are frequent and whose buckets, and those of their pairs, are full enough; a
-frequent phrase always is one. A minimal perfect hash numbers the candidates; its slots hold their keys, so a phrase that
-isn't one is told by comparing. In the third scan every task counts slots into an array, the arrays are summed in a tree,
-and a phrase's parts are read from the sum by their slots.
+Three scans of the texts, whatever their size. The first counts the words, and pairs and triples of words by hashed
+buckets. The second counts the candidates among pairs: those of frequent words whose buckets are full enough. The third
+counts the candidates among triples: those whose pairs are frequent, as the second scan has it, and whose buckets are full
+enough. A frequent phrase always is one. Each task sums its own candidates and deals them to shares by a hash; a share
+numbers its candidates by a minimal perfect hash, whose slots hold their keys, and adds the tasks' counts by slot. Only
+frequent phrases leave a share, and a phrase's parts are joined to it.
 
 A word's key is 64 bits of its language and itself, under a salt for which no two words of the corpus share a key. So keys
 of phrases, the keys of their words, are exact.
@@ -26,8 +27,12 @@ from .common import Stash
 
 MIN_COUNT = 10
 TOP = 2000
-#: Candidates whose slots are counted in one scan; more take several scans. A task holds 32 bytes for each.
-SLOTS = 4_000_000
+#: Candidates that a share has at most on average, over all tasks that met them; more make more shares.
+SLOTS = 1_000_000
+#: Bits of the table of frequent pairs for each of them, and the most that it has, as a power of two.
+PAIR_BITS, MOST_PAIR_BITS = 16, 29
+#: Parts in which a language's phrases are ranked before they meet.
+RANKED = 64
 #: Buckets for pairs and as many for triples, as a power of two; tables of bits for words.
 BUCKET_BITS, WORD_BITS = 26, 26
 #: What half a byte holds: a bucket's count stops there or at the least count of a phrase.
@@ -305,108 +310,90 @@ def kept_windows(vocab: Vocabulary, numbers: np.ndarray, frequent: BitTable, ful
     return keys, kept, two, np.flatnonzero(pair), at[full[3].has(mixed(two[at], keys[at + 2]))]
 
 
-def find_candidates(docs: DataFrame, salt: int, words, buckets, shares: int, limit: int = VOCABULARY) -> DataFrame:
-    """Second scan: the candidates that a task met, a row for each language and share of their hashes.
+def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Different numbers with the sums of their counts."""
+    if not keys:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    some, n = np.concatenate(keys), np.concatenate(counts)
+    order = np.argsort(some, kind="stable")
+    some, n = some[order], n[order]
+    first = np.flatnonzero(np.r_[True, some[1:] != some[:-1]][: len(some)])
+    return some[first], np.add.reduceat(n, first) if len(first) else n
 
-    keys: their keys k1, k2, k3 (0 for a pair), column after column. words: broadcast BitTable of frequent words; buckets:
-    broadcast BitTables of pairs (2) and triples (3).
+
+def find_candidates(docs: DataFrame, salt: int, words, buckets, shares: int, limit: int = VOCABULARY, lengths: tuple[int, ...] = (2, 3)) -> DataFrame:
+    """The candidates of these lengths that a task met, a row for each language and share of their hashes.
+
+    keys: their keys k1, k2, k3 (0 for a pair), column after column; counts: how often the task met each. words: broadcast
+    BitTable of frequent words; buckets: broadcast BitTables of pairs (2) and triples (3). A task that has gathered many
+    hands them on and begins anew, so it never holds all of its candidates.
     """
-    schema = pa.schema([("lang", pa.string()), ("share", pa.int32()), ("keys", pa.binary())])
+    schema = pa.schema([("lang", pa.string()), ("share", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
 
-    def rows(vocab: Vocabulary, numbers: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def rows(vocab: Vocabulary, numbers: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
         keys = vocab.keys()[numbers.T]
         share = (mixed(mixed(keys[0], keys[1]), keys[2]) % _U(shares)).astype(np.int64)
         order = np.argsort(share, kind="stable")
         ends = np.cumsum(np.bincount(share, minlength=shares))
-        some = [(k, keys[:, order[a:b]].tobytes()) for k, (a, b) in enumerate(zip(np.r_[0, ends], ends, strict=False)) if a < b]
-        yield pa.RecordBatch.from_arrays([pa.array([vocab.lang] * len(some), pa.string()), pa.array([k for k, _ in some], pa.int32()), pa.array([x for _, x in some], pa.binary())], schema=schema)
+        some = [(k, order[a:b]) for k, (a, b) in enumerate(zip(np.r_[0, ends], ends, strict=False)) if a < b]
+        columns = [[vocab.lang] * len(some), [k for k, _ in some], [keys[:, at].tobytes() for _, at in some], [counts[at].tobytes() for _, at in some]]
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
-    def unpack(packed: list[np.ndarray]) -> np.ndarray:
-        some = np.unique(np.concatenate(packed)) if packed else np.empty(0, np.int64)
-        return np.stack([(some >> s) & ((1 << PACKED) - 1) for s in (2 * PACKED, PACKED, 0)], axis=1)
+    def unpack(packed: np.ndarray) -> np.ndarray:
+        return np.stack([(packed >> s) & ((1 << PACKED) - 1) for s in (2 * PACKED, PACKED, 0)], axis=1)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, full = words.value, buckets.value
-        met: dict[int, list[np.ndarray]] = {}
+        met: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         for vocab, numbers, ends in numbered(batches, salt, limit):
             own = met.setdefault(id(vocab), [])
             if ends:
-                yield from rows(vocab, unpack(met.pop(id(vocab))))
+                some, n = _summed(*map(list, zip(*met.pop(id(vocab)), strict=True))) if own else _summed([], [])
+                yield from rows(vocab, unpack(some), n)
                 continue
-            keys, kept, two, pair, triple = kept_windows(vocab, numbers, frequent, full)
-            new = [(kept[pair], kept[pair + 1], np.zeros(len(pair), np.int64)), (kept[triple], kept[triple + 1], kept[triple + 2])]
+            _, kept, _, pair, triple = kept_windows(vocab, numbers, frequent, full)
+            new = {2: (kept[pair], kept[pair + 1], np.zeros(len(pair), np.int64)), 3: (kept[triple], kept[triple + 1], kept[triple + 2])}
             if len(vocab) >> PACKED:  # texts of more words than can be packed
-                yield from rows(vocab, np.unique(np.concatenate([np.stack(x, axis=1) for x in new]), axis=0))
+                yield from rows(vocab, *np.unique(np.concatenate([np.stack(new[k], axis=1) for k in lengths]), axis=0, return_counts=True))
                 continue
-            own += [np.unique(a << 2 * PACKED | b << PACKED | c) for a, b, c in new]
-            if sum(map(len, own)) > GATHERED:
-                own[:] = [np.unique(np.concatenate(own))]
-
-    return docs.mapInArrow(scan, "lang string, share int, keys binary")
-
+            own += [np.unique(a << 2 * PACKED | b << PACKED | c, return_counts=True) for a, b, c in (new[k] for k in lengths)]
+            if sum(len(k) for k, _ in own) > GATHERED:
+                own[:] = [_summed(*map(list, zip(*own, strict=True)))]
+                if len(own[0][0]) > GATHERED // 2:
+                    some, n = own.pop()
+                    yield from rows(vocab, unpack(some), n)
 
-def united(met: DataFrame) -> DataFrame:
-    """(lang, k1, k2, k3): each candidate once, from the rows of ``find_candidates``."""
+    return docs.mapInArrow(scan, "lang string, share int, keys binary, counts binary")
 
-    def unite(key: tuple, df: pd.DataFrame) -> pd.DataFrame:
-        keys = np.concatenate([np.frombuffer(x, np.int64).reshape(3, -1) for x in df["keys"]], axis=1)
-        keys = keys[:, np.lexsort(keys[::-1])]
-        keys = keys[:, np.r_[True, (keys[:, 1:] != keys[:, :-1]).any(axis=0)]]
-        return pd.DataFrame({"lang": key[0], "k1": keys[0], "k2": keys[1], "k3": keys[2]})
 
-    return met.groupBy("lang", "share").applyInPandas(unite, "lang string, k1 bigint, k2 bigint, k3 bigint")
+def counted(met: DataFrame, least: int) -> DataFrame:
+    """(k1, k2, k3, a, two): the phrases of ``find_candidates`` that occur ``least`` times or more; two: the hash of a pair's keys."""
 
-
-def count_slots(docs: DataFrame, salt: int, slots, words, buckets, limit: int = VOCABULARY) -> DataFrame:
-    """Third scan: blocks of the counts of the phrases of ``slots`` (broadcast PhraseSlots)."""
-    schema = pa.schema([("which", pa.int32()), ("block", pa.int32()), ("part", pa.int32()), ("counts", pa.binary())])
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, frequent, full = slots.value, words.value, buckets.value
+    def count(df: pd.DataFrame) -> pd.DataFrame:
+        keys = np.concatenate([np.frombuffer(x, _U).reshape(3, -1) for x in df["keys"]], axis=1)
+        n = np.concatenate([np.frombuffer(x, np.int64) for x in df["counts"]])
+        order = np.lexsort(keys[::-1])
+        new = np.r_[True, (keys[:, order[1:]] != keys[:, order[:-1]]).any(axis=0)]
+        table = PhraseSlots(keys[:, order[new]].T)
         total = np.zeros(len(table), np.int64)
+        np.add.at(total, table.find(*keys), n)
+        k1, k2, k3 = table.keys[:, total >= least]
+        return pd.DataFrame({"k1": k1.view(np.int64), "k2": k2.view(np.int64), "k3": k3.view(np.int64), "a": total[total >= least], "two": mixed(k1, k2).view(np.int64)})
 
-        def count(a: np.ndarray, b: np.ndarray, c: np.ndarray, times: np.ndarray | None = None) -> None:
-            at = table.find(a, b, c)
-            known = at >= 0
-            if times is None:
-                total[:] += np.bincount(at[known], minlength=len(total))
-            else:
-                total[at[known]] += times[known]  # each slot once
-
-        for vocab, numbers, ends in numbered(batches, salt, limit):
-            if ends or not len(numbers) or not len(table):
-                continue
-            n = np.bincount(numbers, minlength=len(vocab))
-            single = np.flatnonzero(frequent.has(vocab.keys()) & (n > 0) & (vocab.keys() > 0))
-            none = np.zeros(len(single), _U)
-            count(vocab.keys()[single], none, none, n[single])
-            keys, _, _, pair, triple = kept_windows(vocab, numbers, frequent, full)
-            count(keys[pair], keys[pair + 1], np.zeros(len(pair), _U))
-            count(keys[triple], keys[triple + 1], keys[triple + 2])
-        yield pa.RecordBatch.from_pydict(_blocks(total, 0), schema=schema)
-
-    return docs.mapInArrow(scan, "which int, block int, part int, counts binary")
+    return met.groupBy("share").applyInPandas(count, "k1 bigint, k2 bigint, k3 bigint, a bigint, two bigint")
 
 
-def with_counts(candidates: DataFrame, slots, counts) -> DataFrame:
-    """Candidates (k1, k2, k3) with what the slots hold of their counts, added to what the columns have: ``a`` of the phrase,
-    ``head1`` and ``head2`` of its first words, ``tail1`` and ``tail2`` of those after them (2: of triples only).
+def with_parts(pairs: DataFrame, triples: DataFrame, words: DataFrame) -> DataFrame:
+    """(lang, k1, k2, k3, a, head1, tail1, head2, tail2): frequent phrases with the counts of their first words, and of those
+    after them (2: of triples only). words: lang, key, n; parts of a frequent phrase are as frequent, so all are there.
     """
-    names = ("a", "head1", "tail1", "head2", "tail2")
-
-    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table, total = slots.value, np.r_[counts.value, 0]  # slot -1: none
-        for df in frames:
-            k1, k2, k3 = (df[c].to_numpy(np.int64).view(_U) for c in ("k1", "k2", "k3"))
-            none = np.zeros(len(df), _U)
-            long = k3 != 0
-            parts = [(k1, k2, k3), (k1, none, none), (k2, k3, none), (k1, k2, none), (k3, none, none)]
-            for c, p in zip(names, parts, strict=True):
-                got = total[table.find(*p)]
-                df[c] += np.where(long, got, 0) if c[-1] == "2" else got
-            yield df
-
-    return candidates.mapInPandas(read, candidates.schema)
+    none = F.lit(0).cast("long")
+    first = words.select(F.col("key").alias("k1"), "lang", F.col("n").alias("head1"))
+    last = words.select(F.col("key").alias("last"), F.col("n").alias("n_last"))
+    both = lambda a, b, n: pairs.select(F.col("k1").alias(a), F.col("k2").alias(b), F.col("a").alias(n))
+    two = pairs.join(first, "k1").join(last, F.col("k2") == F.col("last")).select("lang", "k1", "k2", "k3", "a", "head1", F.col("n_last").alias("tail1"), none.alias("head2"), none.alias("tail2"))
+    three = triples.join(both("k1", "k2", "head2"), ["k1", "k2"]).join(both("k2", "k3", "tail1"), ["k2", "k3"]).join(first, "k1").join(last, F.col("k3") == F.col("last"))
+    return two.unionByName(three.select("lang", "k1", "k2", "k3", "a", "head1", "tail1", "head2", F.col("n_last").alias("tail2")))
 
 
 def _collected_bits(blocks: DataFrame, which: int, bits: int, least: int) -> BitTable:
@@ -464,26 +451,14 @@ def count_phrases(docs: DataFrame, least: int = MIN_COUNT, slots: int = SLOTS, b
     word_bits = spark.sparkContext.broadcast(_word_bits(frequent, WORD_BITS))
     buckets = spark.sparkContext.broadcast({k: _collected_bits(full, k, bits, least) for k in (2, 3)})
 
-    shares = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    met = united(find_candidates(docs, salt, word_bits, buckets, shares, limit))
-    zero = F.lit(0).cast("long")
-    keyed = met.unionByName(frequent.select("lang", F.col("key").alias("k1"), zero.alias("k2"), zero.alias("k3")))
-    candidates = stash(keyed.select("lang", "k1", "k2", "k3", *[zero.alias(c) for c in ("a", "head1", "tail1", "head2", "tail2")]))
-    scans = max(1, -(-candidates.count() // slots))
-    phrases = candidates.where("k2 != 0")
-    for k in range(scans):
-        some = candidates.where(F.pmod(F.xxhash64("k1", "k2", "k3"), F.lit(scans)) == k).select("k1", "k2", "k3").toArrow()
-        keys = np.stack([c.to_numpy().astype(np.int64).view(_U) for c in some.columns], axis=1)
-        table = PhraseSlots(keys)
-        held = spark.sparkContext.broadcast(table)
-        rows = stash(count_slots(docs, salt, held, word_bits, buckets, limit))
-        parts = (rows.agg(F.max("part")).first()[0] or 0) + 1
-        total = np.zeros(len(table), np.int64)
-        for _, block, _, data in tree_sum(rows, parts, "i8", {0: len(table)}).collect():
-            n = min(BLOCK, len(table) - block * BLOCK)
-            total[block * BLOCK : block * BLOCK + n] = unpacked(data, "i8", n)
-        phrases = stash(with_counts(phrases, held, spark.sparkContext.broadcast(total)))
-    return phrases.where(F.col("a") >= least), words
+    # a scan has no more candidates than words, so a share has ``slots`` of them at most, give or take
+    total = words.agg(F.sum("n")).first()[0] or 0
+    shares = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // slots))
+    pairs = stash(counted(find_candidates(docs, salt, word_bits, buckets, shares, limit, (2,)), least))
+    pair_bits = min(MOST_PAIR_BITS, max(BLOCK.bit_length(), (PAIR_BITS * pairs.count()).bit_length()))
+    held = spark.sparkContext.broadcast({2: _word_bits(pairs.select(F.col("two").alias("key")), pair_bits), 3: buckets.value[3]})
+    triples = stash(counted(find_candidates(docs, salt, word_bits, held, shares, limit, (3,)), least))
+    return stash(with_parts(pairs, triples, frequent)), words
 
 
 def collocations(docs: DataFrame, top: int = TOP, least: int = MIN_COUNT, slots: int = SLOTS, bits: int = BUCKET_BITS) -> DataFrame:
@@ -506,13 +481,17 @@ def collocations(docs: DataFrame, top: int = TOP, least: int = MIN_COUNT, slots:
     second = F.col("s2") < F.col("s1")
     cut = {"score": F.when(second, F.col("s2")).otherwise(F.col("s1")), "l": F.when(second, F.col("head2")).otherwise(F.col("head1")), "r": F.when(second, F.col("tail2")).otherwise(F.col("tail1"))}
     ranked = kept.withColumns(cut).select("lang", "k1", "k2", "k3", "a", "l", "r", "score")
-    best = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"))
-    ranked = ranked.withColumn("place", F.rank().over(best)).where(F.col("place") <= top).drop("place")  # equals stay for now
+    # by parts first, so that no task has all phrases of a language; equals stay until they are spelled
+    part = F.pmod(F.xxhash64("k1", "k2", "k3"), F.lit(RANKED))
+    best = Window.partitionBy("lang", "part").orderBy(F.desc("score"), F.desc("a"))
+    ranked = ranked.withColumn("part", part).withColumn("place", F.rank().over(best)).where(F.col("place") <= top).drop("place")
     spelled = words.where(F.col("n") >= least).select("key", "word")
     for k in (1, 2, 3):
         ranked = ranked.join(spelled.select(F.col("key").alias(f"k{k}"), F.col("word").alias(f"w{k}")), f"k{k}", "left")
     ranked = ranked.withColumn("phrase", F.concat_ws(" ", "w1", "w2", "w3"))
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
+    inside = Window.partitionBy("lang", "part").orderBy(F.desc("score"), F.desc("a"), "phrase")
+    ranked = ranked.withColumn("place", F.row_number().over(inside)).where(F.col("place") <= top)
     totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
     out = ranked.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= top)
     return out.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")

@@ -133,3 +133,15 @@ def test_odd_rows(spark):
     assert run(spark, []) == [] and run(spark, [(None, None), ("en", ""), ("en", " \t.,")]) == []
     rows = [("en", "Hot Word " * 5000), ("en", "hot word. " * 30), (None, "a b " * 11)] * 3
     assert run(spark, rows) == brute(rows)
+
+
+def test_three_scans_however_many_candidates(spark, monkeypatch):
+    """Full buckets rule nothing out and a share holds few: still three scans, and tasks hand on what they gathered."""
+    monkeypatch.setattr(co, "GATHERED", 40)
+    rows = made(21, 150)
+    df, scans = spark.createDataFrame(rows, "lang string, text string").coalesce(2), []
+    cls = type(df)
+    plain = cls.mapInArrow
+    monkeypatch.setattr(cls, "mapInArrow", lambda self, *a, **kw: scans.append(1) or plain(self, *a, **kw))
+    out = sorted(tuple(r) for r in co.collocations(df, bits=3, slots=10).collect())
+    assert out == brute(rows) and len(scans) == 3
