@@ -12,6 +12,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -45,22 +46,30 @@ class Borders:
 
     def numbers(self, tokens: list[str], spaces: list[bool]) -> list[int]:
         """For each token the number of its sentence, from 0. Closing marks stay with the sentence before them."""
-        out: list[int] = []
-        sentence, n, over = 0, len(tokens), False
-        for i, t in enumerate(tokens):
-            if over and t not in CLOSERS and not t.isspace() and t not in ENDS:
-                sentence, over = sentence + 1, False
-            out.append(sentence)
-            if t[-1] not in _LAST:
-                continue
+        n, begins = len(tokens), []
+        for i in [i for i, t in enumerate(tokens) if t[-1] in _LAST]:
+            if begins and begins[-1] > i:
+                continue  # the sentence is over already
+            t = tokens[i]
             if t.isspace():
                 breaks = t.count("\n")
-                over = over or breaks > 1 or (self.lines and breaks > 0)
-            elif t in ENDS or (len(t) > 1 and t[-1] == "." and (t[0] == "." or _WORD.match(t))):
-                over = over or self.ends(tokens, spaces, i, n)
-        # a border before the first word or after the last is none
-        first = next((s for s, t in zip(out, tokens, strict=True) if not t.isspace()), 0)
-        return [max(0, s - first) for s in out]
+                over = breaks > 1 or (self.lines and breaks > 0)
+            else:
+                over = (t in ENDS or (len(t) > 1 and t[-1] == "." and (t[0] == "." or _WORD.match(t) is not None))) and self.ends(tokens, spaces, i, n)
+            if over:
+                j = i + 1
+                while j < n and (tokens[j] in CLOSERS or tokens[j] in ENDS or tokens[j].isspace()):
+                    j += 1
+                if j == n:
+                    break
+                begins.append(j)
+        # a border before the first word is none
+        if begins and all(t.isspace() for t in tokens[: begins[0]]):
+            del begins[0]
+        out: list[int] = []
+        for k, (a, b) in enumerate(pairwise([0, *begins, n])):
+            out += [k] * (b - a)
+        return out
 
     def ends(self, tokens: list[str], spaces: list[bool], i: int, n: int) -> bool:
         """Whether the sentence is over after the mark at i."""

@@ -6,7 +6,7 @@ its place ``i``; tags of a tagger are brought in that form.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
+from ..functions.tokens import Tokenizer, tokenising
 from .automaton import Automaton, Pattern
+from .matching import Lexicon
 
 #: What a token says of itself beside its text and place.
 TAGS = ["lemma", "pos", "ent_type"]
@@ -74,14 +76,35 @@ def document_matches(docs: DataFrame, patterns: list[Pattern], most_tokens: int
     default all but the tokens. All overlapping matches are given. A document without tokens gives none.
     """
     kept = [c for c in (docs.columns if keep is None else keep) if c != "tokens"]
+    schema = StructType([*[docs.schema[c] for c in kept], *[StructField(c, kind) for c, _, kind in CLAIM]])
+    return docs.select(*kept, "tokens").mapInArrow(_matching(patterns, kept, most_tokens), schema)
+
+
+def text_matches(docs: DataFrame, patterns: list[Pattern], lexicon: Lexicon, columns: list[str], tokenizer: Tokenizer | None = None, keep: list[str] | None = None, borders=None, most_tokens: int | None = None) -> DataFrame:
+    """``document_matches`` of documents by their ``text``, in one pass: their tokens are tagged by a lexicon and don't leave the task.
+
+    columns: those of the result that are made, beside ``keep``, by default all columns but the text.
+    """
+    kept = [c for c in (docs.columns if keep is None else keep) if c != "text"]
+    cut, find = tokenising(kept, tokenizer, borders), _matching(patterns, kept, most_tokens, lexicon, columns)
+    schema = StructType([*[docs.schema[c] for c in kept], *[StructField(c, kind) for c, _, kind in CLAIM if c in columns]])
+    return docs.select(*kept, "text").mapInArrow(lambda batches: find(cut(batches)), schema)
+
+
+def _matching(patterns: list[Pattern], kept: list[str], most_tokens: int | None = None, lexicon: Lexicon | None = None, wanted: list[str] | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Batches with tokens to batches of ``kept`` and of what is wanted of CLAIM; lexicon: gives tags to tokens without them."""
     automaton = Automaton(patterns)
+    claim = [(c, kind) for c, kind, _ in CLAIM if wanted is None or c in wanted]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column("tokens")
             n = np.asarray(pc.fill_null(pc.list_value_length(lists), 0)).astype(np.int64)
             flat, ends = lists.flatten(), np.cumsum(n)
-            columns = {a: pc.utf8_lower(pc.struct_field(flat, "text")) if a == "lower" else pc.struct_field(flat, a) for a in automaton.values}
+            if lexicon:
+                columns = lexicon.columns(pc.struct_field(flat, "text"), automaton.values)
+            else:
+                columns = {a: pc.utf8_lower(pc.struct_field(flat, "text")) if a == "lower" else pc.struct_field(flat, a) for a in automaton.values}
             number, first, last = automaton.find(automaton.classes_of(columns, len(flat)), np.repeat(ends, n), most_tokens)
             unit = np.searchsorted(ends, first, side="right")
             sent = np.asarray(pc.fill_null(pc.struct_field(flat, "sent"), 0))
@@ -96,19 +119,21 @@ def document_matches(docs: DataFrame, patterns: list[Pattern], most_tokens: int
                     told[a, b] = "".join(w + " " if s else w for w, s in zip(some, space[a:b].tolist(), strict=True)).strip()
                 return told[a, b]
 
+            def texts(a: np.ndarray, b: np.ndarray, text=text) -> list[str]:
+                return [text(x, y) for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+
             at = (ends - n)[unit]
-            names = pa.array([p.template for p in patterns], pa.string()), pa.array([p.pattern_id for p in patterns], pa.int32())
-            claim = [text(a, b) for a, b in zip(first.tolist(), last.tolist(), strict=True)]
             made = {
-                "template": names[0].take(pa.array(number)), "pattern_id": names[1].take(pa.array(number)), "first": first - at, "last": last - at, "claim_text": claim,
-                "span_start": start[first], "span_stop": start[last - 1] + [len(w) for w in words.take(pa.array(last - 1)).to_pylist()] if len(last) else [], "sent_id": sent[first],
-                "claim_sentence": [text(a, b) for a, b in zip(begins[first].tolist(), stops[first].tolist(), strict=True)], "sent_start": start[begins[first]],
+                "template": lambda: pa.array([p.template for p in patterns], pa.string()).take(pa.array(number)), "pattern_id": lambda: pa.array([p.pattern_id for p in patterns], pa.int32()).take(pa.array(number)),
+                "first": lambda: first - at, "last": lambda: last - at, "claim_text": lambda: texts(first, last), "span_start": lambda: start[first],
+                "span_stop": lambda: start[last - 1] + np.asarray(pc.utf8_length(words.take(pa.array(last - 1)))), "sent_id": lambda: sent[first],
+                "claim_sentence": lambda: texts(begins[first], stops[first]), "sent_start": lambda: start[begins[first]],
             }
             taken = batch.select(kept).take(pa.array(unit))
-            yield pa.RecordBatch.from_arrays([*taken.columns, *[made[c] if isinstance(made[c], pa.Array) else pa.array(made[c], kind) for c, kind, _ in CLAIM]], [*kept, *[c for c, *_ in CLAIM]])
+            got = [(made[c](), kind) for c, kind in claim]
+            yield pa.RecordBatch.from_arrays([*taken.columns, *[x if isinstance(x, pa.Array) else pa.array(x, kind) for x, kind in got]], [*kept, *[c for c, _ in claim]])
 
-    schema = StructType([*[docs.schema[c] for c in kept], *[StructField(c, kind) for c, _, kind in CLAIM]])
-    return docs.select(*kept, "tokens").mapInArrow(run, schema)
+    return run
 
 
 def _sentences(sent: np.ndarray, starts: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

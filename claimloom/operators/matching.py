@@ -66,12 +66,18 @@ class Lexicon:
 
     entries: dict[str, tuple[str, str]]
     pos: str = ""
+    #: part of speech of words without a letter or digit; by default that of other words
+    mark: str | None = None
 
     def columns(self, words: pa.Array, wanted: Iterable[str]) -> dict[str, pa.Array]:
         """The wanted attributes; each different word is looked up once."""
         coded = pc.dictionary_encode(words)
         different = pc.utf8_lower(coded.dictionary).to_pylist()
         of = {"lemma": lambda w: self.entries[w][0] if w in self.entries else w, "pos": lambda w: self.entries[w][1] if w in self.entries else self.pos, "lower": lambda w: w, "ent_type": lambda w: ""}
+        if self.mark is not None and "pos" in wanted:
+            lettered = pc.match_substring_regex(coded.dictionary, r"[\p{L}\p{N}]").to_pylist()
+            marks = {w for w, has in zip(different, lettered, strict=True) if has is False}
+            of |= {"pos": lambda w: self.mark if w in marks else self.entries[w][1] if w in self.entries else self.pos}
         return {a: words if a == "text" else pa.array([of[a](w) for w in different], pa.string()).take(coded.indices) for a in wanted}
 
 

@@ -13,7 +13,7 @@ from ..operators import inflection as I
 from ..operators import matching as M
 from ..operators import tagging as G
 from . import workflow
-from .corpus import PREPOSITIONS, _docs, tagger
+from .corpus import LEXICON, PREPOSITIONS, _docs, tagger
 
 ORACLE: dict[str, str] = {}
 
@@ -38,11 +38,14 @@ CATALOGUE = json.dumps({f"{w} {k}": [json.loads(json.dumps(p).replace("{}", w))]
 
 def document_claims(spark, sf_dir):
     """Matches of all 28 patterns over whole documents, punctuation included, counted by pattern and length."""
-    docs = tokenised_documents(_docs(spark, sf_dir).select("doc_id", "text"), workflow.tokenizer()).drop("text")
-    found = D.document_matches(D.tagged(docs, _marked), M.load_patterns(CATALOGUE), keep=["doc_id"])
+    found = D.text_matches(_docs(spark, sf_dir).select("doc_id", "text"), M.load_patterns(CATALOGUE), MARKED, ["template", "first", "last", "span_start", "span_stop"], workflow.tokenizer())
     return found.groupBy("template", (F.col("last") - F.col("first")).alias("n_tokens")).agg(F.count("*").alias("n_claims"), F.countDistinct("doc_id").alias("n_docs"), F.sum(F.col("span_stop") - F.col("span_start")).alias("n_chars"))
 
 
+#: The tags of ``_marked``, for matching.
+MARKED = M.Lexicon(LEXICON.entries, LEXICON.pos, "PUNCT")
+
+
 def _marked(w):
     """The lexicon's tags; what has no letter is punctuation."""
     lemma, pos, ent = tagger(w)

@@ -185,3 +185,36 @@ def test_parser_tokens_have_marks_and_are_cut(spark):
     df = spark.createDataFrame([('She (the "boss") left.',), (long,), (None,)], "t string")
     a, b, c = (r[0] for r in df.select(workflow.parser_tokens(df["t"], 50)).collect())
     assert a == ["She", "(", "the", "'", "boss", "'", ")", "left", "."] and b[-1] == "," and len(b) == 51 and not c
+
+
+def test_matches_of_texts_are_those_of_tagged_tokens(spark, sf):
+    from claimloom.operators import matching as M
+    from claimloom.plans import language as L
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").limit(150)
+    docs = docs.unionByName(spark.createDataFrame([(-1, None), (-2, ""), (-3, "the İ, is and — ² and the Is from x.  on")], docs.schema))
+    patterns = M.load_patterns(L.CATALOGUE)
+    wanted = ["template", "first", "last", "span_start", "span_stop"]
+    plain = D.document_matches(D.tagged(TK.tokenised_documents(docs), L._marked), patterns, keep=["doc_id"]).select("doc_id", *wanted)
+    once = D.text_matches(docs, patterns, L.MARKED, wanted)
+    assert once.columns == ["doc_id", *wanted] and once.count() > 100
+    assert sorted(map(tuple, once.collect())) == sorted(map(tuple, plain.collect()))
+
+
+def test_equal_runs_are_cut_once(spark):
+    from claimloom.operators import borders as B
+
+    class Seen(TK.Tokenizer):
+        def __call__(self, text):
+            assert not any(c.isspace() for c in text), "a text rather than a run"
+            return super().__call__(text)
+
+    texts = ["The U.S. and etc. x.\n\ta. (b.) 3. c.d. Etc. .", None, "", "   ", "etc.  . x .. x...", "a. b."] * 3
+    want: Counter = Counter()
+    for t in texts:
+        if t:
+            tokens, _, spaces = TK.Tokenizer()(t)
+            want.update(B.words_and_stops(tokens, spaces))
+    run = B.word_counts(spark.createDataFrame([(t,) for t in texts], "text string"), TK.Tokenizer())
+    assert {r.word: (r.n, r.n_stop) for r in run.collect()} == {w: (want[w, 0], want[w, 1]) for w, _ in want}
+    B.word_counts(spark.createDataFrame([("a b. a b.",)], "text string"), Seen()).collect()
