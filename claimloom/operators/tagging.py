@@ -23,6 +23,8 @@ FIT_SENTENCES, SHARDS, EPOCHS = 40_000, 8, 4
 #: Weights that a model may have: it goes to every task.
 MOST_WEIGHTS = 5_000_000
 SPACE = "SPACE"
+#: Paths that are followed at once, over all sentences.
+PATHS = 1 << 20
 #: Feature names of tag pairs and triples begin with it; no feature of a word does.
 CHAIN = "\x1f"
 
@@ -93,6 +95,46 @@ class SequenceTagger:
     def __call__(self, words: list[str]) -> list[str]:
         return [self.tags[k] for k in self.decode(self.scores(self.features(words)))]
 
+    def tags_of(self, words: pa.Array, sizes: np.ndarray) -> np.ndarray:
+        """The number of each word's tag, for sentences of these sizes one after the other: as by ``decode``, many at once."""
+        coded = pc.dictionary_encode(words)
+        at, different = np.asarray(coded.indices).astype(np.int64), coded.dictionary.to_pylist()
+        low, none = [*[w.lower() for w in different], ""], len(different)  # none: beyond a sentence's ends
+        own = self.scores([word_features(w) for w in different])
+        left, right = (self.scores([(f"{sign}={w}",) for w in low]) for sign in "-+")
+        ends = np.cumsum(sizes)
+        before, after = np.r_[none, at[:-1]], np.r_[at[1:], none]
+        before[(ends - sizes)[sizes > 0]] = none
+        after[ends[sizes > 0] - 1] = none
+        scores = own[at] + left[before] + right[after]
+        out, order = np.empty(len(at), np.int64), np.argsort(-sizes, kind="stable")
+        order = order[: int((sizes > 0).sum())]
+        most = max(1, PATHS // self.chain.size)
+        for k in range(0, len(order), most):
+            some = order[k : k + most]
+            self._decode_many(scores, (ends - sizes)[some], sizes[some], out)
+        return out
+
+    def _decode_many(self, scores: np.ndarray, first: np.ndarray, sizes: np.ndarray, out: np.ndarray) -> None:
+        """Sentences at ``first``, of falling sizes: in each step one more word of all that are so long."""
+        k, longest = len(self.tags), int(sizes[0])
+        lives = np.searchsorted(-sizes, -np.arange(longest), side="left")  # how many have a word at each place
+        best = np.full((len(first), k + 1, k + 1), -np.inf)
+        best[:, k, k] = 0
+        back: list[np.ndarray] = []
+        b, c = np.zeros(len(first), np.int64), np.zeros(len(first), np.int64)
+        for i, n in enumerate(lives.tolist()):
+            paths = best[:n, :, :, None] + self.chain
+            back.append(paths.argmax(1).astype(np.int16))
+            best = np.full((n, k + 1, k + 1), -np.inf)
+            best[:, :, :k] = paths.max(1) + scores[first[:n] + i][:, None]
+            over = int(lives[i + 1]) if i + 1 < longest else 0  # those after it end here
+            b[over:n], c[over:n] = np.divmod(best[over:].reshape(n - over, (k + 1) ** 2).argmax(1), k + 1)
+        for i in range(longest - 1, -1, -1):
+            n = int(lives[i])
+            out[first[:n] + i] = c[:n]
+            b[:n], c[:n] = back[i][np.arange(n), b[:n], c[:n]], b[:n].copy()
+
     def learn(self, sentences: Iterator[tuple[list[str], list[str]]]) -> tuple[SequenceTagger, int]:
         """Goes through tagged sentences, changing itself where it errs. Returns the mean of what it was, and how many came."""
         number, n, time = {t: i for i, t in enumerate(self.tags)}, len(self.tags), 0
@@ -187,11 +229,11 @@ def fit_tagger(tokens: DataFrame, column: str = "pos", sentences: int = FIT_SENT
     gives a tagger without tags, which leaves tokens as they are.
     """
     spark, stash = tokens.sparkSession, Stash(tokens.sparkSession)
-    whole = stash(sentences_of(tokens, column))
-    n = whole.count()
+    # sentences are counted without their words, so that only the words of those that are taken are gathered
+    n = tokens.where("text rlike '[^\\\\s]'").groupBy("doc_id", "sent").agg(F.bool_or(F.col(column).isNull()).alias("gap")).where("NOT gap").count()
     if n > sentences:
-        whole = whole.where(F.pmod(F.xxhash64("key", F.lit(1)), F.lit(1 << 30)) < int(sentences / n * (1 << 30)))
-    dealt = stash(whole.withColumn("shard", F.pmod(F.xxhash64("key", F.lit(2)), F.lit(shards))))
+        tokens = tokens.where(F.pmod(F.xxhash64(F.xxhash64("doc_id", "sent"), F.lit(1)), F.lit(1 << 30)) < int(sentences / n * (1 << 30)))
+    dealt = stash(sentences_of(tokens, column).withColumn("shard", F.pmod(F.xxhash64("key", F.lit(2)), F.lit(shards))))
     tags = sorted(r[0] for r in dealt.select(F.explode("tags").alias("t")).distinct().collect())  # a row for each tag
     model = SequenceTagger(tags)
     total: DataFrame | None = None
@@ -222,28 +264,28 @@ def tag_documents(docs: DataFrame, model: SequenceTagger, column: str = "pos") -
     """
     if not model.tags:
         return docs
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held, names = docs.sparkSession.sparkContext.broadcast(model), [*model.tags, SPACE]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.schema.get_field_index("tokens")
-            lists = batch.column(at)
+            place = batch.schema.get_field_index("tokens")
+            lists = batch.column(place)
             flat, n = lists.flatten(), np.asarray(pc.fill_null(pc.list_value_length(lists), 0)).astype(np.int64)
-            words, sent = pc.struct_field(flat, "text").to_pylist(), pc.fill_null(pc.struct_field(flat, "sent"), 0).to_pylist()
-            tags = [SPACE] * len(words)
-            for end, size in zip(np.cumsum(n).tolist(), n.tolist(), strict=True):
-                groups: dict[int, list[int]] = {}
-                for i in range(end - size, end):
-                    if words[i] and not words[i].isspace():
-                        groups.setdefault(sent[i], []).append(i)
-                for some in groups.values():
-                    for i, t in zip(some, held.value([words[i] for i in some]), strict=True):
-                        tags[i] = t
+            words, sent = pc.struct_field(flat, "text"), np.asarray(pc.fill_null(pc.struct_field(flat, "sent"), 0))
+            coded = pc.dictionary_encode(pc.fill_null(words, ""))
+            is_word = np.array([bool(w) and not w.isspace() for w in coded.dictionary.to_pylist()], bool)[np.asarray(coded.indices)]
+            at, unit = np.flatnonzero(is_word), np.repeat(np.arange(len(n)), n)
+            at = at[np.lexsort((sent[at], unit[at]))]  # sentences one after the other, words in their order
+            new = np.flatnonzero(np.r_[True, (sent[at[1:]] != sent[at[:-1]]) | (unit[at[1:]] != unit[at[:-1]])][: len(at)])
+            number = np.full(len(words), len(names) - 1)
+            if len(at):
+                number[at] = held.value.tags_of(words.take(pa.array(at)), np.diff(np.r_[new, len(at)]))
+            tags = pa.array(names, pa.string()).take(pa.array(number))
             fields = list(flat.type)
-            columns = [pa.array(tags, pa.string()) if f.name == column else pc.struct_field(flat, f.name) for f in fields]
+            columns = [tags if f.name == column else pc.struct_field(flat, f.name) for f in fields]
             made = pa.StructArray.from_arrays(columns, fields=fields)
             ends = np.r_[0, np.cumsum(n)].astype(np.int32)
             new = pa.ListArray.from_arrays(pa.array(ends), made, mask=pa.array(lists.is_null()) if lists.null_count else None)
-            yield pa.RecordBatch.from_arrays([new if k == at else c for k, c in enumerate(batch.columns)], batch.schema.names)
+            yield pa.RecordBatch.from_arrays([new if k == place else c for k, c in enumerate(batch.columns)], batch.schema.names)
 
     return docs.mapInArrow(run, docs.schema)

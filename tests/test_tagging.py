@@ -168,3 +168,23 @@ def test_mentions_are_asked_by_lemma(spark):
     got = sorted(map(tuple, Q.mention_queries(m, lambda c: tool.column("lemma", "VBG", F.lower(c))).collect()))
     assert got == [(1, 0, "old lie"), (1, 1, "Old lying"), (1, 2, "lie"), (1, 3, "lying"), (1, 4, "old"), (1, 5, "Old"), (2, 0, "run"), (2, 1, "Running")]
     assert sorted(map(tuple, Q.mention_queries(m).collect()))[0] == (1, 0, "old lying")
+
+
+def test_many_sentences_are_decoded_as_each_is():
+    import numpy as np
+    import pyarrow as pa
+
+    g = random.Random(3)
+    made = [[g.choice(["Ab", "the", "x", "Éa", "1", "run", "."]) for _ in range(g.randrange(1, 9))] for _ in range(300)]
+    model, _ = G.SequenceTagger(["A", "B", "C"]).learn((s, [g.choice("ABC") for _ in s]) for s in made)
+    for m in (model, G.SequenceTagger(["A", "B"])):
+        got = m.tags_of(pa.array([w for s in made for w in s]), np.array([len(s) for s in made]))
+        assert [m.tags[k] for k in got] == [t for s in made for t in m(s)]
+
+
+def test_a_fit_gathers_only_the_words_of_its_sentences(spark, monkeypatch):
+    rows = [(d, s, i, w, "T") for d in range(40) for s in range(5) for i, w in enumerate("a b c".split())]
+    taken, plain = [], G.sentences_of
+    monkeypatch.setattr(G, "sentences_of", lambda t, c: taken.append(t.count()) or plain(t, c))
+    G.fit_tagger(spark.createDataFrame(rows, "doc_id long, sent int, i int, text string, pos string"), sentences=20, shards=2, epochs=1)
+    assert taken and taken[0] < 300
