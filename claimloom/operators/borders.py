@@ -138,7 +138,29 @@ def words_and_stops(tokens: list[str], spaces: list[bool]) -> Iterator[tuple[str
 
 def word_counts(docs: DataFrame, tokenizer: Tokenizer | None = None) -> DataFrame:
     """(word, n, n_stop) over all documents: how often a word occurs, and how often with a stop right after it."""
-    return _counted(docs, tokenizer or Tokenizer(), words_and_stops, "n n_stop")
+    tool = tokenizer or Tokenizer()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        runs: Counter = Counter()
+
+        def rows() -> pa.RecordBatch:
+            counts: dict[str, list[int]] = {}
+            for run, times in runs.items():
+                tokens, _, spaces = tool(run)
+                for word, k in words_and_stops(tokens, spaces):
+                    counts.setdefault(word, [0, 0])[k] += times
+            runs.clear()
+            words = sorted(counts)
+            return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *(pa.array([counts[w][k] for w in words], pa.int64()) for k in (0, 1))], ["word", "n", "n_stop"])
+
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                runs.update((text or "").split())  # a stop after a word stands in the same run, so equal runs are cut once
+                if len(runs) > COUNTED:
+                    yield rows()
+        yield rows()
+
+    return docs.select("text").mapInArrow(run, "word string, n bigint, n_stop bigint").groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_stop").alias("n_stop"))
 
 
 def abbreviations(counts: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from ..operators import documents as D
 from ..operators import inflection as I
 from ..operators import matching as M
 from ..operators import tagging as G
+from ..session import written
 from . import workflow
 from .corpus import LEXICON, PREPOSITIONS, _docs, tagger
 
@@ -54,7 +55,7 @@ def _marked(w):
 
 def learned_abbreviations(spark, sf_dir):
     """Words of the documents with their stops, and the score of those that are abbreviations."""
-    counts = B.word_counts(_docs(spark, sf_dir).select("text"), workflow.tokenizer())
+    counts = written(B.word_counts(_docs(spark, sf_dir).select("text"), workflow.tokenizer()))  # it is read three times
     scored = B.abbreviations(counts).select("word", F.round("score", 6).alias("score"))
     return counts.where("n_stop > 0").join(scored, "word", "left")
 
