@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 #: (nodes as (id, label), edges as (parent, role, child), alignments as (node, token), root), or None
 Graph = tuple[list[tuple[str, str]], list[tuple[str, str, str]], list[tuple[str, int]], str] | None
 
+#: Sentences that the parser gets at once: their graphs take many times their memory.
+SENTENCES = 128
+
 
 def parse_graphs(sentences: DataFrame, load: Callable[[], Callable[[list[list[str]]], list[Graph]]]) -> dict[str, DataFrame]:
     """Tables nodes, edges, alignments and graphs from (graph_id, tokens), by a parser that each worker loads once.
@@ -22,12 +25,13 @@ def parse_graphs(sentences: DataFrame, load: Callable[[], Callable[[list[list[st
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parser = load()
         for df in batches:
-            rows = []
-            for g, found in zip(df["graph_id"], parser([list(t) for t in df["tokens"]]), strict=True):
-                if found and found[0]:
-                    n, e, a, root = found
-                    rows.append((g, root, [{"id": i, "label": x} for i, x in n], [{"p": p, "r": r, "c": c} for p, r, c in e], [{"n": i, "t": t} for i, t in a]))
-            yield pd.DataFrame(rows, columns=["graph_id", "root", "nodes", "edges", "aligned"])
+            for k in range(0, len(df), SENTENCES):
+                rows, some = [], df.iloc[k : k + SENTENCES]
+                for g, found in zip(some["graph_id"], parser([list(t) for t in some["tokens"]]), strict=True):
+                    if found and found[0]:
+                        n, e, a, root = found
+                        rows.append((g, root, [{"id": i, "label": x} for i, x in n], [{"p": p, "r": r, "c": c} for p, r, c in e], [{"n": i, "t": t} for i, t in a]))
+                yield pd.DataFrame(rows, columns=["graph_id", "root", "nodes", "edges", "aligned"])
 
     g = sentences.select("graph_id", "tokens").mapInPandas(run, kind)
     part = lambda c: g.select("graph_id", F.posexplode(c).alias("ord", "x"))

@@ -2,21 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import Stash, shared_dir
+from ..session import Stash, shared_dir, small_batches
 
 __all__ = ["Stash", "crc_mod", "free_name", "held", "put", "shared_dir", "small_batches"]
 
 
-def small_batches(spark: SparkSession, rows: int = 1000, size: int = 16 << 20) -> SparkSession:
-    """Bounds what goes to Python at once, in rows and bytes: texts can be long, and a batch is held several times over."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
-    return spark
-
-
 def free_name(df: DataFrame, *wanted: str) -> list[str]:
     """Column names like those wanted that the table doesn't use, in any case."""
     used, out = {c.lower() for c in df.columns}, []

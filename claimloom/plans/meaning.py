@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import adapters, names as N
 from ..operators import aif, amr, semantics as S
+from ..session import small_batches
 from . import talk, workflow
 from .fixture import Fixture, with_fixtures
 from .graphs import _STOP_SQL, ALIGNED, NODES, TOKENS, _talk
@@ -104,7 +105,7 @@ def _chain():
 
 def parser_adapter(spark, sf_dir):
     """Node texts of graphs from the parser adapter: each word of each turn."""
-    c = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.concat_ws("-", "conv_id", "turn").alias("graph_id"), F.filter(F.split("text", " "), lambda w: w != "").alias("tokens"))
+    c = small_batches(spark).read.parquet(f"{sf_dir}/conversations.parquet").select(F.concat_ws("-", "conv_id", "turn").alias("graph_id"), F.filter(F.split("text", " "), lambda w: w != "").alias("tokens"))
     t = adapters.parse_graphs(c, _chain)
     tokens = c.select("graph_id", F.posexplode("tokens").alias("idx", "token"))
     return amr.node_strings(tokens, t["alignments"])
