@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import claims as C
 from ..operators import matching as M
+from ..session import small_batches
 from .fixture import Fixture, with_fixtures
 
 DETERMINERS = ["the", "a", "an", "der", "die", "das", "la", "le", "el", "los"]
@@ -41,7 +42,7 @@ LEXICON = M.Lexicon({w: (w, "DET") for w in DETERMINERS} | {w: (w, "ADP") for w
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return small_batches(spark).read.parquet(f"{sf_dir}/documents.parquet")
 
 
 def _matches(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
