@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, FloatType
 
 SIZE = 256
+#: Texts that a model gets at once, however many a batch brings.
+TEXTS = 256
 
 
 def hashed_vector(text: str | None, size: int = SIZE) -> np.ndarray:
@@ -33,7 +35,8 @@ def encoder(load: Callable[[], Callable[[list[str]], np.ndarray]] | None = None)
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         run = load() if load else lambda texts: np.array([hashed_vector(t) for t in texts]).reshape(-1, SIZE)
         for texts in batches:
-            yield pd.Series(list(run(texts.tolist())))
+            for k in range(0, len(texts), TEXTS):
+                yield pd.Series(list(run(texts.iloc[k : k + TEXTS].tolist())))
 
     return encode
 
@@ -45,7 +48,8 @@ def scorer(load: Callable[[], Callable[[list[str], list[str]], np.ndarray]] | No
     def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         run = load() if load else lambda a, b: np.array([float(hashed_vector(x) @ hashed_vector(y)) for x, y in zip(a, b, strict=True)])
         for a, b in batches:
-            yield pd.Series(run(a.tolist(), b.tolist()), dtype=float)
+            for k in range(0, len(a), TEXTS):
+                yield pd.Series(run(a.iloc[k : k + TEXTS].tolist(), b.iloc[k : k + TEXTS].tolist()), dtype=float)
 
     return score
 

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import models, text as T
-from ..session import shared_dir
+from ..session import shared_dir, small_batches
 from ..sources import amr_text, corpus, turtle
 from .fixture import Fixture, with_fixtures
 from .graphs import FIRST
@@ -76,7 +76,7 @@ ORACLE["topics_file"] = "SELECT * FROM (VALUES (0, 'ID', 'subtopic', 'topic', 'T
 
 def model_adapter_scores(spark, sf_dir):
     """The default scorer on each turn and the role's name, and the length of the default vector."""
-    c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    c = small_batches(spark).read.parquet(f"{sf_dir}/conversations.parquet")
     return c.select("conv_id", "turn", F.round(models.entailment(F.col("text"), F.concat_ws(" ", "text", "role")), 4).alias("score"), F.size(models.encoder()(F.col("text"))).alias("width"))
 
 
