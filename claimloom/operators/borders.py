@@ -10,15 +10,16 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import pairwise
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.tokens import Tokenizer
+from ..functions.tokens import Numbered, Tokenizer
 from ..session import Stash
 
 #: Score from which a word is an abbreviation, log-likelihood from which one is a starter (values of the published method).
@@ -37,6 +38,10 @@ _NUMBER = re.compile(r"[+-]?\d[\d.,]*")
 _INITIAL = re.compile(r"[^\W\d_]")
 
 
+def may_end(token: str) -> bool:
+    return token[-1] in _LAST
+
+
 @dataclass(frozen=True)
 class Borders:
     abbreviations: frozenset[str] = frozenset()
@@ -46,8 +51,16 @@ class Borders:
 
     def numbers(self, tokens: list[str], spaces: list[bool]) -> list[int]:
         """For each token the number of its sentence, from 0. Closing marks stay with the sentence before them."""
+        begins = self.firsts(tokens, spaces, [i for i, t in enumerate(tokens) if may_end(t)])
+        out: list[int] = []
+        for k, (a, b) in enumerate(pairwise([0, *begins, len(tokens)])):
+            out += [k] * (b - a)
+        return out
+
+    def firsts(self, tokens: list[str], spaces: list[bool], marks: Iterable[int]) -> list[int]:
+        """Where sentences begin, but for the first one. marks: the places of all tokens that may end a sentence."""
         n, begins = len(tokens), []
-        for i in [i for i, t in enumerate(tokens) if t[-1] in _LAST]:
+        for i in marks:
             if begins and begins[-1] > i:
                 continue  # the sentence is over already
             t = tokens[i]
@@ -66,10 +79,7 @@ class Borders:
         # a border before the first word is none
         if begins and all(t.isspace() for t in tokens[: begins[0]]):
             del begins[0]
-        out: list[int] = []
-        for k, (a, b) in enumerate(pairwise([0, *begins, n])):
-            out += [k] * (b - a)
-        return out
+        return begins
 
     def ends(self, tokens: list[str], spaces: list[bool], i: int, n: int) -> bool:
         """Whether the sentence is over after the mark at i."""
@@ -99,6 +109,15 @@ class Borders:
         return True
 
 
+def later_sentences(texts: Numbered, borders: Borders) -> list[list[int]]:
+    """At which of its tokens each text's second and later sentences begin."""
+    ending = np.zeros(len(texts.names), bool)
+    ending[texts.odd] = [may_end(texts.names[k]) for k in texts.odd.tolist()]
+    marks, ends = np.flatnonzero(ending[texts.numbers]), [0, *np.cumsum(texts.n).tolist()]
+    tokens, spaces, parts = [*map(texts.names.__getitem__, texts.numbers.tolist())], texts.spaces.tolist(), np.searchsorted(marks, ends).tolist()
+    return [borders.firsts(tokens[a:b], spaces[a:b], (marks[i:j] - a).tolist()) for (a, b), (i, j) in zip(pairwise(ends), pairwise(parts), strict=True)]
+
+
 def _counted(docs: DataFrame, tokenizer: Tokenizer, count, columns: str) -> DataFrame:
     """Rows (word, ...) of ``count``: tokens, spaces to an iterator of (word, which count); summed by word."""
     names = columns.split()

@@ -82,12 +82,10 @@ SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY direction, kind, ending
 
 def learned_tags(spark, sf_dir):
     """Tags of a model that was fitted on 4,000 sentences with the lexicon's tags, against the lexicon's, over all documents."""
-    docs = tokenised_documents(_docs(spark, sf_dir).select("doc_id", "text"), workflow.tokenizer()).drop("text")
-    lexicon = lambda w: _marked(w)[1]  # noqa: E731  of a token's row: within an array each would be tagged by interpreted code
-    model = G.fit_tagger(D.token_table(docs).withColumn("pos", lexicon(F.col("text"))), sentences=4000, epochs=2)
-    plain = docs.select(F.transform("tokens", lambda t: F.struct(t["text"].alias("text"), t["sent"].alias("sent"), F.lit("").alias("pos"))).alias("tokens"))
-    rows = G.tag_documents(plain, model).select(F.explode("tokens").alias("x")).select(lexicon(F.col("x.text")).alias("lexicon"), F.col("x.pos").alias("learned"))
-    return rows.groupBy("lexicon", "learned").agg(F.count("*").alias("n"))
+    docs, lexicon = _docs(spark, sf_dir).select("doc_id", "text"), lambda w: _marked(w)[1]
+    model = G.fit_on_texts(docs, lexicon, workflow.tokenizer(), sentences=4000, epochs=2)
+    rows = G.tag_counts(docs, model, workflow.tokenizer()).select(lexicon(F.col("text")).alias("lexicon"), F.coalesce("tag", F.lit("")).alias("learned"), "n")
+    return rows.groupBy("lexicon", "learned").agg(F.sum("n").alias("n"))
 
 
 QUERIES = {n: globals()[n] for n in ("token_rebuild", "document_claims", "learned_abbreviations", "edit_rules", "learned_tags")}

@@ -188,3 +188,56 @@ def test_a_fit_gathers_only_the_words_of_its_sentences(spark, monkeypatch):
     monkeypatch.setattr(G, "sentences_of", lambda t, c: taken.append(t.count()) or plain(t, c))
     G.fit_tagger(spark.createDataFrame(rows, "doc_id long, sent int, i int, text string, pos string"), sentences=20, shards=2, epochs=1)
     assert taken and taken[0] < 300
+
+
+def test_numbered_tokens_are_the_tokenizers():
+    import pyarrow as pa
+
+    from claimloom.operators.borders import Borders, later_sentences
+
+    g, tool, borders = random.Random(6), TK.Tokenizer({"Mr.": [3], "U.S.": [4], "cannot": [3, 3], "ab": [1, 1]}), Borders()
+    bits = ["a", "B", "Mr.", "Mr", "U.S.", "cannot", "ab", " wordy", "don't", " ", "  ", "\n", "\t", "\x1c", "\u00a0", ".", "!", ",", ")", "#", "1", "é", "ß", "İ", "Σ"]
+    for _ in range(150):
+        texts = [None if g.random() < 0.05 else "".join(g.choices(bits, k=g.randrange(40))) for _ in range(g.randrange(9))]
+        got, at = TK.Numbered.of(pa.array(texts, pa.string()), tool), 0
+        assert got.words.to_pylist() == got.names
+        for text, n, later in zip(texts, got.n.tolist(), later_sentences(got, borders), strict=True):
+            words, _, spaces = tool(text or "")
+            numbers = got.numbers[at : at + n]
+            assert [got.names[k] for k in numbers] == words and got.spaces[at : at + n].tolist() == spaces
+            assert got.blank[numbers].tolist() == [w.isspace() for w in words]
+            sent = borders.numbers(words, spaces)
+            assert later == [i for i in range(1, n) if sent[i] != sent[i - 1]]
+            at += n
+
+
+def test_scores_of_many_words_are_those_of_each():
+    import pyarrow as pa
+
+    g = np.random.default_rng(4)
+    words = ["", "the", "The", "THE", "xXxX", "Straße", "ÀÉxe", "ÿ", "aB", "abcdefghijklMN", "ΣΑΣ", "İx", "ǅ", "a-b", "U.S.", "12x", "\u00d7", "ª"]
+    model = G.SequenceTagger(["A", "B"], {f: g.normal(size=2) for w in words[::2] for f in (*G.word_features(w), f"-={w.lower()}", f"+={w.lower()}")})
+    got = G.Decoder(model).scores(pa.array(words))
+    for part, features in zip(got, (G.word_features, lambda w: (f"-={w.lower()}",), lambda w: (f"+={w.lower()}",)), strict=True):
+        assert (part == model.scores([features(w) for w in words])).all()
+
+
+def test_texts_are_fitted_and_counted_as_their_tokens(spark):
+    """The plain way takes tokens as rows three times over; counts and model are the same, for equal ids and odd texts too."""
+    from pyspark.sql import functions as F
+
+    g = random.Random(12)
+    rows = [(g.choice([None, *range(40)]), " ".join(w for _ in range(g.randrange(1, 6)) for w, _ in [*sentence(g), (".", "")])) for _ in range(60)]
+    rows = [(d, t) for k, (d, t) in enumerate(rows) if d not in [x for x, _ in rows[:k]]] + [(90, None), (91, ""), (92, " \n "), (93, "\u00a0"), (94, "A  b. \n\n C\n \n d")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    tag = lambda w: F.when(w.isin("the", "a"), "DET").when(w.rlike("ly$"), "ADV").when(w == ".", "PUNCT").otherwise("NOUN")
+    tokens = TK.tokenised_documents(docs).drop("text")
+    for most in (30, 10_000):
+        model = G.fit_on_texts(docs, tag, sentences=most, shards=2, epochs=2)
+        plain = G.fit_tagger(D.token_table(tokens).withColumn("pos", tag(F.col("text"))), sentences=most, shards=2, epochs=2)
+        own, other = ({(f, t): w for f, t, w in m.rows()} for m in (model, plain))
+        assert own.keys() == other.keys() and all(abs(own[k] - other[k]) < 1e-9 for k in own)
+        want = Counter((t.text, t.pos) for r in G.tag_documents(D.tagged(tokens), model).collect() for t in r.tokens or ())
+        assert {(r.text, r.tag): r.n for r in G.tag_counts(docs, model).groupBy("text", "tag").agg(F.sum("n").alias("n")).collect()} == dict(want)
+    empty = G.fit_on_texts(docs.where("doc_id = 92"), tag)
+    assert empty.tags == [] and [tuple(r) for r in G.tag_counts(docs.where("doc_id = 92"), empty).collect()] == [(" \n ", None, 1)]
